@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exactdup, neardup, packing, quality, rules, substring
+from tickloom.llm import chat, exactdup, linedup, mixing, neardup, packing, quality, rules, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents")))
     base = F.lit(rules.POLICIES["base"].mask)
@@ -39,6 +43,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.decide(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linedup.strip(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -50,18 +59,57 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.decide(_table(spark, sf_dir, "documents"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", F.col("__tl_copy").alias("copy"), F.col("__tl_n").alias("n_copies"), F.col("__tl_order").alias("shuffle_key"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id),
+p AS (SELECT conv_id, l, unnest(range(1, len(l))) AS k FROM c),
+b AS (SELECT DISTINCT md5(CAST(l[1:k] AS VARCHAR)) AS h FROM p),
+m AS (SELECT md5(CAST(l AS VARCHAR)) AS h, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY 1)
+SELECT c.conv_id, CAST(len(l) AS BIGINT) AS n_turns, n_copies,
+       array_to_string(list_transform(l, lambda x: '<|' || replace(x.r, '|', '') || '|>' || chr(10) || replace(x.t, '<|', '< |') || '<|end|>' || chr(10)), '') AS rendered
+FROM c JOIN m ON m.conv_id = c.conv_id WHERE m.h NOT IN (SELECT h FROM b)
+""",
+    "op6_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
+k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+f AS (SELECT key, count(DISTINCT doc_id) AS n, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key),
+g AS (SELECT k.doc_id, k.i, k.line, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON f.key = k.key AND f.n >= 3 AND f.last <> k.doc_id)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM g GROUP BY doc_id
+""",
+    "op10_source_mixing": r"""
+WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+a AS (SELECT sum(power(n, 0.5)) AS all_w, sum(n) AS all_n FROM s),
+r AS (SELECT source, CAST(all_n AS DOUBLE) * power(n, 0.5) / (all_w * n) AS rate FROM s, a),
+p AS (SELECT source, k, exp(-rate) * power(rate, k) / CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE) AS p FROM r, range(0, 30) t(k)),
+c AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p) GROUP BY source),
+u AS (SELECT doc_id, source, CAST('0x' || substr(md5('20240131|' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT doc_id, u.source, CAST(len(list_filter(cdf, lambda x: x <= u)) AS INTEGER) AS n_copies FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source),
+e AS (SELECT doc_id, source, CAST(unnest(range(1, n_copies + 1)) AS INTEGER) AS copy, n_copies FROM n)
+SELECT doc_id, source, copy, n_copies, CAST('0x' || substr(md5('20240132|' || doc_id || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key FROM e
+""",
     "op4_minhash_dedup": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
