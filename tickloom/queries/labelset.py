@@ -1 +1,240 @@
-"""Queries; see the operators."""
+"""Queries over volatility, barriers, labels, weights and event samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.functions.exprs import ratio
+from tickloom.operators import asof, labels, sampling, volatility, weights
+from tickloom.queries.barset import deep, volume_bars, wide
+from tickloom.queries.registry import BARS, TICKS, WIDE, plain_times, query, rounded
+
+_BETA = 1 - 2 / 101
+
+
+def ewm_sql(source: str, keys: str, order: str, value: str = "ret") -> str:
+    """SQL for the bias-corrected exponentially weighted deviation of span 100."""
+    return f"""(SELECT *, CASE WHEN n > 1 THEN sqrt(greatest(s2 / s0 - (s1 / s0) * (s1 / s0), 0) * s0 * s0 / (s0 * s0 - s00)) END AS std FROM (
+ SELECT *, (1 - power({_BETA}, n)) / (1 - {_BETA}) AS s0, (1 - power({_BETA} * {_BETA}, n)) / (1 - {_BETA} * {_BETA}) AS s00,
+  power({_BETA}, n) * sum({value} * power(1 / {_BETA}, n)) OVER p AS s1, power({_BETA}, n) * sum({value} * {value} * power(1 / {_BETA}, n)) OVER p AS s2
+ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS DOUBLE) AS n FROM {source})
+ WINDOW p AS (PARTITION BY {keys} ORDER BY {order} ROWS UNBOUNDED PRECEDING)))"""
+
+
+_DAILY = """daily AS (SELECT symbol, date, arg_max(price, (ts, seq)) / arg_min(price, (ts, seq)) - 1 AS ret FROM ticks GROUP BY symbol, date),
+vols AS (SELECT symbol, date, coalesce(std, 0) AS volatility FROM """ + ewm_sql("daily", "symbol", "date") + ")"
+BARRED = BARS + ", " + _DAILY + """,
+numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date, bar_id) AS bar FROM bars),
+barred AS (SELECT b.*, coalesce(volatility, 0) AS volatility, close_date + INTERVAL 1 DAY AS horizon,
+  close_price * (1 + coalesce(volatility, 0)) AS upper_barrier, close_price * (1 - coalesce(volatility, 0)) AS lower_barrier
+  FROM numbered b LEFT JOIN vols v ON v.symbol = b.symbol AND v.date = CAST(close_date AS DATE) WHERE coalesce(volatility, 0) <> 0)"""
+LABELLED = BARRED + """,
+met AS (SELECT b.symbol, b.bar, t.ts, t.seq, t.price, CASE WHEN t.price > upper_barrier THEN 1 WHEN t.price < lower_barrier THEN -1 END AS side
+  FROM barred b JOIN ticks t ON t.symbol = b.symbol AND t.ts > b.close_date AND t.ts < b.horizon),
+hits AS (SELECT symbol, bar, arg_min(price, (ts, seq)) FILTER (side IS NOT NULL) AS hp, arg_min(side, (ts, seq)) FILTER (side IS NOT NULL) AS hl, min(ts) FILTER (side IS NOT NULL) AS ht, arg_max(price, (ts, seq)) AS lp FROM met GROUP BY symbol, bar),
+labelled AS (SELECT b.symbol, b.bar, b.close_date, b.close_price, coalesce(hp, lp, 0) AS "barrierPrice", CAST(coalesce(hl, 0) AS INTEGER) AS "barrierLabel", coalesce(ht, horizon) AS "barrierTime"
+  FROM barred b LEFT JOIN hits h ON h.symbol = b.symbol AND h.bar = b.bar)"""
+OVERLAPPED = LABELLED + """,
+over AS (SELECT e.*, CAST(EXISTS (SELECT 1 FROM labelled f WHERE f.symbol = e.symbol AND f.close_date < e.close_date AND f."barrierTime" > e.close_date) AS INTEGER) AS overlap FROM labelled e)"""
+WEIGHTED = OVERLAPPED + """,
+rets AS (SELECT *, coalesce(ln(close_price / lag(close_price) OVER (PARTITION BY symbol ORDER BY close_date, bar)), 0) AS r FROM over),
+sums AS (SELECT e.symbol, e.bar, abs(sum(CASE WHEN f.overlap = 1 THEN f.r ELSE 0 END)) AS s, max(CASE WHEN f.overlap = 0 AND f.r <> 0 THEN 1 ELSE 0 END) AS inf
+  FROM rets e JOIN rets f ON f.symbol = e.symbol AND f.close_date >= e.close_date AND f.close_date <= e."barrierTime" GROUP BY e.symbol, e.bar),
+weighted AS (SELECT symbol, bar, CASE WHEN inf = 1 THEN 0 ELSE s END / sum(CASE WHEN inf = 1 THEN 0 ELSE s END) OVER (PARTITION BY symbol) AS weight FROM sums)"""
+
+
+def numbered_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    return volume_bars(spark, sf_dir).withColumn("bar", F.row_number().over(Window.partitionBy("symbol").orderBy("date", "bar_id")).cast("long"))
+
+
+def barred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = volatility.with_barriers(numbered_bars(spark, sf_dir), volatility.daily_open_close(deep(spark, sf_dir)))
+    return found
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = barred(spark, sf_dir)
+    return own.select("symbol", "bar", "close_date", "close_price").join(labels.triple_barrier(own, deep(spark, sf_dir)), ["symbol", "bar"])
+
+
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weights.time_decay(weights.attribution(weights.overlap(labelled(spark, sf_dir))))
+
+
+@query("dv1_lagged_volatility", f"""WITH {TICKS}, back AS (SELECT a.symbol, a.ts, a.seq, a.date, a.price, b.price AS old FROM ticks a ASOF LEFT JOIN ticks b ON a.symbol = b.symbol AND a.ts - INTERVAL 1 DAY > b.ts),
+r AS (SELECT *, price / old - 1 AS ret FROM back WHERE old IS NOT NULL), s AS (SELECT symbol, date, std FROM {ewm_sql("r", "symbol", "ts, seq")}),
+d AS (SELECT symbol, date, avg(std) AS m FROM s GROUP BY symbol, date), f AS (SELECT symbol, date, arg_min(price, (ts, seq)) AS p FROM ticks GROUP BY symbol, date)
+SELECT f.symbol, f.date, round(coalesce(lag(CASE WHEN m IS NULL THEN p WHEN m < p THEN m ELSE p END) OVER (PARTITION BY f.symbol ORDER BY f.date), 0), 4) AS volatility FROM f LEFT JOIN d ON d.symbol = f.symbol AND d.date = f.date""")
+def dv1(spark, sf_dir):
+    return rounded(volatility.daily_lagged(deep(spark, sf_dir)), 4)
+
+
+@query("dv2_open_close_volatility", f"WITH {TICKS}, {_DAILY} SELECT symbol, date, round(volatility, 6) AS volatility FROM vols")
+def dv2(spark, sf_dir):
+    return rounded(volatility.daily_open_close(deep(spark, sf_dir)))
+
+
+@query("dv3_intraday_volatility", f"""WITH {TICKS}, r AS (SELECT * FROM (SELECT *, price / lag(price) OVER (PARTITION BY symbol, date ORDER BY ts, seq) - 1 AS ret FROM ticks) WHERE ret IS NOT NULL),
+s AS (SELECT symbol, date, avg(std) AS m FROM {ewm_sql("r", "symbol, date", "ts, seq")} GROUP BY symbol, date)
+SELECT symbol, date, round(coalesce(lag(m) OVER (PARTITION BY symbol ORDER BY date), 0), 4) AS volatility FROM s""")
+def dv3(spark, sf_dir):
+    return rounded(volatility.daily_intraday(deep(spark, sf_dir)), 4)
+
+
+@query("dh1_barriers", f"WITH {BARRED} SELECT symbol, bar, close_date, close_price, horizon, round(volatility, 6) AS volatility, round(upper_barrier, 5) AS upper_barrier, round(lower_barrier, 5) AS lower_barrier FROM barred")
+def dh1(spark, sf_dir):
+    found = barred(spark, sf_dir).select("symbol", "bar", "close_date", "close_price", "horizon", "volatility", "upper_barrier", "lower_barrier")
+    return plain_times(found.withColumns({"volatility": F.round("volatility", 6), "upper_barrier": F.round("upper_barrier", 5), "lower_barrier": F.round("lower_barrier", 5)}))
+
+
+@query("j1_triple_barrier", f'WITH {LABELLED} SELECT symbol, bar, "barrierPrice", "barrierLabel", "barrierTime" FROM labelled')
+def j1(spark, sf_dir):
+    return plain_times(labelled(spark, sf_dir).drop("close_date", "close_price"))
+
+
+@query("j2_bar_barrier", f"""WITH {BARRED}, m AS (SELECT a.symbol, a.bar, b.close_date AS ts, b.bar AS k, CASE WHEN b.high_price > a.upper_barrier AND b.low_price < a.lower_barrier THEN CASE WHEN b.high_date <= b.low_date THEN 1 ELSE -1 END
+  WHEN b.high_price > a.upper_barrier THEN 1 WHEN b.low_price < a.lower_barrier THEN -1 END AS side
+  FROM barred a JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i FROM barred) b ON a.symbol = b.symbol
+  JOIN (SELECT symbol, bar, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i FROM barred) c ON c.symbol = a.symbol AND c.bar = a.bar WHERE b.i > c.i AND b.i <= c.i + 10)
+SELECT a.symbol, a.bar, CAST(coalesce(arg_min(side, k) FILTER (side IS NOT NULL), 0) AS INTEGER) AS label, arg_min(ts, k) FILTER (side IS NOT NULL) AS hit_bar_close FROM barred a LEFT JOIN m ON m.symbol = a.symbol AND m.bar = a.bar GROUP BY a.symbol, a.bar""")
+def j2(spark, sf_dir):
+    return plain_times(labels.bar_barrier(barred(spark, sf_dir)))
+
+
+@query("j3_daily_barrier", f"""WITH {TICKS}, {_DAILY}, o AS (SELECT t.*, volatility AS v, first_value(price) OVER (PARTITION BY t.symbol, t.date ORDER BY ts, seq) AS o FROM ticks t JOIN vols USING (symbol, date)),
+z AS (SELECT *, CASE WHEN price > o * (1 + v * 1.5) THEN 2 WHEN price > o * (1 + v) THEN 1 WHEN price < o * (1 - v * 1.5) THEN -2 WHEN price < o * (1 - v) THEN -1 END AS zone FROM o)
+SELECT symbol, date, CAST(coalesce(arg_min(zone, (ts, seq)) FILTER (zone IS NOT NULL), 0) AS INTEGER) AS zone, min(ts) FILTER (zone IS NOT NULL) AS crossed FROM z GROUP BY symbol, date""")
+def j3(spark, sf_dir):
+    t = deep(spark, sf_dir)
+    return plain_times(labels.daily_barrier(t, volatility.daily_open_close(t), 0.5))
+
+
+@query("j4_graded_labels", f"""WITH {TICKS}, {_DAILY}, x AS (SELECT symbol, date, ret, volatility FROM daily JOIN vols USING (symbol, date))
+SELECT symbol, date, CASE WHEN ret > 0 THEN 1 WHEN ret < 0 THEN -1 ELSE 0 END AS three, CAST(CASE WHEN ret > volatility THEN 1 WHEN ret > 0 THEN 0.75 WHEN ret = 0 THEN 0.5 WHEN ret >= -volatility THEN 0.25 ELSE 0 END AS DOUBLE) AS grade FROM x""")
+def j4(spark, sf_dir):
+    from tickloom.operators.bars import daily
+
+    t = deep(spark, sf_dir)
+    days = daily(t).withColumn("ret", ratio(F.col("last_price"), F.col("first_price")) - 1).join(volatility.daily_open_close(t), ["symbol", "date"])
+    return days.select("symbol", "date", labels.three_way(F.col("ret")).alias("three"), labels.graded(F.col("ret"), F.col("volatility")).alias("grade"))
+
+
+@query("j5_overlap", f"WITH {OVERLAPPED} SELECT symbol, bar, overlap FROM over")
+def j5(spark, sf_dir):
+    return weights.overlap(labelled(spark, sf_dir)).select("symbol", "bar", "overlap")
+
+
+@query("j5_concurrency", f"""WITH {LABELLED} SELECT e.symbol, e.bar, count(*) AS n_open FROM labelled e JOIN labelled f ON f.symbol = e.symbol AND f.close_date <= e.close_date AND f."barrierTime" >= e.close_date GROUP BY e.symbol, e.bar""")
+def j5_open(spark, sf_dir):
+    return weights.concurrency(labelled(spark, sf_dir)).select("symbol", "bar", "n_open")
+
+
+@query("j6_attribution_weights", f"WITH {WEIGHTED} SELECT symbol, bar, round(weight, 6) AS weight FROM weighted")
+def j6(spark, sf_dir):
+    return weights.attribution(weights.overlap(labelled(spark, sf_dir))).select("symbol", "bar", F.round("weight", 6).alias("weight"))
+
+
+@query("dw2_time_decay", f"""WITH {WEIGHTED}, c AS (SELECT symbol, bar, sum(weight) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS c, sum(weight) OVER (PARTITION BY symbol) AS z FROM weighted)
+SELECT symbol, bar, round(greatest(0, 1 - 0.5 / z * z + 0.5 / z * c), 5) AS "weightTime" FROM c""")
+def dw2(spark, sf_dir):
+    return weighted(spark, sf_dir).select("symbol", "bar", F.round("weightTime", 5).alias("weightTime"))
+
+
+@query("j7_asof_lag", f"WITH {WIDE} SELECT a.symbol, a.ts, a.seq, a.price, b.price AS old FROM ticks a ASOF LEFT JOIN ticks b ON a.symbol = b.symbol AND a.ts - INTERVAL 1 DAY > b.ts")
+def j7(spark, sf_dir):
+    t = wide(spark, sf_dir)
+    return plain_times(t.select("symbol", "ts", "seq", "price", asof.lagged_value("price", "ts", ["symbol"], volatility.DAY_MICROS).alias("old")))
+
+
+@query("j7_asof_join", f"WITH {WIDE}, q AS (SELECT symbol, ts + INTERVAL 90 MINUTE AS at, seq FROM ticks) SELECT q.symbol, q.at, q.seq, b.price, b.vol FROM q ASOF LEFT JOIN ticks b ON q.symbol = b.symbol AND q.at >= b.ts")
+def j7_join(spark, sf_dir):
+    t = wide(spark, sf_dir)
+    asked = t.select("symbol", (F.col("ts") + F.expr("INTERVAL 90 MINUTE")).alias("at"), "seq")
+    return plain_times(asof.asof_backward(asked, t, ["symbol"], "at", "ts", ["price", "vol"]))
+
+
+@query("j8_forward_asof", f"WITH {WIDE} SELECT a.symbol, a.ts, a.seq, b.ts AS horizon FROM ticks a ASOF LEFT JOIN ticks b ON a.symbol = b.symbol AND a.ts + INTERVAL 1 DAY <= b.ts")
+def j8(spark, sf_dir):
+    t = wide(spark, sf_dir)
+    return plain_times(t.select("symbol", "ts", "seq", asof.first_time_after("ts", ["symbol"], volatility.DAY_MICROS).alias("horizon")))
+
+
+@query("j9_aligned_prices", f"""WITH {BARS}, t AS (SELECT DISTINCT date AS d FROM bars), p AS (SELECT date, symbol, arg_max(close_price, bar_id) AS p FROM bars GROUP BY date, symbol),
+w AS (SELECT d AS date, max(p) FILTER (symbol = 'click') AS click, max(p) FILTER (symbol = 'purchase') AS purchase, max(p) FILTER (symbol = 'view') AS view FROM t JOIN p ON p.date = d GROUP BY d)
+SELECT * FROM (SELECT date, last_value(click IGNORE NULLS) OVER o AS click, last_value(purchase IGNORE NULLS) OVER o AS purchase, last_value(view IGNORE NULLS) OVER o AS view FROM w WINDOW o AS (ORDER BY date ROWS UNBOUNDED PRECEDING)) WHERE click IS NOT NULL AND purchase IS NOT NULL AND view IS NOT NULL""")
+def j9(spark, sf_dir):
+    closes = volume_bars(spark, sf_dir).groupBy("date", "symbol").agg(F.max_by("close_price", "bar_id").alias("price"))
+    return asof.align(closes, ["click", "purchase", "view"], "date")
+
+
+@query("j11_sampled_bars", f"WITH {BARS} SELECT symbol, date, bar_id FROM bars WHERE (symbol, close_date) IN (SELECT symbol, max(ts) FROM ticks GROUP BY symbol, date)")
+def j11(spark, sf_dir):
+    wanted = deep(spark, sf_dir).groupBy("symbol", F.to_date("ts")).agg(F.max("ts").alias("close_date"))
+    return volume_bars(spark, sf_dir).join(wanted.select("symbol", "close_date"), ["symbol", "close_date"], "left_semi").select("symbol", "date", "bar_id")
+
+
+@query("j15_time_collisions", """WITH t AS (SELECT l_shipdate AS ts, CAST(l_suppkey AS VARCHAR) AS symbol, count(*) AS n FROM lineitem GROUP BY ALL) SELECT symbol, ts + to_milliseconds(row_number() OVER (PARTITION BY ts ORDER BY symbol) - 1) AS ts, n FROM t""")
+def j15(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_suppkey").cast("string").alias("symbol")).agg(F.count("*").alias("n"))
+    return plain_times(asof.repair_collisions(t))
+
+
+def bar_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("symbol").orderBy("bar")
+    own = numbered_bars(spark, sf_dir).select("symbol", "bar", "close_date", "close_price")
+    return own.withColumn("ret", F.coalesce(F.log(ratio(F.col("close_price"), F.lag("close_price").over(w))), F.lit(0.0)))
+
+
+_RETS = BARS + """, nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date, bar_id) AS bar FROM bars),
+rets AS (SELECT symbol, bar, close_price, coalesce(ln(close_price / lag(close_price) OVER (PARTITION BY symbol ORDER BY bar)), 0) AS ret FROM nb)"""
+
+
+@query("dc1_cusum_events", "WITH RECURSIVE " + _RETS + """,
+s AS (SELECT symbol, CAST(1 AS BIGINT) AS bar, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down, 0 AS event FROM (SELECT DISTINCT symbol FROM rets)
+ UNION ALL SELECT r.symbol, r.bar, CASE WHEN NOT (least(0, down + ret) < -2) AND greatest(0, up + ret) > 2 THEN 0 ELSE greatest(0, up + ret) END,
+  CASE WHEN least(0, down + ret) < -2 THEN 0 ELSE least(0, down + ret) END, CASE WHEN least(0, down + ret) < -2 THEN -1 WHEN greatest(0, up + ret) > 2 THEN 1 ELSE 0 END
+  FROM s JOIN rets r ON r.symbol = s.symbol AND r.bar = s.bar + 1)
+SELECT symbol, bar, event FROM s WHERE event <> 0""")
+def dc1(spark, sf_dir):
+    return sampling.sampled(bar_returns(spark, sf_dir), "ret", 2.0, ["symbol"], ["bar"]).select("symbol", "bar", "event")
+
+
+@query("dc2_cusum_differences", "WITH RECURSIVE " + _RETS + """, d AS (SELECT symbol, bar, ln(close_price) - ln(lag(close_price) OVER (PARTITION BY symbol ORDER BY bar)) AS ret FROM rets),
+s AS (SELECT symbol, CAST(1 AS BIGINT) AS bar, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down, 0 AS event FROM (SELECT DISTINCT symbol FROM rets)
+ UNION ALL SELECT r.symbol, r.bar, CASE WHEN NOT (least(0, down + ret) < -3) AND greatest(0, up + ret) > 3 THEN 0 ELSE greatest(0, up + ret) END,
+  CASE WHEN least(0, down + ret) < -3 THEN 0 ELSE least(0, down + ret) END, CASE WHEN least(0, down + ret) < -3 THEN -1 WHEN greatest(0, up + ret) > 3 THEN 1 ELSE 0 END
+  FROM s JOIN d r ON r.symbol = s.symbol AND r.bar = s.bar + 1)
+SELECT symbol, bar, event FROM s""")
+def dc2(spark, sf_dir):
+    own = bar_returns(spark, sf_dir).withColumn("log_price", F.log("close_price"))
+    return sampling.cusum(own, "log_price", 3.0, ["symbol"], ["bar"], differences=True).select("symbol", "bar", "event")
+
+
+@query("ds1_sadf", f"""WITH {_RETS}, y AS (SELECT symbol, bar, ln(close_price) AS y, lag(ln(close_price)) OVER (PARTITION BY symbol ORDER BY bar) AS y1 FROM rets),
+c AS (SELECT symbol, bar, sum(y1 * y1) OVER w AS xx, sum(y1 * (y - y1)) OVER w AS xy, sum((y - y1) * (y - y1)) OVER w AS yy FROM y WHERE y1 IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT * FROM c UNION ALL SELECT DISTINCT symbol, 1, 0.0, 0.0, 0.0 FROM c),
+p AS (SELECT e.symbol, e.bar, e.bar - s.bar AS n, e.xx - s.xx AS xx, e.xy - s.xy AS xy, e.yy - s.yy AS yy FROM c e JOIN z s ON s.symbol = e.symbol AND s.bar <= e.bar - 5)
+SELECT r.symbol, r.bar, round(max(t), 4) AS sadf FROM rets r LEFT JOIN (SELECT symbol, bar, xy / xx / sqrt(greatest(yy - xy / xx * xy, 0) / (n - 1) / xx) AS t FROM p) x ON x.symbol = r.symbol AND x.bar = r.bar GROUP BY r.symbol, r.bar""")
+def ds1(spark, sf_dir):
+    return rounded(sampling.sadf(bar_returns(spark, sf_dir), "close_price", ["symbol"], ["bar"]).select("symbol", "bar", "sadf"), 4)
+
+
+@query("dfd_fracdiff", f"WITH {_RETS} SELECT symbol, bar, round(coalesce(ln(close_price) - 0.4 * lag(ln(close_price)) OVER w - 0.12 * lag(ln(close_price), 2) OVER w - 0.064 * lag(ln(close_price), 3) OVER w, 0), 6) AS fracdiff FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY bar)")
+def dfd(spark, sf_dir):
+    own = bar_returns(spark, sf_dir).withColumn("log_price", F.log("close_price"))
+    return sampling.fracdiff(own, "log_price", 0.4, 4, ["symbol"], ["bar"]).select("symbol", "bar", F.round("fracdiff", 6).alias("fracdiff"))
+
+
+@query("dfd_least_order", f"""WITH {_RETS}, l AS (SELECT symbol, close_price AS x, lag(close_price) OVER w AS x1, lag(close_price, 2) OVER w AS x2 FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY bar)),
+g AS (SELECT symbol, i / 20.0 AS d, x1 - i / 20.0 * x2 AS p, x - i / 20.0 * x1 - x1 + i / 20.0 * x2 AS q FROM l, range(0, 21) r(i) WHERE x2 IS NOT NULL),
+s AS (SELECT symbol, d, count(*) AS n, sum(p) AS sp, sum(q) AS sq, sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq FROM g GROUP BY symbol, d),
+b AS (SELECT symbol, d, n, pp - sp * sp / n AS a, pq - sp * sq / n AS b, qq - sq * sq / n AS c FROM s),
+t AS (SELECT symbol, d, b / a / sqrt((c - b / a * b) / ((n - 2) * a)) AS t FROM b)
+SELECT symbol, CAST(coalesce(min(d) FILTER (t < -3.43), max(d)) AS DOUBLE) AS d FROM t GROUP BY symbol""")
+def dfd_least(spark, sf_dir):
+    return sampling.least_order(bar_returns(spark, sf_dir), "close_price", ["symbol"], ["bar"]).select("symbol", "d")
