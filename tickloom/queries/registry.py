@@ -65,9 +65,17 @@ def plain_times(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of a sum does not show."""
-    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in plain_times(df).dtypes])
+def rounded(df: DataFrame, digits: int = 6, nudge: bool = False) -> DataFrame:
+    """Doubles rounded, so that the order of a sum does not show.
+
+    ``nudge`` moves values off decimal ties first, as :func:`nudged` does in SQL.
+    """
+    off = 1.3 * 10.0 ** -(digits + 3) if nudge else 0.0
+    return df.select(*[(F.round(F.col(f"`{c}`") + off, digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in plain_times(df).dtypes])
+
+
+def nudged(names: list[str], digits: int = 4) -> str:
+    return ", ".join(f"round({n} + 1.3e-{digits + 3}, {digits}) + 0.0 AS {n.split('.')[-1]}" for n in names)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
