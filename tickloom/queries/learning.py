@@ -1 +1,263 @@
-"""Queries; see the operators."""
+"""Queries over imbalance bars, allocation, learning and the event backtester."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tickloom.functions.exprs import ratio
+from tickloom.operators import allocation, bars, crossval, event_backtest, imbalance, learning
+from tickloom.queries.barset import deep
+from tickloom.queries.labelset import bar_returns, numbered_bars
+from tickloom.queries.registry import BARS, TICKS, nudged, plain_times, query, rounded
+
+_FLOW = f"""{TICKS}, m AS (SELECT *, nullif(sign(price - lag(price) OVER w), 0) AS mv FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)),
+fl AS (SELECT *, last_value(mv IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS b FROM m),
+dy AS (SELECT symbol, date, count(*) AS n, avg((b > 0)::INT) AS p, avg(vol) FILTER (b > 0) AS u, avg(vol) FILTER (b < 0) AS d FROM fl WHERE b IS NOT NULL GROUP BY symbol, date),
+ex AS (SELECT symbol, avg(n) / 10 AS e_t, avg(p) AS p_up, avg(u) AS e_up, avg(d) AS e_down FROM dy GROUP BY symbol)"""
+
+
+@query("b8_signed_flow", f"WITH {_FLOW} SELECT symbol, ts, seq, CAST(b * vol AS DOUBLE) AS flow FROM fl")
+def b8(spark, sf_dir):
+    return plain_times(imbalance.signed_flow(deep(spark, sf_dir)).select("symbol", "ts", "seq", "flow"))
+
+
+@query("b9_expectations", f"WITH {_FLOW}, o AS (SELECT *, p_up * e_up - (1 - p_up) * e_down AS e_flow FROM ex) SELECT symbol, {nudged(['e_t', 'p_up', 'e_up', 'e_down', 'e_flow'], 6)} FROM o")
+def b9(spark, sf_dir):
+    return rounded(imbalance.expectations(imbalance.signed_flow(deep(spark, sf_dir))), nudge=True)
+
+
+_IMB = f"""WITH RECURSIVE {_FLOW}, q AS (SELECT f.symbol, ts, seq, b * vol AS x, e_t, p_up * e_up - (1 - p_up) * e_down AS e_flow, row_number() OVER (PARTITION BY f.symbol ORDER BY ts, seq) AS i FROM fl f JOIN ex ON ex.symbol = f.symbol WHERE b IS NOT NULL),
+r AS (SELECT symbol, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS th, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS bar, CAST(0 AS BIGINT) AS nxt, e_t, e_flow FROM q WHERE i = 1
+ UNION ALL SELECT r.symbol, q.i, CASE WHEN abs(th + x) >= abs(r.e_t * r.e_flow) THEN 0 ELSE th + x END, CASE WHEN abs(th + x) >= abs(r.e_t * r.e_flow) THEN 0 ELSE n + 1 END, nxt, nxt + (abs(th + x) >= abs(r.e_t * r.e_flow))::BIGINT,
+  CASE WHEN abs(th + x) >= abs(r.e_t * r.e_flow) THEN 0.9 * r.e_t + 0.1 * (n + 1) ELSE r.e_t END, CASE WHEN abs(th + x) >= abs(r.e_t * r.e_flow) THEN 0.9 * r.e_flow + 0.1 * (th + x) / (n + 1) ELSE r.e_flow END
+  FROM r JOIN q ON q.symbol = r.symbol AND q.i = r.i + 1),
+z AS (SELECT q.symbol, q.ts, q.seq, r.bar AS bar_id FROM r JOIN q ON q.symbol = r.symbol AND q.i = r.i)"""
+
+
+def _imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = imbalance.signed_flow(deep(spark, sf_dir))
+    return imbalance.imbalance_bars(flows, imbalance.expectations(flows))
+
+
+@query("b7_imbalance_bars", _IMB + " SELECT symbol, ts, seq, bar_id FROM z")
+def b7(spark, sf_dir):
+    return plain_times(_imbalance(spark, sf_dir).select("symbol", "ts", "seq", "bar_id"))
+
+
+@query("b10_imbalance_counts", _IMB + ", e AS (SELECT symbol, bar_id, max(ts) AS ts FROM z GROUP BY symbol, bar_id) SELECT symbol, CAST(ts AS DATE) AS date, count(*) AS n_bars FROM e GROUP BY ALL")
+def b10(spark, sf_dir):
+    return imbalance.imbalance_counts(_imbalance(spark, sf_dir))
+
+
+@query("de1_bar_entropy")
+def de1(spark, sf_dir):
+    return rounded(imbalance.bar_entropy(bars.assign(bars.with_tick_rule(deep(spark, sf_dir)), "volume", 2000)))
+
+
+ASSETS = ["click", "error", "purchase", "signup", "view"]
+
+
+def asset_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = bars.daily(deep(spark, sf_dir)).groupBy("date").pivot("symbol", ASSETS).agg(F.first(F.log(ratio(F.col("last_price"), F.col("first_price")))))
+    return days.na.drop()
+
+
+@query("dp1_least_variance")
+def dp1(spark, sf_dir):
+    return rounded(allocation.weights(asset_returns(spark, sf_dir), ASSETS, "least_variance"))
+
+
+@query("dp2_eigen_risk")
+def dp2(spark, sf_dir):
+    return rounded(allocation.weights(asset_returns(spark, sf_dir), ASSETS, "eigen_risk"))
+
+
+@query("dp3_hierarchical_risk_parity")
+def dp3(spark, sf_dir):
+    return rounded(allocation.weights(asset_returns(spark, sf_dir), ASSETS, "hierarchical"))
+
+
+@query("dp4_basket", f"""WITH {TICKS}, d AS (SELECT date, symbol, arg_max(price, (ts, seq)) AS p FROM ticks GROUP BY date, symbol), w AS (SELECT date, max(p) FILTER (symbol = 'click') AS a, max(p) FILTER (symbol = 'view') AS b FROM d GROUP BY date),
+f AS (SELECT date, greatest(1 + coalesce(0.5 * (a / lag(a) OVER (ORDER BY date) - 1) + 0.5 * (b / lag(b) OVER (ORDER BY date) - 1), 0), 1e-12) AS f FROM w) SELECT date, round(ln(exp(sum(ln(f)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING))) + 1.3e-7, 4) + 0.0 AS log_value FROM f""")
+def dp4(spark, sf_dir):
+    wide = bars.daily(deep(spark, sf_dir)).groupBy("date").pivot("symbol", ["click", "view"]).agg(F.first("last_price"))
+    return rounded(allocation.basket(wide, "date", ["click", "view"], {"click": 0.5, "view": 0.5}).select("date", F.log("value").alias("log_value")), 4, nudge=True)
+
+
+FEATURES = ["f_ret", "f_ret2", "f_vol", "f_sign", "f_range", "f_vwap"]
+
+
+def learning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with six features and the direction of the next bar (0, 1, 2)."""
+    from pyspark.ml.feature import VectorAssembler  # noqa: F401
+
+    w = Window.partitionBy("symbol").orderBy("bar")
+    own = numbered_bars(spark, sf_dir).withColumn("f_ret", F.log(ratio(F.col("close_price"), F.lag("close_price").over(w))))
+    ahead = F.log(ratio(F.lead("close_price").over(w), F.col("close_price")))
+    own = own.withColumns({
+        "f_ret2": F.lag("f_ret").over(w), "f_vol": F.col("bar_cum_volume") / 100.0, "f_sign": F.col("feat_signVolSide") / 100.0, "f_range": F.log(ratio(F.col("high_price"), F.col("low_price"))),
+        "f_vwap": ratio(F.col("vwap"), F.col("close_price")) - 1, "label": F.when(ahead > 0.7, 2.0).when(ahead < -0.7, 0.0).when(ahead.isNotNull(), 1.0), "time": F.col("close_date"), "t1": F.lead("close_date").over(w),
+    })
+    rows = own.select("symbol", "bar", "time", "t1", "close_price", *FEATURES, "label", F.lit(1.0).alias("w")).na.drop()
+    return crossval.number_rows(rows, "time", "symbol")
+
+
+@query("m1_standardised", f"""WITH {BARS}, s AS (SELECT symbol, date, bar_id, (close_price - avg(close_price) OVER ()) / stddev_pop(close_price) OVER () AS z, (vwap - avg(vwap) OVER (PARTITION BY symbol)) / stddev_pop(vwap) OVER (PARTITION BY symbol) AS zs FROM bars) SELECT symbol, date, bar_id, {nudged(['z', 'zs'], 6)} FROM s""")
+def m1(spark, sf_dir):
+    own = numbered_bars(spark, sf_dir).select("symbol", "date", "bar_id", F.col("close_price").alias("z"), F.col("vwap").alias("zs"))
+    return rounded(learning.standardise(learning.standardise(own, ["z"]), ["zs"], "symbol"), nudge=True)
+
+
+@query("m2_stationarity", f"""WITH {BARS}, l AS (SELECT symbol, close_price AS y, lag(close_price) OVER (PARTITION BY symbol ORDER BY date, bar_id) AS x FROM bars),
+s AS (SELECT symbol, count(*) AS n, regr_slope(y - x, x) AS b, regr_syy(y - x, x) AS syy, regr_sxx(y - x, x) AS sxx FROM l WHERE x IS NOT NULL GROUP BY symbol), t AS (SELECT symbol, b / sqrt((syy - b * b * sxx) / ((n - 2) * sxx)) AS t FROM s)
+SELECT symbol, 'close_price' AS feature, round(t + 1.3e-7, 4) + 0.0 AS t, t < -2.86 AS stationary FROM t""")
+def m2(spark, sf_dir):
+    return rounded(learning.stationarity(numbered_bars(spark, sf_dir), ["close_price"], "bar"), 4, nudge=True)
+
+
+@query("m3_principal_axes")
+def m3(spark, sf_dir):
+    rows = learning_rows(spark, sf_dir)
+    _, axes = learning.principal_axes(rows, FEATURES)
+    return rounded(learning.project(rows.select("row_id", *FEATURES), FEATURES, axes))
+
+
+@query("m4_impurity_importance")
+def m4(spark, sf_dir):
+    return learning.mean_decrease_impurity(learning_rows(spark, sf_dir), FEATURES, trees=10)
+
+
+@query("m5_permutation_importance")
+def m5(spark, sf_dir):
+    rows = learning_rows(spark, sf_dir).persist()
+    return learning.mean_decrease_accuracy(rows, FEATURES, crossval.purged_folds(rows, 3, 0.01).persist(), learning.forest(5, 3), "accuracy")
+
+
+@query("m7_cross_scores")
+def m7(spark, sf_dir):
+    rows = learning_rows(spark, sf_dir).persist()
+    scores = learning.cross_scores(rows, FEATURES, crossval.purged_folds(rows, 3, 0.01).persist(), learning.forest(5, 3), "accuracy")
+    return spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "fold int, score double")
+
+
+@query("m9_clustered_importance")
+def m9(spark, sf_dir):
+    rows = learning_rows(spark, sf_dir)
+    return learning.clustered_impurity(learning.mean_decrease_impurity(rows, FEATURES, trees=10), learning.cluster_features(rows, FEATURES))
+
+
+@query("m10_feature_clusters")
+def m10(spark, sf_dir):
+    found = learning.cluster_features(learning_rows(spark, sf_dir), FEATURES)
+    return spark.createDataFrame(sorted(found.items()), "feature string, cluster int")
+
+
+@query("m12_residuals", f"""WITH {BARS}, r AS (SELECT regr_slope(vwap, close_price) AS b, regr_intercept(vwap, close_price) AS a FROM bars) SELECT symbol, date, bar_id, round(vwap - a - b * close_price + 1.3e-7, 4) + 0.0 AS vwap FROM bars, r""")
+def m12(spark, sf_dir):
+    own = numbered_bars(spark, sf_dir).select("symbol", "date", "bar_id", "vwap", "close_price")
+    return rounded(learning.residualise(own, "vwap", ["close_price"]).drop("close_price"), 4, nudge=True)
+
+
+@query("m13_feature_subsets")
+def m13(spark, sf_dir):
+    found = learning.feature_subsets(FEATURES, 3, 4)
+    return spark.createDataFrame([(i, list(s)) for i, s in enumerate(found)], "subset int, features array<string>")
+
+
+_SMALL = "s AS (SELECT user_id, avg(value) AS a, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS b FROM events WHERE user_id < 40 GROUP BY user_id)"
+
+
+@query("m14_kendall", f"WITH {_SMALL}, p AS (SELECT sign(x.a - y.a) AS u, sign(x.b - y.b) AS v FROM s x JOIN s y ON x.user_id < y.user_id) SELECT round(sum(u * v) / sqrt(sum(u * u) * sum(v * v)) + 1.3e-9, 6) AS tau, (SELECT count(*) FROM s) AS n FROM p")
+def m14(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id < 40").groupBy("user_id").agg(F.avg("value").alias("a"), F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).alias("b"))
+    return rounded(learning.kendall(s, "a", "b").select("tau", F.col("n").cast("long").alias("n")), nudge=True)
+
+
+@query("m17_search")
+def m17(spark, sf_dir):
+    rows = learning_rows(spark, sf_dir).persist()
+    _, scored = learning.search(rows, FEATURES, crossval.purged_folds(rows, 2).persist(), learning.forest(5), {"maxDepth": [2, 4]}, "accuracy")
+    return spark.createDataFrame([(p["maxDepth"], s) for p, s in scored], "max_depth int, score double")
+
+
+@query("m19_oversampled")
+def m19(spark, sf_dir):
+    return learning.oversample(learning_rows(spark, sf_dir), FEATURES).groupBy("label").count()
+
+
+@query("m23_rule_model", f"WITH {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date, bar_id) AS bar FROM bars), m AS (SELECT symbol, bar, close_price, avg(close_price) OVER (PARTITION BY symbol ORDER BY bar ROWS 4 PRECEDING) AS m FROM n) SELECT symbol, bar, CASE WHEN close_price > m THEN 1 WHEN close_price < m THEN -1 ELSE 0 END AS predicted FROM m")
+def m23(spark, sf_dir):
+    mean = F.avg("close_price").over(Window.partitionBy("symbol").orderBy("bar").rowsBetween(-4, 0))
+    own = numbered_bars(spark, sf_dir).select("symbol", "bar", "close_price").withColumn("mean", mean)
+    rule = lambda d: F.when(d["close_price"] > d["mean"], 1).when(d["close_price"] < d["mean"], -1).otherwise(0)
+    return learning.rule_model(own, rule).select("symbol", "bar", "predicted")
+
+
+@query("m27_composite_backtest")
+def m27(spark, sf_dir):
+    rows = learning_rows(spark, sf_dir).persist()
+    cut = rows.count() * 3 // 4
+    out = learning.composite(rows.where(F.col("row_id") >= cut), FEATURES, rows.where(F.col("row_id") < cut), learning.forest(5, 3), learning.forest(5, 3, 1))
+    return plain_times(learning.backtest_frame(out).select("symbol", "bar", "time", "predicted", "bet_size", "leverage", "trial"))
+
+
+def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_backtest.heartbeats(deep(spark, sf_dir), "6 hours")
+
+
+_BEATS = f"""{TICKS}, hb AS (SELECT symbol, time_bucket(INTERVAL 6 HOUR, ts) AS start, arg_max(price, (ts, seq)) AS price FROM ticks GROUP BY ALL),
+nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start) AS i FROM hb),
+fi AS (SELECT symbol, start, price, CASE WHEN i % 3 = 0 THEN 100 WHEN i > 3 AND i % 3 = 1 THEN -100 ELSE 0 END AS q FROM nb),
+le AS (SELECT symbol, start, price, CAST(coalesce(sum(q) OVER w, 0) AS BIGINT) AS held, coalesce(sum(-q * price) OVER w, 0) AS cash_flow, coalesce(sum(CASE WHEN q <> 0 THEN 1.3 ELSE 0 END) OVER w, 0) AS fees FROM fi WINDOW w AS (PARTITION BY symbol ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query("e5_fills", f"WITH {_BEATS} SELECT symbol, start, price, CASE WHEN q > 0 THEN 'LONG' ELSE 'EXIT' END AS signal, CAST(q AS BIGINT) AS quantity FROM fi WHERE q <> 0")
+def e5(spark, sf_dir):
+    return plain_times(event_backtest.simulate(beats(spark, sf_dir), event_backtest.Alternating))
+
+
+@query("e8_ledger", f"WITH {_BEATS} SELECT symbol, start, held, round(held * price + 1.3e-7, 4) + 0.0 AS market_value, round(cash_flow + 1.3e-7, 4) + 0.0 AS cash_flow, round(fees + 1.3e-7, 4) + 0.0 AS fees FROM le")
+def e8(spark, sf_dir):
+    b = beats(spark, sf_dir)
+    return rounded(event_backtest.ledger(b, event_backtest.simulate(b, event_backtest.Alternating)), 4, nudge=True)
+
+
+@query("e10_equity", f"""WITH {_BEATS}, t AS (SELECT start, 100000 + sum(cash_flow) - sum(fees) AS cash, sum(held * price) AS holdings FROM le GROUP BY start), r AS (SELECT *, cash + holdings AS total FROM t)
+SELECT start, round(cash + 1.3e-7, 4) AS cash, round(holdings + 1.3e-7, 4) AS holdings, round(total + 1.3e-7, 4) AS total FROM r""")
+def e10_equity(spark, sf_dir):
+    b = beats(spark, sf_dir)
+    curve = event_backtest.equity(event_backtest.ledger(b, event_backtest.simulate(b, event_backtest.Alternating)))
+    return rounded(curve.select("start", "cash", "holdings", "total"), 4, nudge=True)
+
+
+@query("e9_pending_orders", f"""WITH {TICKS}, o AS (SELECT seq AS order_id, symbol, ts AS placed, CASE WHEN seq % 2 = 0 THEN 'STP' ELSE 'LMT' END AS kind, CASE WHEN seq % 4 < 2 THEN 1 ELSE -1 END AS side, price * (1 + CASE WHEN (seq % 2 = 0) = (seq % 4 < 2) THEN 0.5 ELSE -0.5 END) AS target, ts + INTERVAL 12 HOUR AS expires FROM ticks WHERE seq % 50 = 0 OR seq % 50 = 1),
+h AS (SELECT order_id, t.ts, t.seq, t.price FROM o JOIN ticks t ON t.symbol = o.symbol AND t.ts > placed AND t.ts <= expires WHERE CASE WHEN (kind = 'STP') = (side = 1) THEN t.price >= target ELSE t.price <= target END)
+SELECT order_id, min(ts) AS ts, arg_min(price, (ts, seq)) AS price FROM h GROUP BY order_id""")
+def e9(spark, sf_dir):
+    t = deep(spark, sf_dir)
+    seq = F.col("seq")
+    up = ((seq % 2) == 0) == ((seq % 4) < 2)
+    orders = t.where(((seq % 50) == 0) | ((seq % 50) == 1)).select(
+        seq.alias("order_id"), "symbol", F.col("ts").alias("placed"), F.when(seq % 2 == 0, "STP").otherwise("LMT").alias("kind"), F.when(seq % 4 < 2, 1).otherwise(-1).alias("side"),
+        (F.col("price") * (1 + F.when(up, 0.5).otherwise(-0.5))).alias("target"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("expires"),
+    )
+    return plain_times(event_backtest.pending_fills(orders, t))
+
+
+@query("e7_commissions", "SELECT l_orderkey, l_linenumber, l_quantity, count(*) AS n, round(max(CASE WHEN l_quantity * 20 <= 500 THEN greatest(1.3, 0.013 * l_quantity * 20) ELSE greatest(1.3, 0.008 * l_quantity * 20) END) + 1.3e-9, 6) AS fee FROM lineitem GROUP BY l_orderkey, l_linenumber, l_quantity")
+def e7(spark, sf_dir):
+    q = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber", "l_quantity").agg(F.count("*").alias("n"))
+    return rounded(q.withColumn("fee", event_backtest.commission(F.col("l_quantity") * 20)), nudge=True)
+
+
+@query("e3_latest_beats", f"WITH {_BEATS} SELECT symbol, start, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start DESC) AS k FROM hb) WHERE k <= 3")
+def e3(spark, sf_dir):
+    return plain_times(event_backtest.latest(beats(spark, sf_dir).select("symbol", "start", "price"), 3))
+
+
+@query("dc3_sampled_on_returns")
+def dc3(spark, sf_dir):
+    from tickloom.operators import sampling
+
+    return plain_times(sampling.sampled(bar_returns(spark, sf_dir), "ret", 1.0, ["symbol"], ["bar"], "ret <> 0").select("symbol", "bar", "close_date", "event"))
