@@ -43,10 +43,17 @@ def align(df: DataFrame, symbols: Sequence[str], time: str = "ts", value: str =
     """One column per symbol on the union of times, carried forward, complete rows only.
 
     Times at which two symbols tick are one row; the pivot is one aggregation.
+    Values are carried forward inside each day, and from day to day over one row
+    per day, so that no task sees the whole series.
     """
-    wide = df.groupBy(time).pivot("symbol", list(symbols)).agg(F.max(value))
-    w = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    return wide.select(time, *[F.last(F.col(f"`{s}`"), ignorenulls=True).over(w).alias(s) for s in symbols]).na.drop()
+    wide = df.groupBy(time).pivot("symbol", list(symbols)).agg(F.max(value)).withColumn("_day", F.to_date(time))
+    q = lambda s: F.col(f"`{s}`")
+    days = wide.groupBy("_day").agg(*[F.max_by(q(s), F.when(q(s).isNotNull(), F.col(time))).alias(s) for s in symbols])
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    carried = days.select("_day", F.struct(*[F.last(q(s), ignorenulls=True).over(before).alias(s) for s in symbols]).alias("_before"))
+    inside = Window.partitionBy("_day").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    filled = wide.select(time, "_day", *[F.last(q(s), ignorenulls=True).over(inside).alias(s) for s in symbols]).join(carried, "_day")
+    return filled.select(time, *[F.coalesce(q(s), F.col(f"_before.`{s}`")).alias(s) for s in symbols]).na.drop()
 
 
 def repair_collisions(df: DataFrame, time: str = "ts", by: str = "symbol") -> DataFrame:

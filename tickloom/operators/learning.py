@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import hash_share, ratio
 from tickloom.operators.allocation import correlation, covariance_matrix, moments
+from tickloom.operators.crossval import number_rows
 from tickloom.operators.sampling import unit_root_ratio
 
 
@@ -149,11 +150,16 @@ def mean_decrease_accuracy(df: DataFrame, columns: Sequence[str], folds: DataFra
 def permuted(df: DataFrame, columns: Sequence[str], seed: int = 0) -> DataFrame:
     """``df`` with the values of ``columns`` dealt to other rows, together.
 
-    Row k in one hash order gets the values of row k in another.
+    Row k in one hash order gets the values of row k in another; rows are
+    numbered over range partitions, not in one task.
     """
-    number = lambda s: F.row_number().over(Window.orderBy(hash_share("row_id", seed=s), "row_id"))
-    left = df.drop(*columns).withColumn("_k", number(seed))
-    right = df.select(*columns, number(seed + 1).alias("_k"))
+
+    def numbered(part: DataFrame, s: int) -> DataFrame:
+        keyed = part.withColumnRenamed("row_id", "_id").withColumn("_h", hash_share("_id", seed=s))
+        return number_rows(keyed, "_h", "_id").drop("_h").withColumnRenamed("row_id", "_k")
+
+    left = numbered(df.drop(*columns), seed).withColumnRenamed("_id", "row_id")
+    right = numbered(df.select("row_id", *columns), seed + 1).drop("_id")
     return left.join(right, "_k").drop("_k").select(*df.columns)
 
 
@@ -288,8 +294,9 @@ def log_uniform(low: float, high: float, n: int, seed: int = 0) -> list[float]:
 def oversample(df: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 0, neighbours: int = 5) -> DataFrame:
     """Minority rows interpolated with near rows of their class until classes are even.
 
-    Near rows are the next ones in the order of a random projection, so that
-    every partner is found by one sorted window instead of pair distances.
+    Near rows are the next ones in the order of a random projection among some
+    50,000 rows of the class, so that every partner is found by a sorted window
+    of bounded size instead of pair distances.
     """
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
     if len(counts) < 2:
@@ -298,7 +305,8 @@ def oversample(df: DataFrame, columns: Sequence[str], label: str = "label", seed
     rng = np.random.default_rng(seed)
     direction = sum((F.col(c) * float(x) for c, x in zip(columns, rng.normal(size=len(columns)), strict=True)), F.lit(0.0))
     few = df.where(F.col(label) == minor).withColumn("_z", direction)
-    w = Window.partitionBy(label).orderBy("_z", "row_id")
+    few = few.withColumn("_b", F.pmod(F.xxhash64("row_id"), F.lit(1 + counts[minor] // 50_000)))
+    w = Window.partitionBy("_b").orderBy("_z", "row_id")
     partner = F.coalesce(F.lead(F.struct(*columns), 1 + seed % neighbours).over(w), F.first(F.struct(*columns)).over(w))
     share = (major - counts[minor]) / counts[minor]
     times = F.lit(int(share)) + F.when(hash_share("row_id", seed=seed) < share - int(share), 1).otherwise(0)
