@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.queries import backtests, barset, featureset, labelset, learning, relational
+from tickloom.queries import backtests, barset, coverage, featureset, labelset, learning, relational
 from tickloom.queries.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "backtests", "barset", "featureset", "labelset", "learning", "relational"]
+__all__ = ["ORACLE_SQL", "QUERIES", "backtests", "barset", "coverage", "featureset", "labelset", "learning", "relational"]
