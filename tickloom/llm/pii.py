@@ -23,17 +23,20 @@ _MEN = "Mr|Mister|Herr|Herrn|Monsieur|Señor|Don|Sir|Господин|г-н"
 _WOMEN = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Doña|Госпожа|г-жа"
 #: Kinds in the order in which they are tried at one place; fixed patterns.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "secret": r"(?:\b(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})\b|\bAKIA[0-9A-Z]{16}\b|\b(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,})",
     "ip": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b(?!\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"\b(?:\d[ -]?){12,15}\d\b",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])\d{3,4}(?:[ .-]?\d{2,4}){1,3}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b)",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "man": rf"(?<=\b(?:{_MEN})\.? )\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
-    "woman": rf"(?<=\b(?:{_WOMEN})\.? )\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
+    "man": rf"\b(?:{_MEN})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}",
+    "woman": rf"\b(?:{_WOMEN})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}",
 }
 ANY = "|".join(PATTERNS.values())
+#: Every entity has a digit, an at-sign or a title: texts without are not searched further.
+HINT = rf"[0-9@]|\b(?:{_MEN}|{_WOMEN})\b"
+_TITLE = rf"^(?:{_MEN}|{_WOMEN})\.? "
 #: Given names and surname syllables by script; made up from common names.
 NAMES = {
     ("man", "latin"): "James Peter Martin Thomas Daniel Oscar Victor Hugo Simon Leon Adam Felix Paul Louis Marco Nils".split(),
@@ -48,9 +51,9 @@ SYLLABLES = {
 
 
 def kind_of(found: Column) -> Column:
-    """The first kind that matches; names are told by what stands before them."""
-    out = F.lit(None).cast("string")
-    for kind in reversed([k for k in PATTERNS if k not in ("man", "woman")]):
+    """The first kind that matches."""
+    out = F.lit("woman")
+    for kind in reversed([k for k in PATTERNS if k != "woman"]):
         out = F.when(found.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
     return out
 
@@ -60,96 +63,104 @@ def canonical(kind: Column, found: Column) -> Column:
     return (
         F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(found, r"\D", ""))
         .when(kind == "iban", F.replace(found, F.lit(" "), F.lit("")))
-        .when(kind.isin("email", "man", "woman"), F.lower(found))
+        .when(kind.isin("man", "woman"), F.lower(F.regexp_replace(found, _TITLE, "")))
+        .when(kind == "email", F.lower(found))
         .when(kind == "secret", F.lower(found))
         .otherwise(found)
     )
 
 
+def has_any(text: Column) -> Column:
+    """Whether a text has an entity; null counts as none."""
+    return F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
+
+
 def entities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``id, row, text, found, gaps`` of texts with an entity: the entities, as
     ``kind, raw``, and the texts around them, one more than entities."""
-    own = docs.select(doc_key(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(ANY))
+    own = docs.select(doc_key(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(has_any(F.col("text")))
     own = own.withColumn("row", F.xxhash64("text")).withColumn("raw", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).withColumn("gaps", F.split("text", ANY, -1))
-    woman = F.lit(rf"\b(?:{_WOMEN})\.? $")
-    found = F.transform("raw", lambda m, i: F.struct(F.coalesce(kind_of(m), F.when(F.regexp_like(F.get("gaps", i), woman), "woman").otherwise("man")).alias("kind"), m.alias("raw")))
+    found = F.transform("raw", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("raw")))
     return own.select("id", "row", "gaps", found.alias("found"))
 
 
-def _hex_at(stream: Column, at: Column) -> Column:
-    """A hex digit of the 128 of the stream, as a number."""
-    digit = F.substr(stream, at % 128 + 1, F.lit(1))
-    return F.ascii(digit) - F.when(digit >= "a", 87).otherwise(48)
+def _pick(choices: list[str], stream: Column, at: int) -> Column:
+    """One of some words, by four hex digits of the stream."""
+    number = F.conv(F.substr(stream, F.lit(at), F.lit(4)), 16, 10).cast("int")
+    return F.element_at(F.array(*map(F.lit, choices)), number % len(choices) + 1)
 
 
-def _number(stream: Column, at: Column) -> Column:
-    """A number below 4096 from three places of the stream."""
-    return _hex_at(stream, at) * 256 + _hex_at(stream, at + 41) * 16 + _hex_at(stream, at + 83)
+def _number(stream: Column, at: int, least: int, most: int) -> Column:
+    """A number in ``[least, most)`` as text."""
+    return (F.conv(F.substr(stream, F.lit(at), F.lit(6)), 16, 10).cast("int") % (most - least) + least).cast("string")
 
 
-def _letter(alphabet: str, stream: Column, at: Column) -> Column:
-    return F.substr(F.lit(alphabet), _number(stream, at) % len(alphabet) + 1, F.lit(1))
+def _digits(stream: Column) -> Column:
+    return F.translate(stream, "abcdef", "274961")
 
 
-def _same_form(value: Column, stream: Column, digits: str = "0123456789", letters: str = "abcdefghijklmnopqrstuvwxyz", keep: int = 0) -> Column:
-    """``value`` with digits and lower-case letters replaced after the first ``keep``."""
+def _letters(stream: Column) -> Column:
+    return F.translate(stream, "0123456789abcdef", "aeioustnrlmdkvbg")
 
-    def char(c: Column, i: Column) -> Column:
-        return F.when(i < keep, c).when(c.between("0", "9"), _letter(digits, stream, i)).when(c.between("a", "z"), _letter(letters, stream, i)).otherwise(c)
 
+def _same_form(value: Column, stream: Column, keep: int = 0) -> Column:
+    """``value`` with digits and lower-case letters after the first ``keep``
+    replaced by those of the stream."""
+    digits, letters = _digits(stream), _letters(stream)
+    own = lambda s, i: F.substr(s, i % 128 + 1, F.lit(1))
+    char = lambda c, i: F.when(i < keep, c).when(c.between("0", "9"), own(digits, i)).when(c.between("a", "z"), own(letters, i)).otherwise(c)
     return F.array_join(F.transform(F.split(value, ""), char), "")
 
 
+def _digit_sum(digits: Column) -> Column:
+    return sum((d * (F.length(digits) - F.length(F.replace(digits, F.lit(str(d)), F.lit("")))) for d in range(1, 10)), F.lit(0))
+
+
 def _luhn(digits: Column) -> Column:
-    """The sum of the check-digit rule, the last digit counted once."""
-    n = F.length(digits)
+    """The sum of the check-digit rule for an even number of digits or odd: every
+    second digit from the right but one counts double, its own digits summed."""
+    even = F.when(F.length(digits) % 2 == 0, digits).otherwise(F.concat(F.lit("0"), digits))
+    doubled = F.translate(F.regexp_replace(even, "(.)(.)", "$1"), "123456789", "246813579")
+    return _digit_sum(doubled) + _digit_sum(F.regexp_replace(even, "(.)(.)", "$2"))
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substr(digits, i, F.lit(1)).cast("int")
-        doubled = F.when((n - i) % 2 == 1, d * 2).otherwise(d)
-        return total + F.when(doubled > 9, doubled - 9).otherwise(doubled)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+def _name(gender: str, script: str, value: Column, stream: Column, draw: Column) -> Column:
+    """As many words: given names by gender, then a surname of syllables."""
+    parts, given = SYLLABLES[script], NAMES[gender, script]
+    surname = F.concat(_pick(parts, stream, 1), _pick(parts, stream, 9), _pick(parts, stream, 17), F.when(draw > 0, _pick(parts, stream, 25)).otherwise(F.lit("")))
+    first = F.slice(F.array(_pick(given, stream, 33), _pick(given, stream, 41)), F.lit(1), F.size(F.split(value, " ")) - 1)
+    return F.lower(F.concat_ws(" ", first, surname))
 
 
-def _title(word: Column) -> Column:
-    return F.concat(F.upper(F.substr(word, F.lit(1), F.lit(1))), F.substr(word, F.lit(2)))
+def streams(kind: Column, value: Column, draw: Column, key: str = KEY) -> dict[str, Column]:
+    """128 hex digits by the key and the entity, and by its host for addresses."""
+    host = F.when(kind == "email", F.substring_index(value, "@", -1)).otherwise(F.lit(""))
+    return {"own": F.sha2(F.concat_ws("|", F.lit(key), kind, value, draw.cast("string")), 512), "host": F.sha2(F.concat_ws("|", F.lit(key), F.lit("host"), host), 512)}
 
 
-def _name(kind: str, value: Column, stream: Column, draw: Column) -> Column:
-    """As many words: given names by gender, then a surname of syllables."""
-    latin = None
-    for script in ("latin", "cyrillic"):
-        given, parts = NAMES[kind, script], SYLLABLES[script]
-        pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (_number(stream, at) % len(words) + 1).cast("int"))  # noqa: B023, E731
-        surname = _title(F.concat(pick(parts, F.lit(3)), pick(parts, F.lit(11)), pick(parts, F.lit(23)), F.when(draw > 0, pick(parts, F.lit(31))).otherwise(F.lit(""))))
-        words = F.transform(F.split(value, " "), lambda _, i: F.when(i < F.size(F.split(value, " ")) - 1, pick(given, i * 7 + 50)).otherwise(surname))  # noqa: B023
-        made = F.array_join(words, " ")
-        latin = made if latin is None else F.when(value.rlike(r"\p{IsCyrillic}"), made).otherwise(latin)
-    return F.lower(latin)
-
-
-def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Column:
-    """The ``draw``-th surrogate of a canonical entity, itself canonical."""
-    stream = F.sha2(F.concat_ws("|", F.lit(key), kind, value, draw.cast("string")), 512)
-    byte = lambda at, most, least=0: (_number(stream, F.lit(at)) % (most - least) + least).cast("string")
-    host = F.substring_index(value, "@", -1)
-    host_stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit("host"), host), 512)
-    ending = F.substring_index(host, ".", -1)
-    email = F.concat(_same_form(F.substring_index(value, "@", 1), stream), F.lit("@"), _same_form(F.substr(host, F.lit(1), F.length(host) - F.length(ending) - 1), host_stream), F.lit("."), ending)
-    digits = _same_form(value, stream, keep=1)
-    body = F.substr(digits, F.lit(1), F.length(digits) - 1)
+def surrogate(kind: Column, value: Column, draw: Column, own: Column, host: Column) -> Column:
+    """The ``draw``-th surrogate of a canonical entity, itself canonical.
+
+    ``own`` and ``host`` are columns with the digits of :func:`streams`.
+    """
+    domain = F.substring_index(value, "@", -1)
+    ending = F.substring_index(domain, ".", -1)
+    email = F.concat(_same_form(F.substring_index(value, "@", 1), own), F.lit("@"), _same_form(F.substr(domain, F.lit(1), F.length(domain) - F.length(ending) - 1), host), F.lit("."), ending)
+    n = F.length(value)
+    digits = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(_digits(own), F.lit(1), n - 1))
+    body = F.substr(digits, F.lit(1), n - 1)
     checked = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    return (
+    cyrillic = value.rlike(r"\p{IsCyrillic}")
+    out = (
         F.when(kind == "email", email)
-        .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), _same_form(value, stream, "0123456789", "abcdef")).otherwise(_same_form(value, stream, keep=4)))
-        .when(kind == "ip", F.concat_ws(".", byte(0, 224, 1), byte(9, 256), byte(17, 256), byte(29, 255, 1)))
+        .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), F.substr(own, F.lit(1), n)).otherwise(_same_form(value, own, keep=4)))
+        .when(kind == "ip", F.concat_ws(".", _number(own, 1, 1, 224), _number(own, 11, 0, 256), _number(own, 21, 0, 256), _number(own, 31, 1, 255)))
         .when(kind == "card", F.when(_luhn(value) % 10 == 0, checked).otherwise(digits))
-        .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), F.upper(_same_form(F.lower(F.substr(value, F.lit(3))), stream))))
-        .when(kind == "man", _name("man", value, stream, draw))
-        .when(kind == "woman", _name("woman", value, stream, draw))
-        .otherwise(_same_form(value, stream, keep=1))
+        .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), F.upper(_same_form(F.lower(F.substr(value, F.lit(3))), own))))
     )
+    for gender in ("man", "woman"):
+        out = out.when(kind == gender, F.when(cyrillic, _name(gender, "cyrillic", value, own, draw)).otherwise(_name(gender, "latin", value, own, draw)))
+    return out.otherwise(digits)
 
 
 def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
@@ -160,7 +171,8 @@ def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
     values = put(found.select("kind", "value").distinct(), "entities")
     drawn = values.withColumn("draw", F.lit(0))
     for _ in range(MAX_DRAWS):
-        named = put(drawn.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("draw"), key)), "surrogates")
+        hashed = put(drawn.withColumns(streams(F.col("kind"), F.col("value"), F.col("draw"), key)), "streams")
+        named = put(hashed.select("kind", "value", "draw", surrogate(*[F.col(c) for c in ("kind", "value", "draw", "own", "host")]).alias("surrogate")), "surrogates")
         first = named.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.count("*").alias("n"))
         real = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
         clash = first.join(real, ["kind", "surrogate"], "left").where("n > 1 OR real").select("kind", "surrogate", F.when(F.col("real"), F.lit(None)).otherwise(F.col("first")).alias("keeper"))
@@ -175,7 +187,9 @@ def dress(kind: Column, raw: Column, made: Column) -> Column:
     """The surrogate in the spelling of the occurrence."""
     spread = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.between("0", "9"), F.substr(made, F.length(F.regexp_replace(F.substr(raw, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
     spaced = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(made, F.length(F.replace(F.substr(raw, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
-    cased = F.when(raw == F.upper(raw), F.upper(made)).when(kind.isin("man", "woman"), F.initcap(made)).when((kind == "secret") & (raw != F.lower(raw)), F.concat(F.substr(raw, F.lit(1), F.lit(4)), F.substr(made, F.lit(5)))).otherwise(made)
+    name = F.regexp_replace(raw, _TITLE, "")
+    named = F.concat(F.regexp_extract(raw, _TITLE, 0), F.when(name == F.upper(name), F.upper(made)).otherwise(F.initcap(made)))
+    cased = F.when(kind.isin("man", "woman"), named).when(raw == F.upper(raw), F.upper(made)).when((kind == "secret") & (raw != F.lower(raw)), F.concat(F.substr(raw, F.lit(1), F.lit(4)), F.substr(made, F.lit(5)))).otherwise(made)
     return F.when(kind.isin("card", "phone", "ssn"), spread).when(kind == "iban", spaced).when(kind == "ip", made).otherwise(cased)
 
 
@@ -200,7 +214,7 @@ def anonymise(docs: DataFrame, key: str = KEY, text: str = "text", doc_id: str =
         F.concat(F.get("gaps", F.lit(0)), F.array_join(F.transform("made", lambda e, i: F.concat(e["made"], F.get("gaps", i + 1))), "")).alias("clean"),
     )
     none = F.array().cast("array<string>")
-    with_any = F.coalesce(F.col(text).cast("string").rlike(ANY), F.lit(False))
+    with_any = has_any(F.col(text).cast("string"))
     plain = docs.where(~with_any).select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"), F.col(text).cast("string").alias("clean_text"))
     hit = docs.where(with_any).select(F.col(doc_id).cast("long").alias("doc_id"), doc_key(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("row"))
     done = hit.join(cleaned, ["id", "row"]).select("doc_id", F.size("kinds").cast("long").alias("n_entities"), "kinds", F.col("clean").alias("clean_text"))
