@@ -99,18 +99,18 @@ def dual_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost
     """
     w, bias = np.zeros(SIZE), 0.0
     dual = np.zeros(len(rows))
-    scaled = [values[r] for r in rows]
-    norms = np.array([float(v @ v) for v in scaled]) + 1.0
+    norms = np.array([float(values[r] @ values[r]) for r in rows]) + 1.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            slack = y[i] * (float(w[rows[i]] @ scaled[i]) + bias) - 1
+            scaled = values[rows[i]]
+            slack = y[i] * (float(w[rows[i]] @ scaled) + bias) - 1
             new = min(max(dual[i] - slack / norms[i], 0.0), cost[i])
             if new != dual[i]:
                 step = (new - dual[i]) * y[i]
                 moved = max(moved, abs(new - dual[i]) / cost[i])
-                w[rows[i]] += step * scaled[i]
+                w[rows[i]] += step * scaled
                 bias += step
                 dual[i] = new
         if moved < 1e-3:
@@ -184,12 +184,27 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fitted(c: float, blend: float):
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(W.mix(table["id"].to_numpy().astype(np.uint64)), kind="stable")
-        found = table["found"].combine_chunks()
-        rows = [np.frombuffer(found[int(i)].as_py(), "<i4") for i in order]
-        model = fit(rows, table["good"].to_numpy()[order], c, blend)
-        return pa.table({"weights": pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), "bias": [model.bias], "slope": [model.slope], "shift": [model.shift]})
+    """Fit on the rows of a partition, held as one array of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, good, sizes, parts = [], [], [], []
+        for batch in batches:
+            found = batch.column(2)
+            ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+            ids.append(batch.column(0).to_numpy().astype(np.uint64))
+            good.append(batch.column(1).to_numpy())
+            sizes.append(np.diff(ends) // 4)
+            parts.append(np.frombuffer(found.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<i4").copy())
+        if not sum(map(len, ids)):
+            return
+        ends = np.cumsum(np.concatenate(sizes))
+        flat = np.concatenate(parts)
+        parts.clear()
+        order = np.argsort(W.mix(np.concatenate(ids)), kind="stable")
+        rows = [flat[ends[i - 1] if i else 0 : ends[i]] for i in order]
+        model = fit(rows, np.concatenate(good)[order], c, blend)
+        columns = [pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), *(pa.array([x], pa.float64()) for x in (model.bias, model.slope, model.shift))]
+        yield pa.RecordBatch.from_arrays(columns, ["weights", "bias", "slope", "shift"])
 
     return run
 
@@ -197,8 +212,9 @@ def _fitted(c: float, blend: float):
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, c: float = 1.0, blend: float = 0.25, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model:
     """Fit on a bounded sample, in one task; only the model reaches the driver."""
     rows = sample(docs, labels, max_rows, text, doc_id, label).select("id", "text", "good").mapInArrow(_featured, "id long, good int, found binary")
-    # At most max_rows rows in the one group.
-    got = rows.groupBy(F.lit("all").alias("one")).applyInArrow(_fitted(c, blend), "weights binary, bias double, slope double, shift double").collect()
+    # One partition of at most max_rows rows.
+    together = rows.repartition(1).sortWithinPartitions("id", "good", F.xxhash64("found"))
+    got = together.mapInArrow(_fitted(c, blend), "weights binary, bias double, slope double, shift double").collect()
     if not got:
         return Model(np.zeros(SIZE), 0.0, 1.0, 0.0)
     return Model(np.frombuffer(got[0].weights, "<f4").astype(np.float64), got[0].bias, got[0].slope, got[0].shift)
