@@ -229,7 +229,8 @@ def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:
         counts[length] = n
         total += n
     placed = plan(counts, window)
-    table = spark.createDataFrame([tuple(map(int, r)) for r in placed], "length long, low long, high long, first_sequence long, offset long")
+    # From Arrow, so that no Python worker is started to convert rows.
+    table = spark.createDataFrame(pa.table(dict(zip(("length", "low", "high", "first_sequence", "offset"), placed.T, strict=True))))
     order = F.xxhash64("doc_id", "start", "ids_crc32")
     salted = cut.withColumn("__salt", F.pmod(order, F.lit(1 + total // RANKED_AT_ONCE)))
     before = salted.groupBy("length", "__salt").count().withColumn("__before", F.sum("count").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)))
