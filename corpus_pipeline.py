@@ -7,6 +7,8 @@ of ``documents``.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import exactdup, mixing, neardup, packing, quality
@@ -26,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.deduplicate(docs)
+    """One document of each group of near-duplicates: five-word shingle sets with a similarity of 0.8 or more."""
+    return neardup.deduplicate(docs, threshold=Fraction(80, 100), n_bands=37)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@
 5. Components of the links are the groups.
 
 A pair at the threshold shares a band with probability 1 - (1 - t^rows)^bands:
-at t = 0.85 it is missed with 5e-7 by 25 bands of 5 rows.
+at t = 0.85 it is missed with 5e-7 by 25 bands of 5 rows, at t = 0.8 by 37.
 """
 
 from __future__ import annotations
@@ -42,9 +42,14 @@ MISS = 1e-6
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 _NULL = 1 << 62
 
+#: Bands for which there are hash functions; the first BANDS are the same for all.
+MOST_BANDS = 64
+
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MUL = np.r_[_MUL, _rng.integers(1, 1 << 62, (MOST_BANDS - BANDS) * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
+_ADD = np.r_[_ADD, _rng.integers(0, 1 << 63, (MOST_BANDS - BANDS) * ROWS, dtype=np.uint64)]
 
 
 def node(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -63,18 +68,19 @@ def shingle_set(hashes: np.ndarray, k: int = K) -> np.ndarray:
     return np.unique(W.shingles(hashes, min(k, len(hashes))))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
+def signature(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """The least value of each hash function over a non-empty set."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    n = bands * ROWS
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 4096):
-        np.minimum(least, (found[at : at + 4096, None] * _MUL + _ADD).min(0), out=least)
+        np.minimum(least, (found[at : at + 4096, None] * _MUL[:n] + _ADD[:n]).min(0), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
+def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit key per band for each row of signatures."""
-    s = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = W.mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(11)) + np.zeros((len(s), 1), np.uint64)
+    s = signatures.reshape(-1, bands, ROWS).astype(np.uint64)
+    key = W.mix(np.arange(bands, dtype=np.uint64) + np.uint64(11)) + np.zeros((len(s), 1), np.uint64)
     for r in range(ROWS):
         key = W.mix(key * np.uint64(0x9FB21C651E98DF25) + s[:, :, r])
     return key
@@ -95,11 +101,11 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n
 
 
-def survivors(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def survivors(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, miss: float, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs ``left[a], right[b]`` after all signature batches, with matches."""
     matches = np.zeros(len(a), np.int32)
-    for at in range(0, BANDS * ROWS, BANDS):
-        stop = min(at + BANDS, BANDS * ROWS)
+    for at in range(0, bands * ROWS, bands):
+        stop = at + bands
         for lo in range(0, len(a), 65536):
             some = slice(lo, lo + 65536)
             matches[some] += (left[a[some], at:stop] == right[b[some], at:stop]).sum(1, dtype=np.int32)
@@ -108,7 +114,7 @@ def survivors(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray,
     return a, b, matches
 
 
-def _summary(k: int):
+def _summary(k: int, bands: int = BANDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k1, k2, keys = [], [], [], []
@@ -119,7 +125,7 @@ def _summary(k: int):
                     n.append(len(found))
                     k1.append(int.from_bytes(d[:8], "little", signed=True))
                     k2.append(int.from_bytes(d[8:], "little", signed=True))
-                    keys.append(band_keys(signature(found))[0].view(np.int64) if len(found) else np.zeros(0, np.int64))
+                    keys.append(band_keys(signature(found, bands), bands)[0].view(np.int64) if len(found) else np.zeros(0, np.int64))
             offsets = np.zeros(len(keys) + 1, np.int32)
             np.cumsum([len(x) for x in keys], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64()))
@@ -141,7 +147,7 @@ class _Forest:
         self.parent[self.root(x)] = self.root(y)
 
 
-def _compare(k: int, threshold: Fraction, miss: float):
+def _compare(k: int, threshold: Fraction, miss: float, bands: int = BANDS):
     num, den = threshold.numerator, threshold.denominator
 
     def run(table: pa.Table) -> pa.Table:
@@ -149,16 +155,16 @@ def _compare(k: int, threshold: Fraction, miss: float):
         sets = []
         for x in W.blocks(table["text"], lower=True):
             sets += [shingle_set(x.hashes[x.bounds[i] : x.bounds[i + 1]], k) for i in range(len(x))]
-        signs = np.array([signature(s) if len(s) else np.zeros(BANDS * ROWS, np.uint32) for s in sets])
-        keys = band_keys(signs)
+        signs = np.array([signature(s, bands) if len(s) else np.zeros(bands * ROWS, np.uint32) for s in sets])
+        keys = band_keys(signs, bands)
         lo, hi = table["i"][0].as_py(), table["j"][0].as_py()
         one = np.flatnonzero(block == lo)
         two = one if lo == hi else np.flatnonzero(block == hi)
         shared = np.zeros((len(one), len(two)), bool)
-        for band in range(BANDS):
+        for band in range(bands):
             shared |= keys[one, band][:, None] == keys[two, band][None, :]
         a, b = np.nonzero(np.triu(shared, 1) if lo == hi else shared)
-        a, b, matches = survivors(signs[one], signs[two], a, b, float(threshold), miss)
+        a, b, matches = survivors(signs[one], signs[two], a, b, float(threshold), miss, bands)
         forest, links = _Forest(), []
         for p in np.argsort(-matches, kind="stable"):
             x, y = int(one[a[p]]), int(two[b[p]])
@@ -187,7 +193,7 @@ def _blocks(n: str, size: str) -> Column:
     return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
 
 
-def links(texts: DataFrame, heads: DataFrame, k: int = K, threshold: Fraction = THRESHOLD, miss: float = MISS) -> DataFrame:
+def links(texts: DataFrame, heads: DataFrame, k: int = K, threshold: Fraction = THRESHOLD, miss: float = MISS, n_bands: int = BANDS) -> DataFrame:
     """Verified links ``a, b, n_both, n_union`` that span each group.
 
     ``texts``: ``id, text``; ``heads``: ``id, n, bands`` of the classes' smallest ids.
@@ -206,10 +212,10 @@ def links(texts: DataFrame, heads: DataFrame, k: int = K, threshold: Fraction =
     split = inside.join(parts, "band").select(F.lit(1).alias("kind"), F.col("band").alias("cluster"), "blocks", "id")
 
     grouped = _dealt(whole.union(split)).join(texts, "id")
-    return grouped.groupBy("kind", "cluster", "i", "j").applyInArrow(_compare(k, threshold, miss), "a long, b long, n_both long, n_union long")
+    return grouped.groupBy("kind", "cluster", "i", "j").applyInArrow(_compare(k, threshold, miss, n_bands), "a long, b long, n_both long, n_union long")
 
 
-def classes(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD, miss: float = MISS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def classes(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD, miss: float = MISS, text: str = "text", doc_id: str = "doc_id", n_bands: int = BANDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per document.
 
     Documents without words are linked with nothing.  Rows that repeat an id
@@ -218,11 +224,11 @@ def classes(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD, miss:
     others; ids below 2**62 are expected.
     """
     texts = docs.select(node(doc_id, text).alias("id"), F.col(text).cast("string").alias("text"))
-    seen = put(texts.mapInArrow(_summary(k), "id long, n long, k1 long, k2 long, bands array<long>"), "shingles")
+    seen = put(texts.mapInArrow(_summary(k, n_bands), "id long, n long, k1 long, k2 long, bands array<long>"), "shingles")
     sets = seen.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("head"), F.first("bands").alias("bands"))
     sets = put(sets, "sets")
     heads = sets.select(F.col("head").alias("id"), "n", "bands")
-    found = put(links(texts, heads, k, threshold, miss), "links")
+    found = put(links(texts, heads, k, threshold, miss, n_bands), "links")
     groups = components(found).select(F.col("node").alias("head"), "component")
     named = sets.drop("bands").join(groups, "head", "left").select("k1", "k2", "n", F.coalesce("component", "head").alias("component"))
     # An id with several texts is in the group of each: the least one names it.
@@ -230,8 +236,8 @@ def classes(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD, miss:
     return out.select(_given(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), _given(F.col("component")).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"), F.col("id").alias("node"))
 
 
-def deduplicate(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD, miss: float = MISS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD, miss: float = MISS, text: str = "text", doc_id: str = "doc_id", n_bands: int = BANDS) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group."""
-    kept = classes(docs, k, threshold, miss, text, doc_id).where("kept").select(F.col("node").alias("__tl_node")).distinct()
+    kept = classes(docs, k, threshold, miss, text, doc_id, n_bands).where("kept").select(F.col("node").alias("__tl_node")).distinct()
     own = docs.withColumn("__tl_node", node(doc_id, text))
     return own.join(kept, "__tl_node", "left_semi").drop("__tl_node")
