@@ -8,6 +8,7 @@ DataFrame expressions are used.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ from tickloom.llm.scratch import put
 SEED = 20240131
 #: Up to so many sources the rates are broadcast (about 1 kB each); beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 5_000
+#: Up to this rate the distribution starts at exp(-rate), which is 0 in doubles from about 745 on.
+DIRECT_RATE = 500.0
 
 
 def _hex(digits: int, *parts: Column) -> Column:
@@ -34,8 +37,17 @@ def _source(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
+def _mass(k: Column, rate: Column) -> Column:
+    """The Poisson probability of ``k`` in log space, for ``k`` of some hundreds at
+    least: k ln(rate) - rate - ln(k!) by Stirling's series, without its large terms."""
+    k = k.cast("double")
+    log_factorial = 1 / (12 * k) - 1 / (360 * k * k * k) + 0.5 * F.log(2 * math.pi * k)
+    return F.exp(k - rate - k * F.log1p((k - rate) / rate) - log_factorial)
+
+
 def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, total: float | None = None, power: float = 0.5, source: str = "source") -> DataFrame:
-    """``source_key, n, rate, cdf`` of each source.
+    """``source_key, n, rate, cdf, least`` of each source: the distribution of
+    its counts from ``least`` on.
 
     ``weights`` are target shares by source (a source not named gets 0); by
     default a source of n documents weighs ``n ** power``.  ``total`` documents
@@ -57,22 +69,29 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, total: fl
         F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("cdf")),
         lambda s, k: F.struct((s["p"] * F.col("rate") / k).alias("p"), (s["c"] + s["p"] * F.col("rate") / k).alias("c"), F.concat(s["cdf"], F.array(s["c"] + s["p"] * F.col("rate") / k)).alias("cdf")),
     )
-    return rated.select("source_key", "n", "rate", grown["cdf"].alias("cdf"))
+    direct = F.col("rate") <= DIRECT_RATE
+    least = F.when(direct, 0).otherwise(F.floor(F.col("rate") - 12 * F.sqrt("rate") - 20)).cast("int")
+    far = F.aggregate(
+        F.sequence(least, last),
+        F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("cdf")),
+        lambda s, k: F.struct((s["c"] + _mass(k, F.col("rate"))).alias("c"), F.concat(s["cdf"], F.array(s["c"] + _mass(k, F.col("rate")))).alias("cdf")),
+    )
+    return rated.select("source_key", "n", "rate", F.when(direct, grown["cdf"]).otherwise(far["cdf"]).alias("cdf"), least.alias("least"))
 
 
 def copies(docs: DataFrame, weights: Mapping[str, float] | None = None, total: float | None = None, power: float = 0.5, seed: int = SEED, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with ``__tl_n``, the number of copies of each row.
 
     A null source is a source of its own and a null id has one hash; repeated
-    rows get equal counts.  An empty table stays empty.  Rates must be at most
-    about 700, as the distribution starts at exp(-rate).
+    rows get equal counts.  An empty table stays empty.  Large rates are drawn
+    from the counts within 12 deviations of the rate.
     """
-    table = put(rates(docs, weights, total, power, source).select(F.col("source_key").alias("__tl_source"), F.col("cdf").alias("__tl_cdf")), "rates")
+    table = put(rates(docs, weights, total, power, source).select(F.col("source_key").alias("__tl_source"), F.col("cdf").alias("__tl_cdf"), F.col("least").alias("__tl_least")), "rates")
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     keyed = docs.withColumn("__tl_source", _source(source)).join(table, "__tl_source")
     u = uniform(seed, F.col(doc_id))
-    return keyed.withColumn("__tl_u", u).withColumn("__tl_n", F.size(F.filter("__tl_cdf", lambda c: c <= F.col("__tl_u")))).drop("__tl_source", "__tl_cdf", "__tl_u")
+    return keyed.withColumn("__tl_u", u).withColumn("__tl_n", F.col("__tl_least") + F.size(F.filter("__tl_cdf", lambda c: c <= F.col("__tl_u")))).drop("__tl_source", "__tl_cdf", "__tl_least", "__tl_u")
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, total: float | None = None, power: float = 0.5, seed: int = SEED, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
