@@ -7,7 +7,8 @@ stay digits, letters stay letters of the same case, separators stay where they
 are; IP addresses stay valid, card numbers pass the check digit if they did,
 and titled names keep their gender and script.  Surrogates that would stand for
 two entities, or that equal an entity of the corpus, are drawn again until all
-are distinct.  Only DataFrame expressions are used.
+are distinct; addresses, secrets and names still in collision after a few draws
+get longer.  Only DataFrame expressions are used.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tickloom.llm.scratch import doc_key, put
 
 KEY = "tickloom"
 MAX_DRAWS = 30
+#: From this draw on addresses, secrets and names get longer with each draw.
+WIDEN = 4
 _MEN = "Mr|Mister|Herr|Herrn|Monsieur|Señor|Don|Sir|Господин|г-н"
 _WOMEN = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Doña|Госпожа|г-жа"
 #: Kinds in the order in which they are tried at one place; fixed patterns.
@@ -28,14 +31,14 @@ PATTERNS = {
     "ip": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b(?!\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"\b(?:\d[ -]?){12,15}\d\b",
-    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])\d{3,4}(?:[ .-]?\d{2,4}){1,3}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b)",
+    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])\d{3,4}(?:[ .-]?\d{2,4}){1,3}\b|\+[1-9]\d{7,14}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b|(?<![\d.])\d{3}\.\d{3}\.\d{4}\b(?!\.\d))",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "man": rf"\b(?:{_MEN})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}",
     "woman": rf"\b(?:{_WOMEN})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}",
 }
 ANY = "|".join(PATTERNS.values())
-#: Every entity has a digit, an at-sign or a title: texts without are not searched further.
-HINT = rf"[0-9@]|\b(?:{_MEN}|{_WOMEN})\b"
+#: Every entity has a digit, an at-sign, a title or the start of a secret: texts without are not searched further.
+HINT = rf"[0-9@]|\b(?:{_MEN}|{_WOMEN})\b|AKIA|\b(?:sk|pk|ghp|gho|xox[abp])[-_]|\b(?:[a-f]{{32}}|[A-F]{{32}})"
 _TITLE = rf"^(?:{_MEN}|{_WOMEN})\.? "
 #: Given names and surname syllables by script; made up from common names.
 NAMES = {
@@ -103,12 +106,22 @@ def _letters(stream: Column) -> Column:
     return F.translate(stream, "0123456789abcdef", "aeioustnrlmdkvbg")
 
 
+def _others(stream: Column) -> Column:
+    """The letters that :func:`_letters` does not give, and some of its own."""
+    return F.translate(stream, "0123456789abcdef", "cfhjpqwxyzaeiost")
+
+
+def _longer(draw: Column, stream: Column) -> Column:
+    """More letters the more often an entity has been drawn."""
+    return F.when(draw >= WIDEN, F.substr(_letters(stream), F.lit(64), draw - (WIDEN - 1))).otherwise(F.lit(""))
+
+
 def _same_form(value: Column, stream: Column, keep: int = 0) -> Column:
     """``value`` with digits and lower-case letters after the first ``keep``
     replaced by those of the stream."""
-    digits, letters = _digits(stream), _letters(stream)
+    digits, letters, others = _digits(stream), _letters(stream), _others(stream)
     own = lambda s, i: F.substr(s, i % 128 + 1, F.lit(1))
-    char = lambda c, i: F.when(i < keep, c).when(c.between("0", "9"), own(digits, i)).when(c.between("a", "z"), own(letters, i)).otherwise(c)
+    char = lambda c, i: F.when(i < keep, c).when(c.between("0", "9"), own(digits, i)).when(c.between("a", "z"), F.when(own(stream, i + 61) < "8", own(letters, i)).otherwise(own(others, i))).otherwise(c)
     return F.array_join(F.transform(F.split(value, ""), char), "")
 
 
@@ -127,7 +140,7 @@ def _luhn(digits: Column) -> Column:
 def _name(gender: str, script: str, value: Column, stream: Column, draw: Column) -> Column:
     """As many words: given names by gender, then a surname of syllables."""
     parts, given = SYLLABLES[script], NAMES[gender, script]
-    surname = F.concat(_pick(parts, stream, 1), _pick(parts, stream, 9), _pick(parts, stream, 17), F.when(draw > 0, _pick(parts, stream, 25)).otherwise(F.lit("")))
+    surname = F.concat(_pick(parts, stream, 1), _pick(parts, stream, 9), _pick(parts, stream, 17), F.when(draw > 0, _pick(parts, stream, 25)).otherwise(F.lit("")), F.when(draw >= WIDEN, F.concat(_pick(parts, stream, 49), _pick(parts, stream, 57))).otherwise(F.lit("")))
     first = F.slice(F.array(_pick(given, stream, 33), _pick(given, stream, 41)), F.lit(1), F.size(F.split(value, " ")) - 1)
     return F.lower(F.concat_ws(" ", first, surname))
 
@@ -145,7 +158,7 @@ def surrogate(kind: Column, value: Column, draw: Column, own: Column, host: Colu
     """
     domain = F.substring_index(value, "@", -1)
     ending = F.substring_index(domain, ".", -1)
-    email = F.concat(_same_form(F.substring_index(value, "@", 1), own), F.lit("@"), _same_form(F.substr(domain, F.lit(1), F.length(domain) - F.length(ending) - 1), host), F.lit("."), ending)
+    email = F.concat(_same_form(F.substring_index(value, "@", 1), own), _longer(draw, own), F.lit("@"), _same_form(F.substr(domain, F.lit(1), F.length(domain) - F.length(ending) - 1), host), F.lit("."), ending)
     n = F.length(value)
     digits = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(_digits(own), F.lit(1), n - 1))
     body = F.substr(digits, F.lit(1), n - 1)
@@ -153,7 +166,7 @@ def surrogate(kind: Column, value: Column, draw: Column, own: Column, host: Colu
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     out = (
         F.when(kind == "email", email)
-        .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), F.substr(own, F.lit(1), n)).otherwise(_same_form(value, own, keep=4)))
+        .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), F.substr(own, F.lit(1), n)).otherwise(F.concat(_same_form(value, own, keep=4), _longer(draw, own))))
         .when(kind == "ip", F.concat_ws(".", _number(own, 1, 1, 224), _number(own, 11, 0, 256), _number(own, 21, 0, 256), _number(own, 31, 1, 255)))
         .when(kind == "card", F.when(_luhn(value) % 10 == 0, checked).otherwise(digits))
         .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), F.upper(_same_form(F.lower(F.substr(value, F.lit(3))), own))))
