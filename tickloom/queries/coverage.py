@@ -41,8 +41,9 @@ def w6(spark, sf_dir):
 
 @query("w8_weighted_deviation", f"WITH {BARS}, n AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date, bar_id) AS bar, vwap AS ret FROM bars) SELECT symbol, bar, round(std + 1.3e-7, 4) + 0.0 AS std FROM {ewm_sql('n', 'symbol', 'bar')}")
 def w8(spark, sf_dir):
-    own = numbered_bars(spark, sf_dir).select("symbol", "bar", volatility.ewm_std(F.col("vwap"), 100, ["symbol"], ["bar"]).alias("std"))
-    return rounded(own, 4, nudge=True)
+    own = numbered_bars(spark, sf_dir).select("symbol", "bar", "vwap")
+    spread = volatility.ewm_std_fold(own, "vwap", "std", 100, ["symbol"], ["bar"], "symbol string, bar int, vwap double, std double")
+    return rounded(spread.select("symbol", "bar", "std"), 4, nudge=True)
 
 
 @query("w14_expanding_moments", f"WITH {_NB} SELECT symbol, bar, round(avg(c) OVER e + 1.3e-9, 6) AS mean, CASE WHEN bar > 1 THEN round(covar_samp(c, v) OVER e + 1.3e-7, 4) + 0.0 END AS cov FROM b WINDOW e AS (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING)")
