@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tickloom.queries import coverage
+from tickloom.queries import backtests, coverage
 
 
 def test_weighted_deviation_of_a_long_series(spark, monkeypatch):
@@ -19,3 +19,7 @@ def test_weighted_deviation_of_a_long_series(spark, monkeypatch):
             want = ((s2 / w - (s1 / w) ** 2) * w * w / (w * w - w2)) ** 0.5
             assert abs(got[i] - want) < 1e-3, i
     assert np.isnan(got[0])
+
+
+def test_bet_sizes_of_all_events(spark, sf):
+    assert backtests.m20(spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
