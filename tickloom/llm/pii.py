@@ -1,29 +1,40 @@
 """Personal data replaced by surrogates of the same type and format.
 
-Entities are found by patterns.  Each distinct entity gets a surrogate derived
-from a secret key and the entity, so that it is the same everywhere it occurs
-(coreference) and nobody without the key can tell what it stood for.  Digits
-stay digits, letters stay letters of the same case, separators stay where they
-are; IP addresses stay valid, card numbers pass the check digit if they did,
-and titled names keep their gender and script.  Surrogates that would stand for
-two entities, or that equal an entity of the corpus, are drawn again until all
-are distinct; addresses, secrets and names still in collision after a few draws
-get longer.  Only DataFrame expressions are used.
+Entities are found by patterns.  An entity is cut into atoms (the mailbox and
+the host of an address, the words of a name, else the whole value), and each
+atom gets a surrogate by a keyed permutation of its form: digits stay digits,
+letters stay letters of their alphabet, vowels stay vowels in names, and so do
+the lengths, country codes, card and account check digits, name endings and
+separators.  So a surrogate is the same wherever its entity occurs
+(coreference, also of parts: Mr. Smith keeps the family name of Mr. John Smith),
+nobody without the key can tell what it stood for, and no two entities share
+one: permutations have no collisions, whatever the number of entities.
+
+A surrogate that is itself an entity of the corpus is drawn again, from another
+permutation, until it is neither an entity nor taken.  Where the corpus has
+over a quarter of all values of a form (say 20 one-letter names), the form's
+values are permuted as they are, so that a surrogate may be the value of
+another entity.  A value never stands for itself, unless it has no character
+that may change.
+
+Only DataFrame expressions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.permute import permuted
 from tickloom.llm.scratch import doc_key, put
 
-KEY = "tickloom"
-MAX_DRAWS = 30
-#: From this draw on addresses, secrets and names get longer with each draw.
-WIDEN = 4
+#: The session's setting for the secret key.
+KEY_SETTING = "spark.tickloom.pii.key"
 _MEN = "Mr|Mister|Herr|Herrn|Monsieur|Señor|Don|Sir|Господин|г-н"
 _WOMEN = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Doña|Госпожа|г-жа"
+_WORD = r"[\p{Lu}\p{Lo}][\p{L}\p{M}'’-]*+"
 #: Kinds in the order in which they are tried at one place; fixed patterns.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -33,24 +44,54 @@ PATTERNS = {
     "card": r"\b(?:\d[ -]?){12,15}\d\b",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])\d{3,4}(?:[ .-]?\d{2,4}){1,3}\b|\+[1-9]\d{7,14}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b|(?<![\d.])\d{3}\.\d{3}\.\d{4}\b(?!\.\d))",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "man": rf"\b(?:{_MEN})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}",
-    "woman": rf"\b(?:{_WOMEN})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}",
+    "man": rf"\b(?:{_MEN})\.? {_WORD}(?: {_WORD}){{0,2}}",
+    "woman": rf"\b(?:{_WOMEN})\.? {_WORD}(?: {_WORD}){{0,2}}",
 }
 ANY = "|".join(PATTERNS.values())
 #: Every entity has a digit, an at-sign, a title or the start of a secret: texts without are not searched further.
 HINT = rf"[0-9@]|\b(?:{_MEN}|{_WOMEN})\b|AKIA|\b(?:sk|pk|ghp|gho|xox[abp])[-_]|\b(?:[a-f]{{32}}|[A-F]{{32}})"
 _TITLE = rf"^(?:{_MEN}|{_WOMEN})\.? "
-#: Given names and surname syllables by script; made up from common names.
+#: Given names that stand for one another; all others keep their last letter, which often tells the gender.
 NAMES = {
-    ("man", "latin"): "James Peter Martin Thomas Daniel Oscar Victor Hugo Simon Leon Adam Felix Paul Louis Marco Nils".split(),
+    ("man", "latin"): "James John Peter Martin Thomas Daniel Oscar Victor Hugo Simon Leon Adam Felix Paul Louis Marco Nils".split(),
     ("woman", "latin"): "Anna Clara Maria Laura Emma Julia Elena Sofia Nora Alice Irene Paula Marta Lucy Helen Ines".split(),
     ("man", "cyrillic"): "Иван Пётр Олег Борис Павел Антон Игорь Юрий".split(),
     ("woman", "cyrillic"): "Анна Мария Елена Ольга Ирина Нина Вера Юлия".split(),
 }
-SYLLABLES = {
-    "latin": "bar ber dal den far gor hal hen jor kar kel lan len mar mer nor or pel ran ros sal sen tal ter val ven wal wes yar zel".split(),
-    "cyrillic": "бар бел вар вер гор дан дер зар кал кор лан лев мар мир нов пол рад рос сав тар".split(),
+_PREFIX = r"^(?:AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_])"
+#: Calling codes of countries: fixed values.
+_CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Endings of Cyrillic family names.
+_ENDING = "(?:ова|ева|ёва|ина|ына|ская|цкая|ов|ев|ёв|ин|ын|ский|цкий)$"
+
+DIGITS, HEX, LOWER, UPPER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Vowels and consonants, with and without marks.
+_LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœąęěőůű", "çñßþćčďłńňřśšťźżž", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ")
+#: Further scripts, as ranges of code points: Greek, Armenian, Hebrew, Arabic, Devanagari, Thai, Georgian, kana, Chinese, Korean.
+_RANGES = ((0x3B1, 0x3C9), (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x915, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+#: For kinds of atoms the alphabets whose letters may change; the last are for values of signs alone.
+_ALPHABETS = {
+    ("card", "phone", "ssn"): (DIGITS,),
+    ("iban",): (DIGITS, UPPER),
+    ("hex",): (HEX,),
+    ("token",): (DIGITS, LOWER, UPPER),
+    ("local", "host"): (DIGITS, LOWER),
+    ("given-man", "given-woman", "surname"): (*_LETTERS, *_RANGES),
+    ("signs-token",): ("-_",),
+    ("signs-local",): (".-_%+",),
+    ("signs-host",): (".-",),
 }
+_EACH = [*dict.fromkeys(a for some in _ALPHABETS.values() for a in some)]
+#: Atoms whose surrogates may be real: mailboxes (their hosts are not) and names from the lists.
+UNCHECKED = ("local", "listed-man", "listed-woman")
+
+
+def secret_key(spark: SparkSession, key: str | None = None) -> str:
+    """``key``, or the session's setting; there is no default."""
+    key = key or spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} to a secret key")
+    return key
 
 
 def kind_of(found: Column) -> Column:
@@ -63,12 +104,14 @@ def kind_of(found: Column) -> Column:
 
 def canonical(kind: Column, found: Column) -> Column:
     """What two spellings of one entity share."""
+    digits = F.regexp_replace(found, r"\D", "")
     return (
-        F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(found, r"\D", ""))
+        F.when(kind.isin("card", "ssn"), digits)
+        .when(kind == "phone", F.concat(F.when(found.startswith("+"), "+").otherwise(""), digits))
         .when(kind == "iban", F.replace(found, F.lit(" "), F.lit("")))
         .when(kind.isin("man", "woman"), F.lower(F.regexp_replace(found, _TITLE, "")))
         .when(kind == "email", F.lower(found))
-        .when(kind == "secret", F.lower(found))
+        .when((kind == "secret") & found.rlike("^[0-9A-Fa-f]+$"), F.lower(found))
         .otherwise(found)
     )
 
@@ -78,51 +121,41 @@ def has_any(text: Column) -> Column:
     return F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
 
 
-def entities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``id, row, text, found, gaps`` of texts with an entity: the entities, as
-    ``kind, raw``, and the texts around them, one more than entities."""
-    own = docs.select(doc_key(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(has_any(F.col("text")))
-    own = own.withColumn("row", F.xxhash64("text")).withColumn("raw", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).withColumn("gaps", F.split("text", ANY, -1))
-    found = F.transform("raw", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("raw")))
-    return own.select("id", "row", "gaps", found.alias("found"))
-
-
-def _pick(choices: list[str], stream: Column, at: int) -> Column:
-    """One of some words, by four hex digits of the stream."""
-    number = F.conv(F.substr(stream, F.lit(at), F.lit(4)), 16, 10).cast("int")
-    return F.element_at(F.array(*map(F.lit, choices)), number % len(choices) + 1)
-
-
-def _number(stream: Column, at: int, least: int, most: int) -> Column:
-    """A number in ``[least, most)`` as text."""
-    return (F.conv(F.substr(stream, F.lit(at), F.lit(6)), 16, 10).cast("int") % (most - least) + least).cast("string")
-
-
-def _digits(stream: Column) -> Column:
-    return F.translate(stream, "abcdef", "274961")
-
+def scanned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, id, row, plain, gaps, found`` of every row, in one pass over the texts.
 
-def _letters(stream: Column) -> Column:
-    return F.translate(stream, "0123456789abcdef", "aeioustnrlmdkvbg")
+    A text without an entity is in ``plain``; of others there are the entities,
+    as ``kind, raw``, and the texts around them, one more than entities.
+    """
+    body = F.col(text).cast("string")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), doc_key(doc_id).alias("id"), F.xxhash64(body).alias("row"), body.alias("text"), has_any(body).alias("hit"))
+    raw = F.when(F.col("hit"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    found = F.transform(raw, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("raw")))
+    return own.select("doc_id", "id", "row", F.when(~F.col("hit"), F.col("text")).alias("plain"), F.when(F.col("hit"), F.split("text", ANY, -1)).alias("gaps"), found.alias("found"))
 
 
-def _others(stream: Column) -> Column:
-    """The letters that :func:`_letters` does not give, and some of its own."""
-    return F.translate(stream, "0123456789abcdef", "cfhjpqwxyzaeiost")
+def entities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``id, row, gaps, found`` of the texts with an entity."""
+    return scanned(docs, text, doc_id).where("found IS NOT NULL").select("id", "row", "gaps", "found")
 
 
-def _longer(draw: Column, stream: Column) -> Column:
-    """More letters the more often an entity has been drawn."""
-    return F.when(draw >= WIDEN, F.substr(_letters(stream), F.lit(64), draw - (WIDEN - 1))).otherwise(F.lit(""))
+def atoms(kind: Column, value: Column) -> Column:
+    """The parts of a canonical entity that have surrogates of their own."""
+    part = lambda k, v: F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), v.alias("value"))
+    words = F.split(value, " ")
 
+    def named(gender: str) -> Column:
+        listed = [n.lower() for (g, _), names in NAMES.items() if g == gender for n in names]
+        given = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: part(F.when(w.isin(listed), f"listed-{gender}").otherwise(f"given-{gender}"), w))
+        return F.concat(given, F.array(part("surname", F.element_at(words, -1))))
 
-def _same_form(value: Column, stream: Column, keep: int = 0) -> Column:
-    """``value`` with digits and lower-case letters after the first ``keep``
-    replaced by those of the stream."""
-    digits, letters, others = _digits(stream), _letters(stream), _others(stream)
-    own = lambda s, i: F.substr(s, i % 128 + 1, F.lit(1))
-    char = lambda c, i: F.when(i < keep, c).when(c.between("0", "9"), own(digits, i)).when(c.between("a", "z"), F.when(own(stream, i + 61) < "8", own(letters, i)).otherwise(own(others, i))).otherwise(c)
-    return F.array_join(F.transform(F.split(value, ""), char), "")
+    return (
+        F.when(kind == "email", F.array(part("local", value), part("host", F.substring_index(value, "@", -1))))
+        .when(kind == "secret", F.array(part(F.when(value.rlike("^[0-9a-f]+$"), "hex").otherwise("token"), value)))
+        .when(kind == "man", named("man"))
+        .when(kind == "woman", named("woman"))
+        .otherwise(F.array(part(kind, value)))
+    )
 
 
 def _digit_sum(digits: Column) -> Column:
@@ -137,98 +170,247 @@ def _luhn(digits: Column) -> Column:
     return _digit_sum(doubled) + _digit_sum(F.regexp_replace(even, "(.)(.)", "$2"))
 
 
-def _name(gender: str, script: str, value: Column, stream: Column, draw: Column) -> Column:
-    """As many words: given names by gender, then a surname of syllables."""
-    parts, given = SYLLABLES[script], NAMES[gender, script]
-    surname = F.concat(_pick(parts, stream, 1), _pick(parts, stream, 9), _pick(parts, stream, 17), F.when(draw > 0, _pick(parts, stream, 25)).otherwise(F.lit("")), F.when(draw >= WIDEN, F.concat(_pick(parts, stream, 49), _pick(parts, stream, 57))).otherwise(F.lit("")))
-    first = F.slice(F.array(_pick(given, stream, 33), _pick(given, stream, 41)), F.lit(1), F.size(F.split(value, " ")) - 1)
-    return F.lower(F.concat_ws(" ", first, surname))
+def _mod97(value: Column) -> Column:
+    """The remainder of a number in which A to Z stand for 10 to 35."""
+    digit = lambda c: F.instr(F.lit(DIGITS + UPPER), c) - 1
+    return F.aggregate(F.split(value, ""), F.lit(0), lambda n, c: F.when(digit(c) < 10, n * 10 + digit(c)).otherwise(n * 100 + digit(c)) % 97)
+
+
+def _coded(kind: Column, body: Column) -> Column:
+    """For each character its alphabet, place and radix; a fixed one has radix 1."""
+    entry = lambda c, k, s, r: F.struct(F.lit(k).alias("k"), s.cast("int").alias("s"), F.lit(r).alias("r"), c.alias("c"))
+
+    def code(alphabets: tuple) -> Column:
+        def of(c: Column) -> Column:
+            out = entry(c, -1, F.lit(0), 1)
+            for a in reversed(alphabets):
+                if isinstance(a, str):
+                    out = F.when((c != "") & (F.instr(F.lit(a), c) > 0), entry(c, _EACH.index(a), F.instr(F.lit(a), c) - 1, len(a))).otherwise(out)
+                else:
+                    out = F.when(F.ascii(c).between(*a), entry(c, _EACH.index(a), F.ascii(c) - a[0], a[1] - a[0] + 1)).otherwise(out)
+            return out
+
+        return F.transform(F.split(body, ""), of)
+
+    signs = kind.isin("token", "local", "host") & ~body.rlike("[A-Za-z0-9]")
+    kind = F.when(signs, F.concat(F.lit("signs-"), kind)).otherwise(kind)
+    out = F.when(kind == "ip", _octets(body))
+    for kinds, alphabets in _ALPHABETS.items():
+        out = out.when(kind.isin(*kinds), code(alphabets))
+    return out
+
+
+def _decoded(coded: Column, symbols: Column) -> Column:
+    def char(x: Column, i: Column) -> Column:
+        s, out = F.get(symbols, i), x["c"]
+        for k, a in enumerate(_EACH):
+            out = F.when(x["k"] == k, F.substr(F.lit(a), s + 1, F.lit(1)) if isinstance(a, str) else F.decode(F.unhex(F.lpad(F.hex(s + a[0]), 8, "0")), "UTF-32")).otherwise(out)
+        first, last = x["k"].isin(_OCTET[0], _OCTET[1]), x["k"] == _OCTET[3]
+        number = F.when(x["k"] == _OCTET[2], s).when(first, s + 1).when(s == 0, 0).when(last, s + 254).otherwise(s + 223)
+        return F.when(x["k"] >= _OCTET[0], number.cast("string")).otherwise(out)
+
+    parts = F.transform(coded, char)
+    return F.when(F.get(coded, F.lit(0))["k"] >= _OCTET[0], F.array_join(parts, ".")).otherwise(F.array_join(parts, ""))
+
+
+#: Of an address: 1 to 223 in front, 1 to 254 at the end, any number between, and at the end or in front what is left.
+_OCTET = (200, 201, 202, 203, 204)
+
+
+def _octets(value: Column) -> Column:
+    """The numbers of an address, each in the range it is in."""
+    entry = lambda k, s, r: F.struct(F.lit(k).alias("k"), s.cast("int").alias("s"), F.lit(r).alias("r"), F.lit("").alias("c"))
+    over = lambda x, most: F.greatest(x - most, F.lit(0))
 
+    def of(c: Column, i: Column) -> Column:
+        x = c.cast("int")
+        first = F.when(x.between(1, 223), entry(_OCTET[0], x - 1, 223)).otherwise(entry(_OCTET[4], over(x, 223), 33))
+        last = F.when(x.between(1, 254), entry(_OCTET[1], x - 1, 254)).otherwise(entry(_OCTET[3], over(x, 254), 2))
+        return F.when(i == 0, first).when(i == 3, last).otherwise(entry(_OCTET[2], x, 256))
 
-def streams(kind: Column, value: Column, draw: Column, key: str = KEY) -> dict[str, Column]:
-    """128 hex digits by the key and the entity, and by its host for addresses."""
-    host = F.when(kind == "email", F.substring_index(value, "@", -1)).otherwise(F.lit(""))
-    return {"own": F.sha2(F.concat_ws("|", F.lit(key), kind, value, draw.cast("string")), 512), "host": F.sha2(F.concat_ws("|", F.lit(key), F.lit("host"), host), 512)}
+    return F.transform(F.split(value, r"\."), of)
+
+
+def _listed(gender: str, value: Column, key: str) -> Column:
+    """The next name of the list, in an order set by the key."""
+    pairs = []
+    for (g, _), names in NAMES.items():
+        if g == gender:
+            order = sorted((n.lower() for n in names), key=lambda n: hashlib.sha256(f"{key}|{n}".encode()).digest())
+            pairs += [F.lit(x) for two in zip(order, order[1:] + order[:1], strict=True) for x in two]
+    return F.element_at(F.create_map(*pairs), value)
+
+
+def _forms(values: DataFrame) -> DataFrame:
+    """``values`` (``kind, value``) with ``head, body, tail`` (what is kept in front,
+    permuted, and kept or worked out at the end) and the ``coded`` body."""
+    kind, value, length = F.col("kind"), F.col("value"), F.length("value")
+    head = (
+        F.when(kind == "card", F.substr(value, F.lit(1), F.lit(1)))
+        .when(kind == "iban", F.substr(value, F.lit(1), F.lit(2)))
+        .when((kind == "phone") & value.startswith("+"), F.regexp_extract(value, _CALLING, 0))
+        .when(kind == "phone", F.substr(value, F.lit(1), F.lit(1)))
+        .when(kind == "token", F.regexp_extract(value, _PREFIX, 0))
+        .otherwise("")
+    )
+    tail = (
+        F.when(kind == "card", F.substr(value, length))
+        .when(kind == "local", F.concat(F.lit("@"), F.substring_index(value, "@", -1)))
+        .when(kind == "host", F.concat(F.lit("."), F.substring_index(value, ".", -1)))
+        .when(kind.isin("given-man", "given-woman") & (length > 2), F.substr(value, length))
+        .when((kind == "surname") & (length > 5), F.regexp_extract(value, _ENDING, 0))
+        .otherwise("")
+    )
+    cut = values.withColumns({"head": head, "tail": tail})
+    skipped = F.when(kind == "iban", 4).otherwise(F.length("head"))
+    cut = cut.withColumn("body", F.substr(value, skipped + 1, length - skipped - F.length("tail")))
+    return cut.withColumn("coded", _coded(kind, F.col("body")))
 
 
-def surrogate(kind: Column, value: Column, draw: Column, own: Column, host: Column) -> Column:
-    """The ``draw``-th surrogate of a canonical entity, itself canonical.
+def surrogates(values: DataFrame, key: str, draw: int = 0) -> DataFrame:
+    """``kind, value, made, form, room`` of atoms ``kind, value``.
 
-    ``own`` and ``host`` are columns with the digits of :func:`streams`.
+    ``made`` is the surrogate (of a mailbox, without its host), ``form`` names
+    the form and ``room`` is the logarithm of the number of its values.
     """
-    domain = F.substring_index(value, "@", -1)
-    ending = F.substring_index(domain, ".", -1)
-    email = F.concat(_same_form(F.substring_index(value, "@", 1), own), _longer(draw, own), F.lit("@"), _same_form(F.substr(domain, F.lit(1), F.length(domain) - F.length(ending) - 1), host), F.lit("."), ending)
-    n = F.length(value)
-    digits = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(_digits(own), F.lit(1), n - 1))
-    body = F.substr(digits, F.lit(1), n - 1)
-    checked = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    cyrillic = value.rlike(r"\p{IsCyrillic}")
-    out = (
-        F.when(kind == "email", email)
-        .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), F.substr(own, F.lit(1), n)).otherwise(F.concat(_same_form(value, own, keep=4), _longer(draw, own))))
-        .when(kind == "ip", F.concat_ws(".", _number(own, 1, 1, 224), _number(own, 11, 0, 256), _number(own, 21, 0, 256), _number(own, 31, 1, 255)))
-        .when(kind == "card", F.when(_luhn(value) % 10 == 0, checked).otherwise(digits))
-        .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), F.upper(_same_form(F.lower(F.substr(value, F.lit(3))), own))))
+    kind, value, head, body, tail, made = map(F.col, ("kind", "value", "head", "body", "tail", "made"))
+    # What the family names of a man and of a woman share is changed alike.
+    tweak = F.concat_ws("|", F.lit(str(draw)), kind, head, F.when(~kind.isin("surname", "card"), tail))
+    own = _forms(values).withColumns({"s": F.transform("coded", lambda x: x["s"]), "r": F.transform("coded", lambda x: x["r"]), "tweak": tweak})
+    shape = F.transform("coded", lambda x: F.when(x["r"] > 1, F.concat_ws(":", x["k"].cast("string"), x["r"].cast("string"))).otherwise(x["c"]))
+    form = F.md5(F.concat_ws("|", kind, head, F.when(kind != "card", tail), F.array_join(shape, ",")))
+    room = F.aggregate("r", F.lit(0.0), lambda s, r: s + F.log(r.cast("double")))
+    own = own.withColumns({"m": permuted(F.col("s"), F.col("r"), F.col("tweak"), key), "form": form, "room": room})
+    own = own.withColumn("made", _decoded(F.col("coded"), F.col("m")))
+    check = lambda b: (10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10
+    last = F.pmod(check(F.concat(head, made)) + tail.cast("int") - check(F.concat(head, body)), F.lit(10))
+    given = F.substr(value, F.lit(3), F.lit(2)).cast("int")
+    # 98 less the remainder is the right number; a wrong one stays as far off.
+    remainder = lambda b: _mod97(F.concat(b, head, F.lit("00")))
+    right = F.pmod(given - 2 + remainder(body) - remainder(made), F.lit(97)) + 2
+    number = F.lpad(F.when(given.between(2, 98), right).otherwise(given).cast("string"), 2, "0")
+    whole = (
+        F.when(kind == "card", F.concat(head, made, last.cast("string")))
+        .when(kind == "iban", F.concat(head, number, made))
+        .when(kind == "local", made)
+        .when(kind == "listed-man", _listed("man", value, key))
+        .when(kind == "listed-woman", _listed("woman", value, key))
+        .otherwise(F.concat(head, made, tail))
     )
-    for gender in ("man", "woman"):
-        out = out.when(kind == gender, F.when(cyrillic, _name(gender, "cyrillic", value, own, draw)).otherwise(_name(gender, "latin", value, own, draw)))
-    return out.otherwise(digits)
+    return own.select("kind", "value", whole.alias("made"), "form", "room")
+
 
+def settled(made: DataFrame, key: str) -> DataFrame:
+    """``kind, value, made`` in which no surrogate is a value of its kind.
 
-def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
+    ``made``: first surrogates with their ``form``, distinct.  In forms of which
+    the corpus has at most a quarter, surrogates that are values are drawn anew:
+    each draw settles half of what is left at least, on average.  Fuller forms
+    keep their first surrogates, which are distinct as well.
+    """
+    real = made.select("kind", F.col("value").alias("made"))
+    hits = put(made.where(~F.col("kind").isin(*UNCHECKED)).join(real, ["kind", "made"], "left_semi"), "hits")
+    if hits.isEmpty():
+        return made.select("kind", "value", "made")
+    sparse = made.join(hits.select("form").distinct(), "form").groupBy("form").agg(F.count("*").alias("n"), F.max("room").alias("room")).where("ln(4.0 * n) <= room")
+    left = put(hits.join(sparse, "form", "left_semi").select("kind", "value"), "left")
+    done = made.select("kind", "value", "made").join(left, ["kind", "value"], "left_anti")
+    draw = 0
+    while not left.isEmpty():
+        draw += 1
+        drawn = put(surrogates(left, key, draw).select("kind", "value", "made"), "drawn")
+        free = put(drawn.join(real, ["kind", "made"], "left_anti").join(done.select("kind", "made"), ["kind", "made"], "left_anti").select("kind", "value", "made"), "free")
+        done = done.union(free)
+        left = put(left.join(free, ["kind", "value"], "left_anti"), "left")
+    return done
+
+
+def dictionary(found: DataFrame, key: str | None = None) -> DataFrame:
     """``kind, value, surrogate`` for the distinct ``kind, value`` of ``found``.
 
-    No two entities of a kind share a surrogate and none is an entity itself.
+    No two entities of a kind share a surrogate; none is an entity itself but
+    in forms of which the corpus has over a quarter.
     """
+    key = secret_key(found.sparkSession, key)
     values = put(found.select("kind", "value").distinct(), "entities")
-    drawn = values.withColumn("draw", F.lit(0))
-    for _ in range(MAX_DRAWS):
-        hashed = put(drawn.withColumns(streams(F.col("kind"), F.col("value"), F.col("draw"), key)), "streams")
-        named = put(hashed.select("kind", "value", "draw", surrogate(*[F.col(c) for c in ("kind", "value", "draw", "own", "host")]).alias("surrogate")), "surrogates")
-        first = named.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.count("*").alias("n"))
-        real = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
-        clash = first.join(real, ["kind", "surrogate"], "left").where("n > 1 OR real").select("kind", "surrogate", F.when(F.col("real"), F.lit(None)).otherwise(F.col("first")).alias("keeper"))
-        again = put(named.join(clash, ["kind", "surrogate"]).where(~F.col("keeper").eqNullSafe(F.col("value"))).select("kind", "value"), "clashes")
-        if again.isEmpty():
-            return named.select("kind", "value", "surrogate")
-        drawn = named.join(again.withColumn("hit", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("draw") + F.coalesce("hit", F.lit(0))).alias("draw"))
-    raise RuntimeError("surrogates stay in collision: too many entities of one form")
+    parts = values.select("kind", "value", F.posexplode(atoms(F.col("kind"), F.col("value"))).alias("at", "atom"))
+    spark = found.sparkSession
+    # Listed names count as values of the given names, so that no other becomes one of them.
+    listed = spark.createDataFrame([(f"given-{g}", n.lower()) for (g, _), names in NAMES.items() for n in names], "kind string, value string")
+    each = parts.select("atom.kind", "atom.value").union(listed.join(parts.select("atom.kind").distinct(), "kind", "left_semi")).distinct()
+    made = put(surrogates(each, key), "surrogates")
+    own = settled(made, key).select(F.struct("kind", "value").alias("atom"), "made")
+    whole = parts.join(own, "atom").groupBy("kind", "value").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "made"))), lambda x: x["made"]).alias("made"))
+    return whole.select("kind", "value", F.when(F.col("kind") == "email", F.array_join("made", "@")).otherwise(F.array_join("made", " ")).alias("surrogate"))
+
+
+def _cased(raw: Column, made: Column) -> Column:
+    """``made`` in the case of ``raw``, letter by letter where lengths agree."""
+    each = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c != F.lower(c), F.upper(F.substr(made, i + 1, F.lit(1)))).otherwise(F.substr(made, i + 1, F.lit(1)))), "")
+    return F.when((raw == F.upper(raw)) & (F.length(raw) > 1) & (raw != F.lower(raw)), F.upper(made)).when(F.length(raw) == F.length(made), each).otherwise(F.initcap(made))
+
+
+def bare(raw: Column) -> Column:
+    """A name without its title."""
+    return F.regexp_replace(raw, _TITLE, "")
 
 
 def dress(kind: Column, raw: Column, made: Column) -> Column:
-    """The surrogate in the spelling of the occurrence."""
-    spread = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.between("0", "9"), F.substr(made, F.length(F.regexp_replace(F.substr(raw, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
+    """The surrogate in the spelling of the occurrence; of a name, without the title."""
+    digits = F.regexp_replace(made, r"\D", "")
+    spread = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.between("0", "9"), F.substr(digits, F.length(F.regexp_replace(F.substr(raw, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
     spaced = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(made, F.length(F.replace(F.substr(raw, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
-    name = F.regexp_replace(raw, _TITLE, "")
-    named = F.concat(F.regexp_extract(raw, _TITLE, 0), F.when(name == F.upper(name), F.upper(made)).otherwise(F.initcap(made)))
-    cased = F.when(kind.isin("man", "woman"), named).when(raw == F.upper(raw), F.upper(made)).when((kind == "secret") & (raw != F.lower(raw)), F.concat(F.substr(raw, F.lit(1), F.lit(4)), F.substr(made, F.lit(5)))).otherwise(made)
-    return F.when(kind.isin("card", "phone", "ssn"), spread).when(kind == "iban", spaced).when(kind == "ip", made).otherwise(cased)
+    named = F.array_join(F.zip_with(F.split(bare(raw), " "), F.split(made, " "), _cased), " ")
+    hexed = F.when(raw == F.upper(raw), F.upper(made)).otherwise(made)
+    return (
+        F.when(kind.isin("card", "phone", "ssn"), spread)
+        .when(kind == "iban", spaced)
+        .when(kind.isin("man", "woman"), named)
+        .when(kind == "email", _cased(raw, made))
+        .when((kind == "secret") & raw.rlike("^[0-9A-Fa-f]+$"), hexed)
+        .otherwise(made)
+    )
 
 
-def replacements(docs: DataFrame, key: str = KEY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``id, row, gaps, made``: the surrogates of each text with entities, in order."""
-    texts = put(entities(docs, text, doc_id), "texts")
+def replacements(texts: DataFrame, key: str | None = None) -> DataFrame:
+    """``id, row, gaps, made`` of stored :func:`entities`: for each entity in order
+    ``at, kind, title, name, made``, ``name`` being a name of several words.
+    """
     each = texts.select("id", "row", F.posexplode("found").alias("at", "e")).select("id", "row", "at", "e.kind", "e.raw").distinct()
     each = each.withColumn("value", canonical(F.col("kind"), F.col("raw")))
     named = each.join(dictionary(each, key), ["kind", "value"])
-    made = named.select("id", "row", F.struct("at", "kind", dress(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("made")).alias("e")).groupBy("id", "row").agg(F.array_sort(F.collect_list("e")).alias("made"))
+    person = F.col("kind").isin("man", "woman")
+    entry = F.struct(
+        "at", "kind", F.when(person, F.regexp_extract("raw", _TITLE, 0)).otherwise("").alias("title"),
+        F.when(person & F.col("value").contains(" "), bare(F.col("raw"))).alias("name"),
+        dress(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("made"),
+    )
+    made = named.select("id", "row", entry.alias("e")).groupBy("id", "row").agg(F.array_sort(F.collect_list("e")).alias("made"))
     return texts.select("id", "row", "gaps").dropDuplicates(["id", "row"]).join(made, ["id", "row"])
 
 
-def anonymise(docs: DataFrame, key: str = KEY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def anonymise(docs: DataFrame, key: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_entities, kinds, clean_text`` for every row of ``docs``.
 
-    ``kinds`` lists the kinds found, in order.  A null text stays null, with no
-    entities; repeated rows are replaced alike.
+    ``kinds`` lists the kinds found, in order.  A name of several words that
+    follows a title somewhere in a text is replaced there without one, too
+    (these are not counted).  A null or empty text stays as it is, with no
+    entities; repeated rows are replaced alike and all kept; a very long text is
+    one row, searched whole.  An empty table gives no rows; other columns are
+    not read.  Without a ``key`` the session must have one.
     """
-    cleaned = replacements(docs, key, text, doc_id).select(
+    key = secret_key(docs.sparkSession, key)
+    seen = put(scanned(docs, text, doc_id), "scanned")
+    made = replacements(seen.where("found IS NOT NULL").select("id", "row", "gaps", "found"), key)
+    names = F.array_distinct(F.transform(F.filter("made", lambda e: e["name"].isNotNull()), lambda e: F.struct(e["name"].alias("name"), e["made"].alias("made"))))
+    pattern = lambda n: F.concat(F.lit(r"(?<![\p{L}\p{M}])\Q"), n["name"], F.lit(r"\E(?![\p{L}\p{M}])"))
+    bared = F.when(F.size("names") > 0, F.transform("gaps", lambda g: F.aggregate("names", g, lambda s, n: F.regexp_replace(s, pattern(n), n["made"])))).otherwise(F.col("gaps"))
+    made = made.withColumn("names", names).withColumn("gaps", bared)
+    cleaned = made.select(
         "id", "row", F.col("made.kind").alias("kinds"),
-        F.concat(F.get("gaps", F.lit(0)), F.array_join(F.transform("made", lambda e, i: F.concat(e["made"], F.get("gaps", i + 1))), "")).alias("clean"),
+        F.concat(F.get("gaps", F.lit(0)), F.array_join(F.transform("made", lambda e, i: F.concat(e["title"], e["made"], F.get("gaps", i + 1))), "")).alias("clean"),
     )
     none = F.array().cast("array<string>")
-    with_any = has_any(F.col(text).cast("string"))
-    plain = docs.where(~with_any).select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"), F.col(text).cast("string").alias("clean_text"))
-    hit = docs.where(with_any).select(F.col(doc_id).cast("long").alias("doc_id"), doc_key(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("row"))
-    done = hit.join(cleaned, ["id", "row"]).select("doc_id", F.size("kinds").cast("long").alias("n_entities"), "kinds", F.col("clean").alias("clean_text"))
+    plain = seen.where("found IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"), F.col("plain").alias("clean_text"))
+    done = seen.where("found IS NOT NULL").select("doc_id", "id", "row").join(cleaned, ["id", "row"]).select("doc_id", F.size("kinds").cast("long").alias("n_entities"), "kinds", F.col("clean").alias("clean_text"))
     return plain.union(done)

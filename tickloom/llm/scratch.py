@@ -1,14 +1,17 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests, a laptop) is one made under the system's temporary folder.  Tables are
-plain Parquet, so a lost executor costs no recomputation of what was written.
+and Spark runs on one machine (tests, a laptop) is one made under the system's
+temporary folder.  Tables are plain Parquet, so a lost executor costs no
+recomputation of what was written.  All of an application's tables are deleted
+when it ends; :func:`drop` deletes one as soon as nothing reads it any more.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +19,27 @@ from pyspark.sql import functions as F
 #: Stands for a null ``doc_id`` inside an operator; larger than any other id.
 NO_ID = (1 << 63) - 1
 _own: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _path(spark: SparkSession, name: str):
+    """A Hadoop path and the file system that holds it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/") + "/tickloom"
+    """The application's own part of the shared folder; it goes when the application ends."""
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="tickloom-")
+        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        master = spark.sparkContext.master
+        if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+        _own[app] = f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='tickloom-')}/tickloom/{app}"
+        path, store = _path(spark, _own[app])
+        store.mkdirs(path)
+        store.deleteOnExit(path)
     return _own[app]
 
 
@@ -34,7 +48,15 @@ def put(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written[back] = path
+    return back
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what :func:`put` wrote; nothing may read ``df`` afterwards."""
+    path, store = _path(df.sparkSession, _written.pop(df))
+    store.delete(path, True)
 
 
 def doc_key(column: str = "doc_id") -> Column:
