@@ -1,13 +1,16 @@
 """Packing token pieces into fixed windows by non-negative least squares.
 
-Documents are cut on a grid of one window, so that all pieces but the last of
-a document fill a window alone.  The histogram of the last pieces (at most
+Documents are cut on a grid of one window first, so that all pieces but the last
+of a document fill a window alone.  The histogram of the last pieces (at most
 ``window`` numbers, whatever the corpus) is coarsened to a few hundred length
 bins; combinations of up to three bins that fill a window are enumerated, their
 repeat counts solved by non-negative least squares against the histogram and
 rounded, and what is left is packed greedily, first into the gaps of the
-combinations and then into new windows.  The driver handles the histogram and
-the plan only; pieces find their places by their rank among equal lengths.
+combinations and then into new windows.  Windows that would still be padded by
+more than a small share are taken apart, and their pieces laid end to end and
+cut where a window ends: at most one cut a window, and next to no padding for
+any mix of lengths.  The driver handles the histogram and the plan only; pieces
+find their places by their rank among equal lengths.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.scratch import put
@@ -27,8 +30,12 @@ from tickloom.llm.tokens import tokenizer
 END_ID = 2
 WINDOW = 4096
 BATCH_BYTES = 1 << 20
-#: Pieces ranked by one task.
-RANKED_AT_ONCE = 250_000
+#: Pieces of one length ranked by one task.
+RANKED_AT_ONCE = 1000
+#: Up to so many pieces to be cut (some 80 bytes each) are broadcast to where the ids are; beyond, ids are shuffled.
+BROADCAST_CUTS = 100_000
+#: A window may be padded by this share before its pieces are cut instead.
+SLACK = 256
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 3000) -> np.ndarray:
@@ -87,16 +94,18 @@ class _Stock:
 
 
 def plan(counts: np.ndarray, window: int = WINDOW, grain: int | None = None, depth: int = 3) -> np.ndarray:
-    """Rows ``length, low, high, sequence, offset`` that place every piece.
+    """Rows ``length, low, high, position, stride`` that place every piece.
 
-    ``counts[n]`` pieces have length ``n``.  The piece of rank ``r`` among its
-    length, ``low <= r < high``, goes to sequence ``sequence + r - low`` at
-    ``offset``.  The number of rows depends on ``window``, not on the counts.
+    ``counts[n]`` pieces have length ``n``.  Windows lie end to end, so that
+    position ``p`` is in sequence ``p // window`` at offset ``p % window``.  The
+    piece of rank ``r`` among its length, ``low <= r < high``, begins at
+    ``position + stride * (r - low)`` and is cut where a window ends.  The number
+    of rows depends on ``window``, not on the counts.
     """
     grain = grain or max(1, window // 128)
     stock, rows, sequence = _Stock(counts), [], 0
     if stock.left[window]:
-        rows.append((window, 0, stock.left[window], 0, 0))
+        rows.append((window, 0, stock.left[window], 0, window))
         sequence = stock.take(window, stock.left[window]) + int(counts[window])
     bins = window // grain
     length_bin = -(-np.arange(window + 1) // grain)
@@ -127,12 +136,20 @@ def plan(counts: np.ndarray, window: int = WINDOW, grain: int | None = None, dep
         each = min(n, most)
         times = n // each
         opened += _close(stock, times, [(length, stock.take(length, times)) for _ in range(each)], window)
+    apart: list[tuple[int, int, int]] = []  # length, rank of the first, number
     for times, pieces in opened:
+        if window - sum(length for length, _ in pieces) > window // SLACK:
+            apart += [(length, first, times) for length, first in pieces]
+            continue
         offset = 0
         for length, first in pieces:
-            rows.append((length, first, first + times, sequence, offset))
+            rows.append((length, first, first + times, sequence * window + offset, window))
             offset += length
         sequence += times
+    position = sequence * window
+    for length, first, times in sorted(apart, reverse=True):
+        rows.append((length, first, first + times, position, length))
+        position += length * times
     return np.array(rows, np.int64).reshape(-1, 5)
 
 
@@ -181,6 +198,7 @@ def _close(stock: _Stock, times: int, pieces: list[tuple[int, int]], window: int
 
 
 def _cut(path: str, window: int, end_id: int, keep_ids: bool):
+    """Pieces on the grid; of full windows, which are never cut again, the ids are kept on request only."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +217,12 @@ def _cut(path: str, window: int, end_id: int, keep_ids: bool):
                     n = len(raw) // 4
                     for start in range(0, n, window):
                         part = raw[4 * start : 4 * (start + window)]
-                        rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, part if keep_ids else None))
+                        rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, part if keep_ids or len(part) < 4 * window else None))
                 at += len(some)
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in columns[:5]), *([pa.array(columns[5], pa.binary())] if keep_ids else [])],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])],
+                    [*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())],
+                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
                 )
 
     return run
@@ -212,47 +230,78 @@ def _cut(path: str, window: int, end_id: int, keep_ids: bool):
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, *, keep_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Pieces of at most ``window`` ids: ``doc_id, start, length, ids_crc32,
-    doc_tokens`` and, on request, ``ids`` (little-endian unsigned 32-bit)."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
+    doc_tokens, ids`` (little-endian unsigned 32-bit; null for full windows
+    unless ``keep_ids``)."""
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_cut(path, window, end_id, keep_ids), schema)
 
 
-def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``cut`` with ``sequence_id`` and ``offset`` for each row, by ``length``.
+def _key() -> Column:
+    return F.xxhash64("doc_id", "start", "ids_crc32", "length")
 
-    Sequence ids run from 0 without gaps and offsets are gapless from 0.  An
-    empty table gives an empty table.
+
+def place(cut: DataFrame, window: int = WINDOW, *, keep_ids: bool = False) -> DataFrame:
+    """The pieces ``cut`` with ``sequence_id`` and ``offset``; a piece in which a
+    window ends is two rows, each with its own start, length and crc32.
+
+    ``cut`` must be stored (:func:`pack` writes it), as it is read three times.
+    Sequence ids run from 0 without gaps and offsets are gapless from 0.  Equal
+    rows change places freely, null ids are a value like others, and an empty
+    table gives an empty table.
     """
     spark = cut.sparkSession
-    counts, total = np.zeros(window + 1, np.int64), 0
+    counts = np.zeros(window + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():  # at most `window` rows
         counts[length] = n
-        total += n
     placed = plan(counts, window)
     # From Arrow, so that no Python worker is started to convert rows.
-    table = spark.createDataFrame(pa.table(dict(zip(("length", "low", "high", "first_sequence", "offset"), placed.T, strict=True))))
-    order = F.xxhash64("doc_id", "start", "ids_crc32")
-    salted = cut.withColumn("__salt", F.pmod(order, F.lit(1 + total // RANKED_AT_ONCE)))
+    table = spark.createDataFrame(pa.table(dict(zip(("length", "low", "high", "position", "stride"), placed.T, strict=True))))
+    # Frequent lengths are ranked in several tasks.
+    salts = F.array(*[F.lit(int(n)) for n in 1 + counts // RANKED_AT_ONCE])
+    own = cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", _key().alias("__key"))
+    salted = own.withColumn("__salt", F.pmod(F.col("__key"), F.get(salts, F.col("length").cast("int"))))
     before = salted.groupBy("length", "__salt").count().withColumn("__before", F.sum("count").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
     ranked = ranked.join(before.drop("count"), ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.coalesce("__before", F.lit(0)))
     # The plan has a bound set by the window alone, so it may be broadcast.
     found = ranked.join(F.broadcast(table) if len(placed) <= 64 * window else table, "length").where("__rank >= low AND __rank < high")
-    return found.select(*cut.columns, (F.col("first_sequence") + F.col("__rank") - F.col("low")).alias("sequence_id"), "offset")
+    found = found.withColumn("__at", F.col("position") + F.col("stride") * (F.col("__rank") - F.col("low")))
+    found = found.withColumn("__room", window - F.col("__at") % window)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
+    over = F.col("__room") < F.col("length")
+    found = put(found.select("__key", *names[:5], "__at", "__room"), "places")
+    split = found.where(over)
+    n_split = split.count() if (placed[:, 4] < window).any() else 0
+    ids = cut.where("ids IS NOT NULL").select(_key().alias("__key"), "ids")
+    # Equal rows have one key and many places.
+    with_ids = lambda rows: ids.join(rows, "__key").dropDuplicates(["__key", "__at"])
+    whole = with_ids(found.where(~over)) if keep_ids else found.where(~over)
+    found = whole.select(*names, "__at")
+    if n_split:
+        split = with_ids(F.broadcast(split) if n_split <= BROADCAST_CUTS else split)
+        part = lambda at, n: F.struct(at.cast("long").alias("at"), n.cast("long").alias("n"))
+        split = split.withColumn("__part", F.explode(F.array(part(F.lit(0), F.col("__room")), part(F.col("__room"), F.col("length") - F.col("__room")))))
+        split = split.withColumn("ids", F.expr("substring(ids, CAST(4 * __part.at + 1 AS INT), CAST(4 * __part.n AS INT))"))
+        split = split.withColumns({"start": F.col("start") + F.col("__part.at"), "length": F.col("__part.n"), "ids_crc32": F.crc32("ids"), "__at": F.col("__at") + F.col("__part.at")})
+        found = found.union(split.select(*names, "__at"))
+    return found.select(*names, F.floor(F.col("__at") / window).cast("long").alias("sequence_id"), (F.col("__at") % window).alias("offset"))
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, *, keep_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per piece of every document with its place.
 
-    A null text counts as empty: its document is the end id alone.  Repeated
-    rows are packed each; a null id stays null.
+    A null or empty text is the end id alone; a very long one is many pieces.
+    Repeated rows are packed each; a null id stays null; an empty table gives no
+    rows, and columns other than the id and the text are not read.
     """
-    return place(put(pieces(docs, path, window, end_id, keep_ids=keep_ids, text=text, doc_id=doc_id), "pieces"), window)
+    return place(put(pieces(docs, path, window, end_id, keep_ids=keep_ids, text=text, doc_id=doc_id), "pieces"), window, keep_ids=keep_ids)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
     """``sequence_id, n_tokens, ids, doc_ids`` from the rows of
-    ``pack(keep_ids=True)``; a group holds at most one window of ids."""
+    ``pack(keep_ids=True)``; a group holds at most one window of ids.  A document
+    with several pieces in a sequence is listed for each, a null id as null; no
+    rows give no rows."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "ids")))
     return packed.groupBy("sequence_id").agg(parts.alias("p")).select(
         "sequence_id",
