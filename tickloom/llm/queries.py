@@ -32,7 +32,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents")))
     base = F.lit(rules.POLICIES["base"].mask)
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("fail_bits").bitwiseAND(base) != 0).alias("base_failed"), "kept", "fail_bits")
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("fail_bits").bitwiseAND(base) != 0).alias("base_failed"), "kept", "fail_bits", "kept_without")
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return mixed.select("doc_id", "source", F.col("__tl_copy").alias("copy"), F.col("__tl_n").alias("n_copies"), F.col("__tl_order").alias("shuffle_key"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "text", F.col("__tl_copy").alias("copy"), F.col("__tl_n").alias("n_copies"), F.col("__tl_order").alias("shuffle_key"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -86,6 +86,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i, unnest(range(0, 3)) AS o FROM g WHERE n > 1) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+         CAST(len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - list_unique(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS BIGINT) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper,
+         len(list_filter(w, lambda x: regexp_full_match(x, '[#*$%&|<>]+'))) AS n_lone
+  FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
+b AS (
+  SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
+         + 8 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 25 * n_words))::INT + 16 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::INT
+         + 32 * (n_words >= 20 AND 10 * n_upper > 6 * n_words)::INT + 64 * (n_words >= 20 AND 10 * n_lone > 3 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits,
+       CAST(CASE WHEN bit_count(fail_bits) = 1 THEN fail_bits ELSE 0 END AS BIGINT) AS kept_without FROM b
+""",
     "op2_chat_formatting": r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id),
@@ -115,7 +133,8 @@ c AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM (SELECT source, k, sum(p)
 u AS (SELECT doc_id, source, CAST('0x' || substr(md5('20240131|' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
 n AS (SELECT doc_id, u.source, CAST(len(list_filter(cdf, lambda x: x <= u)) AS INTEGER) AS n_copies FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source),
 e AS (SELECT doc_id, source, CAST(unnest(range(1, n_copies + 1)) AS INTEGER) AS copy, n_copies FROM n)
-SELECT doc_id, source, copy, n_copies, CAST('0x' || substr(md5('20240132|' || doc_id || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key FROM e
+SELECT e.doc_id, e.source, d.lang, d.text, copy, n_copies, CAST('0x' || substr(md5('20240132|' || e.doc_id || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key
+FROM e JOIN documents d ON d.doc_id = e.doc_id
 """,
     "op4_minhash_dedup": r"""
 WITH RECURSIVE d AS (

@@ -1,9 +1,10 @@
 """Quality rules as a ledger of failure bits.
 
 Each rule is evaluated once per document.  The ledger keeps the measurements
-and one bit per failed rule; a policy is a versioned mask over those bits, so
-new policies and ablations are bit operations over the ledger and never read
-the texts again.
+and one bit per failed rule, and is written; a policy is a versioned mask over
+those bits, so new policies and ablations are bit operations over what was
+written and never read the texts again.  Ablations group the ledger by its bit
+patterns, of which there are at most 2 ** rules, and work on those.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import words as W
+from tickloom.llm.scratch import put
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_upper_words long, n_bullet_words long"
 _SYMBOL = np.zeros(256, bool)
@@ -102,39 +104,60 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id``, the measurements and ``fail_bits`` for every row of ``docs``.
+    """``doc_id``, the measurements and ``fail_bits`` for every row of ``docs``, stored.
 
-    A null or empty text has no words (and one empty line); repeated rows give
-    repeated rows; other columns are ignored.
+    A null or empty text has no words (and one empty line), a very long one is
+    measured whole; repeated rows give repeated rows, a null id stays null, an
+    empty table gives an empty ledger; other columns are ignored.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     measured = texts.mapInArrow(_measure, f"doc_id long, {MEASURES}")
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+    return put(measured.withColumn("fail_bits", bits), "ledger")
+
+
+def under(policy: Policy) -> Column:
+    """The failure bits that count under a policy."""
+    return F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
 
 
 def apply_policy(led: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
-    """The ledger with ``kept``: none of the policy's rules failed."""
-    return led.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)
+    """The ledger with ``kept``: none of the policy's rules failed; and ``kept_without``,
+    the bit of the rule without which a rejected document would be kept, or 0.
+
+    Row by row: repeated rows, null ids and empty ledgers come out as they are.
+    """
+    own = under(policy)
+    return led.withColumns({"kept": own == 0, "kept_without": F.when(F.bit_count(own) == 1, own).otherwise(F.lit(0)).cast("long")})
+
+
+def patterns(led: DataFrame) -> DataFrame:
+    """``fail_bits, n_docs``: how often each set of rules failed together.
+
+    At most 2 ** rules rows; none for an empty ledger.  Repeated rows count each.
+    """
+    return led.groupBy("fail_bits").agg(F.count("*").alias("n_docs"))
 
 
 def ablations(led: DataFrame, policy: Policy = PRODUCTION, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """For each rule of ``policy``: documents that fail it, and those that would
-    be kept without it, i.e. whose failure bits under the policy are its alone.
+    """``policy, n_docs, n_kept, rule, n_failed, n_only_this`` for each rule of ``policy``:
+    documents that fail it, and those that would be kept without it, i.e. whose
+    failure bits under the policy are its alone.  Rules that fail nowhere, or an
+    empty ledger, have zeros.
     """
-    under = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
     used = [r for r in rules if r.bit in policy.bits]
-    sums = [f(F.when(c, 1).otherwise(0)).alias(f"{k}_{r.bit}") for r in used for k, c, f in (("failed", led.fail_bits.bitwiseAND(F.lit(1 << r.bit)) != 0, F.sum), ("alone", under == (1 << r.bit), F.sum))]
-    row = led.agg(F.count("*").alias("n_docs"), F.bit_or("fail_bits").alias("any_bits"), *sums)
-    each = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.coalesce(F.col(f"failed_{r.bit}"), F.lit(0)).alias("n_failed"), F.coalesce(F.col(f"alone_{r.bit}"), F.lit(0)).alias("n_only_this")) for r in used])
-    return row.select(F.lit(policy.version).alias("policy"), "n_docs", F.explode(each).alias("x")).select("policy", "n_docs", "x.*")
+    own = under(policy)
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n_docs")).otherwise(0)), F.lit(0)).cast("long")
+    each = [F.struct(F.lit(r.name).alias("rule"), total(own.bitwiseAND(F.lit(1 << r.bit)) != 0).alias("n_failed"), total(own == (1 << r.bit)).alias("n_only_this")) for r in used]
+    row = patterns(led).agg(total(F.lit(True)).alias("all_docs"), total(own == 0).alias("n_kept"), F.array(*each).alias("each"))
+    return row.select(F.lit(policy.version).alias("policy"), F.col("all_docs").alias("n_docs"), "n_kept", F.explode("each").alias("x")).select("policy", "n_docs", "n_kept", "x.*")
 
 
 def compare(led: DataFrame, policies: Mapping[str, Policy] = POLICIES) -> DataFrame:
-    """``policy, n_docs, n_kept`` of several policies in one pass over the ledger."""
-    kept = [F.sum(F.when(F.col("fail_bits").bitwiseAND(F.lit(p.mask)) == 0, 1).otherwise(0)).alias(f"k{i}") for i, p in enumerate(policies.values())]
-    row = led.agg(F.count("*").alias("n_docs"), *kept)
-    each = F.array(*[F.struct(F.lit(p.version).alias("policy"), F.coalesce(F.col(f"k{i}"), F.lit(0)).alias("n_kept")) for i, p in enumerate(policies.values())])
-    return row.select("n_docs", F.explode(each).alias("x")).select("x.policy", "n_docs", "x.n_kept")
+    """``policy, n_docs, n_kept`` of several policies in one pass over the ledger's
+    bit patterns; zeros for an empty ledger."""
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n_docs")).otherwise(0)), F.lit(0)).cast("long")
+    each = [F.struct(F.lit(p.version).alias("policy"), total(F.lit(True)).alias("n_docs"), total(under(p) == 0).alias("n_kept")) for p in policies.values()]
+    return patterns(led).agg(F.array(*each).alias("each")).select(F.explode("each").alias("x")).select("x.*")
