@@ -1,11 +1,20 @@
-"""Exact deduplication by 128-bit content hash, confirmed byte by byte."""
+"""Exact deduplication by 128-bit content hash, confirmed byte by byte.
+
+Hashes are grouped first, some hundred bytes a row.  Only texts whose hash
+occurs twice are compared: Spark groups them by the hash *and* the text, with
+copies combined before the shuffle, so that a group with a third of all rows
+sends one text per task.  Texts that occur once never move.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.scratch import doc_key, given_id
+from tickloom.llm.scratch import doc_key, given_id, put
+
+#: Up to so many repeated hashes, or rows to be dropped (some 100 bytes each), are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -13,18 +22,33 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _hashed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(doc_key(doc_id).alias("id"), normalised(F.col(text)).alias("norm")).select("id", "norm", F.md5("norm").alias("hash"), F.sha2("norm", 256).alias("sha"))
+def _hashes(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``hash, sha, id, n``: rows that repeat both id and text are one."""
+    own = docs.select(doc_key(doc_id).alias("id"), normalised(F.col(text)).alias("norm")).select("id", F.md5("norm").alias("hash"), F.sha2("norm", 256).alias("sha"))
+    return put(own.groupBy("hash", "sha", "id").agg(F.count("*").alias("n")), "hashes")
+
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """Stored ``rows``, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per group of equal texts: ``hash, sha, keep, size``.
 
-    Grouping by the hash *and* the text makes Spark compare the bytes of texts
-    with equal hashes; copies are combined before the shuffle, so a group that
-    holds a third of all rows sends one row per map task.
+def groups(docs: DataFrame, hashes: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per group of two equal texts or more: ``hash, sha, keep, size``.
+
+    ``hashes`` are those of ``docs``.  Texts that share a hash but not all bytes
+    are groups of their own.
     """
-    return _hashed(docs, text, doc_id).groupBy("hash", "norm").agg(F.min("id").alias("keep"), F.count("*").alias("size"), F.min("sha").alias("sha")).select("hash", "sha", "keep", "size")
+    twice = put(hashes.groupBy("hash").agg(F.sum("n").alias("rows")).where("rows > 1").select("hash"), "repeated")
+    texts = docs.select(doc_key(doc_id).alias("id"), normalised(F.col(text)).alias("norm")).withColumn("hash", F.md5("norm"))
+    same = texts.join(_bounded(twice), "hash", "left_semi").groupBy("hash", "norm").agg(F.min("id").alias("keep"), F.count("*").alias("size"))
+    return same.where("size > 1").select("hash", F.sha2("norm", 256).alias("sha"), "keep", "size")
+
+
+def _decided(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    hashes = _hashes(docs, text, doc_id)
+    found = groups(docs, hashes, text, doc_id)
+    return hashes.join(found, ["hash", "sha"], "left").select("hash", "sha", "id", "n", F.coalesce("keep", "id").alias("keep"), F.coalesce("size", "n").alias("size"))
 
 
 def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -32,10 +56,10 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
     A null text counts as empty, and a null id as larger than any other.  Rows
     that repeat an id with an equal text are one document: they give one row,
-    and ``group_size`` counts each.  An empty table gives no rows.
+    and ``group_size`` counts each.  A very long text is compared whole.  An
+    empty table gives no rows, and columns of any other name are not read.
     """
-    rows = _hashed(docs, text, doc_id).groupBy("hash", "sha", "id").agg(F.count("*").alias("n"))
-    return rows.join(groups(docs, text, doc_id), ["hash", "sha"]).select(
+    return _decided(docs, text, doc_id).select(
         given_id(F.col("id")).alias("doc_id"),
         given_id(F.col("keep")).alias("keep_id"),
         F.col("size").alias("group_size"),
@@ -48,10 +72,13 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """``docs`` without the rows whose text a row of smaller id has.
 
     All columns stay, whatever they are called.  Of rows that repeat both id
-    and text, one stays.
+    and text, one stays.  Only rows of such repeats are moved, if there are few
+    rows to drop.
     """
-    keys = ["__tl_hash", "__tl_sha", "__tl_id"]
-    own = docs.withColumns({"__tl_id": doc_key(doc_id), "__tl_norm": normalised(F.col(text))})
-    own = own.withColumns({"__tl_hash": F.md5("__tl_norm"), "__tl_sha": F.sha2("__tl_norm", 256)}).drop("__tl_norm")
-    kept = groups(docs, text, doc_id).select(F.col("hash").alias(keys[0]), F.col("sha").alias(keys[1]), F.col("keep").alias(keys[2]))
-    return own.join(kept, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
+    decided = put(_decided(docs, text, doc_id).select("hash", "id", "n", (F.col("id") != F.col("keep")).alias("gone")).where("gone OR n > 1"), "decided")
+    keys = {"__tl_hash": F.md5(normalised(F.col(text))), "__tl_id": doc_key(doc_id)}
+    named = lambda rows: put(rows.select(F.col("hash").alias("__tl_hash"), F.col("id").alias("__tl_id")), "named")
+    own = docs.withColumns(keys)
+    rest = own.join(_bounded(named(decided)), [*keys], "left_anti")
+    once = own.join(_bounded(named(decided.where("NOT gone"))), [*keys], "left_semi").dropDuplicates([*keys])
+    return rest.union(once).select(*[F.col(f"`{c}`") for c in docs.columns])

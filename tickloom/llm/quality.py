@@ -221,11 +221,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, c: float
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` and a last column with the probability that a text is good.
+    """``docs`` and a last column with the probability that a text is good; a
+    column that has its name already is replaced.
 
-    A null or empty text has no features and gets the model's base score.
-    Nothing but the text is an input.
+    A null or empty text has no features and gets the model's base score, a very
+    long one is scored whole; repeated rows get equal scores, an empty table
+    stays empty.  Nothing but the text is an input.
     """
+    if name != text:
+        docs = docs.drop(name)
     at = docs.columns.index(text)
     weights = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))
     base_bias, base_slope, base_shift = model.bias, model.slope, model.shift
@@ -235,8 +239,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.score(x) for x in features(batch.column(at))], pa.float64())], [*batch.schema.names, name])
 
-    if name in docs.columns:
-        raise ValueError(f"the table already has a column {name}")
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 

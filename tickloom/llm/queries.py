@@ -106,7 +106,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """,
     "op2_chat_formatting": r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, md5(text)) AS l FROM t GROUP BY conv_id),
 p AS (SELECT conv_id, l, unnest(range(1, len(l))) AS k FROM c),
 b AS (SELECT DISTINCT md5(CAST(l[1:k] AS VARCHAR)) AS h FROM p),
 m AS (SELECT md5(CAST(l AS VARCHAR)) AS h, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY 1)
