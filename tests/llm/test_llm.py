@@ -33,7 +33,7 @@ def odd_docs(spark):
         (1, None), (2, ""), (3, "   \n\t "), (4, shared), (4, shared), (5, "x " + shared + " y"), (6, shared.replace(" ", "\n")), (None, shared), (None, None), (7, long), (8, long + " end"),
         (9, "Ünïcödé wörds 漢字     é ok <|endoftext|> \x01"), (10, "a\nb\na\n" + "This line is long enough to count.\n" * 3), (11, "This line is long enough to count."), (12, "  this LINE is long enough to count. \r"), (13, body(80)), (13, body(90)),
     ]
-    clash = "id long, row string, n int, hash string, keep string, at int, h1 int, bands int, good int, score_x double, length int, batch int, kind string, component int"
+    clash = "id long, row string, n int, hash string, keep string, at int, h1 int, bands int, good int, score double, length int, batch int, kind string, component int"
     extra = (0, "r", 1, "h", "k", 2, 3, 4, 5, 0.5, 6, 7, "z", 8)
     return spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 2 else "s", None, *extra) for k, (i, t) in enumerate(rows)], f"{SCHEMA}, {clash}")
 
@@ -152,6 +152,16 @@ def test_chat_keeps_maximal_conversations(spark):
     assert chat.render(df.limit(0)).count() == 0
 
 
+def test_chat_ties_and_lost_turns(spark):
+    texts = [f"t{i}" for i in range(8)]
+    ties = [(c, 0, "user", t) for c in (1, 2) for t in (texts if c == 1 else texts[::-1])] + [(2, 1, "user", "more")]
+    rows = [*ties, (None, 0, "user", "a"), (None, 0, "user", "b"), (None, 0, "user", "b"), (None, 5, None, None), (3, 0, "user", "x" * (9 << 20))]
+    got = sorted(((r.conv_id, r.n_turns, r.n_copies, r.rendered) for r in chat.render(table(spark, rows, "conv_id long, turn long, role string, text string")).collect()), key=str)
+    order = sorted(texts, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert [g[:3] for g in got] == [(2, 9, 1), (3, 1, 1), (None, 1, 1), (None, 1, 1), (None, 1, 1)]
+    assert re.findall(r"t\d", got[0][3]) == order and len(got[1][3]) > 9 << 20
+
+
 def test_rules_by_brute_force(spark):
     docs = odd_docs(spark).union(odd_docs(spark).limit(0))
     extra = table(spark, [(20, "go go go go go stop " * 12), (21, "$$$ a b " * 30), (22, "A\n a\n\nA\n")])
@@ -249,7 +259,7 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(table(spark, [], "a long, b long")).count() == 0
 
 
-def test_exact_duplicates_by_brute_force(spark):
+def test_exact_duplicates_by_brute_force(spark, monkeypatch):
     docs = odd_docs(spark)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = defaultdict(list)
@@ -264,7 +274,10 @@ def test_exact_duplicates_by_brute_force(spark):
     assert set(got) == want and len(got) == len(want)
     kept = exactdup.deduplicate(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
-    assert exactdup.decide(docs.limit(0)).count() == 0
+    assert exactdup.decide(docs.limit(0)).count() == 0 and exactdup.deduplicate(docs.limit(0)).count() == 0
+    # Without a broadcast the rows are the same.
+    monkeypatch.setattr(exactdup, "BROADCAST_ROWS", -1)
+    assert {tuple(r) for r in exactdup.decide(docs).collect()} == want and exactdup.deduplicate(docs).count() == len(groups)
 
 
 def test_lines_by_brute_force(spark):
