@@ -1,7 +1,7 @@
 """Removal of long passages that repeat across documents.
 
-Every window of ``k`` consecutive words has a Rabin-Karp hash; windows are
-counted in Spark, and the words of windows that also start in a document of
+Every window of ``k`` consecutive words has a Rabin-Karp hash; windows that can
+repeat are counted in Spark, and the words of windows that also start in a document of
 smaller id merge into maximal removal intervals.  Two exact reductions come
 first, so that only windows that can repeat are shuffled:
 
@@ -26,6 +26,8 @@ from tickloom.llm import words as W
 from tickloom.llm.scratch import doc_key, given_id, put
 
 RUN = 8
+#: Up to so many repeated windows (20 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_WINDOWS = 200_000
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -161,6 +163,10 @@ def repeated(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str = "do
 
     each = found.select("id", "k1", F.explode(F.arrays_zip("hashes", "checks", "places")).alias("w")).select("id", "k1", F.col("w.hashes").alias("hash"), F.col("w.checks").alias("check"), F.col("w.places").alias("place"))
     first = each.groupBy("hash", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("hash", "check", "least")
+    # Stored, so that the join has an exchange of its own on both sides and hot windows can be split.
+    first = put(first, "repeated")
+    if first.count() <= BROADCAST_WINDOWS:
+        first = F.broadcast(first)
     again = each.join(first, ["hash", "check"]).where("id > least").groupBy("id", "k1").agg(F.collect_set("place").alias("places"))
     cut = found.select("id", "k1", "text").join(again, ["id", "k1"]).select("id", "k1", "text", "places").mapInArrow(_remove(k), "id long, k1 long, n_removed long, starts array<long>, ends array<long>, kept_text string")
     return profiles, cut
@@ -171,7 +177,9 @@ def decide(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str = "doc_
 
     A null text has no words; a text of fewer than ``k`` words has no window
     and stays whole.  A null id is larger than any other.  Repeated rows give
-    repeated results: windows of the same id never remove each other.
+    repeated results: windows of the same id never remove each other.  Very long
+    texts are read whole, an empty table gives no rows, and columns of any other
+    name are not read.
     """
     profiles, cut = repeated(docs, k, text, doc_id)
     cut = cut.select("id", "k1", "n_removed", F.sha2("kept_text", 256).alias("cut_sha")).dropDuplicates(["id", "k1"])
