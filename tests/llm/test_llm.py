@@ -230,7 +230,7 @@ def copies(n_groups, size, seed=1):
     return list(enumerate(rows, 1))
 
 
-@pytest.mark.parametrize("block", [512, 7])
+@pytest.mark.parametrize("block", [512, 7, 3])
 def test_near_duplicates_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
     rows = [*copies(6, 25), (1001, ""), (1002, None), (1003, "one two"), (1004, "ONE two"), (1005, "one two three")]
@@ -238,6 +238,15 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, block):
     assert got == near_by_brute_force(rows)
 
 
+def test_large_ids_and_lost_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [((1 << 62) + 5, text), ((1 << 62) + 6, text + " more"), (None, text + " again"), (None, "alone without an id"), ((1 << 62) + 9, "short"), (-3, None)]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.classes(table(spark, rows)).collect()}
+    top = (1 << 62) + 5
+    assert got == {(top, top, True), (top + 1, top, False), (None, top, False), (None, None, True), (top + 4, top + 4, True), (-3, -3, True)}
+    assert neardup.deduplicate(table(spark, rows)).count() == 4
+
+
 def test_near_duplicates_on_odd_documents(spark):
     docs = odd_docs(spark)
     out = neardup.classes(docs)
