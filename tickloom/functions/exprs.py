@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
@@ -47,6 +48,47 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
+def normal_quantile(p: Column) -> Column:
+    """The inverse of the standard normal distribution: Acklam's rational
+    approximation (relative error 1.2e-9); null outside (0, 1)."""
+    #: Fixed values of that formula: numerators and denominators of the middle and of the tails.
+    a = (-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239)
+    b = (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0)
+    c = (-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+    d = (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996, 3.754408661907416, 1.0)
+
+    def poly(factors: tuple[float, ...], x: Column) -> Column:
+        out = F.lit(0.0)
+        for f in factors:
+            out = out * x + f
+        return out
+
+    q = p - 0.5
+    middle = q * poly(a, q * q) / poly(b, q * q)
+    tail = lambda x: poly(c, F.sqrt(-2 * F.log(x))) / poly(d, F.sqrt(-2 * F.log(x)))
+    low = 0.02425
+    return F.when((p <= 0) | (p >= 1), None).when(p < low, tail(p)).when(p <= 1 - low, middle).when(p < 1, -tail(1 - p))
+
+
+def softmax(values: Column) -> Column:
+    """The shares of an array's exponentials, shifted by the largest."""
+    shifted = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
+    total = F.aggregate(shifted, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(shifted, lambda x: x / total)
+
+
+def mapped(x: Column, table: Mapping, default: object = None) -> Column:
+    """The entry of a small table by value; ``default`` for values it lacks."""
+    pairs = [F.lit(v) for kv in table.items() for v in kv]
+    return F.coalesce(F.element_at(F.create_map(*pairs), x), F.lit(default)) if pairs else F.lit(default)
+
+
+def chosen(n: Column, k: Column) -> Column:
+    """The number of ways to choose ``k`` of ``n`` as a double; 0 for ``k`` outside 0 to ``n``."""
+    steps = F.when((k >= 1) & (k <= n), F.sequence(F.lit(1).cast("int"), k.cast("int")))
+    return F.when((k < 0) | (k > n), 0.0).when(k == 0, 1.0).otherwise(F.aggregate(steps, F.lit(1.0), lambda s, i: s * (n - k + i) / i))
+
+
 def over_full(agg: Column, counted: Column, frame: WindowSpec, n: int) -> Column:
     """A window aggregate that is null until the frame has ``n`` values."""
     return F.when(F.count(counted).over(frame) >= n, agg.over(frame))

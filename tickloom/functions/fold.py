@@ -26,7 +26,7 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callab
     names = [k.strip("`") for k in keys]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, None
+        last, state, begun = None, None, False
         for batch in batches:
             if not len(batch):
                 continue
@@ -41,8 +41,8 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callab
                     continue
                 rows = batch.iloc[lo:hi]
                 key = tuple(None if pd.isna(v) else v for v in rows[names].iloc[0])
-                if state is None or key != last:
-                    last, state = key, start()
+                if not begun or key != last:
+                    last, state, begun = key, start(), True
                 state, out = step(state, rows)
                 parts.append(out)
             yield pd.concat(parts, ignore_index=True)

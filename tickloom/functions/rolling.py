@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import ratio
+from tickloom.functions.fold import fold
 
 
 def by_bar() -> WindowSpec:
@@ -68,9 +73,31 @@ def gaussian_sum(x: Column, n: int = 10, std: float = 5.0) -> Column:
     return F.when(F.count(x).over(rows(n)) >= n, out)
 
 
+def log_compound(x: Column) -> Column:
+    """The logarithm of the running product of positive factors; it does not overflow."""
+    return F.sum(F.log(x)).over(by_bar().rowsBetween(Window.unboundedPreceding, 0))
+
+
 def compound(x: Column) -> Column:
     """Running product of positive factors, by logarithms."""
-    return F.exp(F.sum(F.log(x)).over(by_bar().rowsBetween(Window.unboundedPreceding, 0)))
+    return F.exp(log_compound(x))
+
+
+def apply(df: DataFrame, value: str, function: Callable[[np.ndarray], float], n: int, keys: Sequence[str], order: Sequence[str], out: str = "applied", least: int | None = None) -> DataFrame:
+    """``df`` with ``out``: any function of the last ``n`` values, null below ``least``.
+
+    Series are streamed; only the last ``n - 1`` values are carried over batches.
+    Rows without a value count as NaN.
+    """
+
+    def step(state: np.ndarray, rows: pd.DataFrame):
+        both = np.r_[state, rows[value].to_numpy(dtype=float, na_value=np.nan)]
+        first = len(state)
+        got = [function(both[max(0, i + 1 - n) : i + 1]) if min(i + 1, n) >= (least or n) else np.nan for i in range(first, len(both))]
+        return both[max(0, len(both) - n + 1) :] if n > 1 else both[:0], rows.assign(**{out: pd.array(got, "Float64")})
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{out}` double"])
+    return fold(df, keys, order, lambda: np.zeros(0), step, schema)
 
 
 def all_rank(x: Column | str, share: bool = False) -> Column:
@@ -95,7 +122,12 @@ def rank_correlation(x: Column, y: Column, n: int, back: int = 1, least: int = 3
     pairs = F.filter(F.collect_list(F.struct(x.alias("x"), y.alias("y"))).over(w), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
     def ranks(name: str) -> Column:
-        return F.transform(pairs, lambda p: F.size(F.filter(pairs, lambda q: q[name] < p[name])) + (F.size(F.filter(pairs, lambda q: q[name] == p[name])) + 1) / 2.0)
+        """Average ranks by one sort: the mean of a value's first and last place."""
+        values = F.transform(pairs, lambda p: p[name])
+        ordered = F.array_sort(values)
+        back = F.reverse(ordered)
+        place = lambda both: F.transform(values, lambda v: (F.array_position(both["up"], v) + F.size(both["up"]) + 1 - F.array_position(both["down"], v)) / 2.0)
+        return F.get(F.transform(F.array(F.struct(ordered.alias("up"), back.alias("down"))), place), F.lit(0))
 
     m = F.size(pairs)
     centre = (m + 1) / 2.0

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import ratio
+from tickloom.functions.fold import fold
 
 
 def moments(wide: DataFrame, assets: Sequence[str], by: str | None = None) -> DataFrame:
@@ -72,24 +73,32 @@ def single_linkage(distance: np.ndarray) -> list[tuple[list[int], list[int]]]:
 
 
 def hierarchical_risk_parity(cov: np.ndarray) -> np.ndarray:
-    """Inverse-variance bisection along the order of a single-linkage tree."""
+    """Risk shared along the leaves of a single-linkage tree, half against half.
+
+    A run of leaves gets an allotment; its halves share it in inverse proportion
+    to the variance of their inverse-variance portfolios, down to single assets.
+    """
     merges = single_linkage(np.sqrt(np.clip((1 - correlation(cov)) / 2, 0, None)))
-    order = merges[-1][0] + merges[-1][1] if merges else [0]
-    w = np.ones(len(cov))
-
-    def variance(items: list[int]) -> float:
-        inverse = 1 / np.diag(cov)[items]
-        inverse /= inverse.sum()
-        return float(inverse @ cov[np.ix_(items, items)] @ inverse)
-
-    parts = [order]
-    while parts:
-        parts = [half for p in parts if len(p) > 1 for half in (p[: len(p) // 2], p[len(p) // 2 :])]
-        for left, right in zip(parts[::2], parts[1::2]):
-            a = 1 - variance(left) / (variance(left) + variance(right))
-            w[left] *= a
-            w[right] *= 1 - a
-    return w / w.sum()
+    leaves = np.array([*merges[-1][0], *merges[-1][1]] if merges else [0])
+    out = np.zeros(len(cov))
+
+    def risk(run: np.ndarray) -> float:
+        """1' D^-1 C D^-1 1 / (1' D^-1 1)^2 of the run's covariances C with diagonal D."""
+        block = cov[np.ix_(run, run)]
+        d = 1 / np.diag(block)
+        return float(d @ block @ d / d.sum() ** 2)
+
+    def share(run: np.ndarray, allotment: float) -> None:
+        if len(run) == 1:
+            out[run[0]] = allotment
+            return
+        near, far = np.split(run, [len(run) // 2])
+        a, b = risk(near), risk(far)
+        share(near, allotment * b / (a + b))
+        share(far, allotment * a / (a + b))
+
+    share(leaves, 1.0)
+    return out
 
 
 METHODS = {"least_variance": least_variance, "eigen_risk": eigen_risk, "hierarchical": hierarchical_risk_parity}
@@ -111,14 +120,73 @@ def weights(wide: DataFrame, assets: Sequence[str], method: str = "hierarchical"
     return made.select(*key, "n", "s", "ss").where(F.col("n") > len(names)).mapInPandas(run, kind + "asset string, weight double")
 
 
+def traded_basket(prices: DataFrame, time: str, assets: Sequence[str], method: str = "least_variance", capital: float = 10_000.0, first: int = 25) -> DataFrame:
+    """``time, capital, value, holdings`` of a basket ("ETF trick") of ``assets``.
+
+    ``prices`` has the columns ``open_<asset>`` and ``close_<asset>`` on common
+    times.  From row ``first`` on (rows from 0), the weights w of a row come from
+    the covariance of the returns of all closes before it, by ``method``; with
+    o the opens, o' the next row's, p = o' / 100 and K the capital, holdings are
+    h = w K / (o' p sum|w|), K grows by sum(h p (close - open)) with the holdings
+    of the row before, and the value is sum(h o).  The last row has no next open
+    and is left out.
+
+    The recursion is one series; it is streamed with running moments as state.
+    """
+    names, choose, k = list(assets), METHODS[method], len(assets)
+    kind = dict(prices.dtypes)[time]
+
+    def step(state, rows: pd.DataFrame):
+        n, row, mean, cross, last, held, money, waiting = state
+        opens = rows[[f"open_{a}" for a in names]].to_numpy(float)
+        closes = rows[[f"close_{a}" for a in names]].to_numpy(float)
+        out = []
+        for at, o, c in zip(rows[time], opens, closes, strict=True):
+            if waiting is not None:
+                then, o0, c0, w = waiting
+                point = o / 100
+                if held is not None:
+                    money += float(np.sum(held * point * (c0 - o0)))
+                held = w * money / (o * point * np.abs(w).sum())
+                out.append((then, money, float(np.sum(held * o0)), held.tolist()))
+            waiting = (at, o, c, choose(cross / (n - 1))) if row >= first and n > k else None
+            if last is not None:
+                n += 1
+                r = c / last - 1
+                move = r - mean
+                mean = mean + move / n
+                cross = cross + np.outer(move, r - mean)
+            last, row = c, row + 1
+        return (n, row, mean, cross, last, held, money, waiting), pd.DataFrame(out, columns=[time, "capital", "value", "holdings"])
+
+    own = prices.withColumn("_basket", F.lit(0))
+    start = lambda: (0, 0, np.zeros(k), np.zeros((k, k)), None, None, float(capital), None)
+    return fold(own, ["_basket"], [time], start, step, f"`{time}` {kind}, capital double, value double, holdings array<double>")
+
+
 def basket(aligned: DataFrame, time: str, assets: Sequence[str], shares: dict[str, float], capital: float = 1.0) -> DataFrame:
     """``time, value`` of a basket rebalanced to fixed shares at every row.
 
     The capital grows by the weighted price change of each row: a running
-    product, computed as a sum of logarithms.
+    product, as a sum of logarithms inside each day and over one row per day.
+    From the row on that wipes the capital out the value is 0.
     """
-    w = Window.orderBy(time)
+    day = F.to_date(time)
     total = sum(abs(shares[a]) for a in assets)
-    growth = sum((shares[a] / total * (ratio(F.col(f"`{a}`"), F.lag(F.col(f"`{a}`")).over(w)) - 1) for a in assets), F.lit(0.0))
-    factor = F.greatest(1 + F.coalesce(growth, F.lit(0.0)), F.lit(1e-12))
-    return aligned.select(time, factor.alias("f")).select(time, (capital * F.exp(F.sum(F.log("f")).over(w.rowsBetween(Window.unboundedPreceding, 0)))).alias("value"))
+    col = lambda a: F.col(f"`{a}`")
+    inside = Window.partitionBy("_day").orderBy(time)
+    ends = aligned.groupBy(day.alias("_day")).agg(*[F.max_by(col(a), F.col(time)).alias(f"_end_{i}") for i, a in enumerate(assets)])
+    before = Window.orderBy("_day")  # one row per day
+    ends = ends.select("_day", *[F.lag(f"_end_{i}").over(before).alias(f"_end_{i}") for i in range(len(assets))])
+    own = aligned.withColumn("_day", day).join(ends, "_day")
+    last = lambda i, a: F.coalesce(F.lag(col(a)).over(inside), F.col(f"_end_{i}"))
+    growth = sum((shares[a] / total * (ratio(col(a), last(i, a)) - 1) for i, a in enumerate(assets)), F.lit(0.0))
+    own = own.withColumn("_f", 1 + F.coalesce(growth, F.lit(0.0)))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    factor = F.when(F.col("_f") > 0, F.col("_f"))
+    own = own.withColumns({"_log": F.coalesce(F.sum(F.log(factor)).over(so_far), F.lit(0.0)), "_gone": F.max(F.when(F.col("_f") <= 0, 1).otherwise(0)).over(so_far)})
+    days = own.groupBy("_day").agg(F.coalesce(F.sum(F.log(factor)), F.lit(0.0)).alias("_sum"), F.max("_gone").alias("_lost"))
+    past = before.rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_day", F.coalesce(F.sum("_sum").over(past), F.lit(0.0)).alias("_past"), F.coalesce(F.max("_lost").over(past), F.lit(0)).alias("_lost"))
+    value = F.when((F.col("_gone") == 1) | (F.col("_lost") == 1), 0.0).otherwise(capital * F.exp(F.col("_past") + F.col("_log")))
+    return own.join(days, "_day").select(time, value.alias("value"))

@@ -34,9 +34,13 @@ def lagged_value(value: str, time: str, keys: Sequence[str], lag_micros: int, st
 
 
 def first_time_after(time: str, keys: Sequence[str], lead_micros: int) -> Column:
-    """The first time at or after ``time + lead``."""
-    w = Window.partitionBy(*keys).orderBy(micros(time)).rangeBetween(lead_micros, Window.unboundedFollowing)
-    return F.first(time).over(w)
+    """The first time at or after ``time + lead``.
+
+    Read backwards, it is the last of the rows so far: a frame that only grows,
+    instead of one that is summed up anew for each row.
+    """
+    w = Window.partitionBy(*keys).orderBy(-micros(time)).rangeBetween(Window.unboundedPreceding, -lead_micros)
+    return F.last(time).over(w)
 
 
 def align(df: DataFrame, symbols: Sequence[str], time: str = "ts", value: str = "price") -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -76,11 +77,13 @@ def statistics(traded: DataFrame, benchmark_sharpe: float = 0.0, raw_kurtosis: b
         F.when((growth > -1) & (F.col("days") > 0), F.pow(growth + 1, ratio(F.lit(360.0), F.col("days"))) - 1).alias("annual_return"),
         "hits", ratio(F.col("hits"), F.col("n")).alias("hit_ratio"), "hit_return", "max_drawdown", "max_under_water", "hhi_positive", "hhi_negative", sharpe.alias("sharpe"), psr.alias("psr"),
         ratio(growth * F.col("mean_capital"), F.col("first")).alias("dollar_performance"), ratio(growth, F.col("mean_costs")).alias("return_on_costs"),
+        least_track_record(sharpe, F.col("skew"), kurt, benchmark_sharpe).alias("track_record"),
     )
 
 
-def least_track_record(sharpe: Column, skew: Column, kurt: Column, benchmark: float = 0.0, z: float = -1.6448536269514722) -> Column:
-    """The number of returns needed for a significant Sharpe ratio."""
+def least_track_record(sharpe: Column, skew: Column, kurt: Column, benchmark: float = 0.0, confidence: float = 0.95) -> Column:
+    """The number of returns needed for a Sharpe ratio above the benchmark to be significant."""
+    z = NormalDist().inv_cdf(1 - confidence)
     return 1 + (1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) * F.pow(ratio(F.lit(z), sharpe - benchmark), 2)
 
 
@@ -104,13 +107,16 @@ def _sharpe(n: Column, s: Column, ss: Column) -> Column:
     return ratio(mean, F.sqrt(F.greatest(ratio(ss, n) - mean * mean, F.lit(0.0))))
 
 
-def cscv(matrix: DataFrame, blocks: int = 16) -> DataFrame:
+def cscv(matrix: DataFrame, blocks: int = 16, metric: Callable[[Column, Column, Column], Column] = _sharpe, aggregate: Callable[[Column], Column] | None = None) -> DataFrame:
     """Combinatorially symmetric cross-validation: one row per split.
 
     ``split, best_model, sharpe_in, sharpe_out, rank, omega, logit``.  Times are
-    cut into ``blocks`` runs; a Sharpe ratio of any union of runs comes from the
-    runs' three sums, so a split costs a few additions per model instead of a
-    pass over the returns.  Ties go to the model of the greater name.
+    cut into ``blocks`` runs; a ``metric`` of number, sum and sum of squares (by
+    default the Sharpe ratio) of any union of runs comes from the runs' three
+    sums, so a split costs a few additions per model instead of a pass over the
+    returns.  ``aggregate`` is any aggregate expression of the returns instead;
+    each return is then read once for every split.  Ties go to the model of the
+    greater name.
     """
     spark = matrix.sparkSession
     n_rows = matrix.select("t").distinct().count()
@@ -121,9 +127,15 @@ def cscv(matrix: DataFrame, blocks: int = 16) -> DataFrame:
     sums = matrix.join(times.select("t", block.alias("block")), "t").groupBy("model", "block").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     chosen = [(k, list(c)) for k, c in enumerate(itertools.combinations(range(blocks), blocks // 2))]
     splits = spark.createDataFrame(chosen, "split int, inside array<int>").select("split", F.explode("inside").alias("block"))
-    total = sums.groupBy("model").agg(*[F.sum(c).alias(f"{c}_all") for c in ("n", "s", "ss")])
-    inner = sums.join(splits, "block").groupBy("split", "model").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")]).join(total, "model")
-    scored = inner.select("split", "model", _sharpe(*[F.col(c) for c in ("n", "s", "ss")]).alias("a"), _sharpe(*[F.col(f"{c}_all") - F.col(c) for c in ("n", "s", "ss")]).alias("b"))
+    if aggregate is None:
+        total = sums.groupBy("model").agg(*[F.sum(c).alias(f"{c}_all") for c in ("n", "s", "ss")])
+        inner = sums.join(splits, "block").groupBy("split", "model").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")]).join(total, "model")
+        scored = inner.select("split", "model", metric(*[F.col(c) for c in ("n", "s", "ss")]).alias("a"), metric(*[F.col(f"{c}_all") - F.col(c) for c in ("n", "s", "ss")]).alias("b"))
+    else:
+        designs = spark.createDataFrame(chosen, "split int, inside array<int>")
+        # The design has C(blocks, blocks / 2) rows, whatever the returns.
+        each = matrix.join(times.select("t", block.alias("block")), "t").join(F.broadcast(designs)).withColumn("_in", F.array_contains("inside", F.col("block")))
+        scored = each.groupBy("split", "model").agg(aggregate(F.when(F.col("_in"), F.col("value"))).alias("a"), aggregate(F.when(~F.col("_in"), F.col("value"))).alias("b"))
     w = Window.partitionBy("split")
     ranked = scored.withColumn("rank", F.row_number().over(w.orderBy("b", "model"))).withColumn("models", F.count("*").over(w))
     best = ranked.groupBy("split").agg(F.max_by(F.struct("model", "a", "b", "rank", "models"), F.struct("a", "model")).alias("x"))
@@ -148,14 +160,16 @@ def choose_nearest(stats: DataFrame, key: str, larger: Sequence[str], smaller: S
     The ideal has the largest of ``larger`` and the smallest of ``smaller``;
     ``chosen`` marks the nearest (or farthest) row.
     """
-    w = Window.partitionBy()
-    # A table of candidate strategies: a handful of rows.
-    z = {c: ratio(F.col(c) - F.avg(c).over(w), F.stddev_pop(c).over(w), 0.0) for c in (*larger, *smaller)}
-    scaled = stats.select(key, *[v.alias(c) for c, v in z.items()])
-    squares = [F.pow(F.col(c) - F.max(c).over(w), 2) for c in larger] + [F.pow(F.col(c) - F.min(c).over(w), 2) for c in smaller]
-    far = scaled.select(key, F.sqrt(sum(squares, F.lit(0.0))).alias("distance"))
-    order = F.col("distance").desc() if farthest else F.col("distance")
-    return far.withColumn("chosen", F.row_number().over(w.orderBy(order, key)) == 1)
+    names = [*larger, *smaller]
+    figures = stats.agg(*[f(c).alias(f"{n}_{c}") for c in names for n, f in (("mean", F.avg), ("spread", F.stddev_pop), ("low", F.min), ("high", F.max))])
+    joined = stats.join(F.broadcast(figures))  # one row of figures
+    scaled = lambda x, c: ratio(x - F.col(f"mean_{c}"), F.col(f"spread_{c}"), 0.0)
+    ideal = {**{c: f"high_{c}" for c in larger}, **{c: f"low_{c}" for c in smaller}}
+    squares = [F.pow(scaled(F.col(c), c) - scaled(F.col(at), c), 2) for c, at in ideal.items()]
+    far = joined.select(key, F.sqrt(sum(squares, F.lit(0.0))).alias("distance"))
+    best = far.agg((F.max if farthest else F.min)("distance").alias("_d"))
+    tied = far.join(F.broadcast(best), F.col("distance") == F.col("_d")).agg(F.min(key).alias("_best"))
+    return far.join(F.broadcast(tied)).select(key, "distance", F.coalesce(F.col(key) == F.col("_best"), F.lit(False)).alias("chosen"))
 
 
 def swarm(objective, dims: int, low: float, high: float, particles: int = 5, rounds: int = 100, inertia: float = 0.01, pull: float = 1.0, seed: int = 0) -> tuple[np.ndarray, float]:

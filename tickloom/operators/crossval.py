@@ -7,21 +7,31 @@ index array on the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, *order: str) -> DataFrame:
+def number_rows(df: DataFrame, *order: str, parts: int = 200) -> DataFrame:
     """``df`` with ``row_id`` from 0 in the given order.
 
-    Offsets of hash-free range partitions replace a global window: only a count
-    per partition is gathered.
+    The first order column (a number, date or time) is cut at approximate
+    quantiles.  Rows are numbered inside each range and shifted by the sizes of
+    the ranges before, so that neither a global window nor a cache is needed and
+    a lost task gives the same numbers again.  Nulls come first.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
-    ordered = ordered.persist()
-    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_least"))
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ordered.join(F.broadcast(offsets), "_part").withColumn("row_id", F.col("_before") + F.col("_in") - F.col("_least")).drop("_part", "_in", "_n", "_least", "_before")
+    kind = dict(df.dtypes)[order[0]]
+    at = F.col(f"`{order[0]}`")
+    at = F.unix_micros(at.cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else at.cast("double")
+    cuts = df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < at)), F.lit(0)) if cuts else F.lit(0)
+    own = df.withColumn("_part", F.when(at.isNull(), -1).otherwise(part))
+    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = own.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(f"`{c}`") for c in order])))
+    # At most `parts` + 1 rows.
+    return numbered.join(F.broadcast(before.drop("_n")), "_part").withColumn("row_id", F.col("_before") + F.col("_in") - 1).drop("_part", "_in", "_before")
 
 
 def piece_of(row_id: Column, n_rows: int, pieces: int) -> Column:
@@ -44,8 +54,11 @@ def purged_folds(rows: DataFrame, folds: int, embargo: float = 0.0) -> DataFrame
     n = rows.count()
     own = rows.withColumn("fold", piece_of(F.col("row_id"), n, folds))
     spans = own.groupBy("fold").agg(F.min("time").alias("t0"), F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.max("t1").alias("t_end"))
-    reach = rows.select("row_id", "time")
-    right = spans.join(reach, reach["time"] > spans["t_end"], "left").groupBy("fold", "t0", "first", "last").agg((F.coalesce(F.min("row_id"), F.lit(n)) + int(n * embargo)).alias("right"))
+    # For all folds at once, the first row after each one's last label: one pass, one row.
+    ends = [(r.fold, r.t_end) for r in spans.select("fold", "t_end").collect()]
+    after = rows.agg(*[F.min(F.when(F.col("time") > F.lit(t).cast(dict(rows.dtypes)["time"]), F.col("row_id"))).alias(f"f{k}") for k, t in ends])
+    starts = F.array(*[F.struct(F.lit(k).alias("fold"), (F.coalesce(F.col(f"f{k}"), F.lit(n)) + int(n * embargo)).alias("right")) for k, _ in ends])
+    right = spans.join(after.select(F.explode(starts).alias("x")).select("x.*"), "fold") if ends else spans.withColumn("right", F.lit(n))
     # A fold's spans are a handful of rows: one row per fold.
     met = own.drop("fold").crossJoin(F.broadcast(right))
     role = F.when(F.col("row_id").between(F.col("first"), F.col("last")), "test").when((F.col("row_id") < F.col("first")) & (F.col("t1") <= F.col("t0")), "train").when(F.col("row_id") >= F.greatest("right", F.col("last") + 1), "train")
@@ -84,6 +97,11 @@ def combinatorial_test(rows: DataFrame, table: DataFrame, pieces: int) -> DataFr
     return with_pieces(rows, pieces).join(F.broadcast(table), "piece").select("split", "path", "row_id")
 
 
+def ways(n: int, k: int) -> int:
+    """The number of ways to choose ``k`` of ``n``: splits of a design, of which each path takes ``k / n``."""
+    return math.comb(n, k)
+
+
 def bet_size(probability: Column, side: Column, classes: int = 2, step: float = 0.2) -> Column:
     """Signed size of a bet from a predicted probability, in steps, within [-1, 1].
 

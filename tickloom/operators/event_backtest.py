@@ -97,13 +97,15 @@ def equity(ledgers: DataFrame, capital: float = 100_000.0) -> DataFrame:
 
     Symbols without a heartbeat at a time keep their last state.
     """
-    names = ledgers.select("symbol").distinct()
-    grid = ledgers.select("start").distinct().join(F.broadcast(names)) if names.count() <= 10_000 else ledgers.select("start").distinct().crossJoin(names)
-    w = Window.partitionBy("symbol").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.join(ledgers, ["symbol", "start"], "left").select("symbol", "start", *[F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0.0)).alias(c) for c in ("market_value", "cash_flow", "fees")])
-    total = filled.groupBy("start").agg(*[F.sum(F.col(c).cast("decimal(28,6)")).cast("double").alias(c) for c in ("market_value", "cash_flow", "fees")])
+    w = Window.partitionBy("symbol").orderBy("start")
+    names = ("market_value", "cash_flow", "fees")
+    # Changes of state add up over symbols and then over times; no grid of symbols and times is made.
+    money = lambda c: F.col(c).cast("decimal(28,6)")
+    moved = ledgers.select("start", *[(money(c) - F.coalesce(F.lag(money(c)).over(w), F.lit(0).cast("decimal(28,6)"))).alias(c) for c in names])
+    by_time = moved.groupBy("start").agg(*[F.sum(c).alias(c) for c in names])
+    order = Window.orderBy("start")  # one row per time
+    total = by_time.select("start", *[F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias(c) for c in names])
     out = total.select("start", (capital + F.col("cash_flow") - F.col("fees")).alias("cash"), F.col("market_value").alias("holdings"), (capital + F.col("cash_flow") - F.col("fees") + F.col("market_value")).alias("total"))
-    order = Window.orderBy("start")
     ret = F.coalesce(ratio(F.col("total"), F.lag("total").over(order)) - 1, F.lit(0.0))
     out = out.withColumn("ret", ret)
     return out.withColumn("growth", ratio(F.col("total"), F.lit(capital))).withColumn("fall", F.least("ret", F.lit(0.0)))

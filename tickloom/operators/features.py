@@ -12,7 +12,9 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
@@ -278,3 +280,10 @@ def assemble(bars: DataFrame, complete: bool = True) -> DataFrame:
     for part in (technical(bars), alphas(bars), micro(bars).drop("corwinschultz_sigma"), standard(bars), series_sums(bars), series_orders(bars)):
         out = out.join(part.select("symbol", "bar", *[F.col(c).alias(f"feature_{c}") for c in part.columns[2:]]), ["symbol", "bar"])
     return out.na.drop(subset=[c for c in out.columns if c.startswith("feature_")]) if complete else out
+
+
+def autocorrelations(df: DataFrame, value: str, lags: Sequence[int], by: str = "symbol", order: str = "bar") -> DataFrame:
+    """``by, lag<k>, ...``: the correlation of each series with itself k rows before."""
+    w = Window.partitionBy(by).orderBy(order)
+    lagged = df.select(by, F.col(value).alias("_x"), *[F.lag(value, k).over(w).alias(f"_x{k}") for k in lags])
+    return lagged.groupBy(by).agg(*[F.corr("_x", f"_x{k}").alias(f"lag{k}") for k in lags])

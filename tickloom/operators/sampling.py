@@ -46,38 +46,114 @@ def sampled(df: DataFrame, value: str, h: float, keys: list[str], order: list[st
     return cusum(df.where(condition) if condition else df, value, h, keys, order).where("event <> 0")
 
 
-def sadf(df: DataFrame, value: str, keys: list[str], order: list[str], least: int = 6) -> DataFrame:
-    """``df`` with ``sadf``: the supremum over starts of the Dickey-Fuller t-ratio
-    of log ``value`` from the start to the row (no constant, no lags).
+TRENDS = {"nc": 0, "c": 1, "ct": 2, "ctt": 3}
+
 
-    Every regression comes from prefix sums.  The state of a series is its
-    prefix sums; null until ``least`` points are there.
+def lag_choice(df: DataFrame, value: str, keys: list[str], order: list[str], most: int = 1) -> DataFrame:
+    """``keys, lags``: for each series the number of lagged changes, up to ``most``,
+    with the least Bayesian information criterion of the Dickey-Fuller
+    regression (no constant) of log ``value``.
+
+    All numbers are tried on the same rows, from one pass of sums; only a small
+    matrix per series is solved.  Series too short for ``most`` lags get 0.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    own = df.select(*keys, *order, F.log(F.col(value).cast("double")).alias("_y"))
+    own = own.withColumn("_x0", F.lag("_y").over(w)).withColumn("_d", F.col("_y") - F.col("_x0"))
+    own = own.withColumns({f"_x{k}": F.lag("_d", k).over(w) for k in range(1, most + 1)}).where(f"_x{most} IS NOT NULL AND _d IS NOT NULL")
+    names = [*(f"_x{k}" for k in range(most + 1)), "_d"]
+    pairs = [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(len(names)) for j in range(i, len(names))]
+    sums = own.groupBy(*keys).agg(F.count("*").alias("_n"), F.array(*pairs).alias("_s"))
+
+    def run(batches):
+        for pdf in batches:
+            best = []
+            for n, flat in zip(pdf["_n"], pdf["_s"], strict=True):
+                cross = np.zeros((most + 2, most + 2))
+                cross[np.triu_indices(most + 2)] = np.array(flat, float)
+                cross = cross + np.triu(cross, 1).T
+                found = []
+                for k in range(1, most + 2):
+                    beta = np.linalg.lstsq(cross[:k, :k], cross[:k, -1], rcond=None)[0]
+                    rss = max(cross[-1, -1] - beta @ cross[:k, -1], 1e-300)
+                    found.append(n * np.log(rss / n) + k * np.log(n))
+                best.append(int(np.argmin(found)))
+            yield pdf[[k.strip("`") for k in keys]].assign(lags=np.array(best, np.int32))
+
+    kinds = dict(df.dtypes)
+    chosen = sums.mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "lags int"]))
+    return df.select(*keys).distinct().join(chosen, keys, "left").select(*keys, F.coalesce("lags", F.lit(0)).alias("lags"))
+
+
+def sadf(df: DataFrame, value: str, keys: list[str], order: list[str], least: int = 6, lags: int | None = 0, trend: str = "nc", longest: int | None = None) -> DataFrame:
+    """``df`` with ``sadf``: the supremum over starts of the Dickey-Fuller t-ratio
+    of log ``value`` from the start to the row.
+
+    ``lags`` changes before are regressors, by :func:`lag_choice` for None;
+    ``trend`` adds a constant (c), a line (ct) and a square (ctt).  A regression
+    needs ``least`` points and more rows than regressors; null before.  Every
+    regression comes from prefix sums of products.  ``longest`` bounds the rows
+    of a regression and with them the state of a series, which is its prefix
+    sums otherwise.
     """
+    extra = TRENDS[trend]
+    if lags is None:
+        df = df.join(lag_choice(df, value, keys, order).withColumnRenamed("lags", "_lags"), keys)
 
     def step(state, rows: pd.DataFrame):
-        sums, last = state
-        got = []
-        for x in np.log(rows[value].to_numpy(dtype=float, na_value=np.nan)).tolist():
-            if last is None:
-                sums, last = [np.zeros(1), np.zeros(1), np.zeros(1)], x
-                got.append(np.nan)
+        n_lags = int(rows["_lags"].iloc[0]) if lags is None else lags
+        k = 1 + n_lags + extra
+        y, sums, seen = state if state is not None else (np.zeros(0), np.zeros((1, k + 1, k + 1)), 0)
+        fresh = np.log(rows[value].to_numpy(dtype=float, na_value=np.nan))
+        both = np.r_[y, fresh]
+        # Row i of the series has a regression row if it has n_lags + 1 changes before and with it.
+        offset = len(y)
+        new = []
+        for i in range(offset, len(both)):
+            if seen + i - offset < n_lags + 1:
                 continue
-            move = x - last
-            sums = [np.append(s, s[-1] + v) for s, v in zip(sums, (last * last, last * move, move * move), strict=True)]
-            last, m = x, len(sums[0]) - 1
-            if m + 1 < least:
-                got.append(np.nan)
+            moves = np.diff(both[i - n_lags - 1 : i + 1])
+            t = float(seen + i - offset)
+            v = np.r_[both[i - 1], moves[:-1][::-1], [t**p for p in range(extra)], moves[-1]]
+            new.append(np.outer(v, v))
+        have = len(sums)
+        if new:
+            sums = np.concatenate([sums, sums[-1] + np.cumsum(new, axis=0)])
+        got = np.full(len(fresh), np.nan)
+        # Points of a regression over m rows: m + n_lags + 1.
+        fewest = max(least - n_lags - 1, k + 1)
+        for j in range(len(new)):
+            end = have + j
+            row = len(fresh) - len(new) + j
+            low = max(0, end - longest) if longest else 0
+            starts = np.arange(low, end - fewest + 1)
+            if not len(starts):
                 continue
-            n = m - np.arange(m - least + 2)
-            xx, xy, yy = (s[-1] - s[: m - least + 2] for s in sums)
+            m = end - starts
+            cross = sums[end] - sums[starts]
+            xx, xy, yy = cross[:, :k, :k], cross[:, :k, k], cross[:, k, k]
             with np.errstate(all="ignore"):
-                beta = xy / xx
-                t = beta / np.sqrt(np.maximum(yy - beta * xy, 0) / (n - 1) / xx)
-            t = t[np.isfinite(t)]
-            got.append(t.max() if len(t) else np.nan)
-        return (sums, last), rows.assign(sadf=pd.array(got, "Float64"))
-
-    return fold(df, keys, order, lambda: (None, None), step, _typed(df, "sadf double"))
+                if k == 1:
+                    inverse = 1 / xx
+                else:
+                    scale = np.sqrt(np.maximum(np.einsum("sii->si", xx), 1e-300))
+                    unit = xx / scale[:, :, None] / scale[:, None, :]
+                    good = np.abs(np.linalg.det(unit)) > 1e-13
+                    unit[~good] = np.eye(k)
+                    inverse = np.linalg.inv(unit) / scale[:, :, None] / scale[:, None, :]
+                    inverse[~good] = np.nan
+                beta = np.einsum("sij,sj->si", inverse, xy)
+                rss = np.maximum(yy - np.einsum("si,si->s", beta, xy), 0)
+                ratios = beta[:, 0] / np.sqrt(rss / (m - k) * inverse[:, 0, 0])
+            ratios = ratios[np.isfinite(ratios)]
+            if len(ratios):
+                got[row] = ratios.max()
+        if longest and len(sums) > longest + 1:
+            sums = sums[-(longest + 1) :]
+        return (both[-(n_lags + 1) :], sums, seen + len(fresh)), rows.assign(sadf=pd.array(got, "Float64"))
+
+    out = fold(df, keys, order, lambda: None, step, _typed(df, "sadf double"))
+    return out.drop("_lags")
 
 
 def fracdiff_weights(d: float, size: int) -> list[float]:

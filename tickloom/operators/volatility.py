@@ -55,6 +55,23 @@ def ewm_std_fold(df: DataFrame, value: str, out: str, span: float, keys: list[st
     return fold(df, keys, order, lambda: (0.0, 0.0, 0.0, 0.0), step, schema)
 
 
+def ewm_mean_fold(df: DataFrame, value: str, out: str, span: float, keys: list[str], order: list[str], schema: str) -> DataFrame:
+    """The exponentially weighted mean, streamed; nulls are skipped and get the last mean."""
+    beta = 1 - 2 / (span + 1)
+
+    def step(state, rows: pd.DataFrame):
+        w, total = state
+        got = []
+        for x in rows[value].to_numpy(dtype=float, na_value=np.nan).tolist():
+            w, total = w * beta, total * beta
+            if x == x:
+                w, total = w + 1, total + x
+            got.append(total / w if w else np.nan)
+        return (w, total), rows.assign(**{out: pd.array(got, "Float64")})
+
+    return fold(df, keys, order, lambda: (0.0, 0.0), step, schema)
+
+
 def daily_open_close(ticks: DataFrame, span: float = 100) -> DataFrame:
     """``symbol, date, volatility``: spread of daily last/first - 1; the first day is 0."""
     at = F.struct("ts", "seq")

@@ -23,7 +23,12 @@ class Settings:
     volatility: str = "open_close"
     horizon_days: int = 1
     cusum: float = 1.0
+    #: "sadf": the filter runs over the bars whose statistic is not negative; "returns": over all.
     sample_on: str = "sadf"
+    #: Lagged changes in the regressions; None: chosen by the information criterion.
+    sadf_lags: int | None = None
+    #: The most bars of a regression; None: from the first bar on.
+    sadf_longest: int | None = None
     decay: float = 0.5
     fracdiff_order: float = 0.4
     sampled_only: bool = False
@@ -39,9 +44,12 @@ def make_bars(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def make_samples(made: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Bars with the explosiveness statistic and the sampled events of it."""
-    tested = sampling.sadf(made, "close_price", ["symbol"], ["bar"])
+    tested = sampling.sadf(made, "close_price", ["symbol"], ["bar"], lags=s.sadf_lags, longest=s.sadf_longest)
     move = F.log(ratio(F.col("close_price"), F.lag("close_price").over(Window.partitionBy("symbol").orderBy("bar"))))
-    marked = sampling.cusum(tested.withColumn("_move", F.coalesce(move, F.lit(0.0))), "_move", s.cusum, ["symbol"], ["bar"]).drop("_move")
+    tested = tested.withColumn("_move", F.coalesce(move, F.lit(0.0)))
+    eligible = tested.where("sadf >= 0") if s.sample_on == "sadf" else tested
+    fired = sampling.sampled(eligible, "_move", s.cusum, ["symbol"], ["bar"]).select("symbol", "bar", "event")
+    marked = tested.drop("_move").join(fired, ["symbol", "bar"], "left").withColumn("event", F.coalesce("event", F.lit(0)))
     return marked.where("event <> 0") if s.sampled_only else marked
 
 

@@ -48,30 +48,36 @@ def x3(spark, sf_dir):
 _HHI = "CASE WHEN count(*) FILTER (ret {s} 0) > 2 THEN (sum(ret * ret) FILTER (ret {s} 0) / power(sum(ret) FILTER (ret {s} 0), 2) - 1.0 / count(*) FILTER (ret {s} 0)) / (1 - 1.0 / count(*) FILTER (ret {s} 0)) END"
 
 
-@query(
-    "x8_statistics_by_trial",
-    f"""WITH {DEAR}, st AS (SELECT trial, arg_min(capital, (close_date, bar)) AS f, arg_max(capital, (close_date, bar)) AS l, avg(capital) AS mc, avg(costs) AS cost, date_diff('day', CAST(min(close_date) AS DATE), CAST(max(close_date) AS DATE)) AS days, count(*) AS n,
+_FIGURES = f""", st AS (SELECT trial, arg_min(capital, (close_date, bar)) AS f, arg_max(capital, (close_date, bar)) AS l, avg(capital) AS mc, avg(costs) AS cost, date_diff('day', CAST(min(close_date) AS DATE), CAST(max(close_date) AS DATE)) AS days, count(*) AS n,
  count(*) FILTER (ret > 0) AS hits, avg(ret) FILTER (ret > 0) AS hit_return, avg(ret) AS mu, stddev_samp(ret) AS sd, {_HHI.format(s='>=')} AS hhi_positive, {_HHI.format(s='<=')} AS hhi_negative FROM tr GROUP BY trial),
 m AS (SELECT tr.trial, avg(power(ret - mu, 3)) / power(avg(power(ret - mu, 2)), 1.5) AS skew, avg(power(ret - mu, 4)) / power(avg(power(ret - mu, 2)), 2) - 3 AS kurt FROM tr JOIN st USING (trial) GROUP BY tr.trial),
 w AS (SELECT trial, max(drawdown) AS max_drawdown, max(gap) / (86400e6 * 365.2425) AS max_under_water FROM dd GROUP BY trial),
 s AS (SELECT *, mu / sd AS sharpe, l / f - 1 AS growth FROM st JOIN m USING (trial) LEFT JOIN w USING (trial)),
-z AS (SELECT trial, l - f AS pnl, power(1 + growth, 360.0 / days) - 1 AS annual_return, hits, hits / n AS hit_ratio, hit_return, max_drawdown, max_under_water, hhi_positive, hhi_negative, sharpe, growth * mc / f AS dollar_performance, growth / cost AS return_on_costs FROM s)
-SELECT trial, hits, {nudged(['pnl', 'annual_return', 'hit_ratio', 'hit_return', 'max_drawdown', 'max_under_water', 'hhi_positive', 'hhi_negative', 'sharpe', 'dollar_performance', 'return_on_costs'])} FROM z""",
-)
+z AS (SELECT trial, l - f AS pnl, power(1 + growth, 360.0 / days) - 1 AS annual_return, hits, hits / n AS hit_ratio, hit_return, max_drawdown, max_under_water, hhi_positive, hhi_negative, sharpe, growth * mc / f AS dollar_performance, growth / cost AS return_on_costs,
+ n, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe AS spread FROM s)"""
+
+
+def _phi(x: str) -> str:
+    """The normal distribution by the same polynomial as the library's."""
+    t = f"(1 / (1 + 0.2316419 * abs({x})))"
+    upper = f"exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))"
+    return f"CASE WHEN {x} >= 0 THEN 1 - {upper} ELSE {upper} END"
+
+
+@query("x8_statistics_by_trial", f"WITH {DEAR}{_FIGURES} SELECT trial, hits, {nudged(['pnl', 'annual_return', 'hit_ratio', 'hit_return', 'max_drawdown', 'max_under_water', 'hhi_positive', 'hhi_negative', 'sharpe', 'dollar_performance', 'return_on_costs'])} FROM z")
 def x8(spark, sf_dir):
-    return rounded(B.statistics(traded(spark, sf_dir, 1.5)).drop("psr"), 4, nudge=True)
+    return rounded(B.statistics(traded(spark, sf_dir, 1.5)).drop("psr", "track_record"), 4, nudge=True)
 
 
-@query("x5_probabilistic_sharpe")
+@query("x5_probabilistic_sharpe", f"WITH {DEAR}{_FIGURES}, q AS (SELECT *, sharpe * sqrt(n - 1) / sqrt(spread) AS v FROM z) SELECT trial, round(sharpe + 1.3e-7, 4) + 0.0 AS sharpe, round(CASE WHEN spread > 0 THEN {_phi('v')} END + 1.3e-7, 4) + 0.0 AS psr, round(1 + spread * power(-1.6448536269514722 / sharpe, 2) + 1.3e-7, 4) + 0.0 AS track_record FROM q")
 def x5(spark, sf_dir):
-    s = B.statistics(traded(spark, sf_dir))
-    return rounded(s.select("trial", "sharpe", "psr"))
+    return rounded(B.statistics(traded(spark, sf_dir, 1.5)).select("trial", "sharpe", "psr", "track_record"), 4, nudge=True)
 
 
-@query("x7_composite_score")
+@query("x7_composite_score", f"WITH {DEAR}{_FIGURES} , c AS (SELECT trial, 25 * (annual_return / 0.1 + hit_ratio / 0.5 + sharpe / 0.1 + dollar_performance / 0.05) AS v FROM z) SELECT trial, round(sign(v) * ln(abs(v) + sqrt(v * v + 1)) + 1.3e-9, 6) + 0.0 AS score FROM c")
 def x7(spark, sf_dir):
-    s = B.composite_score(B.statistics(traded(spark, sf_dir)), {"annual_return": 0.1, "hit_ratio": 0.5, "sharpe": 0.1, "dollar_performance": 0.05})
-    return rounded(s.select("trial", "score"))
+    s = B.composite_score(B.statistics(traded(spark, sf_dir, 1.5)), {"annual_return": 0.1, "hit_ratio": 0.5, "sharpe": 0.1, "dollar_performance": 0.05})
+    return rounded(s.select("trial", F.asinh("score").alias("score")), nudge=True)  # scores span many magnitudes
 
 
 _USERS = """WITH r AS (SELECT CAST(ts AS DATE) AS t, 'm' || (user_id % 8) AS model, avg(value) / 100 - 0.5 AS ret FROM events GROUP BY 1, 2)"""
@@ -107,7 +113,31 @@ def x11(spark, sf_dir):
     return B.overfitting(B.cscv(model_returns(spark, sf_dir).withColumnRenamed("ret", "value"), 6))
 
 
-@query("x12_overfitting_gate")
+def _splits_sql(k: int, score: str = "avg({v}) / stddev_pop({v})") -> str:
+    """The same for any even number of blocks: a split is a mask with half of the bits."""
+    return _USERS + f""", n AS (SELECT count(*) AS n FROM (SELECT DISTINCT t FROM r)), i AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT t FROM r)),
+b AS (SELECT t, CAST(CASE WHEN i < (n % {k}) * (n // {k} + 1) THEN i // (n // {k} + 1) ELSE n % {k} + (i - (n % {k}) * (n // {k} + 1)) // (n // {k}) END AS INTEGER) AS block FROM i, n),
+s AS (SELECT m, row_number() OVER (ORDER BY m DESC) - 1 AS split FROM range({1 << k}) x(m) WHERE bit_count(m) = {k // 2}),
+v AS (SELECT split, model, (m >> ({k - 1} - block)) & 1 AS inside, ret FROM r JOIN b USING (t), s),
+g AS (SELECT split, model, {score.format(v="CASE WHEN inside = 1 THEN ret END")} AS a, {score.format(v="CASE WHEN inside = 0 THEN ret END")} AS b FROM v GROUP BY split, model),
+k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY b, model) AS rank, count(*) OVER (PARTITION BY split) + 1 AS m, row_number() OVER (PARTITION BY split ORDER BY a DESC, model DESC) AS top FROM g),
+o AS (SELECT split, model AS best_model, a AS sharpe_in, b AS sharpe_out, rank, rank / m AS omega FROM k WHERE top = 1)"""
+
+
+@query("x10_cscv_16", f"{_splits_sql(16)} SELECT count(*) AS n_splits, avg((omega < 0.5)::INT) AS pbo, avg((sharpe_in < 0)::INT) AS loss_in, avg((sharpe_out < 0)::INT) AS loss_out FROM o")
+def x10_16(spark, sf_dir):
+    """All 12,870 splits of 16 blocks."""
+    return B.overfitting(B.cscv(model_returns(spark, sf_dir).withColumnRenamed("ret", "value"), 16))
+
+
+@query("x10_cscv_by_median", f"{_splits_sql(6, 'median({v})')} SELECT CAST(split AS INTEGER) AS split, best_model, CAST(rank AS INTEGER) AS rank, {nudged(['sharpe_in', 'sharpe_out', 'omega'])} FROM o")
+def x10_median(spark, sf_dir):
+    """Models chosen by any aggregate of their returns."""
+    found = B.cscv(model_returns(spark, sf_dir).withColumnRenamed("ret", "value"), 6, aggregate=F.median)
+    return rounded(found.drop("logit"), 4, nudge=True)
+
+
+@query("x12_overfitting_gate", f"{_splits_sql(8)} SELECT count(*) AS n_splits, avg((omega < 0.5)::INT) AS pbo, avg((sharpe_in < 0)::INT) AS loss_in, avg((sharpe_out < 0)::INT) AS loss_out, avg((omega < 0.5)::INT) < 0.5 AS passed FROM o")
 def x12(spark, sf_dir):
     return B.overfitting_gate(model_returns(spark, sf_dir).withColumnRenamed("ret", "value"), 8)
 
@@ -143,11 +173,11 @@ def x15(spark, sf_dir):
     return rounded(e.select("event_id", *[v.alias(k) for k, v in B.test_functions([F.col("x"), F.col("y")]).items()]), 4, nudge=True)
 
 
-_ROWS = f"""WITH {TICKS}, rows AS (SELECT row_number() OVER (ORDER BY ts, seq) - 1 AS row_id, ts AS time, ts + INTERVAL 6 HOUR AS t1 FROM ticks WHERE symbol = 'click'), n AS (SELECT count(*) AS n FROM rows)"""
+_ROWS = f"""WITH {TICKS}, rows AS (SELECT row_number() OVER (ORDER BY ts, seq) - 1 AS row_id, ts AS time, ts + INTERVAL 6 HOUR AS t1 FROM ticks), n AS (SELECT count(*) AS n FROM rows)"""
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = deep(spark, sf_dir).where("symbol = 'click'").select(F.col("ts").alias("time"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("t1"), "seq")
+    own = deep(spark, sf_dir).select(F.col("ts").alias("time"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("t1"), "seq")
     return X.number_rows(own, "time", "seq").drop("seq")
 
 
@@ -192,11 +222,16 @@ def m25(spark, sf_dir):
     return X.combinatorial_train(event_rows(spark, sf_dir), X.splits(spark, 6), 6, 2)
 
 
-@query("m20_bet_size")
+_P = "least(value / 200, 1.0)"
+
+
+@query("m20_bet_size", f"""WITH e AS (SELECT event_id, {_P} AS probability, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side, value / 100 AS u FROM events), z AS (SELECT *, (probability - 0.5) / nullif(sqrt(greatest(probability * (1 - probability), 0)), 0) AS z FROM e),
+s AS (SELECT *, CASE WHEN probability >= 1 THEN 1.0 WHEN probability <= 0 THEN -1.0 ELSE 2 * ({_phi('z')}) - 1 END AS size0 FROM z)
+SELECT event_id, round(probability + 1.3e-7, 4) + 0.0 AS probability, round(greatest(-1, least(1, round_even(side * size0 / 0.2, 0) * 0.2)) + 1.3e-7, 4) + 0.0 AS size, round({_phi('u')} + 1.3e-7, 4) + 0.0 AS phi FROM s""")
 def m20(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     p, side = F.least(F.col("value") / 200, F.lit(1.0)), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
-    return rounded(e.select("event_id", p.alias("probability"), X.bet_size(p, side).alias("size"), normal_cdf(F.col("value") / 100).alias("phi")), 4)
+    return rounded(e.select("event_id", p.alias("probability"), X.bet_size(p, side).alias("size"), normal_cdf(F.col("value") / 100).alias("phi")), 4, nudge=True)
 
 
 @query(

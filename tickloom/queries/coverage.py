@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
-from tickloom.functions.exprs import ratio
+from tickloom.functions.exprs import chosen, mapped, normal_cdf, normal_quantile, ratio, softmax
+from tickloom.functions.register import register
 from tickloom.operators import crossval, event_backtest, learning, volatility
 from tickloom.queries.barset import deep
 from tickloom.queries.featureset import _NB, _full, _rows
 from tickloom.queries.labelset import _DAILY, ewm_sql, numbered_bars
-from tickloom.queries.learning import learning_rows
+from tickloom.queries.learning import _BEATS, FIGURES, feature_figures, learning_rows
 from tickloom.queries.registry import BARS, TICKS, nudged, plain_times, query, rounded, table
 from tickloom.sources import ticks as S
 
@@ -46,6 +47,29 @@ def w8(spark, sf_dir):
     return rounded(spread.select("symbol", "bar", "std"), 4, nudge=True)
 
 
+@query("w8_weighted_mean", f"WITH {BARS}, n AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date, bar_id) AS bar, vwap FROM bars), m AS (SELECT i.symbol, i.bar, sum(j.vwap * power(19 / 21.0, i.bar - j.bar)) / sum(power(19 / 21.0, i.bar - j.bar)) AS mean FROM n i JOIN n j ON j.symbol = i.symbol AND j.bar <= i.bar GROUP BY i.symbol, i.bar) SELECT symbol, bar, round(mean + 1.3e-9, 6) AS mean FROM m")
+def w8_mean(spark, sf_dir):
+    own = numbered_bars(spark, sf_dir).select("symbol", "bar", "vwap")
+    return rounded(volatility.ewm_mean_fold(own, "vwap", "mean", 20, ["symbol"], ["bar"], "symbol string, bar int, vwap double, mean double").select("symbol", "bar", "mean"), nudge=True)
+
+
+@query("f0_more_functions", "WITH e AS (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_id, round(value / 200 + 1.3e-9, 6) AS p, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS code, CASE WHEN k % 9 > 8 THEN 0.0 ELSE CAST(factorial(8) / (factorial(k % 9) * factorial(8 - k % 9)) AS DOUBLE) END AS ways, round(exp(value / 100) / (exp(value / 100) + exp(0.5)) + 1.3e-9, 6) AS share FROM e")
+def f0_more(spark, sf_dir):
+    """The normal distribution of its own quantile gives the probability back."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    p = normal_cdf(normal_quantile(F.least(F.greatest(F.col("value") / 200, F.lit(0.0)), F.lit(1.0))))
+    share = F.get(softmax(F.array(F.col("value") / 100, F.lit(0.5))), F.lit(0))
+    return rounded(e.select("event_id", F.when(F.col("value").between(1e-9, 199.999), p).otherwise(F.col("value") / 200).alias("p"), mapped(F.col("event_type"), {"click": 1, "view": 2}, 0).alias("code"), chosen(F.lit(8), F.col("k") % 9).alias("ways"), share.alias("share")), nudge=True)
+
+
+@query("ud_registered_functions", "SELECT event_type, round(max(value) - min(value), 6) AS spread, round(1 - 0.4 - 0.12 - 0.064, 6) AS weights FROM events GROUP BY event_type")
+def ud_registered(spark, sf_dir):
+    """Functions by name in SQL: an aggregate and a table function."""
+    register(spark)
+    table(spark, sf_dir, "events").createOrReplaceTempView("tl_events")
+    return spark.sql("SELECT event_type, round(tl_spread(value), 6) AS spread, round((SELECT sum(weight) FROM tl_fracdiff_weights(0.4D, 4)), 6) AS weights FROM tl_events GROUP BY event_type")
+
+
 @query("w14_expanding_moments", f"WITH {_NB} SELECT symbol, bar, round(avg(c) OVER e + 1.3e-9, 6) AS mean, CASE WHEN bar > 1 THEN round(covar_samp(c, v) OVER e + 1.3e-7, 4) + 0.0 END AS cov FROM b WINDOW e AS (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING)")
 def w14(spark, sf_dir):
     e = R.by_bar().rowsBetween(Window.unboundedPreceding, 0)
@@ -71,9 +95,9 @@ def a9(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type", F.floor(F.get_json_object("props", "$.k").cast("int") / 10).cast("int").alias("decile")).agg(F.count("*").alias("n"))
 
 
-@query("j10_surviving_rows", f"WITH {TICKS}, r AS (SELECT seq, ts, ts + INTERVAL 3 HOUR AS t1 FROM ticks WHERE symbol = 'view') SELECT seq FROM r WHERE t1 < TIMESTAMP '2024-01-10' OR ts > TIMESTAMP '2024-01-12'")
+@query("j10_surviving_rows", f"WITH {TICKS}, r AS (SELECT seq, ts, ts + INTERVAL 3 HOUR AS t1 FROM ticks) SELECT seq FROM r WHERE t1 < TIMESTAMP '2024-01-10' OR ts > TIMESTAMP '2024-01-12'")
 def j10(spark, sf_dir):
-    t = deep(spark, sf_dir).where("symbol = 'view'").select("seq", "ts", (F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("t1"))
+    t = deep(spark, sf_dir).select("seq", "ts", (F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("t1"))
     kept = t.where((F.col("t1") < F.lit("2024-01-10").cast("timestamp")) | (F.col("ts") > F.lit("2024-01-12").cast("timestamp"))).select("seq")
     return t.join(kept, "seq", "left_semi").select("seq")
 
@@ -108,10 +132,9 @@ def w2_move(spark, sf_dir):
     return rounded(own.select("symbol", "bar", R.mean(F.col("_a"), 10).alias("mean_move")), nudge=True)
 
 
-@query("m15_weighted_kendall", "WITH s AS (SELECT user_id, avg(value) AS a, count(*) AS b FROM events WHERE user_id < 30 GROUP BY user_id), k AS (SELECT *, row_number() OVER (ORDER BY a DESC) AS i FROM s), p AS (SELECT 1.0 / x.i + 1.0 / y.i AS w, sign(x.a - y.a) AS u, sign(x.b - y.b) AS v FROM k x JOIN k y ON x.i < y.i) SELECT round(sum(w * u * v) / sqrt(sum(w * u * u) * sum(w * v * v)) + 1.3e-9, 6) AS tau FROM p")
+@query("m15_weighted_kendall", f"WITH {FIGURES}, k AS (SELECT *, row_number() OVER (ORDER BY a DESC) AS i FROM s), p AS (SELECT 1.0 / x.i + 1.0 / y.i AS w, sign(x.a - y.a) AS u, sign(x.b - y.b) AS v FROM k x JOIN k y ON x.i < y.i) SELECT round(sum(w * u * v) / sqrt(sum(w * u * u) * sum(w * v * v)) + 1.3e-9, 6) + 0.0 AS tau FROM p")
 def m15(spark, sf_dir):
-    s = table(spark, sf_dir, "events").where("user_id < 30").groupBy("user_id").agg(F.avg("value").alias("a"), F.count("*").alias("b"))
-    return rounded(learning.kendall(s, "a", "b", weighted=True).select("tau"), nudge=True)
+    return rounded(learning.kendall(feature_figures(spark, sf_dir), "a", "b", weighted=True).select("tau"), nudge=True)
 
 
 @query("m21_normalised_sizes", "WITH e AS (SELECT event_id, CAST(ts AS DATE) AS time, value * CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS s FROM events) SELECT event_id, round(s / sum(abs(s)) OVER (PARTITION BY time) + 1.3e-9, 6) + 0.0 AS size FROM e")
@@ -127,9 +150,9 @@ def m22(spark, sf_dir):
     return model.transform(learning.assembled(rows, ["f_ret", "f_range"])).select("row_id", "prediction")
 
 
-@query("m24_pieces", f"WITH {TICKS}, r AS (SELECT seq, row_number() OVER (ORDER BY ts, seq) - 1 AS row_id, count(*) OVER () AS n FROM ticks WHERE symbol = 'view') SELECT seq, row_id, CAST(CASE WHEN row_id < (n % 7) * (n // 7 + 1) THEN row_id // (n // 7 + 1) ELSE n % 7 + (row_id - (n % 7) * (n // 7 + 1)) // (n // 7) END AS INTEGER) AS piece FROM r")
+@query("m24_pieces", f"WITH {TICKS}, r AS (SELECT seq, row_number() OVER (ORDER BY ts, seq) - 1 AS row_id, count(*) OVER () AS n FROM ticks) SELECT seq, row_id, CAST(CASE WHEN row_id < (n % 7) * (n // 7 + 1) THEN row_id // (n // 7 + 1) ELSE n % 7 + (row_id - (n % 7) * (n // 7 + 1)) // (n // 7) END AS INTEGER) AS piece FROM r")
 def m24(spark, sf_dir):
-    return crossval.with_pieces(crossval.number_rows(deep(spark, sf_dir).where("symbol = 'view'").select("ts", "seq"), "ts", "seq"), 7).drop("ts")
+    return crossval.with_pieces(crossval.number_rows(deep(spark, sf_dir).select("ts", "seq"), "ts", "seq"), 7).drop("ts")
 
 
 @query("e1_heartbeats", f"WITH {TICKS} SELECT symbol, time_bucket(INTERVAL 6 HOUR, ts) AS start, arg_max(price, (ts, seq)) AS price, round(sum(price * vol) / sum(vol) + 1.3e-7, 4) AS vwap, CAST(sum(vol) AS BIGINT) AS volume FROM ticks GROUP BY ALL")
@@ -138,7 +161,8 @@ def e1(spark, sf_dir):
     return plain_times(b.withColumn("vwap", F.round(F.col("vwap") + 1.3e-7, 4)))
 
 
-@query("e10_summary")
+@query("e10_summary", f"""WITH {_BEATS}, t AS (SELECT start, 100000 + sum(cash_flow) - sum(fees) + sum(held * price) AS total FROM le GROUP BY start), r AS (SELECT *, coalesce(total / lag(total) OVER (ORDER BY start) - 1, 0) AS ret FROM t)
+SELECT round(arg_max(total, start) / 100000 - 1 + 1.3e-9, 6) + 0.0 AS total_return, round(avg(ret) / stddev_pop(ret) * sqrt(252) + 1.3e-9, 6) + 0.0 AS sharpe, round(min(least(ret, 0)) + 1.3e-9, 6) + 0.0 AS worst_fall, count(*) AS beats FROM r""")
 def e10(spark, sf_dir):
     b = event_backtest.heartbeats(deep(spark, sf_dir), "6 hours")
-    return event_backtest.summary(event_backtest.equity(event_backtest.ledger(b, event_backtest.simulate(b, event_backtest.Alternating))))
+    return rounded(event_backtest.summary(event_backtest.equity(event_backtest.ledger(b, event_backtest.simulate(b, event_backtest.Alternating)))), nudge=True)

@@ -147,10 +147,22 @@ def w10(spark, sf_dir):
     return _bars(spark, sf_dir).select("symbol", "bar", F.max("close_price").over(R.by_bar().rowsBetween(Window.unboundedPreceding, 0)).alias("high_water"))
 
 
-@query("w11_cumulative", f"WITH {_NB} SELECT symbol, bar, CAST(sum(v) OVER {_W[:-1]} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS volume, round(exp(sum(ln(1 + v / 10000.0)) OVER {_W[:-1]} ROWS UNBOUNDED PRECEDING)), 4) AS growth FROM b WHERE bar <= 100")
+@query("w11_cumulative", f"WITH {_NB} SELECT symbol, bar, CAST(sum(v) OVER {_W[:-1]} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS volume, round(sum(ln(1 + v / 10000.0)) OVER {_W[:-1]} ROWS UNBOUNDED PRECEDING) + 1.3e-9, 6) AS log_growth FROM b")
 def w11(spark, sf_dir):
-    own = _bars(spark, sf_dir).where("bar <= 100")  # the growth of more bars exceeds the digits compared
-    return rounded(own.select("symbol", "bar", F.sum("bar_cum_volume").over(R.by_bar().rowsBetween(Window.unboundedPreceding, 0)).alias("volume"), R.compound(1 + F.col("bar_cum_volume") / 10000).alias("growth")), 4)
+    own = _bars(spark, sf_dir)
+    return rounded(own.select("symbol", "bar", F.sum("bar_cum_volume").over(R.by_bar().rowsBetween(Window.unboundedPreceding, 0)).alias("volume"), R.log_compound(1 + F.col("bar_cum_volume") / 10000).alias("log_growth")), nudge=True)
+
+
+@query("w4_rolling_function", f"WITH {_NB}, g AS (SELECT i.symbol, i.bar, count(*) AS n, max(j.c) - min(j.c) AS spread FROM b i JOIN b j ON j.symbol = i.symbol AND j.bar BETWEEN i.bar - 199 AND i.bar GROUP BY i.symbol, i.bar) SELECT symbol, bar, CASE WHEN n >= 20 THEN round(spread, 6) END AS spread FROM g")
+def w4(spark, sf_dir):
+    own = _bars(spark, sf_dir).select("symbol", "bar", "close_price")
+    return rounded(R.apply(own, "close_price", lambda x: x.max() - x.min(), 200, ["symbol"], ["bar"], "spread", least=20).select("symbol", "bar", "spread"))
+
+
+@query("f0_autocorrelation", f"WITH {_NB}, l AS (SELECT symbol, c, lag(c) OVER w AS c1, lag(c, 3) OVER w AS c3 FROM b WINDOW w AS {_W}) SELECT symbol, round(corr(c, c1) + 1.3e-9, 6) + 0.0 AS lag1, round(corr(c, c3) + 1.3e-9, 6) + 0.0 AS lag3 FROM l GROUP BY symbol")
+def f0_autocorrelation(spark, sf_dir):
+    one = features.autocorrelations(_bars(spark, sf_dir), "close_price", [1, 3])
+    return rounded(one, nudge=True)
 
 
 @query("w12_fill", """WITH e AS (SELECT user_id, event_id, ts, CASE WHEN value > 50 THEN value END AS x FROM events)

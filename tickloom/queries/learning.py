@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import ratio
-from tickloom.operators import allocation, bars, crossval, event_backtest, imbalance, learning
+from tickloom.operators import allocation, bars, crossval, event_backtest, imbalance, learning, sampling
 from tickloom.queries.barset import deep
-from tickloom.queries.labelset import bar_returns, numbered_bars
+from tickloom.queries.labelset import _RETS, bar_returns, numbered_bars
 from tickloom.queries.registry import BARS, TICKS, nudged, plain_times, query, rounded
 
 _FLOW = f"""{TICKS}, m AS (SELECT *, nullif(sign(price - lag(price) OVER w), 0) AS mv FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)),
@@ -165,13 +165,27 @@ def m13(spark, sf_dir):
     return spark.createDataFrame([(i, list(s)) for i, s in enumerate(found)], "subset int, features array<string>")
 
 
-_SMALL = "s AS (SELECT user_id, avg(value) AS a, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS b FROM events WHERE user_id < 40 GROUP BY user_id)"
+_COLUMNS = ("open_price", "high_price", "low_price", "close_price", "bar_cum_volume", "basic_volatility", "vwap", "n_ticks")
+#: A row for each feature of the bars: its variation, and how it goes with the next move.
+FIGURES = (
+    BARS
+    + ", mv AS (SELECT *, lead(close_price) OVER (PARTITION BY symbol ORDER BY date, bar_id) - close_price AS move FROM bars), s AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, stddev_pop({c}) / avg({c}) AS a, abs(corr({c}, move)) AS b FROM mv" for c in _COLUMNS)
+    + ")"
+)
 
 
-@query("m14_kendall", f"WITH {_SMALL}, p AS (SELECT sign(x.a - y.a) AS u, sign(x.b - y.b) AS v FROM s x JOIN s y ON x.user_id < y.user_id) SELECT round(sum(u * v) / sqrt(sum(u * u) * sum(v * v)) + 1.3e-9, 6) AS tau, (SELECT count(*) FROM s) AS n FROM p")
+def feature_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``feature, a, b`` for the columns of all bars, from one pass."""
+    move = F.lead("close_price").over(Window.partitionBy("symbol").orderBy("bar")) - F.col("close_price")
+    own = numbered_bars(spark, sf_dir).withColumn("_move", move)
+    each = [F.struct(F.lit(c).alias("feature"), (F.stddev_pop(c) / F.avg(c)).alias("a"), F.abs(F.corr(F.col(c).cast("double"), F.col("_move"))).alias("b")) for c in _COLUMNS]
+    return own.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+@query("m14_kendall", f"WITH {FIGURES}, p AS (SELECT sign(x.a - y.a) AS u, sign(x.b - y.b) AS v FROM s x JOIN s y ON x.feature < y.feature) SELECT round(sum(u * v) / sqrt(sum(u * u) * sum(v * v)) + 1.3e-9, 6) + 0.0 AS tau, (SELECT count(*) FROM s) AS n FROM p")
 def m14(spark, sf_dir):
-    s = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id < 40").groupBy("user_id").agg(F.avg("value").alias("a"), F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).alias("b"))
-    return rounded(learning.kendall(s, "a", "b").select("tau", F.col("n").cast("long").alias("n")), nudge=True)
+    return rounded(learning.kendall(feature_figures(spark, sf_dir), "a", "b").select("tau", F.col("n").cast("long").alias("n")), nudge=True)
 
 
 @query("m17_search")
@@ -231,14 +245,14 @@ def e10_equity(spark, sf_dir):
     return rounded(curve.select("start", "cash", "holdings", "total"), 4, nudge=True)
 
 
-@query("e9_pending_orders", f"""WITH {TICKS}, o AS (SELECT seq AS order_id, symbol, ts AS placed, CASE WHEN seq % 2 = 0 THEN 'STP' ELSE 'LMT' END AS kind, CASE WHEN seq % 4 < 2 THEN 1 ELSE -1 END AS side, price * (1 + CASE WHEN (seq % 2 = 0) = (seq % 4 < 2) THEN 0.5 ELSE -0.5 END) AS target, ts + INTERVAL 12 HOUR AS expires FROM ticks WHERE seq % 50 = 0 OR seq % 50 = 1),
+@query("e9_pending_orders", f"""WITH {TICKS}, o AS (SELECT seq AS order_id, symbol, ts AS placed, CASE WHEN seq % 2 = 0 THEN 'STP' ELSE 'LMT' END AS kind, CASE WHEN seq % 4 < 2 THEN 1 ELSE -1 END AS side, price * (1 + CASE WHEN (seq % 2 = 0) = (seq % 4 < 2) THEN 0.5 ELSE -0.5 END) AS target, ts + INTERVAL 12 HOUR AS expires FROM ticks),
 h AS (SELECT order_id, t.ts, t.seq, t.price FROM o JOIN ticks t ON t.symbol = o.symbol AND t.ts > placed AND t.ts <= expires WHERE CASE WHEN (kind = 'STP') = (side = 1) THEN t.price >= target ELSE t.price <= target END)
 SELECT order_id, min(ts) AS ts, arg_min(price, (ts, seq)) AS price FROM h GROUP BY order_id""")
 def e9(spark, sf_dir):
     t = deep(spark, sf_dir)
     seq = F.col("seq")
     up = ((seq % 2) == 0) == ((seq % 4) < 2)
-    orders = t.where(((seq % 50) == 0) | ((seq % 50) == 1)).select(
+    orders = t.select(
         seq.alias("order_id"), "symbol", F.col("ts").alias("placed"), F.when(seq % 2 == 0, "STP").otherwise("LMT").alias("kind"), F.when(seq % 4 < 2, 1).otherwise(-1).alias("side"),
         (F.col("price") * (1 + F.when(up, 0.5).otherwise(-0.5))).alias("target"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("expires"),
     )
@@ -256,8 +270,48 @@ def e3(spark, sf_dir):
     return plain_times(event_backtest.latest(beats(spark, sf_dir).select("symbol", "start", "price"), 3))
 
 
-@query("dc3_sampled_on_returns")
+@query("dc3_sampled_on_returns", "WITH RECURSIVE " + _RETS + """, k AS (SELECT symbol, bar, close_date, ret, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i FROM (SELECT nb.symbol, nb.bar, nb.close_date, rets.ret FROM nb JOIN rets USING (symbol, bar)) WHERE ret <> 0),
+s AS (SELECT symbol, CAST(1 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down, 0 AS event FROM (SELECT DISTINCT symbol FROM k)
+ UNION ALL SELECT r.symbol, r.i, CASE WHEN NOT (least(0, down + ret) < -1) AND greatest(0, up + ret) > 1 THEN 0 ELSE greatest(0, up + ret) END,
+  CASE WHEN least(0, down + ret) < -1 THEN 0 ELSE least(0, down + ret) END, CASE WHEN least(0, down + ret) < -1 THEN -1 WHEN greatest(0, up + ret) > 1 THEN 1 ELSE 0 END
+  FROM s JOIN k r ON r.symbol = s.symbol AND r.i = s.i + 1)
+SELECT symbol, bar, close_date, event FROM s JOIN k USING (symbol, i) WHERE event <> 0""")
 def dc3(spark, sf_dir):
-    from tickloom.operators import sampling
-
     return plain_times(sampling.sampled(bar_returns(spark, sf_dir), "ret", 1.0, ["symbol"], ["bar"], "ret <> 0").select("symbol", "bar", "close_date", "event"))
+
+
+_LAGGED = _RETS + """, l0 AS (SELECT symbol, bar, ln(close_price) AS y FROM rets), l1 AS (SELECT symbol, bar, lag(y) OVER w AS x0, y - lag(y) OVER w AS d FROM l0 WINDOW w AS (PARTITION BY symbol ORDER BY bar)),
+l AS (SELECT symbol, bar, x0, lag(d) OVER (PARTITION BY symbol ORDER BY bar) AS x1, d FROM l1), o AS (SELECT * FROM l WHERE x1 IS NOT NULL)"""
+
+
+@query("ds2_lag_choice", f"""WITH {_LAGGED}, t AS (SELECT symbol, count(*) AS n, sum(x0 * x0) AS a, sum(x0 * x1) AS b, sum(x1 * x1) AS c, sum(x0 * d) AS p, sum(x1 * d) AS q, sum(d * d) AS r FROM o GROUP BY symbol),
+f AS (SELECT symbol, n * ln((r - p * p / a) / n) + ln(n) AS none, n * ln((r - (c * p - b * q) / (a * c - b * b) * p - (a * q - b * p) / (a * c - b * b) * q) / n) + 2 * ln(n) AS one FROM t) SELECT symbol, CASE WHEN one < none THEN 1 ELSE 0 END AS lags FROM f""")
+def ds2(spark, sf_dir):
+    return sampling.lag_choice(bar_returns(spark, sf_dir), "close_price", ["symbol"], ["bar"])
+
+
+@query("ds1_lagged_sadf", f"""WITH {_LAGGED}, c AS (SELECT symbol, bar, sum(x0 * x0) OVER w AS a, sum(x0 * x1) OVER w AS b, sum(x1 * x1) OVER w AS c, sum(x0 * d) OVER w AS p, sum(x1 * d) OVER w AS q, sum(d * d) OVER w AS r FROM o WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT * FROM c UNION ALL SELECT DISTINCT symbol, 2, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0 FROM c),
+g AS (SELECT e.symbol, e.bar, e.bar - s.bar AS m, e.a - s.a AS a, e.b - s.b AS b, e.c - s.c AS c, e.p - s.p AS p, e.q - s.q AS q, e.r - s.r AS r FROM c e JOIN z s ON s.symbol = e.symbol AND s.bar <= e.bar - 10 WHERE e.bar - s.bar <= 60),
+h AS (SELECT *, (c * p - b * q) / (a * c - b * b) AS b0, (a * q - b * p) / (a * c - b * b) AS b1 FROM g), t AS (SELECT symbol, bar, max(b0 / sqrt((r - b0 * p - b1 * q) / (m - 2) * c / (a * c - b * b))) AS t FROM h GROUP BY symbol, bar)
+SELECT rets.symbol, rets.bar, round(t + 1.3e-7, 4) + 0.0 AS sadf FROM rets LEFT JOIN t USING (symbol, bar)""")
+def ds1_lagged(spark, sf_dir):
+    """One lag, regressions of 10 to 60 rows."""
+    own = sampling.sadf(bar_returns(spark, sf_dir), "close_price", ["symbol"], ["bar"], least=12, lags=1, longest=60)
+    return rounded(own.select("symbol", "bar", "sadf"), 4, nudge=True)
+
+
+@query("dp4_traded_basket", f"""WITH RECURSIVE {TICKS}, d AS (SELECT date, symbol, arg_min(price, (ts, seq)) AS o, arg_max(price, (ts, seq)) AS c FROM ticks GROUP BY date, symbol),
+w AS (SELECT date, max(o) FILTER (symbol = 'click') AS o1, max(o) FILTER (symbol = 'view') AS o2, max(c) FILTER (symbol = 'click') AS c1, max(c) FILTER (symbol = 'view') AS c2 FROM d GROUP BY date),
+n AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, c1 / lag(c1) OVER (ORDER BY date) - 1 AS r1, c2 / lag(c2) OVER (ORDER BY date) - 1 AS r2, lead(o1) OVER (ORDER BY date) AS n1, lead(o2) OVER (ORDER BY date) AS n2 FROM w WHERE o1 + o2 + c1 + c2 IS NOT NULL),
+v AS (SELECT *, var_samp(r1) OVER p AS v1, var_samp(r2) OVER p AS v2, covar_samp(r1, r2) OVER p AS v12 FROM n WINDOW p AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT *, (v2 - v12) / (v1 + v2 - 2 * v12) AS w1, (v1 - v12) / (v1 + v2 - 2 * v12) AS w2 FROM v WHERE i >= 5 AND n1 IS NOT NULL),
+k AS (SELECT i, CAST(10000 AS DOUBLE) AS k, w1 * 10000 / (n1 * n1 / 100 * (abs(w1) + abs(w2))) AS h1, w2 * 10000 / (n2 * n2 / 100 * (abs(w1) + abs(w2))) AS h2 FROM x WHERE i = 5
+ UNION ALL SELECT x.i, k + h1 * n1 / 100 * (c1 - o1) + h2 * n2 / 100 * (c2 - o2), w1 * (k + h1 * n1 / 100 * (c1 - o1) + h2 * n2 / 100 * (c2 - o2)) / (n1 * n1 / 100 * (abs(w1) + abs(w2))), w2 * (k + h1 * n1 / 100 * (c1 - o1) + h2 * n2 / 100 * (c2 - o2)) / (n2 * n2 / 100 * (abs(w1) + abs(w2)))
+ FROM k JOIN x ON x.i = k.i + 1),
+t AS (SELECT date, k, h1 * o1 + h2 * o2 AS v FROM k JOIN x USING (i)) SELECT date, round(sign(k) * ln(abs(k) + sqrt(k * k + 1)) + 1.3e-9, 6) + 0.0 AS capital, round(sign(v) * ln(abs(v) + sqrt(v * v + 1)) + 1.3e-9, 6) + 0.0 AS value FROM t""")
+def dp4_traded(spark, sf_dir):
+    days = bars.daily(deep(spark, sf_dir)).groupBy("date").pivot("symbol", ["click", "view"]).agg(F.first("first_price").alias("open"), F.first("last_price").alias("close"))
+    wide = days.select("date", *[F.col(f"{a}_{c}").alias(f"{c}_{a}") for a in ("click", "view") for c in ("open", "close")]).na.drop()
+    made = allocation.traded_basket(wide, "date", ["click", "view"], first=5)
+    return rounded(made.select("date", F.asinh("capital").alias("capital"), F.asinh("value").alias("value")), nudge=True)  # magnitudes differ
