@@ -210,3 +210,91 @@ def test_stop_and_limit_orders(spark):
 def test_swarm_finds_the_minimum():
     best, value = backtest_stats.swarm(lambda p: float(((p - 1) ** 2).sum()), 2, -5, 5, particles=20, rounds=200, inertia=0.5)
     assert value < 0.2 and np.abs(best - 1).max() < 0.5
+
+
+def test_normal_quantile_and_choices(spark):
+    from statistics import NormalDist
+
+    from tickloom.functions.exprs import chosen, mapped, normal_quantile, softmax
+
+    ps = [i / 500 for i in range(1, 500)]
+    got = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, None]], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect()
+    assert max(abs(r.z - NormalDist().inv_cdf(r.p)) for r in got[:-3]) < 1e-7 and all(r.z is None for r in got[-3:])
+    row = spark.range(1).select(chosen(F.lit(16), F.lit(8)).alias("c"), chosen(F.lit(3), F.lit(5)).alias("z"), mapped(F.lit("b"), {"a": 1, "b": 2}).alias("m"), softmax(F.array(F.lit(800.0), F.lit(800.0))).alias("s")).first()
+    assert (row.c, row.z, row.m, row.s) == (12870.0, 0.0, 2, [0.5, 0.5]) and crossval.ways(16, 8) == 12870
+
+
+@pytest.mark.parametrize("trend, lags", [("nc", 0), ("c", 1), ("ct", 2), ("ctt", 1)])
+def test_lagged_sadf_by_least_squares(spark, trend, lags):
+    from tickloom.operators import sampling
+
+    rng = np.random.default_rng(4)
+    y = np.cumsum(rng.normal(size=40)) * 0.05 + 3
+    rows = spark.createDataFrame([("A", i, float(math.exp(v))) for i, v in enumerate(y)], "symbol string, bar int, p double")
+    got = [r.sadf for r in sampling.sadf(rows, "p", ["symbol"], ["bar"], least=12, lags=lags, trend=trend).orderBy("bar").collect()]
+    k = 1 + lags + sampling.TRENDS[trend]
+    for t in (11, 20, 39):
+        best = -math.inf
+        for start in range(0, t + 1 - 12 + 1):
+            part = y[start : t + 1]
+            moves = np.diff(part)
+            at = range(lags, len(moves))
+            x = np.array([[part[i], *(moves[i - j] for j in range(1, lags + 1)), *(float(i) ** p for p in range(sampling.TRENDS[trend]))] for i in at])
+            d = moves[lags:]
+            if len(d) <= k:
+                continue
+            beta, *_ = np.linalg.lstsq(x, d, rcond=None)
+            rss = float(((d - x @ beta) ** 2).sum())
+            best = max(best, beta[0] / math.sqrt(rss / (len(d) - k) * np.linalg.inv(x.T @ x)[0, 0]))
+        assert got[t] == pytest.approx(best, rel=1e-4), t
+    assert got[5] is None
+    bounded = sampling.sadf(rows, "p", ["symbol"], ["bar"], least=12, lags=lags, trend=trend, longest=25).where("bar = 39").first().sadf
+    assert bounded <= got[39] + 1e-6
+
+
+def test_lags_by_information(spark):
+    from tickloom.operators import sampling
+
+    rng = np.random.default_rng(5)
+    moves = [0.0]
+    for e in rng.normal(size=400):
+        moves.append(0.7 * moves[-1] + e)
+    steps = {"auto": np.cumsum(moves) * 0.01 + 5, "plain": np.cumsum(rng.normal(size=400)) * 0.01 + 5, "short": np.array([1.0, 2.0])}
+    rows = spark.createDataFrame([(s, i, float(math.exp(v))) for s, y in steps.items() for i, v in enumerate(y)], "symbol string, bar int, p double")
+    assert {r.symbol: r.lags for r in sampling.lag_choice(rows, "p", ["symbol"], ["bar"]).collect()} == {"auto": 1, "plain": 0, "short": 0}
+
+
+def test_baskets_of_one_asset_and_ruin(spark):
+    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(hours=9 * i)
+    wide = spark.createDataFrame([(at(i), float(p), 1.0) for i, p in enumerate([10, 11, 12, 6])], "t timestamp, a double, b double")
+    got = [r.value for r in allocation.basket(wide, "t", ["a"], {"a": 1.0}, 10.0).orderBy("t").collect()]
+    assert got == pytest.approx([10, 11, 12, 6])
+    ruin = [r.value for r in allocation.basket(wide, "t", ["a", "b"], {"a": -30.0, "b": 1.0}, 10.0).orderBy("t").collect()]
+    assert ruin[0] == 10 and ruin[1] > 0 and allocation.basket(wide, "t", ["a"], {"a": 30.0}).count() == 4
+
+
+def test_rows_are_numbered_in_order(spark):
+    rows = spark.createDataFrame([(float(x % 97), x) for x in range(1000)] + [(None, 5)], "a double, b long")
+    got = [(r.a, r.b) for r in crossval.number_rows(rows, "a", "b", parts=7).orderBy("row_id").collect()]
+    assert got == [(None, 5), *sorted((float(x % 97), x) for x in range(1000))]
+    numbers = [r.row_id for r in crossval.number_rows(rows, "a", "b", parts=7).select("row_id").orderBy("row_id").collect()]
+    assert numbers == list(range(1001)) and crossval.number_rows(rows.limit(0), "a").count() == 0
+
+
+def test_selection_keeps_rows_and_writes_parts(spark, sf):
+    from tickloom.operators import selection
+
+    rows = learning_rows(spark, sf)
+    store = tables.StageStore(spark, "tl_selection")
+    store.create_database()
+    try:
+        found = selection.select_features(rows, FEATURES[:3], 0.5, samples=1, store=store)
+        assert set(found.features) <= set(FEATURES[:3]) and len(found.scored) == 2
+        assert sum(p.count() for p in found.parts.values()) == rows.count() and {"exogenous", "endogenous", "backtest"} <= set(store.tables())
+        fitted = selection.fan_out({"small": (learning.forest(2, 2), {"maxDepth": [1]}), "large": (learning.forest(3), {"maxDepth": [2]})}, found.parts["endogenous"], found.features, crossval.purged_folds(crossval.number_rows(found.parts["endogenous"].drop("row_id"), "time", "symbol"), 2), "accuracy")
+        assert {f.name for f in fitted} == {"small", "large"} and fitted[0].score >= fitted[1].score
+        out = selection.backtests(fitted, found.parts["backtest"], found.features, store)
+        assert out.count() == 2 * found.parts["backtest"].count() and out.where("predicted NOT IN (-1, 0, 1)").isEmpty()
+    finally:
+        store.drop()
+    assert selection.low_silhouettes(rows, FEATURES, dict.fromkeys(FEATURES, 0) | {FEATURES[0]: 1}, 1.0) == FEATURES

@@ -9,11 +9,10 @@ windows run as streamed Arrow kernels.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,8 +226,13 @@ def _order_stats(x: np.ndarray) -> tuple[float, ...]:
 
     values, counts = np.unique(x, return_counts=True)
     again = counts > 1
-    digits = np.array([int(f"{abs(v):.10e}"[0]) for v in x])
-    share = np.array([(digits == k).mean() for k in range(1, 10)])
+    size = np.abs(x)
+    size = np.where(size > 0, size, np.nan)
+    # The first of eleven digits, as rounded there.
+    exponent = np.floor(np.log10(size))
+    lead = np.round(size / 10.0**exponent, 10)
+    digits = np.nan_to_num(np.floor(np.where(lead >= 10, lead / 10, np.where(lead < 1, lead * 10, lead)))).astype(int)
+    share = np.bincount(digits, minlength=10)[1:10] / n
     law = np.log10(1 + 1 / np.arange(1, 10))
     benford = float(np.corrcoef(law, share)[0, 1]) if share.std() else math.nan
     return (
@@ -243,11 +247,16 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
     if n <= m + 1 or not tol:
         return math.nan
 
-    def matches(k: int, count: int) -> int:
-        t = np.lib.stride_tricks.sliding_window_view(x, k)[:count]
-        return int((np.abs(t[:, None, :] - t[None, :, :]).max(2) <= tol).sum()) - count
-
-    b, a = matches(m, n - m + 1), matches(m + 1, n - m)
+    # near[i, j]: values i and j; templates of k values match where k steps of a diagonal do.
+    near = np.abs(x[:, None] - x[None, :]) <= tol
+    matches = []
+    for k in range(1, m + 2):
+        if k > 1:
+            near = near[:-1, :-1] & first[k - 1 :, k - 1 :]
+        else:
+            first = near
+        matches.append(int(near.sum()) - len(near))
+    b, a = matches[m - 1], matches[m]
     return -math.log(a / b) if a and b else math.nan
 
 

@@ -309,9 +309,9 @@ x AS (SELECT *, (v2 - v12) / (v1 + v2 - 2 * v12) AS w1, (v1 - v12) / (v1 + v2 -
 k AS (SELECT i, CAST(10000 AS DOUBLE) AS k, w1 * 10000 / (n1 * n1 / 100 * (abs(w1) + abs(w2))) AS h1, w2 * 10000 / (n2 * n2 / 100 * (abs(w1) + abs(w2))) AS h2 FROM x WHERE i = 5
  UNION ALL SELECT x.i, k + h1 * n1 / 100 * (c1 - o1) + h2 * n2 / 100 * (c2 - o2), w1 * (k + h1 * n1 / 100 * (c1 - o1) + h2 * n2 / 100 * (c2 - o2)) / (n1 * n1 / 100 * (abs(w1) + abs(w2))), w2 * (k + h1 * n1 / 100 * (c1 - o1) + h2 * n2 / 100 * (c2 - o2)) / (n2 * n2 / 100 * (abs(w1) + abs(w2)))
  FROM k JOIN x ON x.i = k.i + 1),
-t AS (SELECT date, k, h1 * o1 + h2 * o2 AS v FROM k JOIN x USING (i)) SELECT date, round(sign(k) * ln(abs(k) + sqrt(k * k + 1)) + 1.3e-9, 6) + 0.0 AS capital, round(sign(v) * ln(abs(v) + sqrt(v * v + 1)) + 1.3e-9, 6) + 0.0 AS value FROM t""")
+t AS (SELECT date, k, h1 * o1 + h2 * o2 AS v FROM k JOIN x USING (i)) SELECT date, round(sign(k) * ln(abs(k) + 1) + 1.3e-9, 6) + 0.0 AS capital, round(sign(v) * ln(abs(v) + 1) + 1.3e-9, 6) + 0.0 AS value FROM t""")
 def dp4_traded(spark, sf_dir):
     days = bars.daily(deep(spark, sf_dir)).groupBy("date").pivot("symbol", ["click", "view"]).agg(F.first("first_price").alias("open"), F.first("last_price").alias("close"))
     wide = days.select("date", *[F.col(f"{a}_{c}").alias(f"{c}_{a}") for a in ("click", "view") for c in ("open", "close")]).na.drop()
     made = allocation.traded_basket(wide, "date", ["click", "view"], first=5)
-    return rounded(made.select("date", F.asinh("capital").alias("capital"), F.asinh("value").alias("value")), nudge=True)  # magnitudes differ
+    return rounded(made.select("date", *[(F.signum(c) * F.log1p(F.abs(c))).alias(c) for c in ("capital", "value")]), nudge=True)  # magnitudes differ

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STAGES = ("tuning", "bars", "entropy", "basket", "sampled", "labelled", "weighted", "features")
+STAGES = ("tuning", "bars", "entropy", "basket", "sampled", "labelled", "weighted", "features", "exogenous", "endogenous", "backtest", "backtests", "metrics")
 
 
 class StageStore:
