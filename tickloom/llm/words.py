@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -33,7 +33,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         kept = np.full(size, base, np.uint64)
         kept[0] = 1
         kept = np.cumprod(kept, dtype=np.uint64)
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 16 * BLOCK_BYTES:
             _powers[int(base)] = kept
     return kept[:n]
 
