@@ -298,3 +298,44 @@ def test_selection_keeps_rows_and_writes_parts(spark, sf):
     finally:
         store.drop()
     assert selection.low_silhouettes(rows, FEATURES, dict.fromkeys(FEATURES, 0) | {FEATURES[0]: 1}, 1.0) == FEATURES
+
+
+def _streamed(spark, live, name, folder):
+    q = live.writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(folder / name)).start()
+    q.awaitTermination(180)
+    assert q.exception() is None
+    return spark.table(name).collect()
+
+
+def test_streamed_volume_bars_and_fills_over_batches(spark, sf, tmp_path):
+    """Several files, one a batch, in order of time; state goes from batch to batch."""
+    import json
+
+    src = tmp_path / "in"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    cuts = [r.t for r in events.selectExpr("percentile_approx(unix_micros(cast(ts AS timestamp)), array(0.3, 0.6)) AS t").collect()][0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for k, part in enumerate((events.where(at <= cuts[0]), events.where((at > cuts[0]) & (at <= cuts[1])), events.where(at > cuts[1]))):
+        part.coalesce(1).write.mode("append").parquet(str(src))
+    ends = _streamed(spark, stream.volume_bar_ends(stream.stream_ticks(spark, str(src), files_a_batch=1), 500), "streamed_ends", tmp_path)
+    want, day, total = set(), {}, {}
+    for r in S.event_ticks(spark, sf).orderBy("ts", "seq").collect():
+        if day.get(r.symbol) != r.ts.date():
+            day[r.symbol], total[r.symbol] = r.ts.date(), 0
+        before = total[r.symbol]
+        total[r.symbol] += r.vol
+        if before // 500 != total[r.symbol] // 500:
+            want.add((r.symbol, r.ts, total[r.symbol] // 500, total[r.symbol]))
+    assert {tuple(r) for r in ends} == want
+
+    beats = event_backtest.heartbeats(S.event_ticks(spark, sf), "6 hours").select("symbol", "start", "price", F.col("volume").cast("double").alias("volume"))
+    beats.repartitionByRange(3, "start").write.parquet(str(tmp_path / "beats"))
+    live = spark.readStream.schema(beats.schema).parquet(str(tmp_path / "beats"))
+
+    def load(text):
+        player = event_backtest.Alternating()
+        player.periods = json.loads(text)
+        return player
+
+    fills = _streamed(spark, stream.portfolio_fills(live, event_backtest.Alternating, lambda p: json.dumps(p.periods), load), "streamed_fills", tmp_path)
+    assert {tuple(r) for r in fills} == {tuple(r) for r in event_backtest.simulate(beats, event_backtest.Alternating).collect()}

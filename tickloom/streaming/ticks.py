@@ -35,22 +35,46 @@ def session_bars(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minu
     return ticks.withWatermark("ts", late).groupBy("symbol", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_ticks"), F.sum("vol").alias("volume")).select("symbol", F.col("w.start").alias("start"), "n_ticks", "volume")
 
 
-def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(["ts", "seq"])
+def _by_symbol(rows: DataFrame, time: str, order: list[str], start: Callable[[], tuple], step: Callable[[tuple, pd.DataFrame, tuple], tuple[tuple, list]], schema: str, state_schema: str, late: str, idle: str) -> DataFrame:
+    """A stateful pass over each symbol's rows in order.
 
-
-def cusum_events(ticks: DataFrame, h: float) -> DataFrame:
+    Rows behind the watermark, which is ``late`` behind the newest row, or not
+    after the symbol's last one are left out, so that none is taken out of order.
+    A symbol without rows for ``idle`` of event time loses its state and starts
+    anew when it comes back.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, *inner = state.get if state.exists else (-(1 << 62), *start())
+        own = pd.concat(list(frames)).sort_values(order)
+        micros = own[time].astype("datetime64[us]").astype("int64")
+        own = own[micros > at]
+        if len(own):
+            inner, out = step(key, own, tuple(inner))
+            at = int(micros.max())
+            yield pd.DataFrame(out, columns=names)
+        state.update((at, *inner))
+        state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + wait)
+
+    return rows.withWatermark(time, late).groupBy("symbol").applyInPandasWithState(run, schema, f"at long, {state_schema}", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cusum_events(ticks: DataFrame, h: float, late: str = "10 minutes", idle: str = "30 days") -> DataFrame:
     """``symbol, ts, seq, event`` where the CUSUM filter of log price moves fires.
 
-    The state of a symbol is its two sums and last price; a batch's ticks are
-    taken in order, so batches must not overlap in time.
+    The state of a symbol is its two sums and last price.
     """
     import math
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        up, down, last = state.get if state.exists else (0.0, 0.0, -1.0)
+    def step(key: tuple, rows: pd.DataFrame, state: tuple) -> tuple[tuple, list]:
+        up, down, last = state
         out = []
-        for ts, seq, price in _in_order(frames)[["ts", "seq", "price"]].itertuples(index=False):
+        for ts, seq, price in rows[["ts", "seq", "price"]].itertuples(index=False):
             if last > 0:
                 move = math.log(price / last)
                 up, down = max(0.0, up + move), min(0.0, down + move)
@@ -61,52 +85,50 @@ def cusum_events(ticks: DataFrame, h: float) -> DataFrame:
                     out.append((key[0], ts, seq, 1))
                     up = 0.0
             last = price
-        state.update((up, down, last))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "seq", "event"])
+        return (up, down, last), out
 
-    return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, seq long, event int", "up double, down double, last double", "append", GroupStateTimeout.NoTimeout)
+    return _by_symbol(ticks, "ts", ["ts", "seq"], lambda: (0.0, 0.0, -1.0), step, "symbol string, ts timestamp, seq long, event int", "up double, down double, last double", late, idle)
 
 
-def volume_bar_ends(ticks: DataFrame, threshold: float) -> DataFrame:
+def volume_bar_ends(ticks: DataFrame, threshold: float, late: str = "10 minutes", idle: str = "30 days") -> DataFrame:
     """``symbol, ts, bar_id, volume``: a row whenever a symbol's day opens a new volume bar.
 
     ``ts`` is the tick that opens it and ``volume`` the day's volume so far.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, volume = state.get if state.exists else ("", 0)
+    def step(key: tuple, rows: pd.DataFrame, state: tuple) -> tuple[tuple, list]:
+        day, volume = state
         out = []
-        for ts, vol in _in_order(frames)[["ts", "vol"]].itertuples(index=False):
+        for ts, vol in rows[["ts", "vol"]].itertuples(index=False):
             if str(ts.date()) != day:
                 day, volume = str(ts.date()), 0
             before, volume = volume, volume + int(vol)
             if before // threshold != volume // threshold:
                 out.append((key[0], ts, int(volume // threshold), volume))
-        state.update((day, volume))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "bar_id", "volume"])
+        return (day, volume), out
 
-    return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, bar_id long, volume long", "day string, volume long", "append", GroupStateTimeout.NoTimeout)
+    return _by_symbol(ticks, "ts", ["ts", "seq"], lambda: ("", 0), step, "symbol string, ts timestamp, bar_id long, volume long", "day string, volume long", late, idle)
 
 
-def portfolio_fills(bars: DataFrame, strategy: Callable[[], Strategy], dump: Callable[[Strategy], str], load: Callable[[str], Strategy], lot: int = 100) -> DataFrame:
+def portfolio_fills(bars: DataFrame, strategy: Callable[[], Strategy], dump: Callable[[Strategy], str], load: Callable[[str], Strategy], lot: int = 100, late: str = "10 minutes", idle: str = "30 days") -> DataFrame:
     """Fills of a strategy over a stream of bars ``symbol, start, price, volume``.
 
     The strategy's own state is kept as text by ``dump`` and ``load``.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        player, position = (load(state.get[0]), state.get[1]) if state.exists else (strategy(), 0)
+    def step(key: tuple, rows: pd.DataFrame, state: tuple) -> tuple[tuple, list]:
+        said_before, position = state
+        player = load(said_before) if said_before else strategy()
         out = []
-        for start, price, volume in pd.concat(list(frames)).sort_values("start")[["start", "price", "volume"]].itertuples(index=False):
+        for start, price, volume in rows[["start", "price", "volume"]].itertuples(index=False):
             said = player.on_bar(start, price, volume)
             quantity = order_quantity(said[0], said[1], position, lot) if said else 0
             if quantity:
                 position += quantity
                 out.append((key[0], start, price, said[0], quantity))
-        state.update((dump(player), position))
-        yield pd.DataFrame(out, columns=["symbol", "start", "price", "signal", "quantity"])
+        return (dump(player), position), out
 
-    return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, start timestamp, price double, signal string, quantity long", "player string, position long", "append", GroupStateTimeout.NoTimeout)
+    return _by_symbol(bars, "start", ["start"], lambda: ("", 0), step, "symbol string, start timestamp, price double, signal string, quantity long", "player string, position long", late, idle)
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str):
