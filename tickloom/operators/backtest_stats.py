@@ -172,7 +172,7 @@ def choose_nearest(stats: DataFrame, key: str, larger: Sequence[str], smaller: S
     return far.join(F.broadcast(tied)).select(key, "distance", F.coalesce(F.col(key) == F.col("_best"), F.lit(False)).alias("chosen"))
 
 
-def swarm(objective, dims: int, low: float, high: float, particles: int = 5, rounds: int = 100, inertia: float = 0.01, pull: float = 1.0, seed: int = 0) -> tuple[np.ndarray, float]:
+def swarm(objective, dims: int, low: float | np.ndarray, high: float | np.ndarray, particles: int = 5, rounds: int = 100, inertia: float = 0.01, pull: float = 1.0, seed: int = 0) -> tuple[np.ndarray, float]:
     """Particle swarm minimum of a function of a vector: a few numbers on the driver.
 
     Every particle draws one random number for its memory and one for the swarm.
@@ -192,6 +192,29 @@ def swarm(objective, dims: int, low: float, high: float, particles: int = 5, rou
     return best, float(own_value.min())
 
 
+def choose_by_swarm(stats: DataFrame, key: str, larger: Sequence[str], smaller: Sequence[str] = (), objective: Callable[[np.ndarray], float] | None = None, seed: int = 0) -> DataFrame:
+    """``key, distance, chosen``: rows by distance from the point that a swarm finds.
+
+    Figures are standardised, those of ``larger`` with their sign turned; the
+    swarm looks for the least value of ``objective`` (by default the Ackley
+    function) inside their bounds, and the row farthest from that point (signs
+    turned back) is chosen.  Only the bounds, one row, reach the driver.
+    """
+    names = [*larger, *smaller]
+    if objective is None:
+        objective = lambda p: float(20 + np.e - 20 * np.exp(-0.2 * np.sqrt(np.mean(p * p))) - np.exp(np.mean(np.cos(2 * np.pi * p))))
+    figures = stats.agg(*[f(c).alias(f"{n}_{c}") for c in names for n, f in (("mean", F.avg), ("spread", F.stddev_pop), ("low", F.min), ("high", F.max))]).first()
+    sign = {c: -1.0 if c in larger else 1.0 for c in names}
+    z = lambda x, c: (x - figures[f"mean_{c}"]) / figures[f"spread_{c}"] if figures[f"spread_{c}"] else 0.0
+    ends = [sorted((sign[c] * z(figures[f"low_{c}"], c), sign[c] * z(figures[f"high_{c}"], c))) for c in names] if figures[f"mean_{names[0]}"] is not None else [(0.0, 0.0)] * len(names)
+    low, high = (np.array(e, float) for e in zip(*ends, strict=True))
+    best, _ = swarm(objective, len(names), low, high, seed=seed)
+    squares = [F.pow((ratio(F.col(c) - figures[f"mean_{c}"], F.lit(figures[f"spread_{c}"]), 0.0) if figures[f"spread_{c}"] is not None else F.lit(0.0)) - float(sign[c] * b), 2) for c, b in zip(names, best, strict=True)]
+    far = stats.select(key, F.sqrt(sum(squares, F.lit(0.0))).alias("distance"))
+    chosen = far.agg(F.max_by(key, F.struct("distance", key)).alias("_best"))
+    return far.join(F.broadcast(chosen)).select(key, "distance", F.coalesce(F.col(key) == F.col("_best"), F.lit(False)).alias("chosen"))  # one row
+
+
 def test_functions(x: Sequence[Column]) -> dict[str, Column]:
     """Ackley, Rastrigin, Rosenbrock and Schwefel functions of columns."""
     import math

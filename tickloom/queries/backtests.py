@@ -162,6 +162,12 @@ def x14(spark, sf_dir):
     return spark.createDataFrame([(i, float(round(x, 3) + 0.0), value < 0.1) for i, x in enumerate(best)], "dim int, position double, found boolean")
 
 
+@query("x14_swarm_choice")
+def x14_choice(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread"))
+    return rounded(B.choose_by_swarm(e, "user_id", ["mean"], ["spread"]), 4)
+
+
 @query(
     "x15_test_functions",
     """WITH p AS (SELECT event_id, value / 100 AS x, epoch_us(ts) % 1000 / 500.0 AS y FROM events),

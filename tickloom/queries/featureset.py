@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import rolling as R
 from tickloom.operators import features
 from tickloom.queries.labelset import numbered_bars
-from tickloom.queries.registry import BARS, nudged, query, rounded
+from tickloom.queries.registry import BARS, ORACLE_SQL, nudged, query, rounded
 
 _NB = BARS + """, b AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date, bar_id) AS bar, open_price AS o, high_price AS h, low_price AS l, close_price AS c, bar_cum_volume AS v,
   vol_buy, vol_sell, dollars, hasbrouck FROM bars)"""
@@ -116,14 +116,44 @@ def f_series_sums(spark, sf_dir):
     return rounded(features.series_sums(_bars(spark, sf_dir)), 4, nudge=True)
 
 
-@query("f_series_orders")
+_ORDERS = f"""{_NB}, p AS (SELECT i.symbol, i.bar, j.bar - greatest(i.bar - 199, 1) AS k, j.c FROM b i JOIN b j ON j.symbol = i.symbol AND j.bar BETWEEN i.bar - 199 AND i.bar WHERE i.bar >= 20),
+q AS (SELECT *, avg(c) OVER w AS m, max(c) OVER w AS hi, min(c) OVER w AS lo, count(*) OVER w AS n, stddev_pop(c) OVER w * 0.2 AS tol FROM p WINDOW w AS (PARTITION BY symbol, bar)),
+g AS (SELECT *, CASE WHEN c > m THEN 1 WHEN c < m THEN -1 ELSE 0 END AS side FROM q),
+h AS (SELECT *, k - row_number() OVER (PARTITION BY symbol, bar, side ORDER BY k) AS island FROM g),
+r AS (SELECT symbol, bar, side, count(*) AS len FROM h GROUP BY symbol, bar, side, island),
+st AS (SELECT symbol, bar, coalesce(max(len) FILTER (side = 1), 0) AS above, coalesce(max(len) FILTER (side = -1), 0) AS below FROM r GROUP BY symbol, bar),
+v AS (SELECT symbol, bar, c, count(*) AS times FROM q GROUP BY symbol, bar, c),
+rv AS (SELECT symbol, bar, coalesce(sum(times) FILTER (times > 1), 0) AS again_points, count(*) FILTER (times > 1) AS again_values, count(*) AS distinct_values, coalesce(sum(c * times) FILTER (times > 1), 0) AS sum_points, coalesce(sum(c) FILTER (times > 1), 0) AS sum_values FROM v GROUP BY symbol, bar),
+ld AS (SELECT symbol, bar, CAST(floor(round(c / power(10, floor(log10(c))), 10)) AS INTEGER) AS x FROM q WHERE c > 0),
+dg AS (SELECT symbol, bar, CASE WHEN x >= 10 THEN 1 ELSE x END AS digit, count(*) AS times FROM ld GROUP BY ALL),
+bf AS (SELECT z.symbol, z.bar, corr(log10(1 + 1.0 / d), coalesce(times, 0) / n) AS benford FROM (SELECT DISTINCT symbol, bar, n FROM q) z CROSS JOIN range(1, 10) t(d) LEFT JOIN dg ON dg.symbol = z.symbol AND dg.bar = z.bar AND dg.digit = d GROUP BY z.symbol, z.bar),
+tm AS (SELECT symbol, bar, tol, n, k, c AS c0, lead(c) OVER w AS c1, lead(c, 2) OVER w AS c2 FROM q WINDOW w AS (PARTITION BY symbol, bar ORDER BY k)),
+se AS (SELECT x.symbol, x.bar, count(*) - any_value(x.n - 1) AS b, count(*) FILTER (abs(x.c2 - y.c2) <= x.tol) - any_value(x.n - 2) AS a FROM tm x JOIN tm y ON y.symbol = x.symbol AND y.bar = x.bar AND abs(x.c0 - y.c0) <= x.tol AND abs(x.c1 - y.c1) <= x.tol WHERE x.tol > 0 GROUP BY x.symbol, x.bar),
+base AS (SELECT symbol, bar, any_value(n) AS n, count(*) FILTER (c > m) AS up, count(*) FILTER (c < m) AS down, min(k) FILTER (c = hi) AS top, min(k) FILTER (c = lo) AS bottom FROM q GROUP BY symbol, bar),
+t AS (SELECT symbol, bar, up AS count_above_mean, down AS count_below_mean, top / n AS first_location_of_maximum, bottom / n AS first_location_of_minimum, above AS longest_strike_above_mean, below AS longest_strike_below_mean,
+ again_points / n AS percentage_of_reoccurring_datapoints_to_all_datapoints, again_values / distinct_values AS percentage_of_reoccurring_values_to_all_values, sum_points AS sum_of_reoccurring_data_points, sum_values AS sum_of_reoccurring_values, benford AS benford_correlation,
+ CASE WHEN a > 0 AND b > 0 THEN -ln(a / b) END AS sample_entropy FROM base JOIN st USING (symbol, bar) JOIN rv USING (symbol, bar) JOIN bf USING (symbol, bar) LEFT JOIN se USING (symbol, bar))"""
+
+
+@query("f_series_orders", f"WITH {_ORDERS} SELECT b.symbol, b.bar, {', '.join(f'round(CAST({x} AS DOUBLE) + 1.3e-9, 6) + 0.0 AS {x}' for x in features.ORDER_STATS)} FROM b LEFT JOIN t USING (symbol, bar)")
 def f_series_orders(spark, sf_dir):
-    return rounded(features.series_orders(_bars(spark, sf_dir)), 6)
+    return rounded(features.series_orders(_bars(spark, sf_dir)), 6, nudge=True)
 
 
-@query("f31_assembled_features")
+_STANDARD = ["z_score", "pct", "rolling_zscore", "minmax"]
+_SETS = {"f_technical": _TECH, "f_alphas": _ALPHAS, "f_microstructure": [c for c in _MICRO if c != "corwinschultz_sigma"], "f_standard": _STANDARD, "f_series_sums": _SUMS, "f_series_orders": list(features.ORDER_STATS)}
+#: The sets of features joined; rows with all of them.
+_ASSEMBLED = (
+    f"WITH {_NB} SELECT b.symbol, b.bar, round(b.c + 1.3e-7, 4) AS close_price, {', '.join(f'{c} AS feature_{c}' for c in (*_TECH, *_ALPHAS))} FROM b "
+    + " ".join(f"JOIN ({ORACLE_SQL[name]}) {name} ON {name}.symbol = b.symbol AND {name}.bar = b.bar" for name in _SETS)
+    + " WHERE " + " AND ".join(f"{name}.{c} IS NOT NULL" for name, columns in _SETS.items() for c in columns)
+)
+
+
+@query("f31_assembled_features", _ASSEMBLED)
 def f31(spark, sf_dir):
-    return rounded(features.assemble(_bars(spark, sf_dir)).select("symbol", "bar", F.col("close_price"), *[f"feature_{c}" for c in (*_TECH, *_ALPHAS)]), 6)
+    made = features.assemble(_bars(spark, sf_dir)).select("symbol", "bar", F.col("close_price"), *[f"feature_{c}" for c in (*_TECH, *_ALPHAS)])
+    return rounded(made, 4, nudge=True)
 
 
 @query("w2_rolling", f"WITH {_NB} SELECT symbol, bar, round({_full('avg(c)', 20, 'c')}, 6) AS mean, round({_full('stddev_samp(c)', 20, 'c')}, 6) AS std, {_full('max(c)', 20, 'c')} AS high, {_full('min(c)', 20, 'c')} AS low, round({_full('sum(c)', 20, 'c')}, 6) AS total FROM b")
