@@ -45,7 +45,7 @@ THRESHOLD = Fraction(85, 100)
 MISS = 1e-6
 #: Documents, shingles and bytes of text of one block.
 BLOCK, BLOCK_SHINGLES, BLOCK_BYTES = 512, 4_000_000, 32 << 20
-#: Up to so many large clusters (40 bytes each) are broadcast; beyond, they are joined by shuffle.
+#: Up to so many large clusters, or documents to be compared (some 50 bytes each), are broadcast; beyond, they are joined by shuffle.
 BROADCAST_CLUSTERS = 100_000
 
 #: Bands for which there are hash functions; the first BANDS are the same for all.
@@ -210,7 +210,13 @@ def links(texts: DataFrame, heads: DataFrame, k: int = K, threshold: Fraction =
 
     ``texts``: ``id, text``; ``heads``: ``id, n, bytes, bands`` of the classes' smallest ids.
     """
-    found = lambda rows: put(rows.join(texts, "id").groupBy("cluster", "i", "j").applyInArrow(_compare(k, threshold, miss, n_bands), "a long, b long"), "links")
+
+    def found(rows: DataFrame) -> DataFrame:
+        """The links of dealt rows; where they are few, texts are picked where they are read."""
+        rows = put(rows, "dealt")
+        chosen = texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_CLUSTERS else rows, "id")
+        return put(chosen.groupBy("cluster", "i", "j").applyInArrow(_compare(k, threshold, miss, n_bands), "a long, b long"), "links")
+
     bands = heads.select("id", F.explode("bands").alias("band"))
     buckets = put(bands.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1"), "buckets")
     inside = put(bands.join(buckets, "band").select("band", "id", "hub"), "inside")
