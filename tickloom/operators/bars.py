@@ -145,3 +145,22 @@ def daily(ticks: DataFrame) -> DataFrame:
         F.min_by("price", at).alias("first_price"), F.max_by("price", at).alias("last_price"), F.max("price").alias("high_price"), F.min("price").alias("low_price"),
         F.sum("vol").alias("volume"), F.count("*").alias("n_ticks"), ratio(F.sum(F.col("price") * F.col("vol")), F.sum("vol"), 0.0).alias("vwap"),
     )
+
+
+def scaled_bars(ticks: DataFrame, kind: str = "tick", bars_a_day: int = 10, scale: float | None = None) -> DataFrame:
+    """``symbol, date, bar, start, vwap``: bars of a day's own size.
+
+    A day's ticks (or volume) by ``bars_a_day``, rounded half-even to tens, times
+    ``scale`` (a quarter for ticks, a fifth for volume) is the size of its bars,
+    which are numbered from 1 and begin at their first tick.  A size of 0 makes
+    the whole day one bar.
+    """
+    w = day_window()
+    whole = Window.partitionBy("symbol", "date")
+    own = ticks.withColumn("date", F.to_date("ts"))
+    total = F.count("*").over(whole) if kind == "tick" else F.sum("vol").over(whole)
+    done = F.row_number().over(w) - 1 if kind == "tick" else F.sum("vol").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    size = F.bround(total.cast("double") / bars_a_day, -1) * (scale or (0.25 if kind == "tick" else 0.2))
+    cut = own.withColumn("_id", F.coalesce(F.floor(F.try_divide(done.cast("double"), size)), F.lit(0)))
+    made = cut.groupBy("symbol", "date", "_id").agg(F.min("ts").alias("start"), ratio(F.sum(F.col("price") * F.col("vol")), F.sum("vol"), 0.0).alias("vwap"))
+    return made.withColumn("bar", F.row_number().over(whole.orderBy("_id")).cast("long")).select("symbol", "date", "bar", "start", "vwap")

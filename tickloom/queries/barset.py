@@ -102,6 +102,22 @@ def b4(spark, sf_dir):
     return bars.bars(deep(spark, sf_dir), "dollar", 50_000).select("symbol", "date", "bar_id", "open_price", "high_price", "low_price", "close_price", "bar_cum_volume", "n_ticks")
 
 
+def _scaled(total: str, done: str, scale: float) -> str:
+    return f"""WITH {TICKS}, d AS (SELECT *, round_even({total} OVER (PARTITION BY symbol, date) / 10.0, -1) * {scale} AS size, {done} OVER (PARTITION BY symbol, date ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS done FROM ticks),
+i AS (SELECT *, coalesce(floor(done / nullif(size, 0)), 0) AS id FROM d), g AS (SELECT symbol, date, id, min(ts) AS start, sum(price * vol) / sum(vol) AS vwap FROM i GROUP BY symbol, date, id)
+SELECT symbol, date, row_number() OVER (PARTITION BY symbol, date ORDER BY id) AS bar, start, round(vwap + 1.3e-9, 6) + 0.0 AS vwap FROM g"""
+
+
+@query("b5_scaled_tick_bars", _scaled("count(*)", "count(*)", 0.25).replace("AS done FROM", "- 1 AS done FROM"))
+def b5_ticks(spark, sf_dir):
+    return rounded(bars.scaled_bars(deep(spark, sf_dir)), nudge=True)
+
+
+@query("b5_scaled_volume_bars", _scaled("sum(vol)", "sum(vol)", 0.2))
+def b5_volume(spark, sf_dir):
+    return rounded(bars.scaled_bars(deep(spark, sf_dir), "volume"), nudge=True)
+
+
 @query("b6_bar_counts", f"WITH {RULED}, x AS (SELECT *, floor(sum(vol) OVER (PARTITION BY symbol, date ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) / 500.0) AS bar_id FROM ruled) SELECT symbol, date, count(DISTINCT bar_id) AS n_bars FROM x GROUP BY symbol, date")
 def b6(spark, sf_dir):
     return bars.bar_counts(deep(spark, sf_dir), "volume", 500)
