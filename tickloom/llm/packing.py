@@ -34,8 +34,8 @@ BATCH_BYTES = 1 << 20
 RANKED_AT_ONCE = 1000
 #: Up to so many pieces to be cut (some 80 bytes each) are broadcast to where the ids are; beyond, ids are shuffled.
 BROADCAST_CUTS = 100_000
-#: A window may be padded by this share before its pieces are cut instead.
-SLACK = 256
+#: A window may be padded by one part in so many before its pieces are cut instead.
+SLACK = 128
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 3000) -> np.ndarray:
@@ -274,16 +274,16 @@ def place(cut: DataFrame, window: int = WINDOW, *, keep_ids: bool = False) -> Da
     n_split = split.count() if (placed[:, 4] < window).any() else 0
     ids = cut.where("ids IS NOT NULL").select(_key().alias("__key"), "ids")
     # Equal rows have one key and many places.
-    with_ids = lambda rows: ids.join(rows, "__key").dropDuplicates(["__key", "__at"])
-    whole = with_ids(found.where(~over)) if keep_ids else found.where(~over)
-    found = whole.select(*names, "__at")
+    whole = found.where(~over)
+    found = (ids.join(whole, "__key").dropDuplicates(["__key", "__at"]) if keep_ids else whole).select(*names, "__at")
     if n_split:
-        split = with_ids(F.broadcast(split) if n_split <= BROADCAST_CUTS else split)
+        # The ids of a piece are cut where they are; only the parts' numbers go on, unless ids are wanted.
+        split = ids.join(F.broadcast(split) if n_split <= BROADCAST_CUTS else split, "__key")
         part = lambda at, n: F.struct(at.cast("long").alias("at"), n.cast("long").alias("n"))
         split = split.withColumn("__part", F.explode(F.array(part(F.lit(0), F.col("__room")), part(F.col("__room"), F.col("length") - F.col("__room")))))
         split = split.withColumn("ids", F.expr("substring(ids, CAST(4 * __part.at + 1 AS INT), CAST(4 * __part.n AS INT))"))
         split = split.withColumns({"start": F.col("start") + F.col("__part.at"), "length": F.col("__part.n"), "ids_crc32": F.crc32("ids"), "__at": F.col("__at") + F.col("__part.at")})
-        found = found.union(split.select(*names, "__at"))
+        found = found.union(split.select("__key", *names, "__at").dropDuplicates(["__key", "__at"]).select(*names, "__at"))
     return found.select(*names, F.floor(F.col("__at") / window).cast("long").alias("sequence_id"), (F.col("__at") % window).alias("offset"))
 
 
