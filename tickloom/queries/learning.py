@@ -197,7 +197,7 @@ def m17(spark, sf_dir):
 
 @query("m19_oversampled")
 def m19(spark, sf_dir):
-    return learning.oversample(learning_rows(spark, sf_dir), FEATURES).groupBy("label").count()
+    return learning.oversample(learning_rows(spark, sf_dir), FEATURES).select("row_id", "label", *FEATURES)
 
 
 @query("m23_rule_model", f"WITH {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date, bar_id) AS bar FROM bars), m AS (SELECT symbol, bar, close_price, avg(close_price) OVER (PARTITION BY symbol ORDER BY bar ROWS 4 PRECEDING) AS m FROM n) SELECT symbol, bar, CASE WHEN close_price > m THEN 1 WHEN close_price < m THEN -1 ELSE 0 END AS predicted FROM m")
