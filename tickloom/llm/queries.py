@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, exactdup, linedup, mixing, neardup, packing, pii, quality, rules, substring
+from tickloom.llm import chat, clustering, exactdup, linedup, mixing, neardup, packing, pii, quality, rules, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "text", F.col("__tl_copy").alias("copy"), F.col("__tl_n").alias("n_copies"), F.col("__tl_order").alias("shuffle_key"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.concat_ws(",", "centroid"), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat_formatting": op2_chat_formatting,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -169,3 +175,27 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 FROM d LEFT JOIN k USING (doc_id)
 """,
 }
+
+
+def _lloyd_sql(rounds: int, dims: int, k: int) -> str:
+    """The rounds of Lloyd's method, one after the other."""
+    best = """SELECT n, v, arg_min(c, (list_sum(list_transform(list_zip(v, u), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), c)) AS c,
+      min(list_sum(list_transform(list_zip(v, u), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS d FROM q, m{r} GROUP BY n, v"""
+    parts = [f"""q AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"""m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v AS u FROM q QUALIFY c < {k})"""]
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED ({best.format(r=r)})")
+        parts.append(f"""m{r + 1} AS MATERIALIZED (
+  WITH s AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, {dims + 1})) AS i FROM a{r}) GROUP BY c, i),
+  f AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS u FROM s GROUP BY c)
+  SELECT m{r}.c, coalesce(f.u, m{r}.u) AS u FROM m{r} LEFT JOIN f ON f.c = m{r}.c)""")
+    parts.append(f"z AS MATERIALIZED ({best.format(r=rounds)})")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(z.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(u, ',')) AS centroid_sha256
+FROM z JOIN q ON q.n = z.n JOIN m{rounds} ON m{rounds}.c = z.c"""
+
+
+ORACLE_SQL["op13_centroid_clustering"] = _lloyd_sql(clustering.ROUNDS, clustering.DIMS, clustering.K)
