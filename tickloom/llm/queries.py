@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, clustering, exactdup, linedup, mixing, neardup, packing, pii, quality, rules, substring
+from tickloom.llm import alignment, chat, clustering, exactdup, licences, linedup, mixing, neardup, packing, pii, quality, rules, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,16 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "text", F.col("__tl_copy").alias("copy"), F.col("__tl_n").alias("n_copies"), F.col("__tl_order").alias("shuffle_key"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clustering.cluster(_table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.concat_ws(",", "centroid"), 256).alias("centroid_sha256"))
@@ -86,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_license_scans": op11_license_scans,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
@@ -199,3 +211,40 @@ FROM z JOIN q ON q.n = z.n JOIN m{rounds} ON m{rounds}.c = z.c"""
 
 
 ORACLE_SQL["op13_centroid_clustering"] = _lloyd_sql(clustering.ROUNDS, clustering.DIMS, clustering.K)
+
+
+def _licence_sql() -> str:
+    """The scan with the templates as values."""
+    index = licences.Index()
+    words = lambda codes: "[" + ", ".join(f"'{index.words[c]}'" for c in codes) + "]"
+    texts = ", ".join(f"({t}, '{x.label}', {index.need[t]}, {words(index.texts[t])})" for t, x in enumerate(index.templates))
+    phrases = ", ".join(f"({t}, {q}, {words(p)})" for t, own in enumerate(index.phrases) for p, q in own)
+    base = ", ".join(f"('{label}', {words(p)})" for p, label in index.base_phrases)
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {texts}) AS t(t, label, need, tw)),
+k AS (SELECT * FROM (VALUES {phrases}) AS k(t, q, pw)),
+b AS (SELECT * FROM (VALUES {base}) AS b(label, bw)),
+o AS (SELECT t, unnest(range(0, len(tw))) AS q, unnest(tw) AS word FROM t),
+u AS (SELECT r, unnest(range(0, len(w))) AS p, unnest(w) AS word FROM d),
+v AS MATERIALIZED (SELECT r, p, word FROM u WHERE word IN (SELECT word FROM o UNION ALL SELECT unnest(bw) FROM b)),
+f AS (SELECT word, count(DISTINCT r) AS df FROM v GROUP BY word),
+h AS (SELECT r, t, word FROM (SELECT DISTINCT v.r, o.t, v.word, f.df FROM v JOIN o ON o.word = v.word JOIN f ON f.word = v.word)
+      QUALIFY row_number() OVER (PARTITION BY r, t ORDER BY df, word) <= {licences.RAREST}),
+c AS (SELECT v.r, o.t, v.p - o.q AS start FROM v JOIN o ON o.word = v.word JOIN h ON h.r = v.r AND h.t = o.t AND h.word = v.word JOIN t ON t.t = o.t GROUP BY v.r, o.t, v.p - o.q, t.need HAVING count(*) >= t.need),
+z AS (SELECT c.r, c.t, c.start FROM c JOIN k ON k.t = c.t JOIN d ON d.r = c.r
+      WHERE len(list_filter(range(greatest(c.start + k.q - {licences.SLACK}, 0), c.start + k.q + {licences.SLACK} + 1), lambda x: d.w[x + 1 : x + len(k.pw)] = k.pw)) > 0
+      GROUP BY c.r, c.t, c.start HAVING count(*) = (SELECT count(*) FROM k AS k2 WHERE k2.t = c.t)),
+y AS (SELECT z.r, t.label, z.start, count(v.p) / CAST(len(t.tw) AS DOUBLE) AS share FROM z JOIN t ON t.t = z.t JOIN o ON o.t = z.t LEFT JOIN v ON v.r = z.r AND v.p = z.start + o.q AND v.word = o.word GROUP BY z.r, t.label, t.t, z.start, len(t.tw)),
+a AS (SELECT v.r, v.p, b.label FROM v JOIN b ON b.bw[1] = v.word JOIN d ON d.r = v.r WHERE d.w[v.p + 1 : v.p + len(b.bw)] = b.bw),
+g AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM a GROUP BY r),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM a UNION ALL SELECT r, label FROM y) GROUP BY r),
+s AS (SELECT r, max(share) AS share FROM y GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(g.n_base, 0) AS n_base, g.first_word, g.last_word, coalesce(g.base_labels, '') AS base_labels,
+       coalesce(l.labels, '') AS labels, CASE WHEN g.r IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(s.share, 0)::DOUBLE END AS score
+FROM d LEFT JOIN g ON g.r = d.r LEFT JOIN l ON l.r = d.r LEFT JOIN s ON s.r = d.r
+"""
+
+
+ORACLE_SQL["op11_license_scans"] = _licence_sql()
