@@ -1,15 +1,15 @@
 """Near-duplicate groups by MinHash with sequential Bayesian verification.
 
 1. Documents with equal shingle sets are one class (a group-by of a 128-bit
-   hash of the set); only its smallest id goes on.
+   hash of the set, made from 128-bit hashes of words); only its smallest id goes on.
 2. MinHash signatures are cut into bands.  Documents that share a band are
    candidates; stars within buckets join them into coarse clusters without
    listing pairs.
 3. A cluster is compared in blocks of bounded size.  Within a block, candidates
    are compared signature batch by batch, and a pair goes when the posterior
    probability of reaching the threshold falls below the chosen miss probability.
-   Survivors are verified exactly on the full shingle sets; pairs that are
-   connected already are skipped.
+   Survivors are verified exactly on the full sets of shingles, compared word by
+   word and not by hash; pairs that are connected already are skipped.
 4. A cluster of several blocks is first compared inside each block, then by one
    representative of each connected part.  That leaves one large part and few
    others in a group of true copies.  Only documents outside the largest part
@@ -123,8 +123,9 @@ def _summary(k: int, bands: int = BANDS):
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             for block in W.blocks(batch.column(1), lower=True):
                 for i in range(len(block)):
-                    found = shingle_set(block.hashes[block.bounds[i] : block.bounds[i + 1]], k)
-                    d = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                    own = slice(block.bounds[i], block.bounds[i + 1])
+                    found = shingle_set(block.hashes[own], k)
+                    d = hashlib.blake2b(found.tobytes() + shingle_set(block.second[own], k).tobytes(), digest_size=16).digest()
                     n.append(len(found))
                     k1.append(int.from_bytes(d[:8], "little", signed=True))
                     k2.append(int.from_bytes(d[8:], "little", signed=True))
@@ -150,6 +151,32 @@ class _Forest:
         self.parent[self.root(x)] = self.root(y)
 
 
+class _Sets:
+    """The exact shingle sets of some documents, as numbers that are equal for equal shingles only."""
+
+    def __init__(self, texts: pa.ChunkedArray, wanted: np.ndarray, k: int):
+        known = W.Numbers()
+        short: dict[tuple[int, ...], int] = {}
+        self.sets, ids = {}, []
+        for block in W.blocks(texts.take(pa.array(wanted)), lower=True, hashed=False):
+            ids += [known.of(block.words(i)) for i in range(len(block))]
+        size = np.array([len(x) for x in ids], np.int64)
+        # Runs over the end of a document are made with the others, and not used.
+        runs = W.grams(np.concatenate(ids), k) if ids else np.zeros(0, np.int64)
+        for at, n, x, own in zip(np.cumsum(size) - size, size, ids, wanted.tolist(), strict=True):
+            if n >= k:
+                self.sets[own] = np.unique(runs[at : at + n - k + 1])
+            else:  # fewer words are one shingle, none are none
+                key = tuple(x.tolist())
+                self.sets[own] = np.array([-1 - short.setdefault(key, len(short))] if key else [], np.int64)
+
+    def alike(self, x: int, y: int, num: int, den: int) -> bool:
+        """Whether the similarity of two documents is at least ``num / den``."""
+        a, b = self.sets[x], self.sets[y]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both > 0 and den * both >= num * (len(a) + len(b) - both)
+
+
 def _compare(k: int, threshold: Fraction, miss: float, bands: int = BANDS):
     """Links ``a, b`` between the rows of a group.
 
@@ -174,14 +201,14 @@ def _compare(k: int, threshold: Fraction, miss: float, bands: int = BANDS):
         shared &= part[one][:, None] != part[two][None, :]
         a, b = np.nonzero(np.triu(shared, 1) if among else shared)
         a, b, matches = survivors(signs[one], signs[two], a, b, float(threshold), miss, bands)
+        sets.clear()
+        exact = _Sets(table["text"], np.unique(np.r_[one[a], two[b]]), k)
         forest, links = _Forest(), []
         for p in np.argsort(-matches, kind="stable"):
             x, y = int(one[a[p]]), int(two[b[p]])
             if forest.root(int(part[x])) == forest.root(int(part[y])):
                 continue
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            union = len(sets[x]) + len(sets[y]) - both
-            if both and den * both >= num * union:
+            if exact.alike(x, y, num, den):
                 forest.join(int(part[x]), int(part[y]))
                 links.append((int(ids[x]), int(ids[y])))
         if among:  # each linked row with the least of its part

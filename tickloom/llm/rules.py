@@ -71,7 +71,7 @@ PRODUCTION = POLICIES["v2"]
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: list[tuple] = []
-        for block in W.blocks(batch.column(1)):
+        for block in W.blocks(batch.column(1), hashed=False):
             data, n = block.data, len(block.data)
             letters = np.zeros(n + 1, np.int64)
             np.cumsum(((data & 0xC0) != 0x80) & ~W._SPACE[data], out=letters[1:])
@@ -89,7 +89,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo, hi = block.offsets[i], block.offsets[i + 1]
                 repeated = 0
                 if b - a >= 4:
-                    _, where, counts = np.unique(W.shingles(block.hashes[a:b], 3), return_inverse=True, return_counts=True)
+                    _, where, counts = np.unique(W.grams(W.Numbers().of(block.words(i)), 3), return_inverse=True, return_counts=True)
                     twice = counts[where] > 1
                     covered = np.zeros(b - a, bool)
                     for j in range(3):

@@ -1,9 +1,11 @@
 """Removal of long passages that repeat across documents.
 
 Every window of ``k`` consecutive words has a Rabin-Karp hash; windows that can
-repeat are counted in Spark, and the words of windows that also start in a document of
-smaller id merge into maximal removal intervals.  Two exact reductions come
-first, so that only windows that can repeat are shuffled:
+repeat are counted in Spark by this hash and a second one, which mixes the other
+half of the words' digests pair by pair (128 bits together).  The words of
+windows that also start in a document of smaller id merge into maximal removal
+intervals.  Two exact reductions come first, so that only windows that can
+repeat are shuffled:
 
 * documents with equal word sequences are one class: all but the one of the
   smallest id lose every word if they have a window at all;
@@ -26,7 +28,7 @@ from tickloom.llm import words as W
 from tickloom.llm.scratch import doc_key, given_id, put
 
 RUN = 8
-#: Up to so many repeated windows (20 bytes each) are broadcast; beyond, they are joined by shuffle.
+#: Up to so many repeated windows (24 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_WINDOWS = 200_000
 
 
@@ -46,14 +48,15 @@ def _minimizers(hashes: np.ndarray, k: int) -> np.ndarray:
     return _least(W.shingles(hashes, run), k - run + 1)
 
 
-def _sequence(hashes: np.ndarray) -> tuple[int, int]:
-    """A 128-bit hash of a whole word sequence, as two signed longs."""
-    d = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _sequence(joined: bytes) -> tuple[int, int, str]:
+    """A 128-bit hash of a word sequence, joined by spaces, as two signed longs; and its SHA-256."""
+    d = hashlib.sha256(joined)
+    raw = d.digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:16], "little", signed=True), d.hexdigest()
 
 
 def _joined(block: W.WordBlock, i: int, keep: np.ndarray | None = None) -> bytes:
-    raw = block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().split()
+    raw = block.words(i)
     return b" ".join(raw if keep is None else [w for w, k in zip(raw, keep, strict=True) if k])
 
 
@@ -64,11 +67,11 @@ def _profile(k: int):
             for block in W.blocks(batch.column(1)):
                 for i in range(len(block)):
                     h = block.hashes[block.bounds[i] : block.bounds[i + 1]]
-                    a, b = _sequence(h)
+                    a, b, whole = _sequence(_joined(block, i))
                     k1.append(a)
                     k2.append(b)
                     n.append(len(h))
-                    sha.append(hashlib.sha256(_joined(block, i)).hexdigest())
+                    sha.append(whole)
                     mins.append(np.unique(_minimizers(h, k)).view(np.int64) if len(h) >= k else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), _lists(mins, pa.int64())],
@@ -93,18 +96,18 @@ def _windows(k: int):
             for block in W.blocks(batch.column(1)):
                 for i in range(len(block)):
                     h = block.hashes[block.bounds[i] : block.bounds[i + 1]]
-                    out[0].append(_sequence(h)[0])
+                    out[0].append(_sequence(_joined(block, i))[0])
                     at = np.zeros(0, np.int64)
                     if len(h) >= k:
                         wanted = shared[block.first + i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                         at = np.flatnonzero(np.isin(_minimizers(h, k), wanted))
                     hashes = W.window_hashes(h, k)[at]
-                    check = (W.window_hashes(W.mix(h + np.uint64(1)), k)[at] >> np.uint64(33)).astype(np.int32)
+                    check = W.run_hashes(block.second[block.bounds[i] : block.bounds[i + 1]], k)[at]
                     out[1].append(hashes.view(np.int64))
-                    out[2].append(check)
+                    out[2].append(check.view(np.int64))
                     out[3].append(at.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.int64()), batch.column(1), _lists(out[1], pa.int64()), _lists(out[2], pa.int32()), _lists(out[3], pa.int32())],
+                [batch.column(0), pa.array(out[0], pa.int64()), batch.column(1), _lists(out[1], pa.int64()), _lists(out[2], pa.int64()), _lists(out[3], pa.int32())],
                 ["id", "k1", "text", "hashes", "checks", "places"],
             )
 
@@ -159,7 +162,7 @@ def repeated(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str = "do
     runs = put(heads.select("id", F.explode("mins").alias("run")), "minimizers")
     shared = runs.groupBy("run").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("run")
     wanted = runs.join(shared, "run", "left_semi").groupBy("id").agg(F.collect_set("run").alias("runs"))
-    found = put(texts.join(wanted, "id").select("id", "text", "runs").mapInArrow(_windows(k), "id long, k1 long, text string, hashes array<long>, checks array<int>, places array<int>"), "windows")
+    found = put(texts.join(wanted, "id").select("id", "text", "runs").mapInArrow(_windows(k), "id long, k1 long, text string, hashes array<long>, checks array<long>, places array<int>"), "windows")
 
     each = found.select("id", "k1", F.explode(F.arrays_zip("hashes", "checks", "places")).alias("w")).select("id", "k1", F.col("w.hashes").alias("hash"), F.col("w.checks").alias("check"), F.col("w.places").alias("place"))
     first = each.groupBy("hash", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("hash", "check", "least")
