@@ -47,7 +47,8 @@ def features(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
         s, e, h = block.starts, block.ends, block.hashes
         n = len(h)
         same = np.zeros(n, bool)
-        same[1:] = h[1:] == h[:-1]
+        same[1:] = (h[1:] == h[:-1]) & (block.second[1:] == block.second[:-1])
+        same[block.bounds[:-1][block.bounds[:-1] < n]] = False  # a text's first word follows none
         kind = _LETTER[block.data]
         uppers = np.r_[0, np.cumsum(kind == 2)]
         long = np.digitize(e - s, [2, 4, 8, 16])
