@@ -6,11 +6,43 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import ratio
-from tickloom.functions.fold import fold
+from tickloom.functions.fold import Kernel, fold
+
+
+def size_of(kind: str) -> Column:
+    """What a tick weighs: 1, its volume or its dollars."""
+    return {"tick": F.lit(1.0), "volume": F.col("vol").cast("double"), "dollar": F.col("price") * F.col("vol")}[kind]
+
+
+def kernel(alpha_t: float = 0.1, alpha_flow: float = 0.1) -> Kernel:
+    """Ticks ``price, size, e_t, e_flow`` get the ``bar_id`` of :func:`imbalance_bars`, null before the first move.
+
+    Signs are part of the state, so that later ticks need no earlier ones.
+    """
+
+    def step(state, rows: pd.DataFrame):
+        last, sign, theta, n, bar, e_t, e_flow = state
+        ids = []
+        for price, size, t0, flow0 in zip(*(rows[c].tolist() for c in ("price", "size", "e_t", "e_flow")), strict=True):
+            if last is None:
+                e_t, e_flow = t0, flow0
+            else:
+                sign = 1.0 if price > last else -1.0 if price < last else sign
+            last = price
+            ids.append(bar if sign else None)
+            if not sign:
+                continue
+            theta, n = theta + sign * size, n + 1
+            if abs(theta) >= abs(e_t * e_flow):
+                e_t, e_flow = (1 - alpha_t) * e_t + alpha_t * n, (1 - alpha_flow) * e_flow + alpha_flow * theta / n
+                theta, n, bar = 0.0, 0, bar + 1
+        return [last, sign, theta, n, bar, e_t, e_flow], rows.assign(bar_id=pd.array(ids, "Int64"))
+
+    return Kernel(lambda: [None, 0.0, 0.0, 0, 0, 0.0, 0.0], step, "bar_id long")
 
 
 def signed_flow(ticks: DataFrame, kind: str = "volume") -> DataFrame:
@@ -18,7 +50,7 @@ def signed_flow(ticks: DataFrame, kind: str = "volume") -> DataFrame:
     ``flow``: ``b`` times 1, the volume or the dollars."""
     w = Window.partitionBy("symbol").orderBy("ts", "seq")
     move = F.nullif(F.signum(F.col("price") - F.lag("price").over(w)), F.lit(0.0))
-    size = {"tick": F.lit(1.0), "volume": F.col("vol").cast("double"), "dollar": F.col("price") * F.col("vol")}[kind]
+    size = size_of(kind)
     moved = ticks.withColumn("_m", move)
     signed = moved.withColumn("b", F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_m")
     return signed.withColumn("size", size).withColumn("flow", F.col("b") * size)
