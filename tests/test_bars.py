@@ -159,7 +159,7 @@ def test_ewm_matches_pandas(spark):
     df = spark.createDataFrame([("A", i, float(v)) for i, v in enumerate(x)], "symbol string, i long, x double")
     want = pd.Series(x).ewm(span=20).std().to_numpy()
     native = df.withColumn("s", volatility.ewm_std(F.col("x"), 20, ["symbol"], ["i"])).orderBy("i").toPandas().s.to_numpy(float)
-    folded = volatility.ewm_std_fold(df, "x", "s", 20, ["symbol"], ["i"], "symbol string, i long, x double, s double").orderBy("i").toPandas().s.to_numpy(float)
+    folded = volatility.ewm_std_fold(df, "x", "s", 20, ["symbol"], ["i"]).orderBy("i").toPandas().s.to_numpy(float)
     np.testing.assert_allclose(native[1:], want[1:], rtol=1e-8)
     np.testing.assert_allclose(folded[1:], want[1:], rtol=1e-8)
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import scan
 from tickloom.functions.exprs import ratio
 from tickloom.functions.fold import fold
 
@@ -15,35 +16,23 @@ def _typed(df: DataFrame, extra: str) -> str:
     return ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), extra])
 
 
-def cusum(df: DataFrame, value: str, h: float, keys: list[str], order: list[str], differences: bool = False) -> DataFrame:
+def cusum(df: DataFrame, value: str, h: float, keys: list[str], order: list[str], differences: bool = False, block: Column | None = None) -> DataFrame:
     """``df`` with ``event`` (1, -1 or 0): symmetric CUSUM filter of increments.
 
     Sums start at the second row; a sum beyond the threshold is an event and
-    restarts.  ``differences`` filters the changes of ``value`` instead.
+    restarts.  ``differences`` filters the changes of ``value`` instead.  With
+    ``block``, which must not fall as a series goes on, a series is scanned block
+    by block in parallel; without, it is one task.
     """
+    how = scan.cusum(value, h, differences)
+    if block is not None:
+        return scan.scan(df, keys, order, block, how)
+    return fold(df, keys, order, how.kernel.start, how.kernel.step, _typed(df, how.kernel.adds))
 
-    def step(state, rows: pd.DataFrame):
-        up, down, seen, last = state
-        got = []
-        for x in rows[value].to_numpy(dtype=float, na_value=np.nan).tolist():
-            move = x - last if differences else x
-            last, event = x, 0
-            if seen and move == move:
-                up, down = max(0.0, up + move), min(0.0, down + move)
-                if down < -h:
-                    event, down = -1, 0.0
-                elif up > h:
-                    event, up = 1, 0.0
-            seen = True
-            got.append(event)
-        return (up, down, seen, last), rows.assign(event=np.array(got, np.int32))
-
-    return fold(df, keys, order, lambda: (0.0, 0.0, False, np.nan), step, _typed(df, "event int"))
-
-
-def sampled(df: DataFrame, value: str, h: float, keys: list[str], order: list[str], condition: str | None = None) -> DataFrame:
+
+def sampled(df: DataFrame, value: str, h: float, keys: list[str], order: list[str], condition: str | None = None, block: Column | None = None) -> DataFrame:
     """Rows at which the filter fires, among those that meet ``condition``."""
-    return cusum(df.where(condition) if condition else df, value, h, keys, order).where("event <> 0")
+    return cusum(df.where(condition) if condition else df, value, h, keys, order, block=block).where("event <> 0")
 
 
 TRENDS = {"nc": 0, "c": 1, "ct": 2, "ctt": 3}

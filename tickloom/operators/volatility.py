@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import scan
 from tickloom.functions.exprs import ratio
 from tickloom.functions.fold import fold
 from tickloom.operators.asof import lagged_value
@@ -34,42 +33,24 @@ def ewm_std(value: Column, span: float, keys: list[str], order: list[str]) -> Co
     return F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0)) * ratio(s0 * s0, s0 * s0 - s00)))
 
 
-def ewm_std_fold(df: DataFrame, value: str, out: str, span: float, keys: list[str], order: list[str], schema: str) -> DataFrame:
-    """The same for series of any length, streamed; null values are skipped."""
-    beta = 1 - 2 / (span + 1)
+def ewm_std_fold(df: DataFrame, value: str, out: str, span: float, keys: list[str], order: list[str], block: Column | None = None) -> DataFrame:
+    """The same for series of any length; null values are skipped.
 
-    def step(state, rows: pd.DataFrame):
-        w, w2, mean, m2 = state
-        got = []
-        for x in rows[value].to_numpy(dtype=float, na_value=np.nan).tolist():
-            w, w2, m2 = w * beta, w2 * beta * beta, m2 * beta
-            if x == x:
-                w, w2 = w + 1, w2 + 1
-                move = x - mean
-                mean += move / w
-                m2 += move * (x - mean)
-            bias = w - w2 / w if w else 0.0
-            got.append((max(m2, 0.0) / bias) ** 0.5 if bias > 1e-12 else np.nan)
-        return (w, w2, mean, m2), rows.assign(**{out: pd.array(got, "Float64")})
-
-    return fold(df, keys, order, lambda: (0.0, 0.0, 0.0, 0.0), step, schema)
-
-
-def ewm_mean_fold(df: DataFrame, value: str, out: str, span: float, keys: list[str], order: list[str], schema: str) -> DataFrame:
-    """The exponentially weighted mean, streamed; nulls are skipped and get the last mean."""
-    beta = 1 - 2 / (span + 1)
+    With ``block``, which must not fall as a series goes on, a series is scanned
+    block by block in parallel; without, it is streamed through one task.
+    """
+    return _scanned(df, scan.ewm_std(value, span, out), keys, order, block)
+
+
+def ewm_mean_fold(df: DataFrame, value: str, out: str, span: float, keys: list[str], order: list[str], block: Column | None = None) -> DataFrame:
+    """The exponentially weighted mean; nulls are skipped and get the last mean."""
+    return _scanned(df, scan.ewm_mean(value, span, out), keys, order, block)
 
-    def step(state, rows: pd.DataFrame):
-        w, total = state
-        got = []
-        for x in rows[value].to_numpy(dtype=float, na_value=np.nan).tolist():
-            w, total = w * beta, total * beta
-            if x == x:
-                w, total = w + 1, total + x
-            got.append(total / w if w else np.nan)
-        return (w, total), rows.assign(**{out: pd.array(got, "Float64")})
 
-    return fold(df, keys, order, lambda: (0.0, 0.0), step, schema)
+def _scanned(df: DataFrame, how: scan.Scan, keys: list[str], order: list[str], block: Column | None) -> DataFrame:
+    if block is not None:
+        return scan.scan(df, keys, order, block, how)
+    return fold(df, keys, order, how.kernel.start, how.kernel.step, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), how.kernel.adds]))
 
 
 def daily_open_close(ticks: DataFrame, span: float = 100) -> DataFrame:
@@ -88,7 +69,7 @@ def daily_lagged(ticks: DataFrame, span: float = 100) -> DataFrame:
     """
     dated = ticks.withColumn("date", F.to_date("ts"))
     returns = dated.withColumn("ret", ratio(F.col("price"), lagged_value("price", "ts", ["symbol"], DAY_MICROS)) - 1)
-    spread = ewm_std_fold(returns.select("symbol", "ts", "seq", "date", "price", "ret"), "ret", "std", span, ["symbol"], ["ts", "seq"], "symbol string, ts timestamp, seq long, date date, price double, ret double, std double")
+    spread = ewm_std_fold(returns.select("symbol", "ts", "seq", "date", "price", "ret"), "ret", "std", span, ["symbol"], ["ts", "seq"], block=F.col("date"))
     days = spread.groupBy("symbol", "date").agg(F.avg("std").alias("m"), F.min_by("price", F.struct("ts", "seq")).alias("p"))
     w = Window.partitionBy("symbol").orderBy("date")
     return days.select("symbol", "date", F.coalesce(F.lag(F.least("m", "p")).over(w), F.lit(0.0)).alias("volatility"))
@@ -99,7 +80,7 @@ def daily_intraday(ticks: DataFrame, span: float = 100) -> DataFrame:
     dated = ticks.withColumn("date", F.to_date("ts"))
     w = Window.partitionBy("symbol", "date").orderBy("ts", "seq")
     returns = dated.withColumn("ret", ratio(F.col("price"), F.lag("price").over(w)) - 1)
-    spread = ewm_std_fold(returns.select("symbol", "date", "ts", "seq", "ret"), "ret", "std", span, ["symbol", "date"], ["ts", "seq"], "symbol string, date date, ts timestamp, seq long, ret double, std double")
+    spread = ewm_std_fold(returns.select("symbol", "date", "ts", "seq", "ret"), "ret", "std", span, ["symbol", "date"], ["ts", "seq"])
     days = spread.groupBy("symbol", "date").agg(F.avg("std").alias("m"))
     return days.select("symbol", "date", F.coalesce(F.lag("m").over(Window.partitionBy("symbol").orderBy("date")), F.lit(0.0)).alias("volatility"))
 

@@ -201,7 +201,7 @@ s AS (SELECT symbol, CAST(1 AS BIGINT) AS bar, CAST(0 AS DOUBLE) AS up, CAST(0 A
   FROM s JOIN rets r ON r.symbol = s.symbol AND r.bar = s.bar + 1)
 SELECT symbol, bar, event FROM s WHERE event <> 0""")
 def dc1(spark, sf_dir):
-    return sampling.sampled(bar_returns(spark, sf_dir), "ret", 2.0, ["symbol"], ["bar"]).select("symbol", "bar", "event")
+    return sampling.sampled(bar_returns(spark, sf_dir), "ret", 2.0, ["symbol"], ["bar"], block=F.floor(F.col("bar") / 1024)).select("symbol", "bar", "event")
 
 
 @query("dc2_cusum_differences", "WITH RECURSIVE " + _RETS + """, d AS (SELECT symbol, bar, ln(close_price) - ln(lag(close_price) OVER (PARTITION BY symbol ORDER BY bar)) AS ret FROM rets),
@@ -212,7 +212,7 @@ s AS (SELECT symbol, CAST(1 AS BIGINT) AS bar, CAST(0 AS DOUBLE) AS up, CAST(0 A
 SELECT symbol, bar, event FROM s""")
 def dc2(spark, sf_dir):
     own = bar_returns(spark, sf_dir).withColumn("log_price", F.log("close_price"))
-    return sampling.cusum(own, "log_price", 3.0, ["symbol"], ["bar"], differences=True).select("symbol", "bar", "event")
+    return sampling.cusum(own, "log_price", 3.0, ["symbol"], ["bar"], differences=True, block=F.floor(F.col("bar") / 1024)).select("symbol", "bar", "event")
 
 
 @query("ds1_sadf", f"""WITH {_RETS}, y AS (SELECT symbol, bar, ln(close_price) AS y, lag(ln(close_price)) OVER (PARTITION BY symbol ORDER BY bar) AS y1 FROM rets),

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STAGES = ("tuning", "bars", "entropy", "basket", "sampled", "labelled", "weighted", "features", "exogenous", "endogenous", "backtest", "backtests", "metrics")
+STAGES = ("tuning", "bars", "entropy", "basket", "sampled", "labelled", "weighted", "features", "exogenous", "endogenous", "backtest", "backtests", "metrics", "daily_bars", "daily_volatility", "daily_imbalance")
 
 
 class StageStore:
@@ -43,7 +43,13 @@ class StageStore:
 
     def replace_days(self, stage: str, df: DataFrame) -> None:
         own = df.select(*self.spark.table(self.name(stage)).columns)
-        own.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").insertInto(self.name(stage))
+        # A catalogue table takes the mode from the session, not from the writer's options.
+        mode, setting = "spark.sql.sources.partitionOverwriteMode", self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        self.spark.conf.set(mode, "dynamic")
+        try:
+            own.write.mode("overwrite").insertInto(self.name(stage))
+        finally:
+            self.spark.conf.set(mode, setting)
 
     def read(self, stage: str, symbols: Sequence[str] | None = None) -> DataFrame:
         out = self.spark.table(self.name(stage))
