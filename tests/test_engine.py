@@ -5,6 +5,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,22 +185,6 @@ def test_streamed_bars_equal_batch_bars(spark, sf, tmp_path):
     assert got == want
 
 
-def test_streamed_events_equal_batch_events(spark, sf, tmp_path):
-    from pyspark.sql import Window
-
-    from tickloom.operators.sampling import cusum
-
-    src = tmp_path / "in"
-    spark.read.parquet(f"{sf}/events.parquet").coalesce(1).write.parquet(str(src))
-    live = stream.cusum_events(stream.stream_ticks(spark, str(src)), 2.0)
-    q = live.writeStream.format("memory").queryName("streamed_events").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    got = {(r.symbol, r.seq, r.event) for r in spark.table("streamed_events").collect()}
-    t = S.event_ticks(spark, sf).withColumn("move", F.log("price") - F.log(F.lag("price").over(Window.partitionBy("symbol").orderBy("ts", "seq"))))
-    want = {(r.symbol, r.seq, r.event) for r in cusum(t, "move", 2.0, ["symbol"], ["ts", "seq"]).where("event <> 0").collect()}
-    assert got == want and got
-
-
 def test_stop_and_limit_orders(spark):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(hours=s)
     t = spark.createDataFrame([("A", at(h), h, float(p), 1) for h, p in enumerate([10, 12, 9, 13, 8])], "symbol string, ts timestamp, seq long, price double, vol long")
@@ -300,42 +285,57 @@ def test_selection_keeps_rows_and_writes_parts(spark, sf):
     assert selection.low_silhouettes(rows, FEATURES, dict.fromkeys(FEATURES, 0) | {FEATURES[0]: 1}, 1.0) == FEATURES
 
 
-def _streamed(spark, live, name, folder):
-    q = live.writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(folder / name)).start()
-    q.awaitTermination(180)
-    assert q.exception() is None
-    return spark.table(name).collect()
-
-
-def test_streamed_volume_bars_and_fills_over_batches(spark, sf, tmp_path):
-    """Several files, one a batch, in order of time; state goes from batch to batch."""
-    import json
+def test_training_ranges_equal_a_check_of_every_pair(spark):
+    """Short, long and odd labels, equal times, an empty table."""
+    import datetime as dt
+    import itertools
+    import random
+
+    r, day = random.Random(6), dt.timedelta(days=1)
+    times = sorted(dt.datetime(2024, 1, 1) + day * r.randrange(60) for _ in range(120))
+    rows = [(i, t, t + day * r.choice([0, 1, 1, 2, 9])) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "row_id long, time timestamp, t1 timestamp")
+    for pieces, k, embargo in ((6, 2, 2), (5, 3, 0), (3, 1, 20)):
+        got = {(x.split, x.row_id) for x in crossval.combinatorial_train(df, crossval.splits(spark, pieces, k), pieces, embargo).collect()}
+        size, extra = divmod(len(rows), pieces)
+        piece = [min(i // (size + 1), extra) if i < extra * (size + 1) else extra + (i - extra * (size + 1)) // size for i in range(len(rows))]
+        span = {p: (min(t for i, t, _ in rows if piece[i] == p), max(t for i, t, _ in rows if piece[i] == p)) for p in range(pieces)}
+        want = {
+            (s, i) for s, tested in enumerate(itertools.combinations(range(pieces), k)) for i, t, t1 in rows
+            if all(piece[i] != p and (t1 < span[p][0] or t > span[p][1] + day * embargo) for p in tested)
+        }
+        assert got == want
+    assert crossval.combinatorial_train(df.limit(0), crossval.splits(spark, 3), 3).count() == 0
+
+
+def test_sliding_statistics_equal_window_by_window():
+    from tickloom.functions import sliding
 
-    src = tmp_path / "in"
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    cuts = [r.t for r in events.selectExpr("percentile_approx(unix_micros(cast(ts AS timestamp)), array(0.3, 0.6)) AS t").collect()][0]
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    for k, part in enumerate((events.where(at <= cuts[0]), events.where((at > cuts[0]) & (at <= cuts[1])), events.where(at > cuts[1]))):
-        part.coalesce(1).write.mode("append").parquet(str(src))
-    ends = _streamed(spark, stream.volume_bar_ends(stream.stream_ticks(spark, str(src), files_a_batch=1), 500), "streamed_ends", tmp_path)
-    want, day, total = set(), {}, {}
-    for r in S.event_ticks(spark, sf).orderBy("ts", "seq").collect():
-        if day.get(r.symbol) != r.ts.date():
-            day[r.symbol], total[r.symbol] = r.ts.date(), 0
-        before = total[r.symbol]
-        total[r.symbol] += r.vol
-        if before // 500 != total[r.symbol] // 500:
-            want.add((r.symbol, r.ts, total[r.symbol] // 500, total[r.symbol]))
-    assert {tuple(r) for r in ends} == want
-
-    beats = event_backtest.heartbeats(S.event_ticks(spark, sf), "6 hours").select("symbol", "start", "price", F.col("volume").cast("double").alias("volume"))
-    beats.repartitionByRange(3, "start").write.parquet(str(tmp_path / "beats"))
-    live = spark.readStream.schema(beats.schema).parquet(str(tmp_path / "beats"))
-
-    def load(text):
-        player = event_backtest.Alternating()
-        player.periods = json.loads(text)
-        return player
-
-    fills = _streamed(spark, stream.portfolio_fills(live, event_backtest.Alternating, lambda p: json.dumps(p.periods), load), "streamed_fills", tmp_path)
-    assert {tuple(r) for r in fills} == {tuple(r) for r in event_backtest.simulate(beats, event_backtest.Alternating).collect()}
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(5, 2, 700), 1)
+    got = sliding.order_statistics(x, 50)
+    for i in (0, 3, 300, 650):
+        w = x[i : i + 50]
+        above, values, counts = w > w.mean(), *np.unique(w, return_counts=True)
+        runs = max(len(s) for s in "".join("x" if a else " " for a in above).split(" "))
+        again = counts > 1
+        assert got[i, 0] == above.sum() and got[i, 2] == w.argmax() / 50 and got[i, 4] == runs
+        assert got[i, 6:10] == pytest.approx([counts[again].sum() / 50, again.sum() / len(values), (values * counts)[again].sum(), values[again].sum()])
+        assert got[i, 11] == pytest.approx(sliding._entropy(w, 0.2 * w.std(), 2), nan_ok=True)
+    y = rng.integers(0, 4, 700).astype(float)
+    x[10], y[40] = np.nan, np.nan
+    rho = sliding.spearman(x, y, 20)
+    for i in (0, 5, 30, 100, 600):
+        a, b = pd.Series(x[i : i + 20]), pd.Series(y[i : i + 20])
+        good = a.notna() & b.notna()
+        assert rho[i] == pytest.approx(np.corrcoef(a[good].rank(), b[good].rank())[0, 1], nan_ok=True)
+    assert np.isnan(sliding.spearman(np.ones(9), np.arange(9.0), 5)).all() and not len(sliding.spearman(x[:3], y[:3], 5))
+
+
+def test_nearest_session_however_far(spark):
+    days = lambda *ds: spark.createDataFrame([(d,) for d in ds], "day string").select(F.col("day").cast("date"))
+    sessions = days("2024-01-05", "2024-01-09", "2024-03-01").withColumnRenamed("day", "date")
+    got = S.nearest_sessions(days("2023-01-01", "2024-01-05", "2024-01-07", "2024-01-08", "2024-02-15", "2030-01-01", "2024-01-07"), sessions).collect()
+    assert {str(r.day): str(r.session) for r in got} == {
+        "2023-01-01": "2024-01-05", "2024-01-05": "2024-01-05", "2024-01-07": "2024-01-05", "2024-01-08": "2024-01-09", "2024-02-15": "2024-03-01", "2030-01-01": "2024-03-01"}
+    assert S.nearest_sessions(days("2024-01-05"), sessions.limit(0)).first().session is None

@@ -114,27 +114,3 @@ def rank_of_last(x: Column, n: int) -> Column:
     last = F.element_at(values, -1)
     rank = F.size(F.filter(values, lambda v: v < last)) + (F.size(F.filter(values, lambda v: v == last)) + 1) / 2.0
     return F.when(F.size(values) >= n, rank)
-
-
-def rank_correlation(x: Column, y: Column, n: int, back: int = 1, least: int = 3) -> Column:
-    """Spearman correlation of complete pairs over ``n`` rows, by array functions."""
-    w = rows(n, back)
-    pairs = F.filter(F.collect_list(F.struct(x.alias("x"), y.alias("y"))).over(w), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-
-    def ranks(name: str) -> Column:
-        """Average ranks by one sort: the mean of a value's first and last place."""
-        values = F.transform(pairs, lambda p: p[name])
-        ordered = F.array_sort(values)
-        back = F.reverse(ordered)
-        place = lambda both: F.transform(values, lambda v: (F.array_position(both["up"], v) + F.size(both["up"]) + 1 - F.array_position(both["down"], v)) / 2.0)
-        return F.get(F.transform(F.array(F.struct(ordered.alias("up"), back.alias("down"))), place), F.lit(0))
-
-    m = F.size(pairs)
-    centre = (m + 1) / 2.0
-    a, b = ranks("x"), ranks("y")
-    add = lambda s, v: s + v
-    cross = F.aggregate(F.zip_with(a, b, lambda u, v: (u - centre) * (v - centre)), F.lit(0.0), add)
-    ssa = F.aggregate(F.transform(a, lambda u: (u - centre) * (u - centre)), F.lit(0.0), add)
-    ssb = F.aggregate(F.transform(b, lambda u: (u - centre) * (u - centre)), F.lit(0.0), add)
-    # One row before the frame must exist: the frame is full only then.
-    return F.when((F.count(F.lit(1)).over(w) >= n) & (m >= least), ratio(cross, F.sqrt(ssa * ssb)))

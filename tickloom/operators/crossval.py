@@ -41,8 +41,9 @@ def piece_of(row_id: Column, n_rows: int, pieces: int) -> Column:
     return F.when(row_id < cut, F.floor(row_id / (size + 1))).otherwise(extra + F.floor((row_id - cut) / max(size, 1))).cast("int")
 
 
-def with_pieces(rows: DataFrame, pieces: int) -> DataFrame:
-    return rows.withColumn("piece", piece_of(F.col("row_id"), rows.count(), pieces))
+def with_pieces(rows: DataFrame, pieces: int, n_rows: int | None = None) -> DataFrame:
+    """``rows`` with their piece; ``n_rows``, if known, saves a count."""
+    return rows.withColumn("piece", piece_of(F.col("row_id"), rows.count() if n_rows is None else n_rows, pieces))
 
 
 def purged_folds(rows: DataFrame, folds: int, embargo: float = 0.0) -> DataFrame:
@@ -78,18 +79,75 @@ def splits(spark, pieces: int, k: int = 2) -> DataFrame:
     return each.withColumn("path", (F.row_number().over(Window.partitionBy("piece").orderBy("split")) - 1).cast("int"))
 
 
+#: A table is cut into so many runs of row ids when ranges are joined with it.
+CHUNKS = 128
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame, n_rows: int) -> DataFrame:
+    """Rows and ranges ``[lo, hi)`` of row ids that hold them, by an equality of chunks."""
+    size = -(-max(n_rows, 1) // CHUNKS)
+    chunk = lambda c: F.floor(c / size)
+    cut = ranges.withColumn("_chunk", F.explode(F.sequence(chunk(F.col("lo")), chunk(F.col("hi") - 1))))
+    return rows.withColumn("_chunk", chunk(F.col("row_id"))).join(cut, "_chunk").where((F.col("row_id") >= F.col("lo")) & (F.col("row_id") < F.col("hi"))).drop("_chunk", "lo", "hi")
+
+
+def _gaps(taken: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """What ``taken`` leaves of ``[0, n)``."""
+    out, at = [], 0
+    for lo, hi in sorted(taken):
+        if lo > at:
+            out.append((at, lo))
+        at = max(at, hi)
+    return [*out, (at, n)] if at < n else out
+
+
+def train_ranges(rows: DataFrame, table: DataFrame, pieces: int, embargo_days: int = 5, n_rows: int | None = None) -> tuple[list[tuple[int, int, int]], list[tuple]]:
+    """``(clean, zones)`` of a design, from one row of figures per piece.
+
+    A tested piece's zone ``[lo, hi)`` goes from the first row whose label reaches
+    the piece to the last before its embargo ends: running extremes of the labels'
+    ends and of time.  Zones are ``(piece, lo, hi, start, end)``; ``clean`` has
+    ``(split, lo, hi)``, the row ids outside all zones of a split, which are
+    trained on whatever their labels.
+    """
+    own = with_pieces(rows, pieces, n_rows)
+    kind = dict(rows.dtypes)["time"]
+    spans = own.groupBy("piece").agg(F.min("time").alias("s"), F.max("time").alias("e"), F.min("row_id").alias("first"), F.max("row_id").alias("last")).orderBy("piece").collect()
+    if not spans:
+        return [], []
+    n = max(x.last for x in spans) + 1
+    at = lambda t: F.lit(t).cast(kind)
+    reach = [F.min(F.when(~F.coalesce(F.col("t1") < at(x.s), F.lit(False)), F.col("row_id"))).alias(f"a{x.piece}") for x in spans]
+    clear = [F.min(F.when(F.col("time") > at(x.e) + F.expr(f"INTERVAL {embargo_days} DAYS"), F.col("row_id"))).alias(f"b{x.piece}") for x in spans]
+    met = rows.agg(*reach, *clear).first()
+    least = lambda x, y: x if y is None else min(x, y)
+    zones = [(x.piece, least(x.first, met[f"a{x.piece}"]), max(x.last + 1, n if met[f"b{x.piece}"] is None else met[f"b{x.piece}"]), x.s, x.e) for x in spans]
+    of_piece = {z[0]: z[1:3] for z in zones}
+    tested: dict[int, list[tuple[int, int]]] = {}
+    for row in table.select("split", "piece").collect():  # the design
+        tested.setdefault(row.split, []).append(of_piece.get(row.piece, (0, 0)))
+    return [(k, lo, hi) for k, taken in tested.items() for lo, hi in _gaps(taken, n)], zones
+
+
 def combinatorial_train(rows: DataFrame, table: DataFrame, pieces: int, embargo_days: int = 5) -> DataFrame:
     """``split, row_id`` of the training rows of each split.
 
     A row stays if, for every tested piece ``[s, e]``, its label ends before
-    ``s`` or it starts after ``e`` plus the embargo.
+    ``s`` or it starts after ``e`` plus the embargo.  Rows outside the zones of a
+    split (:func:`train_ranges`) are ranges of row ids; only those inside a zone
+    are looked at one by one.
     """
-    own = with_pieces(rows, pieces)
-    spans = own.groupBy("piece").agg(F.min("time").alias("s"), F.max("time").alias("e"))
-    tests = table.select("split", "piece").join(spans, "piece").groupBy("split").agg(F.collect_list(F.struct("piece", "s", "e")).alias("tests"))
-    outside = lambda t: (F.col("piece") != t["piece"]) & ((F.col("t1") < t["s"]) | (F.col("time") > t["e"] + F.expr(f"INTERVAL {embargo_days} DAYS")))
-    # One row per split with its few tested pieces: its size is set by the design.
-    return own.crossJoin(F.broadcast(tests)).where(F.forall("tests", outside)).select("split", "row_id")
+    spark, n = rows.sparkSession, rows.count()
+    clean, zones = train_ranges(rows, table, pieces, embargo_days, n)
+    kind = dict(rows.dtypes)["time"]
+    whole = in_ranges(rows.select("row_id"), spark.createDataFrame(clean, "split int, lo long, hi long"), n).select("split", "row_id")
+    spans = spark.createDataFrame([z[:3] for z in zones], "piece int, lo long, hi long")
+    ends = spark.createDataFrame([(z[0], z[3], z[4]) for z in zones], f"piece int, s {kind}, e {kind}")
+    tests = table.select("split", "piece").join(ends, "piece").groupBy("split").agg(F.collect_list(F.struct("piece", "s", "e")).alias("tests"))
+    near = in_ranges(with_pieces(rows, pieces, n).withColumnRenamed("piece", "own").select("row_id", "own", "time", "t1"), spans, n).where("own <> piece")
+    outside = lambda t: (F.col("own") != t["piece"]) & ((F.col("t1") < t["s"]) | (F.col("time") > t["e"] + F.expr(f"INTERVAL {embargo_days} DAYS")))
+    passed = near.join(table.select("split", "piece"), "piece").select("split", "row_id", "own", "time", "t1").distinct().join(tests, "split").where(F.forall("tests", outside)).select("split", "row_id")
+    return whole.union(passed)
 
 
 def combinatorial_test(rows: DataFrame, table: DataFrame, pieces: int) -> DataFrame:

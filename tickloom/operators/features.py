@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import rolling as R
 from tickloom.functions.exprs import clip, ratio, sign_up
 from tickloom.functions.fold import fold
+from tickloom.functions.sliding import order_statistics, rank_correlations, sample_entropies
 
 RECURSIVE = "ema double, kama double, rsi double, atr double, countdown_ind double"
 
@@ -131,7 +132,10 @@ def technical(bars: DataFrame, span: int = 15) -> DataFrame:
 def alphas(bars: DataFrame, window: int = 20) -> DataFrame:
     """8 formula alphas.  Ranks and means over whole series look ahead, by definition."""
     O, H, L, C, V = _prices()  # noqa: E741
-    move = bars.withColumns({"_v2": F.log(V.cast("double")) - R.lag(F.log(V.cast("double")), 2), "_co": ratio(C - O, O), "_row": F.row_number().over(R.by_bar()), "_pct": ratio(C, R.lag(C)) - 1})
+    move = bars.withColumns({"_o": O.cast("double"), "_v": V.cast("double"), "_v2": F.log(V.cast("double")) - R.lag(F.log(V.cast("double")), 2), "_co": ratio(C - O, O), "_row": F.row_number().over(R.by_bar()), "_pct": ratio(C, R.lag(C)) - 1})
+    # The change of log volume spans two rows, so its pairs are those of the window's last rows.
+    columns = ["symbol", "bar", "open_price", "high_price", "low_price", "close_price", "bar_cum_volume", "_o", "_v", "_v2", "_co", "_row", "_pct"]
+    move = rank_correlations(move.select(*columns), [("_v2", "_co", "_alpha2", window - 2), ("_o", "_v", "_alpha3", window)], ["symbol"], ["bar"])
     dc = R.change(C)
     ranked = move.withColumns({"_ro": R.all_rank(O), "_rv": R.all_rank(V.cast("double")), "_d3": F.col("_pct") - R.lag("_pct", 3), "_oh": O - R.change(H), "_oc": O - dc, "_ol": O - R.change(L)})
     rising = F.min(F.col("_dc")).over(R.whole()) > 0
@@ -141,8 +145,8 @@ def alphas(bars: DataFrame, window: int = 20) -> DataFrame:
     ranked = ranked.withColumns({"_dc": dc, "_h2": H - two_back})
     return ranked.select(
         "symbol", "bar",
-        (-alpha2_correlation(window)).alias("alpha2"),
-        (-R.rank_correlation(O, V.cast("double"), window)).alias("alpha3"),
+        F.when(F.col("_row") > window, -F.col("_alpha2")).alias("alpha2"),
+        (-F.col("_alpha3")).alias("alpha3"),
         (-R.rank_of_last(L, 9)).alias("alpha5"),
         F.when(rising | falling, F.col("_dc")).otherwise(-F.col("_dc")).alias("alpha9"),
         (F.signum(R.change(V).cast("double")) * -F.col("_dc")).alias("alpha12"),
@@ -152,16 +156,6 @@ def alphas(bars: DataFrame, window: int = 20) -> DataFrame:
     )
 
 
-def alpha2_correlation(window: int) -> Column:
-    """Spearman correlation of the two-row change of log volume and the body.
-
-    The first two rows of a window have no change inside it, so pairs come from
-    the ``window - 2`` rows before the current one.
-    """
-    enough = F.count(F.lit(1)).over(R.rows(window, 1)) >= window
-    return F.when(enough, R.rank_correlation(F.col("_v2"), F.col("_co"), window - 2))
-
-
 def micro(bars: DataFrame) -> DataFrame:
     """Spread and price-impact estimates."""
     O, H, L, C, V = _prices()  # noqa: E741
@@ -215,49 +209,9 @@ def series_sums(bars: DataFrame, window: int = 200, least: int = 20) -> DataFram
     )
 
 
-def _order_stats(x: np.ndarray) -> tuple[float, ...]:
-    n = len(x)
-    mean = x.mean()
-    above, below = x > mean, x < mean
-
-    def longest(flags: np.ndarray) -> float:
-        edges = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
-        return float((edges[1::2] - edges[::2]).max()) if len(edges) else 0.0
-
-    values, counts = np.unique(x, return_counts=True)
-    again = counts > 1
-    size = np.abs(x)
-    size = np.where(size > 0, size, np.nan)
-    # The first of eleven digits, as rounded there.
-    exponent = np.floor(np.log10(size))
-    lead = np.round(size / 10.0**exponent, 10)
-    digits = np.nan_to_num(np.floor(np.where(lead >= 10, lead / 10, np.where(lead < 1, lead * 10, lead)))).astype(int)
-    share = np.bincount(digits, minlength=10)[1:10] / n
-    law = np.log10(1 + 1 / np.arange(1, 10))
-    benford = float(np.corrcoef(law, share)[0, 1]) if share.std() else math.nan
-    return (
-        float(above.sum()), float(below.sum()), x.argmax() / n, x.argmin() / n, longest(above), longest(below), float(counts[again].sum()) / n, float(again.sum()) / len(values),
-        float((values * counts)[again].sum()), float(values[again].sum()), benford, sample_entropy(x),
-    )
-
-
 def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
     """-log(A / B) of template matches within ``r`` deviations, without self-matches."""
-    n, tol = len(x), r * x.std()
-    if n <= m + 1 or not tol:
-        return math.nan
-
-    # near[i, j]: values i and j; templates of k values match where k steps of a diagonal do.
-    near = np.abs(x[:, None] - x[None, :]) <= tol
-    matches = []
-    for k in range(1, m + 2):
-        if k > 1:
-            near = near[:-1, :-1] & first[k - 1 :, k - 1 :]
-        else:
-            first = near
-        matches.append(int(near.sum()) - len(near))
-    b, a = matches[m - 1], matches[m]
-    return -math.log(a / b) if a and b else math.nan
+    return float(sample_entropies(np.asarray(x, float), len(x), m, r)[0]) if len(x) > m + 1 else math.nan
 
 
 ORDER_STATS = (
@@ -269,17 +223,20 @@ ORDER_STATS = (
 def series_orders(bars: DataFrame, window: int = 200, least: int = 20) -> DataFrame:
     """Rolling statistics of the close that need order or repeats, in a streamed kernel."""
 
-    def step(state: list, rows: pd.DataFrame):
-        got = []
-        for x in rows["close_price"].to_numpy(float).tolist():
-            state.append(x)
-            if len(state) > window:
-                state.pop(0)
-            got.append(_order_stats(np.array(state)) if len(state) >= least else (math.nan,) * len(ORDER_STATS))
-        out = rows[["symbol", "bar"]].assign(**{n: pd.array(v, "Float64") for n, v in zip(ORDER_STATS, np.array(got, float).T, strict=True)})
-        return state, out
-
-    found = fold(bars.select("symbol", "bar", "close_price"), ["symbol"], ["bar"], list, step, "symbol string, bar long, " + ", ".join(f"{n} double" for n in ORDER_STATS))
+    def step(state: np.ndarray, rows: pd.DataFrame):
+        x = np.r_[state, rows["close_price"].to_numpy(float)]
+        new = len(rows)
+        got = np.full((new, len(ORDER_STATS)), np.nan)
+        # The first windows of a series grow; all others are full.
+        for i in range(max(len(state), least - 1), min(len(x), window - 1)):
+            got[i - len(state)] = order_statistics(x[: i + 1], i + 1)[0]
+        if len(x) >= window:
+            whole = order_statistics(x[max(0, len(state) - window + 1) :], window)
+            got[new - len(whole) :] = whole
+        out = rows[["symbol", "bar"]].assign(**{n: pd.array(v, "Float64") for n, v in zip(ORDER_STATS, got.T, strict=True)})
+        return x[-(window - 1) :], out
+
+    found = fold(bars.select("symbol", "bar", "close_price"), ["symbol"], ["bar"], lambda: np.zeros(0), step, "symbol string, bar long, " + ", ".join(f"{n} double" for n in ORDER_STATS))
     return found.withColumns({n: _none(F.col(n)) for n in ORDER_STATS})
 
 

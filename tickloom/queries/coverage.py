@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import rolling as R
 from tickloom.functions.exprs import chosen, mapped, normal_cdf, normal_quantile, ratio, softmax
 from tickloom.functions.register import register
+from tickloom.functions.sliding import rank_correlations
 from tickloom.operators import crossval, event_backtest, learning, volatility
 from tickloom.queries.barset import deep
 from tickloom.queries.featureset import _NB, _full, _rows
@@ -37,20 +38,21 @@ def w5(spark, sf_dir):
 @query("w6_rolling_spearman", f"""WITH {_NB}, p AS (SELECT i.symbol, i.bar, rank() OVER (PARTITION BY i.symbol, i.bar ORDER BY j.c) + (count(*) OVER (PARTITION BY i.symbol, i.bar, j.c) - 1) / 2.0 AS x, rank() OVER (PARTITION BY i.symbol, i.bar ORDER BY j.v) + (count(*) OVER (PARTITION BY i.symbol, i.bar, j.v) - 1) / 2.0 AS y
  FROM b i JOIN b j ON j.symbol = i.symbol AND j.bar BETWEEN i.bar - 15 AND i.bar - 1 WHERE i.bar > 15), c AS (SELECT symbol, bar, corr(x, y) AS rho FROM p GROUP BY symbol, bar) SELECT b.symbol, b.bar, round(rho + 1.3e-9, 6) + 0.0 AS rho FROM b LEFT JOIN c USING (symbol, bar)""")
 def w6(spark, sf_dir):
-    return rounded(numbered_bars(spark, sf_dir).select("symbol", "bar", R.rank_correlation(F.col("close_price"), F.col("bar_cum_volume").cast("double"), 15).alias("rho")), nudge=True)
+    own = numbered_bars(spark, sf_dir).select("symbol", "bar", "close_price", F.col("bar_cum_volume").cast("double").alias("volume"))
+    return rounded(rank_correlations(own, [("close_price", "volume", "rho", 15)], ["symbol"], ["bar"]).select("symbol", "bar", "rho"), nudge=True)
 
 
 @query("w8_weighted_deviation", f"WITH {BARS}, n AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date, bar_id) AS bar, vwap AS ret FROM bars) SELECT symbol, bar, round(std + 1.3e-7, 4) + 0.0 AS std FROM {ewm_sql('n', 'symbol', 'bar')}")
 def w8(spark, sf_dir):
     own = numbered_bars(spark, sf_dir).select("symbol", "bar", "vwap")
-    spread = volatility.ewm_std_fold(own, "vwap", "std", 100, ["symbol"], ["bar"], "symbol string, bar int, vwap double, std double")
+    spread = volatility.ewm_std_fold(own, "vwap", "std", 100, ["symbol"], ["bar"], block=F.floor(F.col("bar") / 4096))
     return rounded(spread.select("symbol", "bar", "std"), 4, nudge=True)
 
 
 @query("w8_weighted_mean", f"WITH {BARS}, n AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date, bar_id) AS bar, vwap FROM bars), m AS (SELECT i.symbol, i.bar, sum(j.vwap * power(19 / 21.0, i.bar - j.bar)) / sum(power(19 / 21.0, i.bar - j.bar)) AS mean FROM n i JOIN n j ON j.symbol = i.symbol AND j.bar <= i.bar GROUP BY i.symbol, i.bar) SELECT symbol, bar, round(mean + 1.3e-9, 6) AS mean FROM m")
 def w8_mean(spark, sf_dir):
     own = numbered_bars(spark, sf_dir).select("symbol", "bar", "vwap")
-    return rounded(volatility.ewm_mean_fold(own, "vwap", "mean", 20, ["symbol"], ["bar"], "symbol string, bar int, vwap double, mean double").select("symbol", "bar", "mean"), nudge=True)
+    return rounded(volatility.ewm_mean_fold(own, "vwap", "mean", 20, ["symbol"], ["bar"], block=F.floor(F.col("bar") / 4096)).select("symbol", "bar", "mean"), nudge=True)
 
 
 @query("f0_more_functions", "WITH e AS (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_id, round(value / 200 + 1.3e-9, 6) AS p, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS code, CASE WHEN k % 9 > 8 THEN 0.0 ELSE CAST(factorial(8) / (factorial(k % 9) * factorial(8 - k % 9)) AS DOUBLE) END AS ways, round(exp(value / 100) / (exp(value / 100) + exp(0.5)) + 1.3e-9, 6) AS share FROM e")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -80,13 +80,21 @@ def calendar(spark: SparkSession, first: str, last: str, holidays: Sequence[str]
     return days.where(~F.col("date").isin([F.lit(h).cast("date") for h in holidays])) if holidays else days
 
 
-def nearest_sessions(wanted: DataFrame, sessions: DataFrame, within: int = 10) -> DataFrame:
-    """For each ``day`` the session nearest in time, the earlier on a tie.
+def nearest_sessions(wanted: DataFrame, sessions: DataFrame) -> DataFrame:
+    """For each ``day`` the session nearest in time, however far, the earlier on a tie.
 
-    Candidates are the days within ``within`` days, joined by equality.
+    The last session up to the day and the first from it on are carried over the
+    distinct days of both tables: a calendar, so one ordered pass will do.  Null
+    where there is no session at all; null days are left out.
     """
-    near = wanted.select("day", F.explode(F.sequence(F.date_sub("day", within), F.date_add("day", within))).alias("date")).join(sessions, "date")
-    return near.groupBy("day").agg(F.min_by("date", F.struct(F.abs(F.datediff("date", "day")), "date")).alias("session"))
+    days = wanted.select(F.col("day").alias("at"), F.lit(True).alias("asked"), F.lit(None).cast("date").alias("session"))
+    both = days.union(sessions.select("date", F.lit(False), "date")).where("at IS NOT NULL").groupBy("at").agg(F.max("asked").alias("asked"), F.max("session").alias("session"))
+    w = Window.orderBy("at")
+    before = F.last("session", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("session", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = both.withColumns({"_before": before, "_after": after}).where("asked")
+    later = F.col("_before").isNull() | (F.datediff("_after", "at") < F.datediff("at", "_before"))
+    return near.select(F.col("at").alias("day"), F.when(later, F.col("_after")).otherwise(F.col("_before")).alias("session"))
 
 
 def parameters(spark: SparkSession, path: str, defaults: Sequence[float] = (1e-4, 1e-4, 15.0)) -> DataFrame:
