@@ -5,7 +5,8 @@ the host of an address, the words of a name, else the whole value), and each
 atom gets a surrogate by a keyed permutation of its form: digits stay digits,
 letters stay letters of their alphabet, vowels stay vowels in names, and so do
 the lengths, country codes, card and account check digits, name endings and
-separators.  So a surrogate is the same wherever its entity occurs
+separators; a value without any character that may change is replaced by letters
+of a keyed hash.  So a surrogate is the same wherever its entity occurs
 (coreference, also of parts: Mr. Smith keeps the family name of Mr. John Smith),
 nobody without the key can tell what it stood for, and no two entities share
 one: permutations have no collisions, whatever the number of entities.
@@ -14,8 +15,7 @@ A surrogate that is itself an entity of the corpus is drawn again, from another
 permutation, until it is neither an entity nor taken.  Where the corpus has
 over a quarter of all values of a form (say 20 one-letter names), the form's
 values are permuted as they are, so that a surrogate may be the value of
-another entity.  A value never stands for itself, unless it has no character
-that may change.
+another entity.  A value never stands for itself.
 
 Only DataFrame expressions are used.
 """
@@ -32,25 +32,31 @@ from tickloom.llm.scratch import doc_key, put
 
 #: The session's setting for the secret key.
 KEY_SETTING = "spark.tickloom.pii.key"
-_MEN = "Mr|Mister|Herr|Herrn|Monsieur|Señor|Don|Sir|Господин|г-н"
-_WOMEN = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Doña|Госпожа|г-жа"
+_MEN = "Mr|MR|Mister|MISTER|Herr|HERR|Herrn|Monsieur|MONSIEUR|Señor|SEÑOR|Don|Sir|SIR|Господин|г-н"
+_WOMEN = "Mrs|MRS|Ms|MS|Miss|MISS|Madam|MADAM|Frau|FRAU|Madame|MADAME|Mme|Mademoiselle|Señora|SEÑORA|Señorita|Doña|Госпожа|г-жа"
+#: Titles that tell no gender; they may also follow those that do.
+_LEARNED = "Dr|DR|Prof|PROF|Professor|PROFESSOR|Professeur|Doctor|DOCTOR|Docteur|Доктор|Профессор"
 _WORD = r"[\p{Lu}\p{Lo}][\p{L}\p{M}'’-]*+"
 #: Kinds in the order in which they are tried at one place; fixed patterns.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}.-]+\.\p{L}[\p{L}\p{M}]+",
     "secret": r"(?:\b(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})\b|\bAKIA[0-9A-Z]{16}\b|\b(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,})",
     "ip": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b(?!\.\d)",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){3,7}:)(?![\w:])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"\b(?:\d[ -]?){12,15}\d\b",
-    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])\d{3,4}(?:[ .-]?\d{2,4}){1,3}\b|\+[1-9]\d{7,14}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b|(?<![\d.])\d{3}\.\d{3}\.\d{4}\b(?!\.\d))",
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "man": rf"\b(?:{_MEN})\.? {_WORD}(?: {_WORD}){{0,2}}",
-    "woman": rf"\b(?:{_WOMEN})\.? {_WORD}(?: {_WORD}){{0,2}}",
+    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])\d{3,4}(?:[ .-]?\d{2,4}){1,3}\b|\+[1-9]\d{7,14}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b|(?<![\d.])\d{3}\.\d{3}\.\d{4}\b(?!\.\d)|(?<![\w.,/-])0\d{2,4}(?: ?/ ?|[ -])\d{3,8}(?:[ -]\d{2,4})?\b(?![.,/-]?\d))",
+    "ssn": r"\b\d{3}(?:-\d{2}-|(?<![\d.,] \d{3}) \d{2} )\d{4}\b(?! ?\d)",
+    "man": rf"\b(?:{_MEN})\.? (?:(?:{_LEARNED})\.? )*{_WORD}(?: {_WORD}){{0,2}}",
+    "woman": rf"\b(?:{_WOMEN})\.? (?:(?:{_LEARNED})\.? )*{_WORD}(?: {_WORD}){{0,2}}",
+    "person": rf"\b(?:{_LEARNED})\.? (?:(?:{_LEARNED})\.? )*{_WORD}(?: {_WORD}){{0,2}}",
 }
+#: Found by a pattern, and yet no entity: digits like a card's whose check digit is wrong.
+NONE = "none"
 ANY = "|".join(PATTERNS.values())
 #: Every entity has a digit, an at-sign, a title or the start of a secret: texts without are not searched further.
-HINT = rf"[0-9@]|\b(?:{_MEN}|{_WOMEN})\b|AKIA|\b(?:sk|pk|ghp|gho|xox[abp])[-_]|\b(?:[a-f]{{32}}|[A-F]{{32}})"
-_TITLE = rf"^(?:{_MEN}|{_WOMEN})\.? "
+HINT = rf"[0-9@]|::|\b(?:{_MEN}|{_WOMEN}|{_LEARNED})\b|AKIA|\b(?:sk|pk|ghp|gho|xox[abp])[-_]|\b(?:[a-f]{{32}}|[A-F]{{32}})"
+_TITLE = rf"^(?:(?:{_MEN}|{_WOMEN}|{_LEARNED})\.? )+"
 #: Given names that stand for one another; all others keep their last letter, which often tells the gender.
 NAMES = {
     ("man", "latin"): "James John Peter Martin Thomas Daniel Oscar Victor Hugo Simon Leon Adam Felix Paul Louis Marco Nils".split(),
@@ -66,22 +72,24 @@ _ENDING = "(?:ова|ева|ёва|ина|ына|ская|цкая|ов|ев|ё
 
 DIGITS, HEX, LOWER, UPPER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Vowels and consonants, with and without marks.
-_LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœąęěőůű", "çñßþćčďłńňřśšťźżž", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ")
-#: Further scripts, as ranges of code points: Greek, Armenian, Hebrew, Arabic, Devanagari, Thai, Georgian, kana, Chinese, Korean.
-_RANGES = ((0x3B1, 0x3C9), (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x915, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+_LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœąęěőůűāăēĕėĩīĭįıōŏũūŭųŷ", "çñßþćčďłńňřśšťźżžðĉċđĝğġģĥħĵķĺļŋŕŗŝşţŧŵ", "аеёиоуыэюяіїєў", "бвгджзйклмнпрстфхцчшщґђљњћџ", "கஙசஜஞடணதநனபமயரறலளழவஷஸஹ")
+#: Further scripts, as ranges of code points: Greek, Armenian, Hebrew, Arabic, Devanagari, Bengali, Gurmukhi, Gujarati,
+#: Telugu, Kannada, Malayalam, Thai, Burmese, Georgian, Ethiopic, Khmer, kana, Chinese, Korean.
+_RANGES = ((0x3B1, 0x3C9), (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x915, 0x939), (0x995, 0x9A8), (0xA15, 0xA28), (0xA95, 0xAA8), (0xC15, 0xC28), (0xC95, 0xCA8), (0xD15, 0xD28), (0xE01, 0xE2E), (0x1000, 0x1020), (0x10D0, 0x10F0), (0x1208, 0x1246), (0x1780, 0x17A2), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 #: For kinds of atoms the alphabets whose letters may change; the last are for values of signs alone.
 _ALPHABETS = {
     ("card", "phone", "ssn"): (DIGITS,),
     ("iban",): (DIGITS, UPPER),
-    ("hex",): (HEX,),
+    ("hex", "ip6"): (HEX,),
     ("token",): (DIGITS, LOWER, UPPER),
-    ("local", "host"): (DIGITS, LOWER),
-    ("given-man", "given-woman", "surname"): (*_LETTERS, *_RANGES),
+    ("local", "host"): (DIGITS, LOWER, *_LETTERS[2:], *_RANGES),
+    ("given", "surname"): (*_LETTERS, *_RANGES),
     ("signs-token",): ("-_",),
     ("signs-local",): (".-_%+",),
     ("signs-host",): (".-",),
 }
 _EACH = [*dict.fromkeys(a for some in _ALPHABETS.values() for a in some)]
+PEOPLE = ("man", "woman", "person")
 #: Atoms whose surrogates may be real: mailboxes (their hosts are not) and names from the lists.
 UNCHECKED = ("local", "listed-man", "listed-woman")
 
@@ -95,10 +103,12 @@ def secret_key(spark: SparkSession, key: str | None = None) -> str:
 
 
 def kind_of(found: Column) -> Column:
-    """The first kind that matches."""
-    out = F.lit("woman")
-    for kind in reversed([k for k in PATTERNS if k != "woman"]):
-        out = F.when(found.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
+    """The first kind that matches; a card must also have the right check digit."""
+    is_a = lambda kind: found.rlike(f"^(?:{PATTERNS[kind]})$")
+    out = F.when(is_a("card"), NONE).otherwise("person")
+    for kind in reversed([k for k in PATTERNS if k != "person"]):
+        met = is_a(kind) & (_luhn(F.regexp_replace(found, r"\D", "")) % 10 == 0) if kind == "card" else is_a(kind)
+        out = F.when(met, kind).otherwise(out)
     return out
 
 
@@ -109,8 +119,8 @@ def canonical(kind: Column, found: Column) -> Column:
         F.when(kind.isin("card", "ssn"), digits)
         .when(kind == "phone", F.concat(F.when(found.startswith("+"), "+").otherwise(""), digits))
         .when(kind == "iban", F.replace(found, F.lit(" "), F.lit("")))
-        .when(kind.isin("man", "woman"), F.lower(F.regexp_replace(found, _TITLE, "")))
-        .when(kind == "email", F.lower(found))
+        .when(kind.isin(*PEOPLE), F.lower(F.regexp_replace(found, _TITLE, "")))
+        .when(kind.isin("email", "ip6"), F.lower(found))
         .when((kind == "secret") & found.rlike("^[0-9A-Fa-f]+$"), F.lower(found))
         .otherwise(found)
     )
@@ -144,9 +154,14 @@ def atoms(kind: Column, value: Column) -> Column:
     part = lambda k, v: F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), v.alias("value"))
     words = F.split(value, " ")
 
-    def named(gender: str) -> Column:
-        listed = [n.lower() for (g, _), names in NAMES.items() if g == gender for n in names]
-        given = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: part(F.when(w.isin(listed), f"listed-{gender}").otherwise(f"given-{gender}"), w))
+    def named(*genders: str) -> Column:
+        def kind_of_given(w: Column) -> Column:
+            out = F.lit("given")
+            for gender in genders:
+                out = F.when(w.isin([n.lower() for (g, _), names in NAMES.items() if g == gender for n in names]), f"listed-{gender}").otherwise(out)
+            return out
+
+        given = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: part(kind_of_given(w), w))
         return F.concat(given, F.array(part("surname", F.element_at(words, -1))))
 
     return (
@@ -154,6 +169,7 @@ def atoms(kind: Column, value: Column) -> Column:
         .when(kind == "secret", F.array(part(F.when(value.rlike("^[0-9a-f]+$"), "hex").otherwise("token"), value)))
         .when(kind == "man", named("man"))
         .when(kind == "woman", named("woman"))
+        .when(kind == "person", named("man", "woman"))
         .otherwise(F.array(part(kind, value)))
     )
 
@@ -257,7 +273,7 @@ def _forms(values: DataFrame) -> DataFrame:
         F.when(kind == "card", F.substr(value, length))
         .when(kind == "local", F.concat(F.lit("@"), F.substring_index(value, "@", -1)))
         .when(kind == "host", F.concat(F.lit("."), F.substring_index(value, ".", -1)))
-        .when(kind.isin("given-man", "given-woman") & (length > 2), F.substr(value, length))
+        .when((kind == "given") & (length > 2), F.substr(value, length))
         .when((kind == "surname") & (length > 5), F.regexp_extract(value, _ENDING, 0))
         .otherwise("")
     )
@@ -289,12 +305,15 @@ def surrogates(values: DataFrame, key: str, draw: int = 0) -> DataFrame:
     remainder = lambda b: _mod97(F.concat(b, head, F.lit("00")))
     right = F.pmod(given - 2 + remainder(body) - remainder(made), F.lit(97)) + 2
     number = F.lpad(F.when(given.between(2, 98), right).otherwise(given).cast("string"), 2, "0")
+    # Where no character may change, the value goes: twelve letters of a keyed hash stand for it.
+    hidden = F.translate(F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(draw)), kind, value), 256), F.lit(1), F.lit(12)), DIGITS, "ghijklmnop")
     whole = (
         F.when(kind == "card", F.concat(head, made, last.cast("string")))
         .when(kind == "iban", F.concat(head, number, made))
         .when(kind == "local", made)
         .when(kind == "listed-man", _listed("man", value, key))
         .when(kind == "listed-woman", _listed("woman", value, key))
+        .when(F.col("room") == 0, hidden)
         .otherwise(F.concat(head, made, tail))
     )
     return own.select("kind", "value", whole.alias("made"), "form", "room")
@@ -336,7 +355,7 @@ def dictionary(found: DataFrame, key: str | None = None) -> DataFrame:
     parts = values.select("kind", "value", F.posexplode(atoms(F.col("kind"), F.col("value"))).alias("at", "atom"))
     spark = found.sparkSession
     # Listed names count as values of the given names, so that no other becomes one of them.
-    listed = spark.createDataFrame([(f"given-{g}", n.lower()) for (g, _), names in NAMES.items() for n in names], "kind string, value string")
+    listed = spark.createDataFrame([("given", n.lower()) for names in NAMES.values() for n in names], "kind string, value string")
     each = parts.select("atom.kind", "atom.value").union(listed.join(parts.select("atom.kind").distinct(), "kind", "left_semi")).distinct()
     made = put(surrogates(each, key), "surrogates")
     own = settled(made, key).select(F.struct("kind", "value").alias("atom"), "made")
@@ -365,7 +384,8 @@ def dress(kind: Column, raw: Column, made: Column) -> Column:
     return (
         F.when(kind.isin("card", "phone", "ssn"), spread)
         .when(kind == "iban", spaced)
-        .when(kind.isin("man", "woman"), named)
+        .when(kind.isin(*PEOPLE), named)
+        .when(kind == "ip6", hexed)
         .when(kind == "email", _cased(raw, made))
         .when((kind == "secret") & raw.rlike("^[0-9A-Fa-f]+$"), hexed)
         .otherwise(made)
@@ -378,8 +398,11 @@ def replacements(texts: DataFrame, key: str | None = None) -> DataFrame:
     """
     each = texts.select("id", "row", F.posexplode("found").alias("at", "e")).select("id", "row", "at", "e.kind", "e.raw").distinct()
     each = each.withColumn("value", canonical(F.col("kind"), F.col("raw")))
-    named = each.join(dictionary(each, key), ["kind", "value"])
-    person = F.col("kind").isin("man", "woman")
+    real = each.where(F.col("kind") != NONE)
+    # Stored, so that the join has an exchange of its own on both sides and a hot entity can be split.
+    known = put(dictionary(real, key), "dictionary")
+    named = real.join(known, ["kind", "value"]).unionByName(each.where(F.col("kind") == NONE).withColumn("surrogate", F.col("raw")))
+    person = F.col("kind").isin(*PEOPLE)
     entry = F.struct(
         "at", "kind", F.when(person, F.regexp_extract("raw", _TITLE, 0)).otherwise("").alias("title"),
         F.when(person & F.col("value").contains(" "), bare(F.col("raw"))).alias("name"),
@@ -407,7 +430,7 @@ def anonymise(docs: DataFrame, key: str | None = None, text: str = "text", doc_i
     bared = F.when(F.size("names") > 0, F.transform("gaps", lambda g: F.aggregate("names", g, lambda s, n: F.regexp_replace(s, pattern(n), n["made"])))).otherwise(F.col("gaps"))
     made = made.withColumn("names", names).withColumn("gaps", bared)
     cleaned = made.select(
-        "id", "row", F.col("made.kind").alias("kinds"),
+        "id", "row", F.filter(F.col("made.kind"), lambda k: k != NONE).alias("kinds"),
         F.concat(F.get("gaps", F.lit(0)), F.array_join(F.transform("made", lambda e, i: F.concat(e["title"], e["made"], F.get("gaps", i + 1))), "")).alias("clean"),
     )
     none = F.array().cast("array<string>")
