@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("fail_bits").bitwiseAND(base) != 0).alias("base_failed"), "kept", "fail_bits", "kept_without")
 
 
+def op3_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = rules.ledger(_table(spark, sf_dir, "documents"))
+    each = [rules.ablations(led, policy) for policy in rules.POLICIES.values()]
+    return functools.reduce(DataFrame.union, each)
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents")).drop("node")
 
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
+    "op3_rule_ablations": op3_rule_ablations,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
@@ -189,6 +197,19 @@ FROM d LEFT JOIN k USING (doc_id)
 }
 
 
+def _ablation_sql() -> str:
+    """The policies' rules as values, over the failure bits of op3."""
+    bits = ORACLE_SQL["op3_quality_rules"].rsplit("SELECT doc_id, n_words", 1)[0]
+    used = ", ".join(f"('{p.version}', {p.mask}, '{r.name}', {1 << r.bit})" for p in rules.POLICIES.values() for r in rules.RULES if r.bit in p.bits)
+    return f"""{bits}
+SELECT policy, (SELECT count(*) FROM b) AS n_docs, (SELECT count(*) FROM b WHERE fail_bits & mask = 0) AS n_kept, rule,
+       (SELECT count(*) FROM b WHERE fail_bits & bit <> 0) AS n_failed, (SELECT count(*) FROM b WHERE fail_bits & mask = bit) AS n_only_this
+FROM (VALUES {used}) AS v(policy, mask, rule, bit)"""
+
+
+ORACLE_SQL["op3_rule_ablations"] = _ablation_sql()
+
+
 def _lloyd_sql(rounds: int, dims: int, k: int) -> str:
     """The rounds of Lloyd's method, one after the other."""
     best = """SELECT n, v, arg_min(c, (list_sum(list_transform(list_zip(v, u), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), c)) AS c,

@@ -145,7 +145,8 @@ def ablations(led: DataFrame, policy: Policy = PRODUCTION, rules: tuple[Rule, ..
     """``policy, n_docs, n_kept, rule, n_failed, n_only_this`` for each rule of ``policy``:
     documents that fail it, and those that would be kept without it, i.e. whose
     failure bits under the policy are its alone.  Rules that fail nowhere, or an
-    empty ledger, have zeros.
+    empty ledger, have zeros.  Documents without failure bits (null) count as
+    documents only: no rule is known to fail, and they are not kept.
     """
     used = [r for r in rules if r.bit in policy.bits]
     own = under(policy)
@@ -157,7 +158,7 @@ def ablations(led: DataFrame, policy: Policy = PRODUCTION, rules: tuple[Rule, ..
 
 def compare(led: DataFrame, policies: Mapping[str, Policy] = POLICIES) -> DataFrame:
     """``policy, n_docs, n_kept`` of several policies in one pass over the ledger's
-    bit patterns; zeros for an empty ledger."""
+    bit patterns; zeros for an empty ledger.  Null failure bits count as documents, not as kept."""
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n_docs")).otherwise(0)), F.lit(0)).cast("long")
     each = [F.struct(F.lit(p.version).alias("policy"), total(F.lit(True)).alias("n_docs"), total(under(p) == 0).alias("n_kept")) for p in policies.values()]
     return patterns(led).agg(F.array(*each).alias("each")).select(F.explode("each").alias("x")).select("x.*")
