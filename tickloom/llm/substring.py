@@ -155,7 +155,8 @@ def repeated(docs: DataFrame, k: int = 50, text: str = "text", doc_id: str = "do
     """
     texts = docs.select(doc_key(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     seen = put(texts.mapInArrow(_profile(k), "id long, k1 long, k2 long, n_words long, sha string, mins array<long>"), "profiles")
-    classes = seen.groupBy("k1", "k2", "n_words").agg(F.min("id").alias("first"))
+    # Stored, so that the join has an exchange of its own on both sides and the copies of one text can be split.
+    classes = put(seen.groupBy("k1", "k2", "n_words").agg(F.min("id").alias("first")), "classes")
     profiles = seen.drop("mins").join(classes, ["k1", "k2", "n_words"])
 
     heads = seen.where(F.col("n_words") >= k).groupBy("k1", "k2", "n_words").agg(F.min("id").alias("id"), F.first("mins").alias("mins"))
