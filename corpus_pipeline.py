@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import exactdup, mixing, neardup, packing, quality
 from tickloom.llm.queries import tokenizer_path
-from tickloom.llm.scratch import put
+from tickloom.llm.scratch import drop, put
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +78,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = put(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop(before)  # what the stage read
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
