@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,15 @@ def test_sadf_matches_least_squares(spark):
             b = x @ d / (x @ x)
             best = max(best, b / math.sqrt(((d - b * x) ** 2).sum() / (len(x) - 1) / (x @ x)))
         assert got[end] == pytest.approx(best)
+
+
+def test_one_long_series_is_many_tiles(spark):
+    """Tiles of any size give what one tile gives, and a series is several groups."""
+    rng = np.random.default_rng(3)
+    prices = [("a", i, float(np.exp(x))) for i, x in enumerate(np.cumsum(rng.normal(0, 0.02, 300)))] + [("b", i, 2.0 + i % 5) for i in range(9)] + [(None, i, 1.0 + i) for i in range(30)]
+    df = spark.createDataFrame(prices, "symbol string, i long, p double").repartition(3)
+    read = lambda **k: sorted(((r.symbol is None, r.symbol, r.i, None if r.sadf is None else round(r.sadf, 9)) for r in sampling.sadf(df, "p", ["symbol"], ["i"], **k).collect()), key=str)
+    for k in ({}, {"lags": 1, "trend": "c"}, {"longest": 40}):
+        one = read(**k)
+        assert len(one) == len(prices) and one == read(tile=32, **k) == read(tile=7, **k)
+        assert sum(x[3] is not None for x in one) > 250

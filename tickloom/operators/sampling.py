@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -74,75 +76,107 @@ def lag_choice(df: DataFrame, value: str, keys: list[str], order: list[str], mos
     return df.select(*keys).distinct().join(chosen, keys, "left").select(*keys, F.coalesce("lags", F.lit(0)).alias("lags"))
 
 
-def sadf(df: DataFrame, value: str, keys: list[str], order: list[str], least: int = 6, lags: int | None = 0, trend: str = "nc", longest: int | None = None) -> DataFrame:
+#: Regression rows of one side of a tile.
+TILE = 1024
+
+
+def _best_ratios(end: np.ndarray, starts: np.ndarray, rows: np.ndarray, k: int) -> float:
+    """The largest t-ratio of the first of ``k`` regressors over the rows from each start to the end.
+
+    ``end`` and ``starts`` are prefix sums of the products of the regressors and
+    what they explain; ``rows`` counts the rows between.
+    """
+    cross = (end - starts).reshape(-1, k + 1, k + 1)
+    xx, xy, yy = cross[:, :k, :k], cross[:, :k, k], cross[:, k, k]
+    with np.errstate(all="ignore"):
+        if k == 1:
+            inverse = 1 / xx
+        else:
+            scale = np.sqrt(np.maximum(np.einsum("sii->si", xx), 1e-300))
+            unit = xx / scale[:, :, None] / scale[:, None, :]
+            good = np.abs(np.linalg.det(unit)) > 1e-13
+            unit[~good] = np.eye(k)
+            inverse = np.linalg.inv(unit) / scale[:, :, None] / scale[:, None, :]
+            inverse[~good] = np.nan
+        beta = np.einsum("sij,sj->si", inverse, xy)
+        rss = np.maximum(yy - np.einsum("si,si->s", beta, xy), 0)
+        ratios = beta[:, 0] / np.sqrt(rss / (rows - k) * inverse[:, 0, 0])
+    ratios = ratios[np.isfinite(ratios)]
+    return float(ratios.max()) if len(ratios) else np.nan
+
+
+def sadf(df: DataFrame, value: str, keys: list[str], order: list[str], least: int = 6, lags: int | None = 0, trend: str = "nc", longest: int | None = None, tile: int = TILE) -> DataFrame:
     """``df`` with ``sadf``: the supremum over starts of the Dickey-Fuller t-ratio
     of log ``value`` from the start to the row.
 
     ``lags`` changes before are regressors, by :func:`lag_choice` for None;
     ``trend`` adds a constant (c), a line (ct) and a square (ctt).  A regression
-    needs ``least`` points and more rows than regressors; null before.  Every
-    regression comes from prefix sums of products.  ``longest`` bounds the rows
-    of a regression and with them the state of a series, which is its prefix
-    sums otherwise.
+    needs ``least`` points and more rows than regressors; null before.  ``longest``
+    bounds the rows of a regression, and with them the work, which else grows
+    with the square of a series.
+
+    One pass over a series makes prefix sums of products, from which every
+    regression comes.  Starts and ends are dealt out as tiles of ``tile`` by
+    ``tile`` rows, so that one long series is many tasks, none of which holds more
+    than two runs of prefix sums; their results are joined by the maximum.
     """
     extra = TRENDS[trend]
     if lags is None:
         df = df.join(lag_choice(df, value, keys, order).withColumnRenamed("lags", "_lags"), keys)
+    else:
+        df = df.withColumn("_lags", F.lit(lags))
+
+    def summed(state, rows: pd.DataFrame):
+        n_lags = int(rows["_lags"].iloc[0])
+        k = 1 + n_lags + extra
+        y, last, seen, done = state if state is not None else (np.zeros(0), np.zeros((k + 1) ** 2), 0, 0)
+        both = np.r_[y, np.log(rows[value].to_numpy(dtype=float, na_value=np.nan))]
+        # A row is one of the regression if there are n_lags + 1 changes up to it.
+        moves, first = np.diff(both), max(len(y), n_lags + 2 - (seen - len(y)) - 1)
+        at = np.arange(first, len(both))
+        t = (seen - len(y) + at).astype(float)
+        v = np.stack([both[at - 1], *(moves[at - 1 - j] for j in range(1, n_lags + 1)), *(t**p for p in range(extra)), moves[at - 1]], 1) if len(at) else np.zeros((0, k + 1))
+        sums = last + np.cumsum((v[:, :, None] * v[:, None, :]).reshape(len(at), -1), axis=0)
+        number = np.full(len(rows), -1, np.int64)
+        number[len(rows) - len(at) :] = done + 1 + np.arange(len(at))
+        filled = [None] * (len(rows) - len(at)) + list(sums)
+        kept = (both[-(n_lags + 1) :], sums[-1] if len(at) else last, seen + len(rows), done + len(at))
+        return kept, rows.assign(_i=pd.array(np.where(number < 0, None, number), "Int64"), _sums=pd.Series(filled, index=rows.index, dtype=object))
+
+    based = fold(df, keys, order, lambda: None, summed, _typed(df, "_i long, _sums array<double>"))
+    # Rows 1, 2, ... of the regression; row i is an end, and a start for those after it.
+    part = based.where("_i IS NOT NULL").select(*keys, "_lags", "_i", "_sums").withColumn("_b", F.floor(F.col("_i") / tile))
+    most = based.groupBy(*keys).agg(F.max(F.floor(F.col("_i") / tile)).alias("_last"))
+    renamed = lambda d: d.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], *[c for c in d.columns if c.startswith("_")])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)])
+    part = part.join(renamed(most), same).drop(*[f"_k{j}" for j in range(len(keys))])
+    reach = F.lit(None).cast("long") if longest is None else F.lit(longest // tile + 1)
+    low, high = F.greatest(F.lit(0), F.col("_b") - F.coalesce(reach, F.col("_b"))), F.least(F.col("_last"), F.col("_b") + F.coalesce(reach, F.col("_last")))
+    as_end = part.select(*keys, "_lags", "_i", "_sums", F.explode(F.sequence(low, F.col("_b"))).alias("_from"), F.col("_b").alias("_to"), F.lit(True).alias("_end"))
+    as_start = part.select(*keys, "_lags", "_i", "_sums", F.col("_b").alias("_from"), F.explode(F.sequence(F.col("_b"), high)).alias("_to"), F.lit(False).alias("_end"))
+    kinds = dict(df.dtypes)
 
-    def step(state, rows: pd.DataFrame):
-        n_lags = int(rows["_lags"].iloc[0]) if lags is None else lags
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        n_lags = int(pdf["_lags"].iloc[0])
         k = 1 + n_lags + extra
-        y, sums, seen = state if state is not None else (np.zeros(0), np.zeros((1, k + 1, k + 1)), 0)
-        fresh = np.log(rows[value].to_numpy(dtype=float, na_value=np.nan))
-        both = np.r_[y, fresh]
-        # Row i of the series has a regression row if it has n_lags + 1 changes before and with it.
-        offset = len(y)
-        new = []
-        for i in range(offset, len(both)):
-            if seen + i - offset < n_lags + 1:
-                continue
-            moves = np.diff(both[i - n_lags - 1 : i + 1])
-            t = float(seen + i - offset)
-            v = np.r_[both[i - 1], moves[:-1][::-1], [t**p for p in range(extra)], moves[-1]]
-            new.append(np.outer(v, v))
-        have = len(sums)
-        if new:
-            sums = np.concatenate([sums, sums[-1] + np.cumsum(new, axis=0)])
-        got = np.full(len(fresh), np.nan)
+        ends, begun = pdf[pdf["_end"]], pdf[~pdf["_end"]].sort_values("_i")
+        starts = begun["_i"].to_numpy()
+        sums = np.stack(begun["_sums"].to_numpy()) if len(begun) else np.zeros((0, (k + 1) ** 2))
+        if pdf["_from"].iloc[0] == 0:  # before the first row
+            starts, sums = np.r_[0, starts], np.concatenate([np.zeros((1, (k + 1) ** 2)), sums])
         # Points of a regression over m rows: m + n_lags + 1.
         fewest = max(least - n_lags - 1, k + 1)
-        for j in range(len(new)):
-            end = have + j
-            row = len(fresh) - len(new) + j
-            low = max(0, end - longest) if longest else 0
-            starts = np.arange(low, end - fewest + 1)
-            if not len(starts):
-                continue
-            m = end - starts
-            cross = sums[end] - sums[starts]
-            xx, xy, yy = cross[:, :k, :k], cross[:, :k, k], cross[:, k, k]
-            with np.errstate(all="ignore"):
-                if k == 1:
-                    inverse = 1 / xx
-                else:
-                    scale = np.sqrt(np.maximum(np.einsum("sii->si", xx), 1e-300))
-                    unit = xx / scale[:, :, None] / scale[:, None, :]
-                    good = np.abs(np.linalg.det(unit)) > 1e-13
-                    unit[~good] = np.eye(k)
-                    inverse = np.linalg.inv(unit) / scale[:, :, None] / scale[:, None, :]
-                    inverse[~good] = np.nan
-                beta = np.einsum("sij,sj->si", inverse, xy)
-                rss = np.maximum(yy - np.einsum("si,si->s", beta, xy), 0)
-                ratios = beta[:, 0] / np.sqrt(rss / (m - k) * inverse[:, 0, 0])
-            ratios = ratios[np.isfinite(ratios)]
-            if len(ratios):
-                got[row] = ratios.max()
-        if longest and len(sums) > longest + 1:
-            sums = sums[-(longest + 1) :]
-        return (both[-(n_lags + 1) :], sums, seen + len(fresh)), rows.assign(sadf=pd.array(got, "Float64"))
-
-    out = fold(df, keys, order, lambda: None, step, _typed(df, "sadf double"))
-    return out.drop("_lags")
+        found = []
+        for i, own in zip(ends["_i"], ends["_sums"], strict=True):
+            lo = np.searchsorted(starts, i - longest) if longest else 0
+            hi = np.searchsorted(starts, i - fewest, "right")
+            found.append(_best_ratios(np.asarray(own), sums[lo:hi], i - starts[lo:hi], k) if hi > lo else np.nan)
+        return ends[[c.strip("`") for c in keys] + ["_i"]].assign(_best=pd.array(found, "Float64"))
+
+    schema = ", ".join([*(f"`{c.strip('`')}` {kinds[c.strip('`')]}" for c in keys), "_i long, _best double"])
+    tiles = as_end.union(as_start).groupBy(*keys, "_from", "_to").applyInPandas(best, schema)
+    top = renamed(tiles.groupBy(*keys, "_i").agg(F.max("_best").alias("_sadf"))).withColumnRenamed("_i", "_at")
+    return based.join(top, same & (F.col("_i") == F.col("_at")), "left").select(*[f"`{c}`" for c in df.columns if c != "_lags"], F.col("_sadf").alias("sadf"))
 
 
 def fracdiff_weights(d: float, size: int) -> list[float]:
