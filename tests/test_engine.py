@@ -339,3 +339,28 @@ def test_nearest_session_however_far(spark):
     assert {str(r.day): str(r.session) for r in got} == {
         "2023-01-01": "2024-01-05", "2024-01-05": "2024-01-05", "2024-01-07": "2024-01-05", "2024-01-08": "2024-01-09", "2024-02-15": "2024-03-01", "2030-01-01": "2024-03-01"}
     assert S.nearest_sessions(days("2024-01-05"), sessions.limit(0)).first().session is None
+
+
+def test_traded_basket_by_the_recursion(spark):
+    """The recursion written out, with any block size; a move that turns the capital negative."""
+    import pandas as pd
+
+    rng = np.random.default_rng(12)
+    n, names = 60, ["a", "b", "c"]
+    closes = 50 * np.exp(np.cumsum(rng.normal(0, 0.2, (n, 3)), axis=0))
+    opens = closes * np.exp(rng.normal(0, 0.2, (n, 3)))
+    times = pd.date_range("2024-01-01", periods=n, freq="h")
+    rows = [(t.to_pydatetime(), *map(float, o), *map(float, c)) for t, o, c in zip(times, opens, closes)]
+    df = spark.createDataFrame(rows, "at timestamp, open_a double, open_b double, open_c double, close_a double, close_b double, close_c double").repartition(3)
+    returns, money, held, want = closes[1:] / closes[:-1] - 1, 10_000.0, None, []
+    for t in range(8, n - 1):
+        w = allocation.least_variance(np.cov(returns[: t - 1].T))
+        point = opens[t + 1] / 100
+        if held is not None:
+            money += float(np.sum(held * point * (closes[t] - opens[t])))
+        held = w * money / (opens[t + 1] * point * np.abs(w).sum())
+        want.append((money, float(held @ opens[t]), *held))
+    for block in (7, 1024):
+        got = allocation.traded_basket(df, "at", names, first=8, block=block).orderBy("at").collect()
+        assert np.allclose([(r.capital, r.value, *r.holdings) for r in got], want, rtol=1e-8)
+    assert allocation.traded_basket(df.limit(0), "at", names).count() == 0

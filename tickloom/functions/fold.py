@@ -101,7 +101,8 @@ def resume(df: DataFrame, keys: Sequence[str], order: Sequence[str], kernel: Ker
                 made = made.assign(_state=pd.Series([None] * len(made), index=made.index, dtype=object))
                 if blank is None:
                     # One row with every column, whatever is in it.
-                    blank = made.head(1) if len(made) else made.reindex([0]).assign(**{c: rows[c].iloc[:1].to_numpy() for c in columns})
+                    own = {c: rows[c].iloc[:1].to_numpy() for c in columns}
+                    blank = pd.DataFrame({c: own.get(c, np.array([None], object)) for c in made.columns})
                 if len(made):
                     out.append(made)
             if out:

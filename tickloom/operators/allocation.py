@@ -6,7 +6,7 @@ have as many rows as there are assets, whatever the length of the series.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import ratio
-from tickloom.functions.fold import fold
+from tickloom.functions.fold import Kernel
+from tickloom.functions.scan import Scan, scan
 
 
 def moments(wide: DataFrame, assets: Sequence[str], by: str | None = None) -> DataFrame:
@@ -120,7 +121,56 @@ def weights(wide: DataFrame, assets: Sequence[str], method: str = "hierarchical"
     return made.select(*key, "n", "s", "ss").where(F.col("n") > len(names)).mapInPandas(run, kind + "asset string, weight double")
 
 
-def traded_basket(prices: DataFrame, time: str, assets: Sequence[str], method: str = "least_variance", capital: float = 10_000.0, first: int = 25) -> DataFrame:
+def running_weights(assets: Sequence[str], choose: Callable[[np.ndarray], np.ndarray], first: int) -> Scan:
+    """Weights ``_w`` of each row from the covariance of the returns of all closes before it.
+
+    Rows have ``row_id`` and ``close_<asset>``; from row ``first`` on, and with more
+    returns than assets.  A block's moments merge with those before it and with
+    the return between the two.
+    """
+    columns, k = [f"close_{a}" for a in assets], len(assets)
+
+    def add(state: list, r: np.ndarray) -> list:
+        n, mean, cross = state[0] + 1, np.asarray(state[1]), np.asarray(state[2])
+        move = r - mean
+        mean = mean + move / n
+        return [n, mean, cross + np.outer(move, r - mean), *state[3:]]
+
+    def told(state: list) -> list:
+        return [state[0], np.asarray(state[1]).tolist(), np.asarray(state[2]).tolist(), *state[3:]]
+
+    def step(state: list, rows: pd.DataFrame):
+        out = []
+        for row, c in zip(rows["row_id"].tolist(), rows[columns].to_numpy(float), strict=True):
+            out.append(choose(np.asarray(state[2]) / (state[0] - 1)).tolist() if row >= first and state[0] > k else None)
+            if state[3] is not None:
+                state = add(state, c / np.asarray(state[3]) - 1)
+            state = [*state[:3], c.tolist()]
+        return told(state), rows.assign(_w=pd.Series(out, index=rows.index, dtype=object))
+
+    def sums(state: list, rows: pd.DataFrame):
+        for c in rows[columns].to_numpy(float):
+            if state[3] is not None:
+                state = add(state, c / np.asarray(state[3]) - 1)
+            state = [*state[:3], c.tolist(), c.tolist() if state[4] is None else state[4]]
+        return told(state), rows.iloc[:0].assign(_w=[])
+
+    def after(state: list, summary: list) -> list:
+        n, mean, cross, last, start = summary
+        if last is None:
+            return state
+        if state[3] is not None:
+            state = add(state, np.asarray(start) / np.asarray(state[3]) - 1)
+        both = state[0] + n
+        gap = np.asarray(mean) - np.asarray(state[1])
+        joined = [both, np.asarray(state[1]) + gap * (n / both if both else 0), np.asarray(state[2]) + np.asarray(cross) + np.outer(gap, gap) * (state[0] * n / both if both else 0), last]
+        return told(joined)
+
+    none = [0, [0.0] * k, [[0.0] * k] * k]
+    return Scan(Kernel(lambda: [*none, None], step, "_w array<double>"), Kernel(lambda: [*none, None, None], sums, "_w array<double>"), after)
+
+
+def traded_basket(prices: DataFrame, time: str, assets: Sequence[str], method: str = "least_variance", capital: float = 10_000.0, first: int = 25, block: int = 1024) -> DataFrame:
     """``time, capital, value, holdings`` of a basket ("ETF trick") of ``assets``.
 
     ``prices`` has the columns ``open_<asset>`` and ``close_<asset>`` on common
@@ -131,37 +181,36 @@ def traded_basket(prices: DataFrame, time: str, assets: Sequence[str], method: s
     of the row before, and the value is sum(h o).  The last row has no next open
     and is left out.
 
-    The recursion is one series; it is streamed with running moments as state.
+    Nothing is one task: weights come from a scan by blocks of rows, and as
+    holdings are in proportion to K, K is a product of factors that each row and
+    its neighbours tell, made of sums of logarithms with signs in each block and
+    over one row per block.
     """
-    names, choose, k = list(assets), METHODS[method], len(assets)
-    kind = dict(prices.dtypes)[time]
-
-    def step(state, rows: pd.DataFrame):
-        n, row, mean, cross, last, held, money, waiting = state
-        opens = rows[[f"open_{a}" for a in names]].to_numpy(float)
-        closes = rows[[f"close_{a}" for a in names]].to_numpy(float)
-        out = []
-        for at, o, c in zip(rows[time], opens, closes, strict=True):
-            if waiting is not None:
-                then, o0, c0, w = waiting
-                point = o / 100
-                if held is not None:
-                    money += float(np.sum(held * point * (c0 - o0)))
-                held = w * money / (o * point * np.abs(w).sum())
-                out.append((then, money, float(np.sum(held * o0)), held.tolist()))
-            waiting = (at, o, c, choose(cross / (n - 1))) if row >= first and n > k else None
-            if last is not None:
-                n += 1
-                r = c / last - 1
-                move = r - mean
-                mean = mean + move / n
-                cross = cross + np.outer(move, r - mean)
-            last, row = c, row + 1
-        return (n, row, mean, cross, last, held, money, waiting), pd.DataFrame(out, columns=[time, "capital", "value", "holdings"])
-
-    own = prices.withColumn("_basket", F.lit(0))
-    start = lambda: (0, 0, np.zeros(k), np.zeros((k, k)), None, None, float(capital), None)
-    return fold(own, ["_basket"], [time], start, step, f"`{time}` {kind}, capital double, value double, holdings array<double>")
+    from tickloom.operators.crossval import number_rows
+
+    names = list(assets)
+    own = number_rows(prices.select(time, *[f"{c}_{a}" for c in ("open", "close") for a in names]), time).withColumn("_basket", F.lit(0))
+    at = F.floor(F.col("row_id") / block)
+    weighed = scan(own, ["_basket"], ["row_id"], at, running_weights(names, METHODS[method], first)).drop("_basket")
+    later = weighed.select((F.col("row_id") - 1).alias("row_id"), *[F.col(f"open_{a}").alias(f"_next_{a}") for a in names])
+    before = weighed.select((F.col("row_id") + 1).alias("row_id"), F.col("_w").alias("_held"))
+    rows = weighed.where("_w IS NOT NULL").join(later, "row_id").join(before, "row_id", "left").withColumn("_block", at)
+    size = lambda w: F.aggregate(w, F.lit(0.0), lambda s, x: s + F.abs(x))
+    unit = lambda w, price, i: F.col(w)[i] / (price * price / 100 * size(w))
+    grown = sum((unit("_held", F.col(f"open_{a}"), i) * F.col(f"_next_{a}") / 100 * (F.col(f"close_{a}") - F.col(f"open_{a}")) for i, a in enumerate(names)), F.lit(0.0))
+    rows = rows.withColumn("_f", F.when(F.col("_held").isNull(), 1.0).otherwise(1 + grown))
+    parts = {"_log": F.log(F.nullif(F.abs("_f"), F.lit(0.0))), "_neg": (F.col("_f") < 0).cast("int"), "_zero": (F.col("_f") == 0).cast("int")}
+    rows = rows.withColumns(parts)
+    so_far = Window.partitionBy("_block").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    blocks = rows.groupBy("_block").agg(*[F.sum(c).alias(c) for c in parts]).select("_block", *[total(c, past).alias(f"{c}_past") for c in parts])
+    met = rows.withColumns({f"{c}_sum": total(c, so_far) for c in parts}).join(blocks, "_block")
+    log, neg, zero = ((F.col(f"{c}_sum") + F.col(f"{c}_past")) for c in parts)
+    money = F.when(zero > 0, 0.0).otherwise(capital * F.exp(log) * F.when(neg % 2 == 0, 1.0).otherwise(-1.0))
+    met = met.withColumn("capital", money)
+    held = [F.col("capital") * unit("_w", F.col(f"_next_{a}"), i) for i, a in enumerate(names)]
+    return met.withColumn("holdings", F.array(*held)).select(time, "capital", sum((F.col("holdings")[i] * F.col(f"open_{a}") for i, a in enumerate(names)), F.lit(0.0)).alias("value"), "holdings")
 
 
 def basket(aligned: DataFrame, time: str, assets: Sequence[str], shares: dict[str, float], capital: float = 1.0) -> DataFrame:

@@ -301,17 +301,34 @@ def ds1_lagged(spark, sf_dir):
     return rounded(own.select("symbol", "bar", "sadf"), 4, nudge=True)
 
 
-@query("dp4_traded_basket", f"""WITH RECURSIVE {TICKS}, d AS (SELECT date, symbol, arg_min(price, (ts, seq)) AS o, arg_max(price, (ts, seq)) AS c FROM ticks GROUP BY date, symbol),
-w AS (SELECT date, max(o) FILTER (symbol = 'click') AS o1, max(o) FILTER (symbol = 'view') AS o2, max(c) FILTER (symbol = 'click') AS c1, max(c) FILTER (symbol = 'view') AS c2 FROM d GROUP BY date),
-n AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, c1 / lag(c1) OVER (ORDER BY date) - 1 AS r1, c2 / lag(c2) OVER (ORDER BY date) - 1 AS r2, lead(o1) OVER (ORDER BY date) AS n1, lead(o2) OVER (ORDER BY date) AS n2 FROM w WHERE o1 + o2 + c1 + c2 IS NOT NULL),
-v AS (SELECT *, var_samp(r1) OVER p AS v1, var_samp(r2) OVER p AS v2, covar_samp(r1, r2) OVER p AS v12 FROM n WINDOW p AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-x AS (SELECT *, (v2 - v12) / (v1 + v2 - 2 * v12) AS w1, (v1 - v12) / (v1 + v2 - 2 * v12) AS w2 FROM v WHERE i >= 5 AND n1 IS NOT NULL),
-k AS (SELECT i, CAST(10000 AS DOUBLE) AS k, w1 * 10000 / (n1 * n1 / 100 * (abs(w1) + abs(w2))) AS h1, w2 * 10000 / (n2 * n2 / 100 * (abs(w1) + abs(w2))) AS h2 FROM x WHERE i = 5
- UNION ALL SELECT x.i, k + h1 * n1 / 100 * (c1 - o1) + h2 * n2 / 100 * (c2 - o2), w1 * (k + h1 * n1 / 100 * (c1 - o1) + h2 * n2 / 100 * (c2 - o2)) / (n1 * n1 / 100 * (abs(w1) + abs(w2))), w2 * (k + h1 * n1 / 100 * (c1 - o1) + h2 * n2 / 100 * (c2 - o2)) / (n2 * n2 / 100 * (abs(w1) + abs(w2)))
- FROM k JOIN x ON x.i = k.i + 1),
-t AS (SELECT date, k, h1 * o1 + h2 * o2 AS v FROM k JOIN x USING (i)) SELECT date, round(sign(k) * ln(abs(k) + 1) + 1.3e-9, 6) + 0.0 AS capital, round(sign(v) * ln(abs(v) + 1) + 1.3e-9, 6) + 0.0 AS value FROM t""")
+def _basket_sql(assets: list[str], first: int) -> str:
+    """The recursion over the days of all assets; least-variance weights by elimination, column by column."""
+    k = range(len(assets))
+    each = lambda text, sep=", ": sep.join(text.format(j=j) for j in k)
+    pick = lambda c: ", ".join(f"max({c}) FILTER (symbol = '{a}') AS {c}{j}" for j, a in enumerate(assets))
+    steps = [f"g0 AS (SELECT *, {', '.join(f'covar_samp(r{i}, r{j}) OVER p AS a{i}_{j}' for i in k for j in k)}, {each('1.0::DOUBLE AS b{j}')} FROM n WINDOW p AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"]
+    plain = "date, i, " + ", ".join(f"{c}{j}" for c in ("o", "c", "n") for j in k)
+    for p in k:
+        rows = [f"a{i}_{j}" + (f" - a{i}_{p} * a{p}_{j} / a{p}_{p}" if i != p else "") + f" AS a{i}_{j}" for i in k for j in k]
+        sides = [f"b{i}" + (f" - a{i}_{p} * b{p} / a{p}_{p}" if i != p else "") + f" AS b{i}" for i in k]
+        steps.append(f"g{p + 1} AS (SELECT {plain}, {', '.join(rows + sides)} FROM g{p}{f' WHERE i >= {first}' if p == 0 else ''})")
+    total = " + ".join(f"b{j} / a{j}_{j}" for j in k)
+    steps.append(f"y AS (SELECT {plain}, {', '.join(f'b{j} / a{j}_{j} / ({total}) AS w{j}' for j in k)} FROM g{len(assets)} WHERE n0 IS NOT NULL)")
+    size = " + ".join(f"abs(w{j})" for j in k)
+    steps.append(f"x AS (SELECT *, {', '.join(f'w{j} / (n{j} * n{j} / 100 * ({size})) AS u{j}' for j in k)} FROM y)")
+    steps.append(f"f AS (SELECT i, date, {', '.join(f'u{j}, o{j}' for j in k)}, 1 + coalesce({' + '.join(f'lag(u{j}) OVER (ORDER BY i) * n{j} / 100 * (c{j} - o{j})' for j in k)}, 0) AS f FROM x)")
+    steps.append(f"m AS (SELECT i, date, 10000 * f AS k, {', '.join(f'u{j}, o{j}' for j in k)} FROM f WHERE i = {first} UNION ALL SELECT f.i, f.date, m.k * f.f, {', '.join(f'f.u{j}, f.o{j}' for j in k)} FROM m JOIN f ON f.i = m.i + 1)")
+    return f"""WITH RECURSIVE {TICKS}, d AS (SELECT date, symbol, arg_min(price, (ts, seq)) AS o, arg_max(price, (ts, seq)) AS c FROM ticks GROUP BY date, symbol),
+w AS (SELECT date, {pick('o')}, {pick('c')} FROM d GROUP BY date),
+n AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, {each('c{j} / lag(c{j}) OVER (ORDER BY date) - 1 AS r{j}')}, {each('lead(o{j}) OVER (ORDER BY date) AS n{j}')} FROM w WHERE {each('o{j} + c{j}', ' + ')} IS NOT NULL),
+{", ".join(steps)},
+t AS (SELECT date, k, k * ({each('u{j} * o{j}', ' + ')}) AS v FROM m)
+SELECT date, round(sign(k) * ln(abs(k) + 1) + 1.3e-9, 6) + 0.0 AS capital, round(sign(v) * ln(abs(v) + 1) + 1.3e-9, 6) + 0.0 AS value FROM t"""
+
+
+@query("dp4_traded_basket", _basket_sql(ASSETS, 10))
 def dp4_traded(spark, sf_dir):
-    days = bars.daily(deep(spark, sf_dir)).groupBy("date").pivot("symbol", ["click", "view"]).agg(F.first("first_price").alias("open"), F.first("last_price").alias("close"))
-    wide = days.select("date", *[F.col(f"{a}_{c}").alias(f"{c}_{a}") for a in ("click", "view") for c in ("open", "close")]).na.drop()
-    made = allocation.traded_basket(wide, "date", ["click", "view"], first=5)
+    days = bars.daily(deep(spark, sf_dir)).groupBy("date").pivot("symbol", ASSETS).agg(F.first("first_price").alias("open"), F.first("last_price").alias("close"))
+    wide = days.select("date", *[F.col(f"{a}_{c}").alias(f"{c}_{a}") for a in ASSETS for c in ("open", "close")]).na.drop()
+    made = allocation.traded_basket(wide, "date", ASSETS, first=10)
     return rounded(made.select("date", *[(F.signum(c) * F.log1p(F.abs(c))).alias(c) for c in ("capital", "value")]), nudge=True)  # magnitudes differ
