@@ -191,3 +191,21 @@ def test_one_long_series_is_many_tiles(spark):
         one = read(**k)
         assert len(one) == len(prices) and one == read(tile=32, **k) == read(tile=7, **k)
         assert sum(x[3] is not None for x in one) > 250
+
+
+def test_longest_earlier_matches_by_trying_all():
+    import random
+
+    def longest(m, i, w):
+        return max((next((k for k in range(min(w, len(m) - i)) if m[s + k] != m[i + k]), min(w, len(m) - i)) for s in range(max(0, i - w), i)), default=0)
+
+    r = random.Random(1)
+    for t in range(200):
+        m = "01" * 15 if t == 0 else "0" * 30 if t == 1 else "".join(r.choice("01" if t % 3 else "012") for _ in range(r.randrange(1, 50)))
+        assert imbalance.earlier_matches(m).tolist() == [longest(m, i, len(m)) for i in range(len(m))]
+        w = r.randrange(1, 12)
+        assert imbalance.window_matches(m, w).tolist() == [longest(m, i, w) for i in range(len(m))]
+        n, half = len(m), range(1, len(m) // 2 + 1)
+        if n >= 10:
+            terms = [math.log2(i + 1) / (min(longest(m, i, i), i) + 1) for i in half]
+            assert imbalance.redundancy(m) == pytest.approx(1 - sum(terms) / len(terms) / math.log2(n))

@@ -96,24 +96,93 @@ def imbalance_counts(dealt: DataFrame) -> DataFrame:
     return ends.groupBy("symbol", F.to_date("ts").alias("date")).agg(F.count("*").alias("n_bars"))
 
 
+def earlier_matches(message: str) -> np.ndarray:
+    """For each place the length of the longest match with one that starts earlier (and may run into it).
+
+    A suffix automaton with the first place where each of its states ends.  Going
+    on by one symbol takes the last match without its first symbol, by suffix
+    links, and extends it: linear in the message for a fixed alphabet.
+    """
+    go: list[dict[str, int]] = [{}]
+    link, size, ends = [-1], [0], [-1]
+    last = 0
+    for at, symbol in enumerate(message):
+        new = len(go)
+        go.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        ends.append(at)
+        state = last
+        while state >= 0 and symbol not in go[state]:
+            go[state][symbol] = new
+            state = link[state]
+        if state >= 0:
+            target = go[state][symbol]
+            if size[target] != size[state] + 1:
+                copy = len(go)
+                go.append(dict(go[target]))
+                link.append(link[target])
+                size.append(size[state] + 1)
+                ends.append(ends[target])
+                link[target] = copy
+                while state >= 0 and go[state].get(symbol) == target:
+                    go[state][symbol] = copy
+                    state = link[state]
+                target = copy
+            link[new] = target
+        last = new
+    out = np.zeros(len(message), np.int64)
+    state = length = 0
+    for at in range(len(message)):
+        while at + length < len(message):
+            # The longer match must begin before `at` for the first time.
+            step = go[state].get(message[at + length])
+            if step is None or ends[step] - length >= at:
+                break
+            state, length = step, length + 1
+        out[at] = length
+        if length:
+            length -= 1
+            while size[link[state]] >= length and link[state] >= 0 and state:
+                state = link[state]
+                if size[state] == length:
+                    break
+    return out
+
+
+def window_matches(message: str, window: int) -> np.ndarray:
+    """The same among the ``window`` places before each, no match being longer than the window.
+
+    Runs of equal symbols so many places apart, for every distance up to the window.
+    """
+    symbols = np.frombuffer(message.encode("utf-32-le"), np.uint32)
+    n = len(symbols)
+    out = np.zeros(n, np.int64)
+    for apart in range(1, min(window, n - 1) + 1):
+        equal = symbols[apart:] == symbols[:-apart]
+        # From each place to the next unequal one.
+        stop = np.where(equal, n, np.arange(apart, n))
+        run = np.minimum.accumulate(stop[::-1])[::-1] - np.arange(apart, n)
+        np.maximum(out[apart:], run, out=out[apart:])
+    return np.minimum(out, window)
+
+
 def redundancy(message: str, window: int | None = None) -> float:
     """Lempel-Ziv redundancy by the lengths of the longest earlier matches.
 
-    0 for fewer than ten symbols.
+    Matches of a place are those with all places before it, and no longer than
+    there are of these, or with ``window`` places.  0 for fewer than ten symbols.
     """
     n = len(message)
     if n < 10:
         return 0.0
-    points = range(1, n // 2 + 1) if window is None else range(window, n - window + 1)
-    total, used = 0.0, 0
-    for i in points:
-        w = i if window is None else window
-        longest = 0
-        while longest < w and i + longest < n and message.find(message[i : i + longest + 1], i - w, i + longest) >= 0:
-            longest += 1
-        total += math.log2(w + 1) / (longest + 1)
-        used += 1
-    return 1 - total / used / math.log2(n) if used else 0.0
+    if window is None:
+        at = np.arange(1, n // 2 + 1)
+        longest, size = np.minimum(earlier_matches(message)[at], at), at
+    else:
+        at = np.arange(window, n - window + 1)
+        longest, size = window_matches(message, window)[at], np.full(len(at), window)
+    return float(1 - (np.log2(size + 1) / (longest + 1)).sum() / len(at) / math.log2(n)) if len(at) else 0.0
 
 
 def bar_entropy(dealt: DataFrame, d: float = 0.4, window: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -286,6 +286,63 @@ def search(df: DataFrame, columns: Sequence[str], folds: DataFrame, estimator: E
     return estimator.copy({estimator.getParam(k): v for k, v in best.items()}), scored
 
 
+#: Up to this many times a row is in a bag: the rest has a chance below that of any hash.
+MOST_DRAWS = 13
+
+
+def bag_draws(df: DataFrame, bags: int, seed: int = 0, row_id: str = "row_id") -> DataFrame:
+    """``df`` with ``bag`` and ``draws``: how often each row is in each bag, where it is at all.
+
+    A Poisson number with mean 1, by a hash of bag and row: what drawing with
+    replacement comes to in a large table, without a row of it being moved.
+    """
+    shares = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(MOST_DRAWS)]).tolist()
+    dealt = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
+    u = hash_share(row_id, "bag", seed=seed)
+    return dealt.withColumn("draws", sum((F.when(u >= s, 1).otherwise(0) for s in shares), F.lit(0))).where("draws > 0")
+
+
+def bagging(df: DataFrame, columns: Sequence[str], estimator: Estimator | None = None, bags: int = 10, seed: int = 0, at_once: int = 4) -> list[Model]:
+    """One model per bag, fitted side by side; a row counts ``draws`` times its weight ``w``."""
+    drawn = assembled(bag_draws(df, bags, seed).withColumn("w", F.col("w") * F.col("draws")), columns).persist()
+    try:
+        with ThreadPoolExecutor(at_once) as pool:
+            return list(pool.map(lambda b: (estimator or forest()).fit(drawn.where(F.col("bag") == b)), range(bags)))
+    finally:
+        drawn.unpersist()
+
+
+def voted(models: Sequence[Model], df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the models' mean ``probability`` per class, as an array, and the likeliest class as ``prediction``, the lower on a tie."""
+    out, own = assembled(df, columns), []
+    for i, model in enumerate(models):
+        out = model.transform(out).withColumn(f"_p{i}", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction")
+        own.append(F.col(f"_p{i}"))
+    classes = max(m.numClasses for m in models)
+    mean = F.array(*[sum((F.coalesce(F.get(p, F.lit(c)), F.lit(0.0)) for p in own), F.lit(0.0)) / len(models) for c in range(classes)])
+    out = out.withColumn("probability", mean).drop("features", *[f"_p{i}" for i in range(len(models))])
+    return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
+
+
+def weighted_f1(classes: int = 3) -> Callable[[DataFrame], Column]:
+    """The F1 score of each class, weighted by its share of the (weighted) labels; a class that
+    is neither there nor predicted has none."""
+
+    def score(_: DataFrame) -> Column:
+        total = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0.0))
+        each = []
+        for k in range(classes):
+            there, called = F.col("label") == k, F.col("prediction") == k
+            hit = total(there & called)
+            each.append(total(there) * ratio(2 * hit, total(there) + total(called), 0.0))
+        return ratio(sum(each, F.lit(0.0)), F.sum("w"))
+
+    return score
+
+
+METRICS["f1"] = weighted_f1()
+
+
 def log_uniform(low: float, high: float, n: int, seed: int = 0) -> list[float]:
     """Draws whose logarithms are uniform."""
     return np.exp(np.random.default_rng(seed).uniform(math.log(low), math.log(high), n)).tolist()

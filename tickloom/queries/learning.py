@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tickloom.functions.exprs import ratio
 from tickloom.operators import allocation, bars, crossval, event_backtest, imbalance, learning, sampling
 from tickloom.queries.barset import deep
 from tickloom.queries.labelset import _RETS, bar_returns, numbered_bars
-from tickloom.queries.registry import BARS, TICKS, nudged, plain_times, query, rounded
+from tickloom.queries.registry import BARS, TICKS, nudged, plain_times, query, rounded, table
 
 _FLOW = f"""{TICKS}, m AS (SELECT *, nullif(sign(price - lag(price) OVER w), 0) AS mv FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)),
 fl AS (SELECT *, last_value(mv IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS b FROM m),
@@ -195,6 +197,31 @@ def m17(spark, sf_dir):
     return spark.createDataFrame([(p["maxDepth"], s) for p, s in scored], "max_depth int, score double")
 
 
+_DRAWS = "[" + ", ".join(repr(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(learning.MOST_DRAWS)) + "]"
+
+
+@query("m17_bag_draws", f"""WITH b AS (SELECT event_id AS row_id, bag, CAST('0x' || substr(md5('7|' || event_id || '|' || bag), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM events, range(10) t(bag)),
+d AS (SELECT row_id, CAST(bag AS INTEGER) AS bag, CAST(len(list_filter({_DRAWS}, lambda x: u >= x)) AS INTEGER) AS draws FROM b) SELECT * FROM d WHERE draws > 0""")
+def m17_draws(spark, sf_dir):
+    return learning.bag_draws(table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id")), 10, 7)
+
+
+@query("m17_weighted_f1", f"""WITH {TICKS}, p AS (SELECT symbol, seq % 3 AS label, CASE WHEN price > 120 THEN 2 WHEN price > 60 THEN 1 ELSE 0 END AS prediction, CAST(vol AS DOUBLE) AS w FROM ticks),
+c AS (SELECT symbol, k, sum(w) FILTER (label = k) AS t, coalesce(2 * sum(w) FILTER (label = k AND prediction = k), 0) / (coalesce(sum(w) FILTER (label = k), 0) + coalesce(sum(w) FILTER (prediction = k), 0)) AS f FROM p, range(3) x(k) GROUP BY symbol, k)
+SELECT symbol, round(sum(t * f) / sum(t) + 1.3e-9, 6) + 0.0 AS f1 FROM c GROUP BY symbol""")
+def m17_f1(spark, sf_dir):
+    price = F.col("price")
+    own = deep(spark, sf_dir).select("symbol", (F.col("seq") % 3).alias("label"), F.when(price > 120, 2).when(price > 60, 1).otherwise(0).alias("prediction"), F.col("vol").cast("double").alias("w"))
+    return rounded(own.groupBy("symbol").agg(learning.weighted_f1()(own).alias("f1")), nudge=True)
+
+
+@query("m17_bagged_votes")
+def m17_votes(spark, sf_dir):
+    rows = learning_rows(spark, sf_dir)
+    models = learning.bagging(rows, FEATURES, learning.forest(3, 3), bags=5)
+    return learning.voted(models, rows, FEATURES).select("row_id", "label", "prediction", "probability")
+
+
 @query("m19_oversampled")
 def m19(spark, sf_dir):
     return learning.oversample(learning_rows(spark, sf_dir), FEATURES).select("row_id", "label", *FEATURES)
