@@ -364,3 +364,50 @@ def test_traded_basket_by_the_recursion(spark):
         got = allocation.traded_basket(df, "at", names, first=8, block=block).orderBy("at").collect()
         assert np.allclose([(r.capital, r.value, *r.holdings) for r in got], want, rtol=1e-8)
     assert allocation.traded_basket(df.limit(0), "at", names).count() == 0
+
+
+def test_near_rows_are_nearest_and_new_rows_lie_between(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(1500, 4)) * [1, 10, 0.1, 1]
+    x[100:140] = x[100]  # repeated rows
+    df = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(1500), **{f"f{j}": x[:, j] for j in range(4)}})).repartition(3)
+    names = [f"f{j}" for j in range(4)]
+    got = {r.row_id: r.near for r in learning.near_rows(df, names).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    found = total = 0
+    for i in range(0, 1500, 10):
+        if 100 <= i < 140:
+            continue
+        want = np.argsort(((z - z[i]) ** 2).sum(1))[1:6]
+        found += len(set(want.tolist()) & set(got[i]))
+        total += 5
+    assert found / total >= 0.9 and all(len(n) == 5 and i not in n for i, n in got.items())
+    some = df.withColumn("label", (F.col("row_id") < 300).cast("int")).withColumn("w", F.lit(1.0))
+    made = learning.oversample(some, names).where("row_id NOT BETWEEN 0 AND 1499")
+    assert abs(made.count() - 900) < 60
+    few = x[:300]
+    for r in made.limit(20).collect():
+        # On the line between two of the class.
+        p = np.array([r[c] for c in names])
+        a, b = few[:, None, :], few[None, :, :]
+        t = ((p - a) * (b - a)).sum(2) / np.maximum(((b - a) ** 2).sum(2), 1e-12)
+        assert np.abs(a + np.clip(t, 0, 1)[:, :, None] * (b - a) - p).max(2).min() < 1e-6
+
+
+def test_bags_and_votes(spark, sf):
+    rows = learning_rows(spark, sf)
+    drawn = learning.bag_draws(rows, 20)
+    assert abs(drawn.agg(F.sum("draws")).first()[0] / (20 * rows.count()) - 1) < 0.05
+    models = learning.bagging(rows, FEATURES, learning.forest(2, 2), bags=3)
+    out = learning.voted(models, rows, FEATURES)
+    assert len(models) == 3 and out.count() == rows.count() and {"probability", "prediction", *rows.columns} == set(out.columns)
+    assert out.where("abs(aggregate(probability, 0D, (s, x) -> s + x) - 1) > 1e-9 OR probability[int(prediction)] < array_max(probability)").isEmpty()
+    f1 = out.agg(learning.weighted_f1()(out).alias("s")).first().s
+    pairs = [(int(r.label), int(r.prediction), r.w) for r in out.select("label", "prediction", "w").collect()]
+    each = []
+    for k in range(3):
+        there, called = sum(w for y, _, w in pairs if y == k), sum(w for _, p, w in pairs if p == k)
+        each.append(there * (2 * sum(w for y, p, w in pairs if y == p == k) / (there + called) if there + called else 0))
+    assert f1 == pytest.approx(sum(each) / sum(w for *_, w in pairs))

@@ -348,27 +348,56 @@ def log_uniform(low: float, high: float, n: int, seed: int = 0) -> list[float]:
     return np.exp(np.random.default_rng(seed).uniform(math.log(low), math.log(high), n)).tolist()
 
 
+#: Rows of a cell of near_rows; the most ranges in which cells are numbered, and the cells that a range has at least.
+CELL, RANGES, LEAST_CELLS = 32, 256, 64
+
+
+def near_rows(df: DataFrame, columns: Sequence[str], k: int = 5, projections: int = 8, seed: int = 0, row_id: str = "row_id") -> DataFrame:
+    """``row_id, near``: up to ``k`` near rows of each, the nearest first, by exact distance of standardised columns.
+
+    Candidates are the rows in the same or a neighbouring cell of some random
+    projection; a cell has ``CELL`` rows next to one another in its order, so that
+    no cell is large, whatever repeats.  A true neighbour is missed if it is far in
+    the order of every projection.  Rows with a null column have no near rows.
+    """
+    rng = np.random.default_rng(seed)
+    directions = rng.normal(size=(projections, len(columns)))
+    own = standardise(df.select(row_id, *columns).na.drop(), columns).select(F.col(row_id).alias("_id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
+    along = F.array(*[sum((F.col("_x")[j] * float(d) for j, d in enumerate(direction)), F.lit(0.0)) for direction in directions])
+    each = own.select("_id", "_x", F.posexplode(along).alias("_l", "_z"))
+    # The cuts of each projection: fewer than RANGES numbers.
+    ranges = max(2, min(RANGES, own.count() // (CELL * LEAST_CELLS)))
+    cuts = each.groupBy("_l").agg(F.percentile_approx("_z", [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"))
+    ranged = each.join(F.broadcast(cuts), "_l").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_z")))).drop("_cuts")
+    place = F.row_number().over(Window.partitionBy("_l", "_range").orderBy("_z", "_id")) - 1
+    cells = ranged.withColumn("_cell", F.floor(place / CELL)).drop("_z")
+    there = cells.select("_l", "_range", F.explode(F.array(*[F.col("_cell") + i for i in (-1, 0, 1)])).alias("_cell"), F.col("_id").alias("_other"), F.col("_x").alias("_y"))
+    apart = F.aggregate(F.zip_with("_x", "_y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
+    pairs = cells.join(there, ["_l", "_range", "_cell"]).where("_id <> _other").select("_id", F.struct(apart.alias("d"), F.col("_other").alias("id")).alias("o"))
+    # At most 3 * CELL * projections candidates a row.
+    best = pairs.groupBy("_id").agg(F.slice(F.array_sort(F.collect_set("o")), 1, k).alias("o"))
+    return best.select(F.col("_id").alias(row_id), F.transform("o", lambda o: o["id"]).alias("near"))
+
+
 def oversample(df: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 0, neighbours: int = 5) -> DataFrame:
-    """Minority rows interpolated with near rows of their class until classes are even.
+    """Minority rows interpolated with one of their ``neighbours`` nearest of the class until classes are even.
 
-    Near rows are the next ones in the order of a random projection among some
-    50,000 rows of the class, so that every partner is found by a sorted window
-    of bounded size instead of pair distances.
+    Which of them, and how far towards it, is told by a hash of the row and the
+    copy; a row without near rows (null columns, or alone) is repeated.
     """
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
     if len(counts) < 2:
         return df
     minor, major = min(counts, key=counts.get), max(counts.values())
-    rng = np.random.default_rng(seed)
-    direction = sum((F.col(c) * float(x) for c, x in zip(columns, rng.normal(size=len(columns)), strict=True)), F.lit(0.0))
-    few = df.where(F.col(label) == minor).withColumn("_z", direction)
-    few = few.withColumn("_b", F.pmod(F.xxhash64("row_id"), F.lit(1 + counts[minor] // 50_000)))
-    w = Window.partitionBy("_b").orderBy("_z", "row_id")
-    partner = F.coalesce(F.lead(F.struct(*columns), 1 + seed % neighbours).over(w), F.first(F.struct(*columns)).over(w))
+    few = df.where(F.col(label) == minor)
     share = (major - counts[minor]) / counts[minor]
     times = F.lit(int(share)) + F.when(hash_share("row_id", seed=seed) < share - int(share), 1).otherwise(0)
-    made = few.withColumn("_p", partner).withColumn("_n", times).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    mixed = made.withColumns({c: F.col(c) + hash_share("row_id", "_i", seed=seed + 1) * (F.col(f"_p.{c}") - F.col(c)) for c in columns})
+    made = few.withColumn("_n", times).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    made = made.join(near_rows(few, columns, neighbours, seed=seed), "row_id", "left")
+    chosen = F.get("near", F.floor(hash_share("row_id", "_i", seed=seed + 2) * F.size("near")).cast("int"))
+    other = few.select(F.col("row_id").alias("_near"), *[F.col(c).alias(f"_p_{c}") for c in columns])
+    made = made.withColumn("_near", chosen).join(other, "_near", "left")
+    mixed = made.withColumns({c: F.col(c) + hash_share("row_id", "_i", seed=seed + 1) * (F.coalesce(f"_p_{c}", c) - F.col(c)) for c in columns})
     return df.unionByName(mixed.withColumn("row_id", -F.xxhash64("row_id", "_i")).select(*df.columns))
 
 
