@@ -1,11 +1,17 @@
 """Alignment of two tokenizers over the same texts.
 
-Python only tokenises: each text becomes the ids of both tokenizers and the byte
-offsets where their tokens end.  All that follows is Spark's higher-order
-functions: ``array_intersect`` of the end arrays gives the common ends, and
-``transform``, ``filter``, ``sequence`` and ``slice`` cut the ids into groups and
-links.  Where a common end lies in an end array comes from sorting both together,
-which is linear, as each is sorted.
+Python only tokenises.  At a space between two visible characters both
+tokenizers start a token, so a text falls into segments, and what becomes of a
+segment does not depend on its neighbours.  A block of documents becomes its
+distinct segments, each as the ids of both tokenizers and the byte offsets where
+their tokens end, and for each document the numbers of its segments.
+
+All that follows is Spark's array functions.  ``array_intersect`` of a segment's
+end arrays gives the common ends, whose places in either array cut its ids into
+groups and links with ``transform`` and ``slice``; ``transform`` and ``aggregate``
+over the numbers of its segments then put a document together.  Places in a long
+array come from sorting both together, which is linear, as both are sorted
+already; common words are aligned once a block.
 
 Links are counted over the corpus by id pair.  The most frequent pairs, of which
 there are at most ``HOT`` by the way they are chosen, are broadcast; every other
@@ -15,25 +21,35 @@ key of that join is hot.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tickloom.llm.scratch import put
+from tickloom.llm.words import Numbers
 
 #: Pairs with at least one HOT-th of all links, hence at most so many, are broadcast (24 bytes each).
 HOT = 100_000
-#: Segments that a worker remembers, and bytes of text between two batches of results.
-CACHE_SEGMENTS, STEP_BYTES = 120_000, 2 << 20
-#: A space between two visible characters below U+0250: both tokenizers start a token there, whatever surrounds it.
+#: Bytes of text whose documents share a block (and one more document).
+BLOCK_BYTES = 2 << 20
+#: A space between two visible characters below U+0250.
 _CUT = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
+#: Characters that every version of Unicode sorts into letters, digits, spaces and others alike.
+_STABLE = re.compile("[\\0-ɏ\u2010-\u2027]*")
 _SPACE = "▁"
+#: Tokens of a segment up to which the tokens before a common end are counted.
+FEW = 16
 _loaded: dict[tuple[str, str], "Pair"] = {}
 
 
@@ -48,40 +64,48 @@ class Pair:
         rest = [x for x in range(256) if x not in printable]
         # A byte-level vocabulary writes a printable byte as itself and the n-th other as chr(256 + n).
         byte = {chr(x): x for x in printable} | {chr(256 + n): x for n, x in enumerate(rest)}
-        self.bytes_a = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        self.bytes_a = [b""] * (max(self.a.get_vocab().values()) + 1)
+        for token, i in self.a.get_vocab().items():
+            self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.cache: dict[str, tuple[bytes, bytes, bytes, bytes] | None] = {}
-        # Segments are independent if no piece holds a space after another character; else texts stay whole.
+        # Segments are independent if no token holds a space after another character; else texts stay whole.
         self.cut = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
-
-    def _learn(self, segments: list[str]) -> None:
-        """Tokenise new segments; one whose tokens do not give back its bytes is None."""
-        for s, x, y in zip(segments, self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False), self.b.encode(segments, num_threads=1), strict=True):
-            a, b = x.ids, y
-            own_a, own_b, want = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], b" " + s.encode()
-            good = b"".join(own_a) == want and b"".join(own_b) == want
-            self.cache[s] = tuple(np.array(v, np.int32).tobytes() for v in (a, [len(t) for t in own_a], b, [len(t) for t in own_b])) if good else None
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, ...]:
-        """Ids and ends by A, ids and ends by B; empty arrays where there are no tokens."""
-        none = np.zeros(0, np.int32)
-        if not text:
-            return none, none, none, none
-        segments = _CUT.split(text) if self.cut else [text]
-        missing = set(segments).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_SEGMENTS:
-            self.cache.clear()
-            missing = set(segments)
-        if missing:
-            self._learn(list(missing))
-        found = list(map(self.cache.__getitem__, segments))
-        if len(self.cache) > CACHE_SEGMENTS:  # one text of very many segments
-            self.cache.clear()
-        if None in found:
-            return none, none, none, none
-        a, la, b, lb = (np.frombuffer(b"".join(part), np.int32) for part in zip(*found, strict=True))
-        return a, np.cumsum(la, dtype=np.int32), b, np.cumsum(lb, dtype=np.int32)
+        self.quick = self._ranks(path_a, vocabulary)
+
+    def _ranks(self, path_a: str, vocabulary: dict[str, int]) -> tiktoken.Encoding | None:
+        """The first tokenizer by its merges' ranks, which is quicker; None unless these are its ids in order."""
+        with open(path_a, encoding="utf-8") as f:
+            told = json.load(f)
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in told["model"].get("merges", [])]
+        plain = told.get("normalizer") is None and told.get("pre_tokenizer") == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        ids = [vocabulary.get(m) for m in merged]
+        ranks = {self.bytes_a[i]: i for i in vocabulary.values() if i not in {t["id"] for t in told["added_tokens"]}}
+        if not plain or ids != sorted(set(ids), key=lambda x: (x is None, x)) or len(ranks) != 256 + len(merged) or not ids or ids[0] < 256:
+            return None
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the byte-level one, as published
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def segments(self, text: str) -> list[str]:
+        """A text in segments, each without the space before it."""
+        return _CUT.split(text) if self.cut else [text]
+
+    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """The ids of each segment, after a space, by both tokenizers; and whether both give back its bytes."""
+        by_a: list[list[int]] = [[]] * len(segments)
+        slow = []
+        for i, s in enumerate(segments):
+            if self.quick is not None and _STABLE.fullmatch(s):
+                by_a[i] = self.quick.encode_ordinary(" " + s)
+            else:
+                slow.append(i)
+        for i, x in zip(slow, self.a.encode_batch_fast([" " + segments[i] for i in slow], add_special_tokens=False) if slow else [], strict=True):
+            by_a[i] = x.ids
+        by_b = self.b.encode(segments, num_threads=1) if segments else []
+        one, two = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        good = [b"".join(map(one, x)) == (w := (" " + s).encode()) == b"".join(map(two, y)) for s, x, y in zip(segments, by_a, by_b, strict=True)]
+        return by_a, by_b, np.array(good, bool)
 
 
 def pair(path_a: str, path_b: str) -> Pair:
@@ -91,10 +115,18 @@ def pair(path_a: str, path_b: str) -> Pair:
     return _loaded[path_a, path_b]
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+def _lists(parts: list, kind=np.int32) -> pa.ListArray:
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(parts), kind, int(offsets[-1]))))
+
+
+def _ends(ids: pa.ListArray, size: np.ndarray) -> pa.ListArray:
+    """Where each token of each segment ends."""
+    offsets = ids.offsets.to_numpy()
+    total = np.r_[0, np.cumsum(size[ids.values.to_numpy()])]
+    ends = total[1:] - np.repeat(total[offsets[:-1]], np.diff(offsets))
+    return pa.ListArray.from_arrays(ids.offsets, pa.array(ends.astype(np.int32)))
 
 
 def _text(raw: bytes | None) -> str | None:
@@ -105,27 +137,40 @@ def _text(raw: bytes | None) -> str | None:
         return None
 
 
+def _one(array: pa.Array) -> pa.ListArray:
+    """A column of one row that holds ``array``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
+
+
 def _tokenise(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         both = pair(path_a, path_b)
+        size_a, size_b = (np.array([len(x) for x in own], np.int64) for own in (both.bytes_a, both.bytes_b))
         for batch in batches:
-            raws, first, size, out = batch.column(1), 0, 0, ([], [], [], [])
-            for i in range(len(raws)):
-                raw = raws[i].as_py()
-                for column, values in zip(out, both.encode(_text(raw)), strict=True):
-                    column.append(values)
-                size += len(raw or b"")
-                if size >= STEP_BYTES or i + 1 == len(raws):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), *map(_lists, out)], ["id", "a", "a_ends", "b", "b_ends"])
-                    first, size, out = i + 1, 0, ([], [], [], [])
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + BLOCK_BYTES, "right")))
+                some = batch.slice(first, last - first)
+                known = Numbers()
+                parts = [known.of(both.segments(t)) if (t := _text(x.as_py())) else np.zeros(0, np.int64) for x in some.column(1)]
+                by_a, by_b, good = both.encode(list(known))
+                parts = [p if good[p].all() else p[:0] for p in parts]
+                a, b = _lists(by_a), _lists(by_b)
+                columns = (pa.concat_arrays([some.column(0)]), _lists(parts), a, _ends(a, size_a), b, _ends(b, size_b))
+                yield pa.RecordBatch.from_arrays([_one(c) for c in columns], ["ids", "parts", "a", "a_ends", "b", "b_ends"])
+                first = last
 
     return run
 
 
 def tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``id, a, a_ends, b, b_ends``: ids and end offsets in bytes of ``space + text`` by both tokenizers."""
+    """Blocks of documents: ``ids`` and ``parts`` of each, the latter being numbers of segments; and
+    ``a, a_ends, b, b_ends`` of each distinct segment, with the space before it."""
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
-    return own.mapInArrow(_tokenise(path_a, path_b), "id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
+    lists = ", ".join(f"{c} array<array<int>>" for c in ("parts", "a", "a_ends", "b", "b_ends"))
+    return own.mapInArrow(_tokenise(path_a, path_b), f"ids array<long>, {lists}")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -134,33 +179,51 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _places(common: Column, ends: Column) -> Column:
-    """The index in ``ends`` of each value of ``common``, both ascending.
-
-    Values are tagged and sorted together: a common one comes just before its
-    equal, so its index among all less its index among the common is the place.
-    """
+    """The index (from 1) in ``ends`` of each value of ``common``, both ascending."""
     tag = 1 << 31
     coded = F.concat(F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + F.lit(tag) + i.cast("long")), F.transform(common, lambda e: F.shiftleft(e.cast("long"), 32)))
     at = F.transform(F.sort_array(coded), lambda x, k: F.when(x.bitwiseAND(F.lit(tag)) == 0, k).otherwise(-1))
-    return F.transform(F.filter(at, lambda k: k >= 0), lambda k, n: k - n)
+    # Sorted together, a common end comes just before its equal: its index among all, less its index among the common, is the place.
+    many = F.transform(F.filter(at, lambda k: k >= 0), lambda k, n: k - n + 1)
+    return F.when(F.size(ends) <= FEW, F.transform(common, lambda e: F.size(F.filter(ends, lambda x: x <= e)))).otherwise(many)
 
 
 def _groups(ids: Column, places: Column) -> Column:
     """For each common end the ids of the tokens up to it, comma-joined."""
-    return _let(ids.cast("array<string>"), lambda names: F.transform(places, lambda to, n: _let(
-        F.when(n == 0, F.lit(0)).otherwise(places[n - 1] + 1), lambda since: F.array_join(F.slice(names, since + 1, to - since + 1), ","))))
+
+    def one(to: Column, n: Column) -> Column:
+        before = F.when(n == 0, F.lit(0)).otherwise(places[n - 1])
+        return F.when(to - before == 1, ids[before].cast("string")).otherwise(F.array_join(F.slice(ids, before + 1, to - before).cast("array<string>"), ","))
+
+    return F.transform(places, one)
+
+
+def _segment(s: Column) -> Column:
+    """``groups, link_a, link_b`` of a segment: ``a1,a2|b1;a3|b2`` and the last ids of each group."""
+    pick = lambda ids, places: F.transform(places, lambda p: ids[p - 1])
+
+    def made(at_a: Column, at_b: Column) -> Column:
+        groups = F.zip_with(_groups(s["a"], at_a), _groups(s["b"], at_b), lambda x, y: F.concat(x, F.lit("|"), y))
+        return F.struct(F.array_join(groups, ";").alias("groups"), pick(s["a"], at_a).alias("link_a"), pick(s["b"], at_b).alias("link_b"))
+
+    whole = F.struct(F.concat(s["a"][0].cast("string"), F.lit("|"), s["b"][0].cast("string")).alias("groups"), s["a"].alias("link_a"), s["b"].alias("link_b"))
+    cut = _let(F.array_intersect(s["a_ends"], s["b_ends"]), lambda common: _let(_places(common, s["a_ends"]), lambda x: _let(_places(common, s["b_ends"]), lambda y: made(x, y))))
+    return F.when((F.size(s["a"]) == 1) & (F.size(s["b"]) == 1), whole).otherwise(cut)
 
 
 def aligned(found: DataFrame) -> DataFrame:
-    """``id, n_a, n_b, groups, link_a, link_b`` for each row of :func:`tokens`.
+    """``id, n_a, n_b, groups, link_a, link_b`` of each document in the blocks of :func:`tokens`.
 
-    ``groups`` has for each group ``a1,a2|b1``; ``link_a[i], link_b[i]`` are the ids
-    whose tokens end at the i-th common end.  Rows without tokens have empty arrays.
+    ``groups`` is ``a1,a2|b1;a3|b2,b3``; ``link_a[i], link_b[i]`` are the ids whose
+    tokens end at the i-th common end.  Documents without tokens have an empty
+    text and no links.
     """
-    pick = lambda ids, places: F.transform(places, lambda p: ids[p])
-    made = _let(F.array_intersect("a_ends", "b_ends"), lambda common: _let(_places(common, F.col("a_ends")), lambda at_a: _let(_places(common, F.col("b_ends")), lambda at_b: F.struct(
-        F.zip_with(_groups(F.col("a"), at_a), _groups(F.col("b"), at_b), lambda x, y: F.concat(x, F.lit("|"), y)).alias("groups"), pick(F.col("a"), at_a).alias("link_a"), pick(F.col("b"), at_b).alias("link_b")))))
-    return found.select("id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), made.alias("made")).select("id", "n_a", "n_b", "made.*")
+    cut = found.withColumn("segments", F.transform(F.arrays_zip("a", "a_ends", "b", "b_ends"), _segment))
+    at = lambda p, field: F.transform(p, lambda i: F.col("segments")[i][field])
+    total = lambda p, side: F.aggregate(p, F.lit(0).cast("long"), lambda n, i: n + F.size(F.col(side)[i]))
+    docs = F.transform("parts", lambda p: F.struct(
+        total(p, "a").alias("n_a"), total(p, "b").alias("n_b"), F.array_join(at(p, "groups"), ";").alias("groups"), F.flatten(at(p, "link_a")).alias("link_a"), F.flatten(at(p, "link_b")).alias("link_b")))
+    return cut.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), docs.alias("d"))).alias("x")).select(F.col("x.id").alias("id"), "x.d.*")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -180,8 +243,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id:
     other name are not read.
     """
     slim = aligned(tokens(docs, path_a, path_b, text, doc_id)).select(
-        F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"),
-        F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("").alias("groups_sha256"), "link_a", "link_b")
+        F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", F.size("link_a").cast("long").alias("n_groups"),
+        F.when(F.size("link_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), "link_a", "link_b")
     slim = put(slim, "aligned")
     links = slim.select("row", F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select("row", F.col("l.link_a").alias("a"), F.col("l.link_b").alias("b"))
     counts = put(pair_counts(links), "pairs")
