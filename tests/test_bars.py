@@ -209,3 +209,34 @@ def test_longest_earlier_matches_by_trying_all():
         if n >= 10:
             terms = [math.log2(i + 1) / (min(longest(m, i, i), i) + 1) for i in half]
             assert imbalance.redundancy(m) == pytest.approx(1 - sum(terms) / len(terms) / math.log2(n))
+
+
+def test_first_beyond_against_a_plain_search():
+    from tickloom.operators.crossing import first_beyond
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 64, 333):
+        x = rng.integers(0, 50, n).astype(float)
+        start = rng.integers(0, n + 1, 200)
+        above, below = rng.choice([np.nan, 10, 48, 60], 200), rng.choice([np.nan, 2, -1], 200)
+        got = first_beyond(x, start, above, below)
+        want = [next((i for i in range(s, n) if x[i] > a or x[i] < b), -1) for s, a, b in zip(start, above, below)]
+        assert got.tolist() == want
+
+
+def test_crossings_over_parts_and_days(spark):
+    """Parts of three ticks, ties in time, several days: as by looking at every tick, and no join of spans with all ticks of a day."""
+    from tickloom.operators.crossing import first_crossings
+
+    rng = np.random.default_rng(5)
+    rows = [(str(i % 2), T0 + dt.timedelta(minutes=int(m)), i, float(p), 1) for i, (m, p) in enumerate(zip(rng.integers(0, 4000, 300), rng.integers(0, 100, 300)))]
+    t = spark.createDataFrame(rows, "symbol string, ts timestamp, seq long, price double, vol long")
+    spans = [(i, str(i % 2), T0 + dt.timedelta(minutes=int(a)), T0 + dt.timedelta(minutes=int(a + w)), float(u), float(d)) for i, (a, w, u, d) in enumerate(zip(rng.integers(-50, 4000, 150), rng.integers(0, 2000, 150), rng.integers(60, 101, 150), rng.integers(-1, 20, 150)))]
+    asked = spark.createDataFrame(spans, "id long, symbol string, _after timestamp, _before timestamp, _above double, _below double")
+    for touch in (False, True):
+        got = {r.id: (r.hit and (r.hit.ts, r.hit.seq, r.hit.price), r.side, r.last and r.last.seq) for r in first_crossings(asked, t, ["id"], touch, part=3).collect()}
+        for i, s, a, b, u, d in spans:
+            inside = sorted((x[1], x[2], x[3]) for x in rows if x[0] == s and a < x[1] < b)
+            side = lambda p: 1 if p > u or (touch and p == u) else -1 if p < d or (touch and p == d) else 0  # noqa: E731, B023
+            hit = next((x for x in inside if side(x[2])), None)
+            assert got.get(i, (None, None, None)) == (hit, side(hit[2]) if hit else None, inside[-1][1] if inside else None)

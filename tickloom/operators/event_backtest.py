@@ -3,7 +3,7 @@
 Each symbol's heartbeats pass through a strategy in order; its signals become
 orders, fills and positions in the fold's small state.  Ledgers of cash and
 holdings are running sums over the fills, and pending stop and limit orders find
-their first crossing tick by the same join as the triple barrier.
+their first crossing tick by the same search as the triple barrier.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.exprs import ratio
 from tickloom.functions.fold import fold
 from tickloom.operators.bars import time_bars
+from tickloom.operators.crossing import first_crossings
 
 FILLS = "symbol string, start timestamp, price double, signal string, quantity long"
 
@@ -116,20 +117,19 @@ def summary(curve: DataFrame, periods: int = 252) -> DataFrame:
     return curve.agg((F.max_by("growth", "start") - 1).alias("total_return"), (ratio(F.avg("ret"), F.stddev_pop("ret")) * periods**0.5).alias("sharpe"), F.min("fall").alias("worst_fall"), F.count("*").alias("beats"))
 
 
-def pending_fills(orders: DataFrame, ticks: DataFrame, width: str = "1 hour") -> DataFrame:
+def pending_fills(orders: DataFrame, ticks: DataFrame) -> DataFrame:
     """``order_id, ts, price`` of the first tick that reaches a pending order.
 
     ``orders``: ``order_id, symbol, placed, kind`` (STP or LMT), ``side`` (1 buy,
-    -1 sell), ``target``, ``expires``.  A stop fills beyond its target, a limit
-    at or inside it; orders and ticks meet by symbol and day.
+    -1 sell), ``target``, ``expires``.  A stop fills at or beyond its target, a
+    limit at or inside it, after the order was placed and up to its end.
     """
-    spread = orders.select("*", F.explode(F.sequence(F.to_date("placed"), F.to_date("expires"))).alias("_day"))
-    own = ticks.select("symbol", F.to_date("ts").alias("_day"), "ts", "seq", "price")
-    met = spread.join(own, ["symbol", "_day"]).where((F.col("ts") > F.col("placed")) & (F.col("ts") <= F.col("expires")))
-    rising = (F.col("kind") == "STP") == (F.col("side") == 1)
-    hit = F.when(rising, F.col("price") >= F.col("target")).otherwise(F.col("price") <= F.col("target"))
-    first = met.where(hit).groupBy("order_id").agg(F.min_by(F.struct("ts", "price"), F.struct("ts", "seq")).alias("x"))
-    return first.select("order_id", "x.ts", "x.price")
+    rising = F.coalesce((F.col("kind") == "STP") == (F.col("side") == 1), F.lit(False))
+    spans = orders.select(
+        "order_id", "symbol", F.col("placed").alias("_after"), (F.col("expires") + F.expr("INTERVAL 1 MICROSECOND")).alias("_before"),
+        F.when(rising, F.col("target")).alias("_above"), F.when(~rising, F.col("target")).alias("_below"),
+    )
+    return first_crossings(spans, ticks, ["order_id"], touch=True).where("hit IS NOT NULL").select("order_id", "hit.ts", "hit.price")
 
 
 def latest(beats: DataFrame, n: int) -> DataFrame:
