@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.crossing import first_crossings
 
-def triple_barrier(bars: DataFrame, ticks: DataFrame, slice_minutes: int = 15) -> DataFrame:
+
+def triple_barrier(bars: DataFrame, ticks: DataFrame) -> DataFrame:
     """``symbol, bar, barrierPrice, barrierLabel, barrierTime`` for each bar.
 
     The first tick strictly between the close and the horizon whose price is
@@ -14,36 +16,14 @@ def triple_barrier(bars: DataFrame, ticks: DataFrame, slice_minutes: int = 15) -
     horizon, label 0; without ticks price 0.  ``bars`` has ``symbol, bar,
     close_date, horizon, upper_barrier, lower_barrier``, a ``bar`` being unique
     in its symbol.
-
-    Ticks are summed up in slices of a few minutes (highest, lowest and last
-    price).  A bar reads the slices of its days, by equality on symbol and day,
-    and then the ticks of three slices at most: those its ends lie in and the
-    first between them that leaves the barriers.
     """
-    width = slice_minutes * 60_000_000
-    number = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / width).cast("long")
-    day = lambda c: F.floor(c / (86_400_000_000 // width)).cast("long")
-    own = ticks.select("symbol", "ts", "seq", "price", number("ts").alias("_slice"))
-    slices = own.groupBy("symbol", "_slice").agg(F.max("price").alias("_high"), F.min("price").alias("_low"), F.max(F.struct("ts", "seq", "price")).alias("_end")).withColumn("_day", day(F.col("_slice")))
-    spans = bars.select("symbol", "bar", "close_date", "horizon", "upper_barrier", "lower_barrier", number("close_date").alias("_from"), number("horizon").alias("_to"))
-    inside = spans.select("symbol", "bar", "upper_barrier", "lower_barrier", "_from", "_to", F.explode(F.sequence(day(F.col("_from")), day(F.col("_to")))).alias("_day"))
-    inside = inside.join(slices, ["symbol", "_day"]).where((F.col("_slice") > F.col("_from")) & (F.col("_slice") < F.col("_to")))
-    leaves = (F.col("_high") > F.col("upper_barrier")) | (F.col("_low") < F.col("lower_barrier"))
-    whole = inside.groupBy("symbol", "bar").agg(F.min(F.when(leaves, F.col("_slice"))).alias("_first"), F.max("_end").alias("_end"))
-    wanted = spans.join(whole, ["symbol", "bar"], "left")
-    opened = wanted.withColumn("_slice", F.explode(F.array_distinct(F.array_compact(F.array("_from", "_to", "_first")))))
-    met = opened.join(own, ["symbol", "_slice"]).where((F.col("ts") > F.col("close_date")) & (F.col("ts") < F.col("horizon")))
-    side = F.when(F.col("price") > F.col("upper_barrier"), 1).when(F.col("price") < F.col("lower_barrier"), -1)
-    hits = met.groupBy("symbol", "bar").agg(
-        F.min_by(F.when(side.isNotNull(), F.struct("price", side.alias("label"), "ts")), F.when(side.isNotNull(), F.struct("ts", "seq"))).alias("hit"),
-        F.max(F.struct("ts", "seq", "price")).alias("near"),
-    )
-    last = F.greatest("_end", "near")["price"]
-    return wanted.join(hits, ["symbol", "bar"], "left").select(
+    own = bars.select("symbol", "bar", "horizon", F.col("close_date").alias("_after"), F.col("horizon").alias("_before"), F.col("upper_barrier").alias("_above"), F.col("lower_barrier").alias("_below"))
+    met = own.select("symbol", "bar", "horizon").join(first_crossings(own, ticks, ["symbol", "bar"]), ["symbol", "bar"], "left")
+    return met.select(
         "symbol",
         "bar",
-        F.coalesce("hit.price", last, F.lit(0.0)).alias("barrierPrice"),
-        F.coalesce("hit.label", F.lit(0)).alias("barrierLabel"),
+        F.coalesce("hit.price", "last.price", F.lit(0.0)).alias("barrierPrice"),
+        F.coalesce("side", F.lit(0)).alias("barrierLabel"),
         F.coalesce("hit.ts", "horizon").alias("barrierTime"),
     )
 
