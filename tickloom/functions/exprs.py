@@ -15,6 +15,19 @@ def ratio(a: Column, b: Column, default: float | None = None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(default))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """``a / b`` as floating point has it: infinite or NaN where ``b`` is 0; null where either is null."""
+    a, b = a.cast("double"), b.cast("double")
+    by_zero = F.when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))
+    return F.when((b == 0) & a.isNotNull(), by_zero).otherwise(F.try_divide(a, b))
+
+
+def logarithm(x: Column) -> Column:
+    """The natural logarithm as floating point has it: -infinity for 0, NaN below; null for null."""
+    x = x.cast("double")
+    return F.when(x > 0, F.log(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
+
+
 def sign_up(x: Column) -> Column:
     """The sign of ``x`` with 0 counted as +1."""
     return F.when(x < 0, -1.0).when(x >= 0, 1.0)
