@@ -1,6 +1,7 @@
 """Features, statistics, cross-validation, learning, backtester and streams."""
 
 import datetime as dt
+import hashlib
 import itertools
 import math
 
@@ -411,3 +412,13 @@ def test_bags_and_votes(spark, sf):
         there, called = sum(w for y, _, w in pairs if y == k), sum(w for _, p, w in pairs if p == k)
         each.append(there * (2 * sum(w for y, p, w in pairs if y == p == k) / (there + called) if there + called else 0))
     assert f1 == pytest.approx(sum(each) / sum(w for *_, w in pairs))
+
+
+def test_bags_hash_a_row_twice_at_most(spark):
+    """Once to drop the rows that are not in a bag, once to count the draws; not for each of the draws."""
+    rows = learning.bag_draws(spark.range(400).withColumnRenamed("id", "row_id"), 3, 7)
+    assert 1 <= rows._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 2
+    shares = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(learning.MOST_DRAWS)])
+    u = lambda i, b: int(hashlib.md5(f"7|{i}|{b}".encode()).hexdigest()[:8], 16) / 2**32
+    want = {(i, b): n for i in range(400) for b in range(3) if (n := int((u(i, b) >= shares).sum()))}
+    assert {(r.row_id, r.bag): r.draws for r in rows.collect()} == want

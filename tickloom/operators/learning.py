@@ -297,9 +297,9 @@ def bag_draws(df: DataFrame, bags: int, seed: int = 0, row_id: str = "row_id") -
     replacement comes to in a large table, without a row of it being moved.
     """
     shares = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(MOST_DRAWS)]).tolist()
-    dealt = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
-    u = hash_share(row_id, "bag", seed=seed)
-    return dealt.withColumn("draws", sum((F.when(u >= s, 1).otherwise(0) for s in shares), F.lit(0))).where("draws > 0")
+    own = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1)))).withColumn("_u", hash_share(row_id, "bag", seed=seed))
+    # The hash is a column that is filtered before its shares are counted: Spark would else work it out for each of them.
+    return own.where(F.col("_u") >= shares[0]).withColumn("draws", sum((F.when(F.col("_u") >= s, 1).otherwise(0) for s in shares), F.lit(0))).drop("_u")
 
 
 def bagging(df: DataFrame, columns: Sequence[str], estimator: Estimator | None = None, bags: int = 10, seed: int = 0, at_once: int = 4) -> list[Model]:
