@@ -422,3 +422,28 @@ def test_bags_hash_a_row_twice_at_most(spark):
     u = lambda i, b: int(hashlib.md5(f"7|{i}|{b}".encode()).hexdigest()[:8], 16) / 2**32
     want = {(i, b): n for i in range(400) for b in range(3) if (n := int((u(i, b) >= shares).sum()))}
     assert {(r.row_id, r.bag): r.draws for r in rows.collect()} == want
+
+
+def test_permutation_importance_orders_a_fold_once(spark, sf, monkeypatch):
+    """The losses of one score for each unit, from two orders of a fold's test rows however many units there are."""
+    rows = learning_rows(spark, sf).persist()
+    folds = crossval.purged_folds(rows, 2, 0.01).persist()
+    units, model = {"one": ["f_ret"], "two": ["f_vwap"], "both": ["f_ret", "f_vwap"]}, learning.forest(3, 3)
+    want: dict[str, list[float]] = {u: [] for u in units}
+    for train, test in learning.fold_sets(learning.assembled(rows, FEATURES), folds):
+        fitted = model.fit(train)
+
+        def score(d, fitted=fitted):
+            p = fitted.transform(d)
+            return p.agg(learning.accuracy(p).alias("s")).first().s
+
+        base = score(test)
+        for u, members in units.items():
+            s = score(learning.assembled(learning.permuted(test.drop("features"), members, 5), FEATURES))
+            want[u].append((base - s) / (1 - s) if s != 1 else 0.0)
+    ordered, number_rows = [], learning.number_rows
+    monkeypatch.setattr(learning, "number_rows", lambda *a, **k: ordered.append(1) or number_rows(*a, **k))
+    got = learning.mean_decrease_accuracy(rows, FEATURES, folds, model, "accuracy", units, 5).collect()
+    assert len(ordered) == 4
+    assert {r.feature: r.mean for r in got} == pytest.approx({u: float(np.mean(v)) for u, v in want.items()})
+    assert {r.feature: r.error for r in got} == pytest.approx({u: float(np.std(v)) / 2**0.5 for u, v in want.items()})

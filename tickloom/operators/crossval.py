@@ -8,25 +8,34 @@ index array on the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, *order: str, parts: int = 200) -> DataFrame:
+def number_rows(df: DataFrame, *order: str, parts: int = 200, part: Column | None = None) -> DataFrame:
     """``df`` with ``row_id`` from 0 in the given order.
 
     The first order column (a number, date or time) is cut at approximate
     quantiles.  Rows are numbered inside each range and shifted by the sizes of
     the ranges before, so that neither a global window nor a cache is needed and
-    a lost task gives the same numbers again.  Nulls come first.
+    a lost task gives the same numbers again.  Nulls come first.  A column ``part``,
+    which must not fall as the order goes on, gives the ranges without a pass for
+    the quantiles.
     """
+    if part is not None:
+        return _numbered(df.withColumn("_part", part), order)
     kind = dict(df.dtypes)[order[0]]
     at = F.col(f"`{order[0]}`")
     at = F.unix_micros(at.cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else at.cast("double")
     cuts = df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
     part = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < at)), F.lit(0)) if cuts else F.lit(0)
-    own = df.withColumn("_part", F.when(at.isNull(), -1).otherwise(part))
+    return _numbered(df.withColumn("_part", F.when(at.isNull(), -1).otherwise(part)), order)
+
+
+def _numbered(own: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``row_id`` inside each ``_part``, after the rows of the parts before."""
     sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = own.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(f"`{c}`") for c in order])))

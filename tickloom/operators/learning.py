@@ -127,40 +127,61 @@ def mean_decrease_accuracy(df: DataFrame, columns: Sequence[str], folds: DataFra
     """``feature, mean, error`` of the loss of score when a feature's test values
     (or those of all features of a group) are permuted, over all folds."""
     units = dict(groups) if groups else {c: [c] for c in columns}
+    members = list(dict.fromkeys(c for own in units.values() for c in own))
     full = assembled(df, columns).persist()
-    losses: dict[str, list[float]] = {u: [] for u in units}
-    for train, test in fold_sets(full, folds):
-        model = (estimator or forest()).fit(train)
-
-        def score(d: DataFrame, fitted=model) -> float:
-            p = fitted.transform(d)
-            return float(p.agg(METRICS[metric](p).alias("s")).first().s)
-
-        base = score(test)
-        for unit, members in units.items():
-            shuffled = permuted(test.drop("features"), members, seed)
-            s = score(assembled(shuffled, columns))
-            top = 0.0 if metric == "neg_log_loss" else 1.0
-            losses[unit].append((base - s) / (top - s) if top != s else 0.0)
-    full.unpersist()
-    rows = [(u, float(np.mean(v)), float(np.std(v)) / math.sqrt(len(v))) for u, v in losses.items()]
+    top = 0.0 if metric == "neg_log_loss" else 1.0
+
+    def one(sets) -> dict[str, float]:
+        train, test = sets[0].persist(), sets[1].drop("features").persist()  # a fit reads its rows several times
+        try:
+            return loss((estimator or forest()).fit(train), test)
+        finally:
+            train.unpersist()
+            test.unpersist()
+
+    def loss(model: Model, test: DataFrame) -> dict[str, float]:
+        # One order of the test rows does for all units: each row is scored as it is and once for every unit.
+        paired = dealt(test, members, seed)
+        variants = [("", [])] + list(units.items())
+        each = [F.struct(F.lit(i).alias("_unit"), *[F.col(f"_of_{c}" if c in own else c).alias(c) for c in columns]) for i, (_, own) in enumerate(variants)]
+        rows = paired.select("label", "w", F.explode(F.array(*each)).alias("_v")).select("label", "w", "_v.*")
+        predicted = model.transform(assembled(rows, columns))
+        scores = {r._unit: r.s for r in predicted.groupBy("_unit").agg(METRICS[metric](predicted).alias("s")).collect()}  # one row per unit
+        base = float(scores[0])
+        return {u: (base - s) / (top - s) if top != (s := float(scores[i])) else 0.0 for i, u in enumerate(units, 1)}
+
+    try:
+        with ThreadPoolExecutor(4) as pool:
+            losses = list(pool.map(one, fold_sets(full, folds)))
+    finally:
+        full.unpersist()
+    rows = [(u, float(np.mean(v)), float(np.std(v)) / math.sqrt(len(v))) for u in units for v in [[own[u] for own in losses]]]
     return df.sparkSession.createDataFrame(rows, "feature string, mean double, error double")
 
 
-def permuted(df: DataFrame, columns: Sequence[str], seed: int = 0) -> DataFrame:
-    """``df`` with the values of ``columns`` dealt to other rows, together.
+#: Ranges of hashes in which rows are put in order.
+HASH_RANGES = 200
 
-    Row k in one hash order gets the values of row k in another; rows are
-    numbered over range partitions, not in one task.
+
+def dealt(df: DataFrame, columns: Sequence[str], seed: int = 0) -> DataFrame:
+    """``df`` with ``_of_<column>``: the values of ``columns`` of another row, together.
+
+    Row k in one hash order gets the values of row k in another; hashes are cut at
+    even steps, and rows are numbered inside the ranges, not in one task.
     """
 
     def numbered(part: DataFrame, s: int) -> DataFrame:
         keyed = part.withColumnRenamed("row_id", "_id").withColumn("_h", hash_share("_id", seed=s))
-        return number_rows(keyed, "_h", "_id").drop("_h").withColumnRenamed("row_id", "_k")
+        return number_rows(keyed, "_h", "_id", part=F.floor(F.col("_h") * HASH_RANGES)).drop("_h").withColumnRenamed("row_id", "_k")
+
+    left = numbered(df, seed).withColumnRenamed("_id", "row_id")
+    right = numbered(df.select("row_id", *[F.col(c).alias(f"_of_{c}") for c in columns]), seed + 1).drop("_id")
+    return left.join(right, "_k").drop("_k")
 
-    left = numbered(df.drop(*columns), seed).withColumnRenamed("_id", "row_id")
-    right = numbered(df.select("row_id", *columns), seed + 1).drop("_id")
-    return left.join(right, "_k").drop("_k").select(*df.columns)
+
+def permuted(df: DataFrame, columns: Sequence[str], seed: int = 0) -> DataFrame:
+    """``df`` with the values of ``columns`` dealt to other rows, together, as :func:`dealt` does."""
+    return dealt(df, columns, seed).select(*[F.col(f"_of_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def feature_correlation(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
