@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import exactdup, mixing, neardup, packing, quality
 from tickloom.llm.queries import tokenizer_path
-from tickloom.llm.scratch import drop, put
+from tickloom.llm.scratch import drop, put, small_batches
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     together; labels without an id or a value are not used, and without labels
     every document has the score a half and stays.
     """
+    small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.good_documents(docs, model, cut=0.5)
 
@@ -44,6 +45,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     The smallest id of a group stays, a null id being the largest; texts without
     words are linked with nothing and stay.
     """
+    small_batches(spark)
     return neardup.deduplicate(docs, threshold=Fraction(80, 100), n_bands=37)
 
 

@@ -135,7 +135,7 @@ def _summary(k: int, bands: int = BANDS):
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists, batch.column(2), size], ["id", "n", "k1", "k2", "bands", "lost", "bytes"])
 
-    return run
+    return lambda batches: W.returned(run(batches))
 
 
 class _Forest:

@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.scratch import put
+from tickloom.llm.scratch import put, small_batches
 from tickloom.llm.tokens import tokenizer
+from tickloom.llm.words import returned
 
 END_ID = 2
 WINDOW = 4096
@@ -225,7 +226,7 @@ def _cut(path: str, window: int, end_id: int, keep_ids: bool):
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
                 )
 
-    return run
+    return lambda batches: returned(run(batches))
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, *, keep_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -294,6 +295,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     Repeated rows are packed each; a null id stays null; an empty table gives no
     rows, and columns other than the id and the text are not read.
     """
+    small_batches(docs.sparkSession)
     return place(put(pieces(docs, path, window, end_id, keep_ids=keep_ids, text=text, doc_id=doc_id), "pieces"), window, keep_ids=keep_ids)
 
 

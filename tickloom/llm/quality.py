@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.score(x) for x in features(batch.column(at))], pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(lambda batches: W.returned(run(batches)), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def good_documents(docs: DataFrame, model: Model, cut: float = 0.7, text: str = "text") -> DataFrame:

@@ -53,6 +53,14 @@ def put(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return back
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python read at most so many rows at once: a batch of 10,000 whole texts, Spark's
+    own bound, is held several times over on either side.  Smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def drop(df: DataFrame) -> None:
     """Delete what :func:`put` wrote; nothing may read ``df`` afterwards."""
     path, store = _path(df.sparkSession, _written.pop(df))

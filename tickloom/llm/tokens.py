@@ -12,6 +12,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
+from tickloom.llm.words import hold
+
 CACHE_WORDS = 600_000
 #: A word of a-z and the lower-case letters U+00DF to U+00FF, which no step before the model changes, then ASCII signs but the apostrophe.
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
@@ -35,6 +37,7 @@ class WordTokenizer:
         self.direct = self.cache == known
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        hold(self.cache)
         split = [self._fold(t).split() for t in texts]
         missing = set().union(*split).difference(self.cache)
         if len(self.cache) + len(missing) > CACHE_WORDS:

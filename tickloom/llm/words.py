@@ -92,10 +92,30 @@ class _Digests(dict):
 
 
 _digests = _Digests()
+_held: list[dict] = []
+
+
+def hold(cache: dict) -> None:
+    """Let the worker remember these words, and forget those of any other kernel.
+
+    Workers are used again by later stages and queries, so what each kernel
+    remembers would add up.
+    """
+    if _held and _held[0] is not cache:
+        _held.pop().clear()
+    if not _held:
+        _held.append(cache)
+
+
+def returned(rows: Iterable) -> Iterator:
+    """``rows``; at their end, memory that Arrow keeps for later goes back to the system."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
 
 
 def digests(words: Iterable[bytes]) -> np.ndarray:
     """One row of two 64-bit lanes per word."""
+    hold(_digests)
     return np.frombuffer(b"".join(map(_digests.__getitem__, words)), "<u8").reshape(-1, 2)
 
 
