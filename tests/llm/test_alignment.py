@@ -122,3 +122,17 @@ def test_query_against_brute_force(spark, sf, brute):
     got = __spark_entry__.queries()["op12_cross_tokenizer_alignment"](spark, sf).collect()
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
+def test_ends_as_bits_or_not(spark, brute):
+    # Segments with their space of 61 to 64 bytes and more, on both sides of what a long can hold, and all pairs of odd lengths.
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdeno,.$é") for _ in range(n)) for n in [*range(1, 12), *range(50, 70)] for _ in range(3)]
+    same(spark, brute, [(i, " ".join(words[i : i + 4])) for i in range(len(words))])
+
+
+def test_one_number_marks_the_ends_and_one_look_a_part(spark):
+    row = A.tokens(spark.createDataFrame([(1, "the the and, " + "x" * 80)], "doc_id long, text string"), *PATHS).first()
+    assert [sum(1 << e for e in ends) if ends[-1] <= A.MARKED else 0 for ends in row.a_ends] == row.a_marks
+    assert row.a_marks[-1] == 0 and all(m for m in row.a_marks[:-1])
+    assert row.n_a == [sum(len(row.a[p]) for p in row.parts[0])] and row.n_b == [sum(len(row.b[p]) for p in row.parts[0])]

@@ -6,12 +6,15 @@ segment does not depend on its neighbours.  A block of documents becomes its
 distinct segments, each as the ids of both tokenizers and the byte offsets where
 their tokens end, and for each document the numbers of its segments.
 
-All that follows is Spark's array functions.  ``array_intersect`` of a segment's
-end arrays gives the common ends, whose places in either array cut its ids into
-groups and links with ``transform`` and ``slice``; ``transform`` and ``aggregate``
-over the numbers of its segments then put a document together.  Places in a long
-array come from sorting both together, which is linear, as both are sorted
-already; common words are aligned once a block.
+All that follows is Spark's array functions.  The common ends of a segment's end
+arrays have places in either array that cut its ids into groups and links with
+``transform`` and ``slice``; one ``transform`` over the numbers of its segments
+then puts a document together.  The ends of a segment of up to ``MARKED`` bytes
+also come as the bits of a number, so that common ends are told by their bits and
+places by ``bit_count``, and equal numbers pair the ids one by one.  Longer ones
+take ``array_intersect``, and places in a long array come from sorting both
+together, which is linear, as both are sorted already; common words are aligned
+once a block.
 
 Links are counted over the corpus by id pair.  The most frequent pairs, of which
 there are at most ``HOT`` by the way they are chosen, are broadcast; every other
@@ -50,6 +53,9 @@ _STABLE = re.compile("[\\0-ɏ\u2010-\u2027]*")
 _SPACE = "▁"
 #: Tokens of a segment up to which the tokens before a common end are counted.
 FEW = 16
+#: Bytes of a segment, with the space before it, up to which its ends are bits of a long.
+MARKED = 62
+SEGMENT = ["a", "a_ends", "a_marks", "b", "b_ends", "b_marks"]
 _loaded: dict[tuple[str, str], "Pair"] = {}
 
 
@@ -129,6 +135,17 @@ def _ends(ids: pa.ListArray, size: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(ids.offsets, pa.array(ends.astype(np.int32)))
 
 
+def _marks(ends: pa.ListArray) -> np.ndarray:
+    """The ends of each segment as the bits of a number; 0 without ends, or if the segment is longer than ``MARKED``."""
+    offsets, at = ends.offsets.to_numpy(), ends.values.to_numpy().astype(np.int64)
+    found = np.zeros(len(ends), np.int64)
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(some):
+        bits = np.left_shift(np.int64(1), np.minimum(at, MARKED))
+        found[some] = np.where(at[offsets[1:][some] - 1] <= MARKED, np.bitwise_or.reduceat(bits, offsets[:-1][some]), 0)
+    return found
+
+
 def _text(raw: bytes | None) -> str | None:
     """A text whose bytes are not UTF-8 has no tokens."""
     try:
@@ -158,19 +175,25 @@ def _tokenise(path_a: str, path_b: str):
                 by_a, by_b, good = both.encode(list(known))
                 parts = [p if good[p].all() else p[:0] for p in parts]
                 a, b = _lists(by_a), _lists(by_b)
-                columns = (pa.concat_arrays([some.column(0)]), _lists(parts), a, _ends(a, size_a), b, _ends(b, size_b))
-                yield pa.RecordBatch.from_arrays([_one(c) for c in columns], ["ids", "parts", "a", "a_ends", "b", "b_ends"])
+                n_a, n_b = (np.diff(x.offsets.to_numpy()).astype(np.int64) for x in (a, b))
+                totals = [pa.array([int(n[p].sum()) for p in parts], pa.int64()) for n in (n_a, n_b)]
+                ends_a, ends_b = _ends(a, size_a), _ends(b, size_b)
+                marks = [pa.array(_marks(x)) for x in (ends_a, ends_b)]
+                columns = (pa.concat_arrays([some.column(0)]), *totals, _lists(parts), a, ends_a, marks[0], b, ends_b, marks[1])
+                yield pa.RecordBatch.from_arrays([_one(c) for c in columns], ["ids", "n_a", "n_b", "parts", *SEGMENT])
                 first = last
 
     return run
 
 
 def tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Blocks of documents: ``ids`` and ``parts`` of each, the latter being numbers of segments; and
-    ``a, a_ends, b, b_ends`` of each distinct segment, with the space before it."""
+    """Blocks of documents: ``ids``, ``n_a``, ``n_b`` (its tokens) and ``parts`` of each, the last being numbers of segments;
+    and ``a, a_ends, a_marks, b, b_ends, b_marks`` of each distinct segment, with the space before it."""
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
     lists = ", ".join(f"{c} array<array<int>>" for c in ("parts", "a", "a_ends", "b", "b_ends"))
-    return own.mapInArrow(_tokenise(path_a, path_b), f"ids array<long>, {lists}")
+    longs = ", ".join(f"{c} array<long>" for c in ("ids", "n_a", "n_b", "a_marks", "b_marks"))
+    order = ["ids", "n_a", "n_b", "parts", *SEGMENT]
+    return own.mapInArrow(_tokenise(path_a, path_b), ", ".join(sorted(f"{longs}, {lists}".split(", "), key=lambda c: order.index(c.split()[0]))))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -198,39 +221,46 @@ def _groups(ids: Column, places: Column) -> Column:
     return F.transform(places, one)
 
 
+def _link(a: Column, b: Column) -> Column:
+    """Two ids as one long."""
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+
+
 def _segment(s: Column) -> Column:
-    """``groups, link_a, link_b`` of a segment: ``a1,a2|b1;a3|b2`` and the last ids of each group."""
-    pick = lambda ids, places: F.transform(places, lambda p: ids[p - 1])
+    """``groups, links`` of a segment: ``a1,a2|b1;a3|b2`` and the last ids of each group."""
 
     def made(at_a: Column, at_b: Column) -> Column:
         groups = F.zip_with(_groups(s["a"], at_a), _groups(s["b"], at_b), lambda x, y: F.concat(x, F.lit("|"), y))
-        return F.struct(F.array_join(groups, ";").alias("groups"), pick(s["a"], at_a).alias("link_a"), pick(s["b"], at_b).alias("link_b"))
+        return F.struct(F.array_join(groups, ";").alias("groups"), F.zip_with(at_a, at_b, lambda x, y: _link(s["a"][x - 1], s["b"][y - 1])).alias("links"))
+
+    def marked(common: Column) -> Column:
+        at = lambda marks: F.transform(common, lambda e: F.bit_count(s[marks].bitwiseAND(F.call_function("shiftright", F.lit((1 << 63) - 1), F.lit(MARKED) - e))))
+        return _let(at("a_marks"), lambda x: _let(at("b_marks"), lambda y: made(x, y)))
 
-    whole = F.struct(F.concat(s["a"][0].cast("string"), F.lit("|"), s["b"][0].cast("string")).alias("groups"), s["a"].alias("link_a"), s["b"].alias("link_b"))
-    cut = _let(F.array_intersect(s["a_ends"], s["b_ends"]), lambda common: _let(_places(common, s["a_ends"]), lambda x: _let(_places(common, s["b_ends"]), lambda y: made(x, y))))
-    return F.when((F.size(s["a"]) == 1) & (F.size(s["b"]) == 1), whole).otherwise(cut)
+    paired = F.struct(F.array_join(F.zip_with(s["a"], s["b"], lambda x, y: F.concat_ws("|", x.cast("string"), y.cast("string"))), ";").alias("groups"), F.zip_with(s["a"], s["b"], _link).alias("links"))
+    short = _let(F.filter(s["a_ends"], lambda e: F.getbit(s["b_marks"], e) == 1), marked)
+    long = _let(F.array_intersect(s["a_ends"], s["b_ends"]), lambda common: _let(_places(common, s["a_ends"]), lambda x: _let(_places(common, s["b_ends"]), lambda y: made(x, y))))
+    return F.when(s["a_marks"] == 0, long).when(s["a_marks"] == s["b_marks"], paired).otherwise(short)
 
 
 def aligned(found: DataFrame) -> DataFrame:
-    """``id, n_a, n_b, groups, link_a, link_b`` of each document in the blocks of :func:`tokens`.
+    """``id, n_a, n_b, groups, links`` of each document in the blocks of :func:`tokens`.
 
-    ``groups`` is ``a1,a2|b1;a3|b2,b3``; ``link_a[i], link_b[i]`` are the ids whose
-    tokens end at the i-th common end.  Documents without tokens have an empty
+    ``groups`` is ``a1,a2|b1;a3|b2,b3``; ``links[i]`` are the ids whose tokens end
+    at the i-th common end, as one number.  Documents without tokens have an empty
     text and no links.
     """
-    cut = found.withColumn("segments", F.transform(F.arrays_zip("a", "a_ends", "b", "b_ends"), _segment))
-    at = lambda p, field: F.transform(p, lambda i: F.col("segments")[i][field])
-    total = lambda p, side: F.aggregate(p, F.lit(0).cast("long"), lambda n, i: n + F.size(F.col(side)[i]))
-    docs = F.transform("parts", lambda p: F.struct(
-        total(p, "a").alias("n_a"), total(p, "b").alias("n_b"), F.array_join(at(p, "groups"), ";").alias("groups"), F.flatten(at(p, "link_a")).alias("link_a"), F.flatten(at(p, "link_b")).alias("link_b")))
-    return cut.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), docs.alias("d"))).alias("x")).select(F.col("x.id").alias("id"), "x.d.*")
+    cut = found.withColumn("segments", F.transform(F.arrays_zip(*SEGMENT), _segment))
+    # One look at a segment for each part; its fields are then taken without a function.
+    docs = F.transform("parts", lambda p: _let(F.transform(p, lambda i: F.col("segments")[i]), lambda own: F.struct(F.array_join(own["groups"], ";").alias("groups"), F.flatten(own["links"]).alias("links"))))
+    return cut.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), "n_a", "n_b", docs.alias("d"))).alias("x")).select("x.id", "x.n_a", "x.n_b", "x.d.*")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """``a, b, n, best``: links that hold each id pair, and whether no other pair of its B id has more."""
-    counted = links.groupBy("a", "b").agg(F.count("*").alias("n"))
+    """``link, n, best``: links that hold each id pair, and whether no other pair of its B id has more."""
+    counted = links.groupBy("link").agg(F.count("*").alias("n")).withColumn("b", F.col("link").bitwiseAND(F.lit((1 << 32) - 1)))
     most = counted.groupBy("b").agg(F.max("n").alias("most"))
-    return counted.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
+    return counted.join(most, "b").select("link", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -243,17 +273,17 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id:
     other name are not read.
     """
     slim = aligned(tokens(docs, path_a, path_b, text, doc_id)).select(
-        F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", F.size("link_a").cast("long").alias("n_groups"),
-        F.when(F.size("link_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), "link_a", "link_b")
+        F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", F.size("links").cast("long").alias("n_groups"),
+        F.when(F.size("links") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), "links")
     slim = put(slim, "aligned")
-    links = slim.select("row", F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select("row", F.col("l.link_a").alias("a"), F.col("l.link_b").alias("b"))
+    links = slim.select("row", F.explode("links").alias("link"))
     counts = put(pair_counts(links), "pairs")
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") * HOT >= total
-    hot = links.join(F.broadcast(counts.where(often)), ["a", "b"], "left")
+    hot = links.join(F.broadcast(counts.where(often)), "link", "left")
     sums = lambda rows: rows.groupBy("row").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))
-    rare = hot.where("n IS NULL").select("row", "a", "b").join(counts.where(~often), ["a", "b"])
+    rare = hot.where("n IS NULL").select("row", "link").join(counts.where(~often), "link")
     scored = sums(hot.where("n IS NOT NULL")).union(sums(rare)).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return slim.drop("link_a", "link_b").join(scored, "row", "left").select(
+    return slim.drop("links").join(scored, "row", "left").select(
         F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
