@@ -1,25 +1,21 @@
 """Alignment of two tokenizers over the same texts.
 
-Python only tokenises.  At a space between two visible characters both
-tokenizers start a token, so a text falls into segments, and what becomes of a
-segment does not depend on its neighbours.  A block of documents becomes its
-distinct segments, each as the ids of both tokenizers and the byte offsets where
-their tokens end, and for each document the numbers of its segments.
-
-All that follows is Spark's array functions.  The common ends of a segment's end
-arrays have places in either array that cut its ids into groups and links with
-``transform`` and ``slice``; one ``transform`` over the numbers of its segments
-then puts a document together.  The ends of a segment of up to ``MARKED`` bytes
-also come as the bits of a number, so that common ends are told by their bits and
-places by ``bit_count``, and equal numbers pair the ids one by one.  Longer ones
-take ``array_intersect``, and places in a long array come from sorting both
-together, which is linear, as both are sorted already; common words are aligned
+At a space between two visible characters both tokenizers start a token, so a
+text falls into segments, and what becomes of a segment does not depend on its
+neighbours.  A block of documents becomes its distinct segments, and for each
+document the numbers of its segments; common words are tokenised and aligned
 once a block.
 
-Links are counted over the corpus by id pair.  The most frequent pairs, of which
-there are at most ``HOT`` by the way they are chosen, are broadcast; every other
-pair has less than one ``HOT``-th of all links and is joined by a shuffle, so no
-key of that join is hot.
+The tokens of a block's segments stand in two rows, one a tokenizer.  Where
+tokens of both end, both rows are cut into groups; the last ids of a group are
+linked.  Arrow writes the groups out and puts those of a document's segments
+together, so that Spark gets a document's groups as one text and its links as
+longs, and keeps no object for a token.
+
+Spark counts the links over the corpus by id pair.  The most frequent pairs, of
+which there are at most ``HOT`` by the way they are chosen, are broadcast; every
+other pair has less than one ``HOT``-th of all links and is joined by a shuffle,
+so no key of that join is hot.
 """
 
 from __future__ import annotations
@@ -28,14 +24,15 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -50,9 +47,11 @@ BLOCK_BYTES = 2 << 20
 _CUT = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
 #: Characters that every version of Unicode sorts into letters, digits, spaces and others alike.
 _STABLE = re.compile("[\\0-ɏ\u2010-\u2027]*")
+#: A segment of such characters that may have another on either side.
+_INNER = re.compile("[!-~¡-ɏ](?:[\\0-ɏ\u2010-\u2027]*[!-~¡-ɏ])?")
+#: Segments that the first tokenizer reads at once, at most.
+RUN = 512
 _SPACE = "▁"
-#: Tokens of a segment up to which the tokens before a common end are counted.
-FEW = 16
 #: Bytes of a segment, with the space before it, up to which its ends are bits of a long.
 MARKED = 62
 SEGMENT = ["a", "a_ends", "a_marks", "b", "b_ends", "b_marks"]
@@ -79,6 +78,10 @@ class Pair:
         # Segments are independent if no token holds a space after another character; else texts stay whole.
         self.cut = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
         self.quick = self._ranks(path_a, vocabulary)
+        self.size_a, self.size_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
+        self.ids = max(len(self.bytes_a), len(self.bytes_b))
+        #: Each id with each sign that may follow it.
+        self.written = pa.array([f"{i}{sign}" for sign in ",|;" for i in range(self.ids)], pa.string())
 
     def _ranks(self, path_a: str, vocabulary: dict[str, int]) -> tiktoken.Encoding | None:
         """The first tokenizer by its merges' ranks, which is quicker; None unless these are its ids in order."""
@@ -97,21 +100,55 @@ class Pair:
         """A text in segments, each without the space before it."""
         return _CUT.split(text) if self.cut else [text]
 
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """The ids of each segment, after a space, by both tokenizers; and whether both give back its bytes."""
-        by_a: list[list[int]] = [[]] * len(segments)
-        slow = []
-        for i, s in enumerate(segments):
-            if self.quick is not None and _STABLE.fullmatch(s):
-                by_a[i] = self.quick.encode_ordinary(" " + s)
-            else:
-                slow.append(i)
-        for i, x in zip(slow, self.a.encode_batch_fast([" " + segments[i] for i in slow], add_special_tokens=False) if slow else [], strict=True):
-            by_a[i] = x.ids
+    def encode(self, segments: list[str]) -> tuple[pa.ListArray, pa.ListArray, np.ndarray]:
+        """The ids of each segment, after a space, by both tokenizers; and whether both give back its bytes.  If not, it has none."""
         by_b = self.b.encode(segments, num_threads=1) if segments else []
-        one, two = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        good = [b"".join(map(one, x)) == (w := (" " + s).encode()) == b"".join(map(two, y)) for s, x, y in zip(segments, by_a, by_b, strict=True)]
-        return by_a, by_b, np.array(good, bool)
+        alone = np.array([not (self.quick is not None and self.cut and _INNER.fullmatch(s)) for s in segments], bool)
+        first = alone.copy()
+        first[1:] |= alone[:-1]
+        first[::RUN] = True
+        found = [x for lo, hi in pairwise([*np.flatnonzero(first), len(segments)]) for x in self._run(segments[lo:hi], by_b[lo:hi])]
+        rows = [np.concatenate([np.zeros(0, np.int32), *x]) for x in list(zip(*found, strict=True))[:2] or ((), ())]
+        n = np.concatenate([np.zeros((2, 0), np.int32), *(x[2] for x in found)], axis=1)
+        a, b = (pa.ListArray.from_arrays(pa.array(_bounds(k)), pa.array(x)) for k, x in zip(n, rows, strict=True))
+        return a, b, n[0] > 0
+
+    def _run(self, segments: list[str], by_b: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The ids of segments that may stand side by side, and how many are each segment's; by the first tokenizer at once."""
+        text = " " + " ".join(segments)
+        raw = text.encode()
+        if self.quick is not None and _STABLE.fullmatch(text):
+            ids_a = self.quick.encode_ordinary(text)
+        else:
+            ids_a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids_b = list(chain.from_iterable(by_b))
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw == b"".join(map(self.bytes_b.__getitem__, ids_b)):
+            a, b = np.array(ids_a, np.int32), np.array(ids_b, np.int32)
+            ends = np.cumsum([len(s.encode()) + 1 for s in segments])
+            rows = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+            to = [np.searchsorted(x, ends) for x in rows]
+            if all((x[at] == ends).all() for x, at in zip(rows, to, strict=True)):
+                yield a, b, np.diff(to, prepend=-1).astype(np.int32)
+                return
+        if len(segments) == 1:
+            yield np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((2, 1), np.int32)
+        else:
+            for s, y in zip(segments, by_b, strict=True):
+                yield from self._run([s], [y])
+
+
+@dataclass
+class Block:
+    """Documents: their ids and the numbers of their segments; and the ids of each distinct segment by both tokenizers."""
+
+    ids: pa.Array
+    parts: list[np.ndarray]
+    a: pa.ListArray
+    b: pa.ListArray
+
+    def totals(self) -> list[pa.Array]:
+        """Tokens of each document by either tokenizer."""
+        return [pa.array([int(n[p].sum()) for p in self.parts], pa.int64()) for n in (np.diff(x.offsets.to_numpy()).astype(np.int64) for x in (self.a, self.b))]
 
 
 def pair(path_a: str, path_b: str) -> Pair:
@@ -121,10 +158,13 @@ def pair(path_a: str, path_b: str) -> Pair:
     return _loaded[path_a, path_b]
 
 
-def _lists(parts: list, kind=np.int32) -> pa.ListArray:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(parts), kind, int(offsets[-1]))))
+def _bounds(sizes) -> np.ndarray:
+    """Where lists of such sizes start and end, laid end to end."""
+    return np.r_[0, np.cumsum(sizes, dtype=np.int64)].astype(np.int32)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(_bounds([len(p) for p in parts])), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)))
 
 
 def _ends(ids: pa.ListArray, size: np.ndarray) -> pa.ListArray:
@@ -159,101 +199,95 @@ def _one(array: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
 
 
-def _tokenise(path_a: str, path_b: str):
+def _blocks(batches: Iterator[pa.RecordBatch], both: Pair) -> Iterator[Block]:
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + BLOCK_BYTES, "right")))
+            some = batch.slice(first, last - first)
+            known = Numbers()
+            parts = [known.of(both.segments(t)) if (t := _text(x.as_py())) else np.zeros(0, np.int64) for x in some.column(1)]
+            a, b, good = both.encode(list(known))
+            yield Block(pa.concat_arrays([some.column(0)]), [p if good[p].all() else p[:0] for p in parts], a, b)
+            first = last
+
+
+def _mapped(path_a: str, path_b: str, made: Callable[[Block, Pair], pa.RecordBatch]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         both = pair(path_a, path_b)
-        size_a, size_b = (np.array([len(x) for x in own], np.int64) for own in (both.bytes_a, both.bytes_b))
-        for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            first = 0
-            while first < batch.num_rows:
-                last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + BLOCK_BYTES, "right")))
-                some = batch.slice(first, last - first)
-                known = Numbers()
-                parts = [known.of(both.segments(t)) if (t := _text(x.as_py())) else np.zeros(0, np.int64) for x in some.column(1)]
-                by_a, by_b, good = both.encode(list(known))
-                parts = [p if good[p].all() else p[:0] for p in parts]
-                a, b = _lists(by_a), _lists(by_b)
-                n_a, n_b = (np.diff(x.offsets.to_numpy()).astype(np.int64) for x in (a, b))
-                totals = [pa.array([int(n[p].sum()) for p in parts], pa.int64()) for n in (n_a, n_b)]
-                ends_a, ends_b = _ends(a, size_a), _ends(b, size_b)
-                marks = [pa.array(_marks(x)) for x in (ends_a, ends_b)]
-                columns = (pa.concat_arrays([some.column(0)]), *totals, _lists(parts), a, ends_a, marks[0], b, ends_b, marks[1])
-                yield pa.RecordBatch.from_arrays([_one(c) for c in columns], ["ids", "n_a", "n_b", "parts", *SEGMENT])
-                first = last
+        for block in _blocks(batches, both):
+            yield made(block, both)
 
     return run
 
 
+def _own(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+
+
+def _segments(block: Block, both: Pair) -> pa.RecordBatch:
+    ends = _ends(block.a, both.size_a), _ends(block.b, both.size_b)
+    marks = [pa.array(_marks(x)) for x in ends]
+    columns = (block.ids, *block.totals(), _lists(block.parts), block.a, ends[0], marks[0], block.b, ends[1], marks[1])
+    return pa.RecordBatch.from_arrays([_one(c) for c in columns], ["ids", "n_a", "n_b", "parts", *SEGMENT])
+
+
 def tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Blocks of documents: ``ids``, ``n_a``, ``n_b`` (its tokens) and ``parts`` of each, the last being numbers of segments;
-    and ``a, a_ends, a_marks, b, b_ends, b_marks`` of each distinct segment, with the space before it."""
-    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    and ``a, a_ends, a_marks, b, b_ends, b_marks`` of each distinct segment, with the space before it: for a look at
+    the tokens themselves, which :func:`aligned` does not give."""
     lists = ", ".join(f"{c} array<array<int>>" for c in ("parts", "a", "a_ends", "b", "b_ends"))
     longs = ", ".join(f"{c} array<long>" for c in ("ids", "n_a", "n_b", "a_marks", "b_marks"))
     order = ["ids", "n_a", "n_b", "parts", *SEGMENT]
-    return own.mapInArrow(_tokenise(path_a, path_b), ", ".join(sorted(f"{longs}, {lists}".split(", "), key=lambda c: order.index(c.split()[0]))))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is worked out once however often ``body`` uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _places(common: Column, ends: Column) -> Column:
-    """The index (from 1) in ``ends`` of each value of ``common``, both ascending."""
-    tag = 1 << 31
-    coded = F.concat(F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + F.lit(tag) + i.cast("long")), F.transform(common, lambda e: F.shiftleft(e.cast("long"), 32)))
-    at = F.transform(F.sort_array(coded), lambda x, k: F.when(x.bitwiseAND(F.lit(tag)) == 0, k).otherwise(-1))
-    # Sorted together, a common end comes just before its equal: its index among all, less its index among the common, is the place.
-    many = F.transform(F.filter(at, lambda k: k >= 0), lambda k, n: k - n + 1)
-    return F.when(F.size(ends) <= FEW, F.transform(common, lambda e: F.size(F.filter(ends, lambda x: x <= e)))).otherwise(many)
-
-
-def _groups(ids: Column, places: Column) -> Column:
-    """For each common end the ids of the tokens up to it, comma-joined."""
-
-    def one(to: Column, n: Column) -> Column:
-        before = F.when(n == 0, F.lit(0)).otherwise(places[n - 1])
-        return F.when(to - before == 1, ids[before].cast("string")).otherwise(F.array_join(F.slice(ids, before + 1, to - before).cast("array<string>"), ","))
-
-    return F.transform(places, one)
-
-
-def _link(a: Column, b: Column) -> Column:
-    """Two ids as one long."""
-    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
-
-
-def _segment(s: Column) -> Column:
-    """``groups, links`` of a segment: ``a1,a2|b1;a3|b2`` and the last ids of each group."""
-
-    def made(at_a: Column, at_b: Column) -> Column:
-        groups = F.zip_with(_groups(s["a"], at_a), _groups(s["b"], at_b), lambda x, y: F.concat(x, F.lit("|"), y))
-        return F.struct(F.array_join(groups, ";").alias("groups"), F.zip_with(at_a, at_b, lambda x, y: _link(s["a"][x - 1], s["b"][y - 1])).alias("links"))
-
-    def marked(common: Column) -> Column:
-        at = lambda marks: F.transform(common, lambda e: F.bit_count(s[marks].bitwiseAND(F.call_function("shiftright", F.lit((1 << 63) - 1), F.lit(MARKED) - e))))
-        return _let(at("a_marks"), lambda x: _let(at("b_marks"), lambda y: made(x, y)))
-
-    paired = F.struct(F.array_join(F.zip_with(s["a"], s["b"], lambda x, y: F.concat_ws("|", x.cast("string"), y.cast("string"))), ";").alias("groups"), F.zip_with(s["a"], s["b"], _link).alias("links"))
-    short = _let(F.filter(s["a_ends"], lambda e: F.getbit(s["b_marks"], e) == 1), marked)
-    long = _let(F.array_intersect(s["a_ends"], s["b_ends"]), lambda common: _let(_places(common, s["a_ends"]), lambda x: _let(_places(common, s["b_ends"]), lambda y: made(x, y))))
-    return F.when(s["a_marks"] == 0, long).when(s["a_marks"] == s["b_marks"], paired).otherwise(short)
-
-
-def aligned(found: DataFrame) -> DataFrame:
-    """``id, n_a, n_b, groups, links`` of each document in the blocks of :func:`tokens`.
+    return _own(docs, text, doc_id).mapInArrow(_mapped(path_a, path_b, _segments), ", ".join(sorted(f"{longs}, {lists}".split(", "), key=lambda c: order.index(c.split()[0]))))
+
+
+def _joined(texts: pa.StringArray, bounds: np.ndarray) -> pa.StringArray:
+    """The texts from each bound to the next, as one."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[bounds] if len(texts) else np.zeros(len(bounds), np.int32)
+    return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(at), data if data is not None else pa.py_buffer(b""))
+
+
+def _cut(a: pa.ListArray, b: pa.ListArray, both: Pair) -> tuple[pa.StringArray, pa.ListArray]:
+    """For each segment its groups, ``a1,a2|b1;a3|b2;``, and the last ids of each group as one number."""
+    (from_a, ids_a), (from_b, ids_b) = ((x.offsets.to_numpy(), x.values.to_numpy()) for x in (a, b))
+    # Both rows have the same bytes, and each segment's last tokens end together.
+    ends_a, ends_b = np.cumsum(both.size_a[ids_a]), np.cumsum(both.size_b[ids_b])
+    seen = np.zeros(ends_a[-1] + 1 if len(ends_a) else 0, np.int8)
+    seen[ends_a] = 1
+    seen[ends_b] += 2
+    last_a, last_b = seen[ends_a] == 3, seen[ends_b] == 3
+    at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+    group_a, group_b = (np.r_[0, np.cumsum(x)] for x in (last_a, last_b))  # of each token, and one more
+    # A group's tokens of the first row are written before those of the second.
+    order = np.empty(len(ids_a) + len(ids_b), np.int32)
+    order[np.arange(len(ids_a)) + np.r_[0, at_b + 1][group_a[:-1]]] = ids_a + both.ids * last_a
+    order[np.arange(len(ids_b)) + (at_a + 1)[group_b[:-1]]] = ids_b + 2 * both.ids * last_b
+    groups = _joined(both.written.take(pa.array(order)), from_a + from_b)
+    links = ids_a[at_a].astype(np.int64) << 32 | ids_b[at_b]
+    return groups, pa.ListArray.from_arrays(pa.array(group_a[from_a].astype(np.int32)), pa.array(links))
+
+
+def _documents(block: Block, both: Pair) -> pa.RecordBatch:
+    groups, links = _cut(block.a, block.b, both)
+    parts = _lists(block.parts)
+    bounds = parts.offsets.to_numpy()
+    groups, links = groups.take(parts.values), links.take(parts.values)
+    whole = pa.ListArray.from_arrays(pa.array(links.offsets.to_numpy()[bounds]), links.values)
+    return pa.RecordBatch.from_arrays([block.ids, *block.totals(), pc.utf8_rtrim(_joined(groups, bounds), characters=";"), whole], ["id", "n_a", "n_b", "groups", "links"])
+
+
+def aligned(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``id, n_a, n_b, groups, links`` of each document.
 
     ``groups`` is ``a1,a2|b1;a3|b2,b3``; ``links[i]`` are the ids whose tokens end
-    at the i-th common end, as one number.  Documents without tokens have an empty
-    text and no links.
+    at the i-th common end, as one number, the first above the 32 bits of the
+    second.  Documents without tokens have an empty text and no links.
     """
-    cut = found.withColumn("segments", F.transform(F.arrays_zip(*SEGMENT), _segment))
-    # One look at a segment for each part; its fields are then taken without a function.
-    docs = F.transform("parts", lambda p: _let(F.transform(p, lambda i: F.col("segments")[i]), lambda own: F.struct(F.array_join(own["groups"], ";").alias("groups"), F.flatten(own["links"]).alias("links"))))
-    return cut.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), "n_a", "n_b", docs.alias("d"))).alias("x")).select("x.id", "x.n_a", "x.n_b", "x.d.*")
+    return _own(docs, text, doc_id).mapInArrow(_mapped(path_a, path_b, _documents), "id long, n_a long, n_b long, groups string, links array<long>")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -272,7 +306,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id:
     id's best are all best, an empty table gives no rows, and columns of any
     other name are not read.
     """
-    slim = aligned(tokens(docs, path_a, path_b, text, doc_id)).select(
+    slim = aligned(docs, path_a, path_b, text, doc_id).select(
         F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", F.size("links").cast("long").alias("n_groups"),
         F.when(F.size("links") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), "links")
     slim = put(slim, "aligned")
