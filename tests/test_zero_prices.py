@@ -88,3 +88,16 @@ def test_deviation_after_an_infinite_value(spark):
 
     _, made = kernel.step(kernel.start(), pd.DataFrame({"x": [1.0, 2.0, math.inf, 3.0]}))
     assert made["s"].tolist()[2:] == [math.inf, math.inf] and 0 < made["s"].tolist()[1] < 1
+
+
+def test_scalar_functions_of_odd_values(spark, tmp_path):
+    values = [None, 0.0, -0.0, 1.0, -2.5, 100.25, 1e-9, math.inf, -math.inf, math.nan]
+    made = spark.createDataFrame(list(enumerate(values)), "event_id long, value double")
+    made.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["f0_scalar_functions"]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES["f0_scalar_functions"](spark, str(tmp_path)).collect())
+    assert len(got) == len(want) == len(values)
+    for a, b in zip(got, want):
+        assert all(same(x, y) for x, y in zip(a, b)), (a, b)

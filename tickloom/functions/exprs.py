@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
@@ -22,10 +22,10 @@ def quotient(a: Column, b: Column) -> Column:
     return F.when((b == 0) & a.isNotNull(), by_zero).otherwise(F.try_divide(a, b))
 
 
-def logarithm(x: Column) -> Column:
-    """The natural logarithm as floating point has it: -infinity for 0, NaN below; null for null."""
+def logarithm(x: Column, log: Callable[[Column], Column] = F.log) -> Column:
+    """The logarithm, natural unless ``log`` is another, as floating point has it: -infinity for 0, NaN below; null for null."""
     x = x.cast("double")
-    return F.when(x > 0, F.log(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
+    return F.when(x > 0, log(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
 
 
 def sign_up(x: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.exprs import average_rank, clip, hash_share, ratio
+from tickloom.functions.exprs import average_rank, clip, hash_share, logarithm, ratio
 from tickloom.queries.registry import nudged, plain_times, query, rounded, table
 from tickloom.sources import ticks as S
 
@@ -130,7 +130,7 @@ def o1(spark, sf_dir):
 @query("f0_scalar_functions", f"WITH s AS (SELECT event_id, ln(value) AS a, sqrt(value) AS b, exp(-value / 100) AS c, log10(value) AS d, log2(value) AS e, power(value, 0.3) AS f, round_even(value, 0) AS g, ln(0.2 / 0.8) AS h FROM events) SELECT event_id, {nudged(list('abcdefgh'), 6)} FROM s")
 def f0(spark, sf_dir):
     v = F.col("value")
-    return rounded(table(spark, sf_dir, "events").select("event_id", F.ln(v).alias("a"), F.sqrt(v).alias("b"), F.exp(-v / 100).alias("c"), F.log10(v).alias("d"), F.log2(v).alias("e"), F.pow(v, F.lit(0.3)).alias("f"), F.bround(v, 0).alias("g"), F.ln(F.lit(0.2) / F.lit(0.8)).alias("h")), nudge=True)
+    return rounded(table(spark, sf_dir, "events").select("event_id", logarithm(v).alias("a"), F.sqrt(v).alias("b"), F.exp(-v / 100).alias("c"), logarithm(v, F.log10).alias("d"), logarithm(v, F.log2).alias("e"), F.pow(v, F.lit(0.3)).alias("f"), F.bround(v, 0).alias("g"), F.ln(F.lit(0.2) / F.lit(0.8)).alias("h")), nudge=True)
 
 
 @query("f0_dates", "SELECT event_id, CAST(ts AS DATE) AS day, ts + INTERVAL 1 DAY AS next_day, date_trunc('hour', ts) AS hour, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS since, strftime(ts, '%Y-%m') AS month FROM events")
